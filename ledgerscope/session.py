@@ -1,0 +1,61 @@
+"""Spark session and checkpoint-directory helpers."""
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import SparkSession
+
+# Settings every job relies on: AQE re-plans joins at runtime (broadcast when a
+# shuffled side turns out small, splits skewed partitions of sort-merge joins),
+# ANSI stays on, the UI stays off.
+DEFAULT_CONF = {
+    "spark.ui.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def get_session(
+    master: str | None = None,
+    app: str = "ledgerscope",
+    shuffle_partitions: int | None = None,
+    extra: dict | None = None,
+) -> SparkSession:
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    conf = dict(DEFAULT_CONF)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(extra or {})
+    for k, v in conf.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the reliable checkpoint directory of the session.
+
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
+    is.  Only when it is unset (local tests) a fresh folder is created.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
+    base = os.environ.get("LEDGERSCOPE_SCRATCH", tempfile.gettempdir())
+    path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=base)
+    sc.setCheckpointDir(path)
+    return path
