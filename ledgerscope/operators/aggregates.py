@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import money_mean, money_sum
 
 
 def _std0(c: str) -> Column:
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
 
-def origin_stats(ref: DataFrame) -> DataFrame:
+def origin_stats(ref: DataFrame, scale=S.AMOUNT_SCALE) -> DataFrame:
     return ref.groupBy(S.ORIGIN).agg(
         F.count(S.AMOUNT).alias("origin_txn_count"),
-        F.sum(S.AMOUNT).alias("origin_amount_sum"),
-        F.avg(S.AMOUNT).alias("origin_amount_mean"),
+        money_sum(S.AMOUNT, scale).alias("origin_amount_sum"),
+        money_mean(S.AMOUNT, scale).alias("origin_amount_mean"),
         F.stddev_samp(S.AMOUNT).alias("origin_amount_std"),
         F.min(S.PERIOD).alias("origin_period_min"),
         F.max(S.PERIOD).alias("origin_period_max"),
@@ -29,11 +30,11 @@ def origin_stats(ref: DataFrame) -> DataFrame:
     ).filter(F.col(S.ORIGIN).isNotNull())
 
 
-def destination_stats(ref: DataFrame) -> DataFrame:
+def destination_stats(ref: DataFrame, scale=S.AMOUNT_SCALE) -> DataFrame:
     return ref.groupBy(S.DEST).agg(
         F.count(S.AMOUNT).alias("dest_txn_count"),
-        F.sum(S.AMOUNT).alias("dest_amount_sum"),
-        F.avg(S.AMOUNT).alias("dest_amount_mean"),
+        money_sum(S.AMOUNT, scale).alias("dest_amount_sum"),
+        money_mean(S.AMOUNT, scale).alias("dest_amount_mean"),
         F.stddev_samp(S.AMOUNT).alias("dest_amount_std"),
         F.min(S.PERIOD).alias("dest_period_min"),
         F.max(S.PERIOD).alias("dest_period_max"),
@@ -41,10 +42,10 @@ def destination_stats(ref: DataFrame) -> DataFrame:
     ).filter(F.col(S.DEST).isNotNull())
 
 
-def operation_stats(ref: DataFrame) -> DataFrame:
+def operation_stats(ref: DataFrame, scale=S.AMOUNT_SCALE) -> DataFrame:
     return ref.groupBy(S.OPERATION).agg(
         F.count(S.AMOUNT).alias("op_count"),
-        F.avg(S.AMOUNT).alias("op_amount_mean"),
+        money_mean(S.AMOUNT, scale).alias("op_amount_mean"),
         F.stddev_samp(S.AMOUNT).alias("op_amount_std"),
         F.median(S.AMOUNT).alias("op_amount_median"),
     ).filter(F.col(S.OPERATION).isNotNull())
@@ -93,7 +94,8 @@ def aggregate_projection(eps: float = S.EPS) -> list:
     ]
 
 
-def add_unsupervised_aggregations(df: DataFrame, ref: DataFrame, eps: float = S.EPS) -> DataFrame:
+def add_unsupervised_aggregations(df: DataFrame, ref: DataFrame, eps: float = S.EPS,
+                                  scale=S.AMOUNT_SCALE) -> DataFrame:
     """E5: join origin / destination / operation / pair statistics fitted on ``ref``.
 
     The operation table has one row per distinct operation (5 here); it is
@@ -102,9 +104,9 @@ def add_unsupervised_aggregations(df: DataFrame, ref: DataFrame, eps: float = S.
     small at runtime, skew split of hot accounts otherwise).
     """
     keep = [c for c in df.columns]
-    out = (df.join(origin_stats(ref), S.ORIGIN, "left")
-             .join(destination_stats(ref), S.DEST, "left")
-             .join(F.broadcast(operation_stats(ref)), S.OPERATION, "left")
+    out = (df.join(origin_stats(ref, scale), S.ORIGIN, "left")
+             .join(destination_stats(ref, scale), S.DEST, "left")
+             .join(F.broadcast(operation_stats(ref, scale)), S.OPERATION, "left")
              .join(pair_counts(ref), [S.ORIGIN, S.DEST], "left"))
     return out.select(*keep, *aggregate_projection(eps))
 
@@ -187,8 +189,8 @@ def account_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
 
 # -- edge list (E9) -------------------------------------------------------------
 
-def edge_list(ref: DataFrame) -> DataFrame:
+def edge_list(ref: DataFrame, scale=S.AMOUNT_SCALE) -> DataFrame:
     return (ref.filter(F.col(S.ORIGIN).isNotNull() & F.col(S.DEST).isNotNull())
             .groupBy(S.ORIGIN, S.DEST)
-            .agg(F.sum(S.AMOUNT).alias("weight"), F.count(S.AMOUNT).alias("count")))
+            .agg(money_sum(S.AMOUNT, scale).alias("weight"), F.count(S.AMOUNT).alias("count")))
 

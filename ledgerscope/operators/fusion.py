@@ -1,0 +1,110 @@
+"""Score fusion and post-processing."""
+from __future__ import annotations
+
+from itertools import product
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions.columns import clip
+from .metrics import average_precision
+from .ordered import rank_pct
+
+
+def ensemble_weights(scores: DataFrame, model: str = "model", score: str = "ap") -> DataFrame:
+    """K4: weights proportional to the scores; equal weights if the total <= 0.
+    ``scores`` has one row per model (a handful), so the total is a scalar."""
+    agg = scores.agg(F.sum(score).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    total, n = float(agg["t"] or 0.0), int(agg["n"])
+    w = F.lit(1.0 / n) if total <= 0 else F.col(score) / F.lit(total)
+    return scores.select(model, w.alias("weight"))
+
+
+def blend(df: DataFrame, weights: dict, out: str = "blend") -> DataFrame:
+    """K5: ``clip(sum_m w_m * score_m, 0, 1)`` (weights are a small dict)."""
+    expr = None
+    for m, w in weights.items():
+        term = F.lit(float(w)) * F.col(m)
+        expr = term if expr is None else expr + term
+    return df.withColumn(out, clip(expr, 0.0, 1.0))
+
+
+def simplex_grid(models: list, step: float = 0.1) -> list:
+    """All weight vectors on the simplex with the given step (66 for 3 models at 0.1)."""
+    k = int(round(1.0 / step))
+    out = []
+    for combo in product(range(k + 1), repeat=len(models) - 1):
+        if sum(combo) <= k:
+            out.append(tuple(c / k for c in combo) + ((k - sum(combo)) / k,))
+    return out
+
+
+def blend_weight_search(df: DataFrame, models: list, label: str = S.LABEL, step: float = 0.1) -> DataFrame:
+    """K6: AP of every simplex grid candidate in one distributed pass.
+
+    The candidate list is bounded by the grid (not by the data) and is
+    expanded per row by a generator; AP is grouped by candidate.  Returns one
+    row per candidate: ``cand, w_<model>..., ap``.
+    """
+    grid = simplex_grid(models, step)
+    arr = F.array(*[F.struct(F.lit(i).alias("cand"), *[F.lit(float(w[j])).alias(f"w_{m}")
+                                                      for j, m in enumerate(models)])
+                    for i, w in enumerate(grid)])
+    x = df.select(label, *models, F.explode(arr).alias("_c")).select(label, *models, "_c.*")
+    score = None
+    for m in models:
+        t = F.col(f"w_{m}") * F.col(m)
+        score = t if score is None else score + t
+    x = x.select("cand", label, clip(score, 0.0, 1.0).alias("_s"))
+    ap = average_precision(x, "_s", label, ["cand"])
+    cands = df.sparkSession.createDataFrame(
+        [(i, *[float(v) for v in w]) for i, w in enumerate(grid)],
+        ["cand", *[f"w_{m}" for m in models]])
+    return cands.join(ap, "cand", "left").fillna(0.0, ["ap"])
+
+
+def best_weights(search: DataFrame, models: list) -> dict:
+    """Highest AP; ties go to the lowest candidate number (deterministic)."""
+    row = search.orderBy(F.col("ap").desc(), F.col("cand")).first()
+    return {m: float(row[f"w_{m}"]) for m in models}
+
+
+def rank_blend(df: DataFrame, a: str, b: str, w_a: float = S.RANK_BLEND_WEIGHT, out: str = "rank_blend",
+               partition_cols: list | None = None) -> DataFrame:
+    """K8: ``w * rankpct(a) + (1 - w) * rankpct(b)`` (ties averaged)."""
+    x = rank_pct(df, a, "_ra", partition_cols)
+    x = rank_pct(x, b, "_rb", partition_cols)
+    return (x.withColumn(out, F.lit(w_a) * F.col("_ra") + F.lit(1.0 - w_a) * F.col("_rb"))
+             .drop("_ra", "_rb"))
+
+
+def operation_prior(df: DataFrame, score: str, operation: str = S.POSITIVE_OPERATION,
+                    shrink: float = S.OPERATION_PRIOR_SHRINK, out: str = "adjusted") -> DataFrame:
+    """K9: scores of other operations times ``shrink`` when both kinds exist; clip."""
+    row = df.agg(F.count_if(F.col(S.OPERATION) == operation).alias("pos"),
+                 F.count_if(~(F.col(S.OPERATION) == operation) | F.col(S.OPERATION).isNull()).alias("neg")).first()
+    both = row["pos"] > 0 and row["neg"] > 0
+    s = F.col(score)
+    if both:
+        is_pos = F.coalesce(F.col(S.OPERATION) == operation, F.lit(False))
+        s = F.when(is_pos, s).otherwise(s * F.lit(shrink))
+    return df.withColumn(out, clip(s, 0.0, 1.0))
+
+
+def two_stage_scores(df: DataFrame, global_score: str, specialist_score: str,
+                     operation: str = S.POSITIVE_OPERATION, rank_weight: float = S.TWO_STAGE_RANK_WEIGHT,
+                     floor_ratio: float = S.TWO_STAGE_FLOOR_RATIO, min_score: float = S.TWO_STAGE_MIN_SCORE,
+                     out: str = "fused") -> DataFrame:
+    """Rank blend inside the positive operation; every other row gets
+    ``max(floor_ratio * min(fused), min_score)`` (``min_score`` when the
+    operation is absent); clip to [0, 1]."""
+    is_pos = F.coalesce(F.col(S.OPERATION) == operation, F.lit(False))
+    pos = df.filter(is_pos)
+    rest = df.filter(~is_pos)
+    fused = rank_blend(pos, global_score, specialist_score, rank_weight, "_f")
+    mn = fused.agg(F.min("_f")).first()[0]
+    floor = min_score if mn is None else max(float(mn) * floor_ratio, min_score)
+    res = (fused.withColumn(out, clip(F.col("_f"), 0.0, 1.0)).drop("_f")
+           .unionByName(rest.withColumn(out, clip(F.lit(floor), 0.0, 1.0))))
+    return res

@@ -101,3 +101,27 @@ def rank_pct(df: DataFrame, value: str, out: str, partition_cols: list | None =
     ranked = ranked.select(*parts, value,
                            ((F.col("_before") + (F.col("_cnt") + 1) / 2.0) / F.col("_n")).alias(out))
     return df.join(ranked, [*parts, value], "left")
+
+
+def global_positions(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
+    """0-based position of every row in a total order, without a single task.
+
+    ``orderBy`` range-partitions and sorts in parallel; each row then gets
+    ``monotonically_increasing_id`` (partition index in the upper bits, record
+    number in the lower 33).  The sorted table is checkpointed to the session's
+    checkpoint directory so both uses see the same partition layout (and a lost
+    executor does not re-sample the range bounds).  Per-partition counts (one
+    row per partition) become offsets.  ``order`` must be a total order.
+    """
+    mask = (1 << 33) - 1
+    sorted_df = df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_mid"))
+    sorted_df = sorted_df.checkpoint(eager=True)
+    counts = (sorted_df.groupBy(F.shiftright(F.col("_mid"), 33).alias("_pid"))
+              .agg(F.count(F.lit(1)).alias("_cnt")))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of the sorted table: bounded by the partition count
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    joined = sorted_df.join(F.broadcast(offsets),
+                            F.shiftright(sorted_df["_mid"], 33) == offsets["_pid"], "inner")
+    return joined.select(*df.columns,
+                         (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(mask))).cast("long").alias(out))

@@ -151,3 +151,390 @@ _causal_query("rolling_escalation", ["amt_ratio_max20"], False, True)
 _causal_query("burst_flag", ["burst2"], False, True)
 _causal_query("first_seen", ["is_first", "rank"], False, True)
 _causal_query("rolling_all", None, False, True)
+
+
+# ------------------------------------------------------------ aggregates (E*)
+from ..operators import aggregates as A  # noqa: E402
+from ..operators import profiles as PR  # noqa: E402
+from ..operators import splits as SP  # noqa: E402
+
+_MS = OC.msum("")
+_MM = OC.mmean("")
+
+
+def _side_stats_sql(acct: str, other: str, p: str) -> str:
+    return O.with_tx(f"""
+SELECT {acct}, count(amount) AS {p}_txn_count,
+  {O.r6(_MS, f'{p}_amount_sum')}, {O.r6(_MM, f'{p}_amount_mean')},
+  {O.r6('stddev_samp(amount)', f'{p}_amount_std')},
+  min(period) AS {p}_period_min, max(period) AS {p}_period_max,
+  count(DISTINCT {other}) AS {p}_{'dest_nunique' if p == 'origin' else 'origin_nunique'}
+FROM tx WHERE {acct} IS NOT NULL GROUP BY {acct}""")
+
+
+@register("origin_stats", _side_stats_sql("origin_account", "destination_account", "origin"))
+def q_origin_stats(spark, sf_dir):
+    """Per-origin count, sum, mean, std, period range, distinct counterparties."""
+    return A.origin_stats(_tx(spark, sf_dir))
+
+
+@register("destination_stats", _side_stats_sql("destination_account", "origin_account", "dest"))
+def q_destination_stats(spark, sf_dir):
+    """Per-destination mirror of E1."""
+    return A.destination_stats(_tx(spark, sf_dir))
+
+
+@register("operation_stats", O.with_tx(f"""
+SELECT operation, count(amount) AS op_count, {O.r6(_MM, 'op_amount_mean')},
+  {O.r6('stddev_samp(amount)', 'op_amount_std')}, {O.r6('median(amount)', 'op_amount_median')}
+FROM tx WHERE operation IS NOT NULL GROUP BY operation"""))
+def q_operation_stats(spark, sf_dir):
+    """Per-operation count, mean, std, exact median."""
+    return A.operation_stats(_tx(spark, sf_dir))
+
+
+@register("pair_counts", O.with_tx("""
+SELECT origin_account, destination_account, count(*) AS pair_count FROM tx
+WHERE origin_account IS NOT NULL AND destination_account IS NOT NULL GROUP BY 1, 2"""))
+def q_pair_counts(spark, sf_dir):
+    """Rows per (origin, destination)."""
+    return A.pair_counts(_tx(spark, sf_dir))
+
+
+AGG_STATS_CTES = [
+    f"""os AS (SELECT origin_account, count(amount) AS n, {_MS} AS s, {_MM} AS m,
+  stddev_samp(amount) AS sd, min(period) AS pmin, max(period) AS pmax,
+  count(DISTINCT destination_account) AS nu FROM tx WHERE origin_account IS NOT NULL GROUP BY 1)""",
+    f"""ds AS (SELECT destination_account, count(amount) AS n, {_MS} AS s, {_MM} AS m,
+  stddev_samp(amount) AS sd, min(period) AS pmin, max(period) AS pmax,
+  count(DISTINCT origin_account) AS nu FROM tx WHERE destination_account IS NOT NULL GROUP BY 1)""",
+    f"""ops AS (SELECT operation, count(amount) AS n, {_MM} AS m, stddev_samp(amount) AS sd,
+  median(amount) AS med FROM tx WHERE operation IS NOT NULL GROUP BY 1)""",
+    """pc AS (SELECT origin_account, destination_account, count(*) AS n FROM tx
+  WHERE origin_account IS NOT NULL AND destination_account IS NOT NULL GROUP BY 1, 2)""",
+]
+AGG_JOINS = """
+LEFT JOIN os ON t.origin_account = os.origin_account
+LEFT JOIN ds ON t.destination_account = ds.destination_account
+LEFT JOIN ops ON t.operation = ops.operation
+LEFT JOIN pc ON t.origin_account = pc.origin_account AND t.destination_account = pc.destination_account"""
+AGG_SELECT = [
+    ("origin_txn_count", "coalesce(os.n, 0)", False),
+    ("origin_amount_sum", "os.s", True), ("origin_amount_mean", "os.m", True),
+    ("origin_amount_std", "coalesce(os.sd, 0.0)", True),
+    ("origin_period_min", "os.pmin", False), ("origin_period_max", "os.pmax", False),
+    ("origin_dest_nunique", "os.nu", False),
+    ("dest_txn_count", "coalesce(ds.n, 0)", False),
+    ("dest_amount_sum", "ds.s", True), ("dest_amount_mean", "ds.m", True),
+    ("dest_amount_std", "coalesce(ds.sd, 0.0)", True),
+    ("dest_period_min", "ds.pmin", False), ("dest_period_max", "ds.pmax", False),
+    ("dest_origin_nunique", "ds.nu", False),
+    ("op_count", "ops.n", False), ("op_amount_mean", "ops.m", True),
+    ("op_amount_std", "coalesce(ops.sd, 0.0)", True), ("op_amount_median", "ops.med", True),
+    ("pair_count", "coalesce(pc.n, 0)", False),
+    ("origin_dest_ratio", "coalesce(os.n, 0) / (coalesce(ds.n, 0) + 1.0)", True),
+    ("amount_vs_origin_mean", "t.amount / (coalesce(os.m, 0.0) + 1e-6)", True),
+    ("amount_vs_dest_mean", "t.amount / (coalesce(ds.m, 0.0) + 1e-6)", True),
+    ("amount_vs_op_mean", "t.amount / (coalesce(ops.m, 0.0) + 1e-6)", True),
+    ("origin_period_span", "os.pmax - os.pmin", False),
+    ("dest_period_span", "ds.pmax - ds.pmin", False),
+]
+
+
+@register("aggregate_features", O.with_tx(
+    "SELECT t.id,\n  " + OC.select_list(AGG_SELECT) + "\nFROM tx t" + AGG_JOINS, *AGG_STATS_CTES))
+def q_aggregate_features(spark, sf_dir):
+    """E5 (+D1-D3): unsupervised aggregates fitted on all transactions, joined back."""
+    tx = _tx(spark, sf_dir)
+    return A.add_unsupervised_aggregations(tx, tx).select(S.ID, *A.AGGREGATE_COLUMNS)
+
+
+# ------------------------------------------------------------ profiles
+
+def _profile_cte(name: str, acct: str) -> str:
+    shares = ",\n  ".join(
+        f"count_if(operation = '{op}') / greatest(count(operation), 1)::DOUBLE AS share_{op}"
+        for op in S.OPERATIONS)
+    return f"""{name} AS (SELECT {acct} AS account,
+  coalesce(quantile_cont(amount, 0.25), 0.0) AS q25, coalesce(quantile_cont(amount, 0.5), 0.0) AS q50,
+  coalesce(quantile_cont(amount, 0.75), 0.0) AS q75, CAST(count(*) AS DOUBLE) AS freq,
+  CAST(count(DISTINCT operation) AS DOUBLE) AS nops,
+  coalesce(CASE WHEN quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25) IS NULL THEN NULL
+           ELSE greatest(quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25), 0.0) END, 0.0) AS iqr,
+  {shares}
+  FROM tx WHERE {acct} IS NOT NULL GROUP BY {acct})"""
+
+
+def _profile_cols_sql(alias: str, prefix: str) -> list:
+    out = [(f"{prefix}_amt_q25", f"{alias}.q25", True), (f"{prefix}_amt_q50", f"{alias}.q50", True),
+           (f"{prefix}_amt_q75", f"{alias}.q75", True), (f"{prefix}_amt_freq", f"{alias}.freq", True),
+           (f"{prefix}_op_nunique", f"{alias}.nops", True), (f"{prefix}_amt_iqr", f"{alias}.iqr", True)]
+    out += [(f"{prefix}_share_{op}", f"{alias}.share_{op}", True) for op in S.OPERATIONS]
+    return out
+
+
+@register("account_profile", O.with_tx(
+    "SELECT account,\n  " + OC.select_list(_profile_cols_sql("p", "op_orig")) + "\nFROM po p",
+    _profile_cte("po", "origin_account")))
+def q_account_profile(spark, sf_dir):
+    """Origin-account amount quartiles, frequency, operations, IQR, shares."""
+    return PR.fit_account_profile(_tx(spark, sf_dir), "origin")
+
+
+@register("operation_share", O.with_tx(
+    "SELECT account,\n  " + OC.select_list(
+        [(f"op_dest_share_{op}", f"p.share_{op}", True) for op in S.OPERATIONS]) + "\nFROM pd p",
+    _profile_cte("pd", "destination_account")))
+def q_operation_share(spark, sf_dir):
+    """Destination-side operation-share pivot (explicit operation list)."""
+    prof = PR.fit_account_profile(_tx(spark, sf_dir), "dest")
+    return prof.select("account", *[f"op_dest_share_{op}" for op in S.OPERATIONS])
+
+
+def _profile_apply_select() -> list:
+    o, d = "coalesce(po.q50, 0.0)", "coalesce(pd.q50, 0.0)"
+    oi, di = "coalesce(po.iqr, 0.0)", "coalesce(pd.iqr, 0.0)"
+    cols = []
+    for alias, prefix in (("po", "op_orig"), ("pd", "op_dest")):
+        cols += [(n, f"coalesce({e}, 0.0)", t) for n, e, t in _profile_cols_sql(alias, prefix)]
+    cols += [
+        ("amt_vs_orig_q50", OC.clip_sql(f"t.amount / ({o} + 1.0)", 0.0, 10000.0), True),
+        ("amt_vs_dest_q50", OC.clip_sql(f"t.amount / ({d} + 1.0)", 0.0, 10000.0), True),
+        ("amt_orig_iqr_z", OC.clip_sql(f"(t.amount - {o}) / ({oi} + 1.0)", -100.0, 100.0), True),
+        ("amt_dest_iqr_z", OC.clip_sql(f"(t.amount - {d}) / ({di} + 1.0)", -100.0, 100.0), True),
+        ("op_orig_amt_freq_log1p", "ln(1 + coalesce(po.freq, 0.0))", True),
+        ("op_dest_amt_freq_log1p", "ln(1 + coalesce(pd.freq, 0.0))", True),
+    ]
+    return cols
+
+
+PROFILE_CTES = [_profile_cte("po", "origin_account"), _profile_cte("pd", "destination_account")]
+PROFILE_JOINS = """
+LEFT JOIN po ON t.origin_account = po.account
+LEFT JOIN pd ON t.destination_account = pd.account"""
+
+
+@register("account_profile_apply", O.with_tx(
+    "SELECT t.id,\n  " + OC.select_list(_profile_apply_select()) + "\nFROM tx t" + PROFILE_JOINS,
+    *PROFILE_CTES))
+def q_account_profile_apply(spark, sf_dir):
+    """E8 (+D5): profile joins and deviation features per transaction."""
+    tx = _tx(spark, sf_dir)
+    po, pd_ = PR.fit_account_profile(tx, "origin"), PR.fit_account_profile(tx, "dest")
+    out = PR.apply_account_profiles(tx, po, pd_)
+    return out.select(S.ID, *PR.profile_columns("op_orig"), *PR.profile_columns("op_dest"),
+                      *PR.PROFILE_DERIVED)
+
+
+# ------------------------------------------------------- EDA, weights, describe
+
+@register("edge_list", O.with_tx(f"""
+SELECT origin_account, destination_account, {O.r6(_MS, 'weight')}, count(amount) AS count
+FROM tx WHERE origin_account IS NOT NULL AND destination_account IS NOT NULL GROUP BY 1, 2"""))
+def q_edge_list(spark, sf_dir):
+    """Amount-weighted directed edge list."""
+    return A.edge_list(_tx(spark, sf_dir))
+
+
+@register("eda_summary", O.with_tx("""
+SELECT
+  (SELECT count(*) FROM train) AS train_rows,
+  (SELECT min(period) FROM train) AS train_period_min,
+  (SELECT max(period) FROM train) AS train_period_max,
+  (SELECT round(avg(fraud_flag), 6) + 0.0 FROM train) AS fraud_rate,
+  (SELECT CAST(sum((id IS NULL)::INT + (period IS NULL)::INT + (operation IS NULL)::INT + (amount IS NULL)::INT
+     + (origin_account IS NULL)::INT + (origin_balance_before IS NULL)::INT + (origin_balance_after IS NULL)::INT
+     + (destination_account IS NULL)::INT + (destination_balance_before IS NULL)::INT
+     + (destination_balance_after IS NULL)::INT + (fraud_flag IS NULL)::INT) AS BIGINT) FROM train) AS train_missing,
+  (SELECT string_agg(operation, ',' ORDER BY operation) FROM (SELECT DISTINCT operation FROM train WHERE operation IS NOT NULL)) AS train_operations,
+  (SELECT count(DISTINCT origin_account) FROM train) AS origin_accounts_train,
+  (SELECT count(DISTINCT destination_account) FROM train) AS dest_accounts_train,
+  (SELECT count(*) FROM test) AS test_rows,
+  (SELECT min(period) FROM test) AS test_period_min,
+  (SELECT max(period) FROM test) AS test_period_max,
+  (SELECT CAST(sum((id IS NULL)::INT + (period IS NULL)::INT + (operation IS NULL)::INT + (amount IS NULL)::INT
+     + (origin_account IS NULL)::INT + (origin_balance_before IS NULL)::INT + (origin_balance_after IS NULL)::INT
+     + (destination_account IS NULL)::INT + (destination_balance_before IS NULL)::INT
+     + (destination_balance_after IS NULL)::INT) AS BIGINT) FROM test) AS test_missing,
+  (SELECT count(DISTINCT origin_account) FROM test) AS origin_accounts_test,
+  (SELECT count(DISTINCT destination_account) FROM test) AS dest_accounts_test,
+  (SELECT count(*) FROM (SELECT DISTINCT origin_account FROM train WHERE origin_account IS NOT NULL
+     INTERSECT SELECT DISTINCT origin_account FROM test WHERE origin_account IS NOT NULL)) AS accounts_overlap_origin,
+  (SELECT count(*) FROM (SELECT DISTINCT destination_account FROM train WHERE destination_account IS NOT NULL
+     INTERSECT SELECT DISTINCT destination_account FROM test WHERE destination_account IS NOT NULL)) AS accounts_overlap_dest
+"""))
+def q_eda_summary(spark, sf_dir):
+    """The 16-field EDA report."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return A.eda_summary(train, test)
+
+
+@register("account_overlap", O.with_tx("""
+SELECT
+  (SELECT count(*) FROM (SELECT DISTINCT origin_account FROM train WHERE origin_account IS NOT NULL
+     INTERSECT SELECT DISTINCT origin_account FROM test WHERE origin_account IS NOT NULL)) AS accounts_overlap_origin,
+  (SELECT count(*) FROM (SELECT DISTINCT destination_account FROM train WHERE destination_account IS NOT NULL
+     INTERSECT SELECT DISTINCT destination_account FROM test WHERE destination_account IS NOT NULL)) AS accounts_overlap_dest
+"""))
+def q_account_overlap(spark, sf_dir):
+    """Accounts present in both train and test, per side."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return A.account_overlap(train, test)
+
+
+@register("class_weight", O.with_tx("""
+SELECT CAST(sum(fraud_flag) AS BIGINT) AS pos, CAST(count(*) - sum(fraud_flag) AS BIGINT) AS neg,
+  round((count(*) - sum(fraud_flag)) / greatest(sum(fraud_flag), 1)::DOUBLE, 6) + 0.0 AS scale_pos_weight
+FROM train"""))
+def q_class_weight(spark, sf_dir):
+    """Negative / positive ratio of the training labels."""
+    return A.class_balance(_train(spark, sf_dir))
+
+
+SCORED_CTE = """scored AS (
+  SELECT id, period, operation, fraud_flag,
+    ((id * 7919) % 997) / 2000.0 + 0.3 * fraud_flag AS p_a,
+    ((id * 104729) % 991) / 2000.0 + 0.2 * fraud_flag AS p_b,
+    CASE WHEN amount IS NULL THEN NULL ELSE least(amount, 500.0) END / 1000.0 AS p_c,
+    8 * (((id * 7919) % 997) / 2000.0 + 0.3 * fraud_flag) - 4 AS x
+  FROM tx)"""
+
+
+def _scored(spark, sf_dir):
+    return TX.scored_rows(_tx(spark, sf_dir))
+
+
+@register("score_describe", O.with_tx(f"""
+SELECT count(p_a) AS count, {O.r6('avg(p_a)', 'mean')}, {O.r6('stddev_samp(p_a)', 'std')},
+  {O.r6('min(p_a)', 'min')}, {O.r6('quantile_cont(p_a, 0.25)', 'q25')},
+  {O.r6('quantile_cont(p_a, 0.5)', 'q50')}, {O.r6('quantile_cont(p_a, 0.75)', 'q75')},
+  {O.r6('max(p_a)', 'max')}
+FROM scored""", SCORED_CTE))
+def q_score_describe(spark, sf_dir):
+    """describe() of a score column with exact quartiles."""
+    return A.describe_column(_scored(spark, sf_dir), "p_a")
+
+
+# ------------------------------------------------------------ splits
+
+@register("temporal_split", O.with_tx(
+    "SELECT id, CASE WHEN period < 96 THEN 'train' ELSE 'valid' END AS role FROM train"))
+def q_temporal_split(spark, sf_dir):
+    """Temporal holdout roles at cutoff 96."""
+    return SP.temporal_roles(_train(spark, sf_dir)).select(S.ID, "role")
+
+
+def _fold_sql(bounded: bool) -> str:
+    valid = "period >= c.cutoff AND period < c.cutoff + 6" if bounded else "period >= c.cutoff"
+    kept = ("train_rows > 0 AND valid_rows > 0" if bounded
+            else "valid_rows >= 1000 AND train_pos >= 10")
+    return O.with_tx(f"""
+SELECT cutoff, train_rows, valid_rows, train_pos, valid_pos, ({kept}) AS kept FROM (
+  SELECT c.cutoff,
+    CAST(count_if(period < c.cutoff) AS BIGINT) AS train_rows,
+    CAST(count_if({valid}) AS BIGINT) AS valid_rows,
+    CAST(coalesce(sum(CASE WHEN period < c.cutoff THEN fraud_flag END), 0) AS BIGINT) AS train_pos,
+    CAST(coalesce(sum(CASE WHEN {valid} THEN fraud_flag END), 0) AS BIGINT) AS valid_pos
+  FROM train, (SELECT unnest([75, 81, 87, 93, 99]) AS cutoff) c
+  GROUP BY c.cutoff)""")
+
+
+@register("rolling_folds_open", _fold_sql(False))
+def q_rolling_folds_open(spark, sf_dir):
+    """Open-ended rolling folds with the size / positives skip rule."""
+    return SP.fold_summary(SP.fold_table(_train(spark, sf_dir)))
+
+
+@register("rolling_folds_bounded", _fold_sql(True))
+def q_rolling_folds_bounded(spark, sf_dir):
+    """Rolling folds whose valid part is [cutoff, cutoff + 6)."""
+    f = SP.fold_table(_train(spark, sf_dir), width=S.BOUNDED_FOLD_WIDTH)
+    return SP.fold_summary(f, require_nonempty=True)
+
+
+def _hash_rank_cte(name: str, key_sql: str, src: str, seed: int = S.RANDOM_STATE) -> str:
+    return f"""{name} AS (SELECT acct, row_number() OVER (ORDER BY h, acct) - 1 AS pos, count(*) OVER () AS n
+  FROM (SELECT acct, {O.md5_hash('acct', seed)} AS h FROM
+        (SELECT DISTINCT {key_sql} AS acct FROM {src} WHERE {key_sql} IS NOT NULL)))"""
+
+
+@register("group_split", O.with_tx("""
+SELECT t.id, CASE WHEN g.pos < ceil(0.15 * g.n) THEN 'valid' ELSE 'train' END AS role
+FROM train t JOIN g ON t.origin_account = g.acct""", _hash_rank_cte("g", "origin_account", "train")))
+def q_group_split(spark, sf_dir):
+    """C4: about 15% of origin accounts (hash order) held out."""
+    return SP.group_roles(_train(spark, sf_dir)).select(S.ID, "role")
+
+
+@register("stratified_group_folds", O.with_tx(f"""
+SELECT origin_account, CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS INTEGER) AS fold
+FROM (SELECT origin_account, row_number() OVER (ORDER BY pos DESC, n DESC, h, origin_account) - 1 AS i
+      FROM (SELECT origin_account, count(*) AS n, sum(fraud_flag) AS pos,
+                   {O.md5_hash('origin_account', S.RANDOM_STATE)} AS h
+            FROM train WHERE origin_account IS NOT NULL GROUP BY origin_account))"""))
+def q_stratified_group_folds(spark, sf_dir):
+    """Stratified group 5-fold over origin accounts (snake dealing)."""
+    return SP.stratified_group_folds(_train(spark, sf_dir))
+
+
+@register("stratified_folds", O.with_tx(f"""
+SELECT id, CAST((row_number() OVER (PARTITION BY fraud_flag ORDER BY h, id) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT id, fraud_flag, {O.md5_hash('id', S.RANDOM_STATE)} AS h FROM train)"""))
+def q_stratified_folds(spark, sf_dir):
+    """Stratified 5-fold over rows (no groups)."""
+    return SP.stratified_folds(_train(spark, sf_dir))
+
+
+@register("account_sample", O.with_tx("""
+SELECT id, split FROM (SELECT id, origin_account, 'train' AS split FROM train
+                       UNION ALL SELECT id, origin_account, 'test' AS split FROM test) t
+JOIN s ON t.origin_account = s.acct WHERE s.pos < greatest(CAST(floor(s.n * 0.25) AS BIGINT), 1)""",
+    _hash_rank_cte("s", "origin_account",
+                   "(SELECT origin_account FROM train UNION ALL SELECT origin_account FROM test)")))
+def q_account_sample(spark, sf_dir):
+    """25% of origin accounts of train and test, all their rows."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    tr, te = SP.account_sample(train, test)
+    return (tr.select(S.ID, F.lit("train").alias("split"))
+            .unionByName(te.select(S.ID, F.lit("test").alias("split"))))
+
+
+@register("row_subsample", O.with_tx(f"""
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {O.md5_hash('id', S.RANDOM_STATE)}, id) AS r FROM tx)
+WHERE r <= {S.ISO_SUBSAMPLE}"""))
+def q_row_subsample(spark, sf_dir):
+    """At most 200,000 rows, first in hash order (the anomaly-fit sample)."""
+    return SP.row_subsample(_tx(spark, sf_dir)).select(S.ID)
+
+
+@register("operation_filter", O.with_tx(
+    f"SELECT id, period, {O.r6('amount', 'amount')}, fraud_flag FROM train WHERE operation = 'op_03'"))
+def q_operation_filter(spark, sf_dir):
+    """The op_03 rows of train (fails if too few rows / positives)."""
+    return SP.operation_filter(_train(spark, sf_dir)).select(S.ID, S.PERIOD, S.AMOUNT, S.LABEL)
+
+
+@register("combine_splits", O.with_tx("""
+SELECT id, period, 'train' AS split, fraud_flag FROM train
+UNION ALL SELECT id, period, 'test' AS split, CAST(NULL AS INTEGER) AS fraud_flag FROM test"""))
+def q_combine_splits(spark, sf_dir):
+    """Union by name with a split tag; the test label is null."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return SP.combine_splits(train, ("test", test)).select(S.ID, S.PERIOD, S.SPLIT, S.LABEL)
+
+
+@register("ordered_transactions", O.with_tx(
+    "SELECT id, row_number() OVER (ORDER BY period, id) - 1 AS pos FROM tx"))
+def q_ordered_transactions(spark, sf_dir):
+    """Position of every transaction in the (period, id) order (parallel sort)."""
+    from ..operators.ordered import global_positions
+    return global_positions(_tx(spark, sf_dir).select(S.ID, S.PERIOD), [S.PERIOD, S.ID]).select(S.ID, "pos")
+
+
+@register("preview", O.with_tx(
+    "SELECT id, period, operation, " + O.r6("amount", "amount") + ", origin_account, destination_account, fraud_flag "
+    "FROM train ORDER BY id LIMIT 5"))
+def q_preview(spark, sf_dir):
+    """S3: first rows of train in id order (limit is the feature)."""
+    return (_train(spark, sf_dir).orderBy(S.ID).limit(5)
+            .select(S.ID, S.PERIOD, S.OPERATION, S.AMOUNT, S.ORIGIN, S.DEST, S.LABEL))
