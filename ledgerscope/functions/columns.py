@@ -77,12 +77,23 @@ def stable_hash(c: str | Column, seed: int | None = None) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
+def round_half_up(c: str | Column, digits: int = 6) -> Column:
+    """``sign(x) * (floor(|x| * 10^d + 0.5) / 10^d)`` in plain IEEE steps, so any
+    engine evaluating the same steps gets the same bits (``round`` differs
+    between engines for values one ulp below a tie).  Values of magnitude
+    >= 1e12 are returned unchanged; -0.0 becomes 0.0."""
+    x = col(c).cast("double")
+    scale = F.lit(float(10 ** digits))
+    r = F.signum(x) * (F.floor(F.abs(x) * scale + F.lit(0.5)).cast("double") / scale)
+    return F.when(F.abs(x) < F.lit(1e12), r).otherwise(x) + F.lit(0.0)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column and map -0.0 to 0.0 (result comparison form)."""
+    """Round every double column (result comparison form)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            out.append(round_half_up(f.name, digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -71,8 +71,8 @@ def reciprocal_pairs(ref: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: int = S.PAGERANK_MAX_ITER,
-             tol: float | None = S.PAGERANK_TOL, checkpoint_every: int = 10,
-             num_partitions: int | None = None) -> tuple[DataFrame, bool, int]:
+             tol: float | None = S.PAGERANK_TOL,
+             num_partitions: int | None = None, scale=S.AMOUNT_SCALE) -> tuple[DataFrame, bool, int]:
     """Weighted PageRank of ``edges(src, dst, weight)``.
 
     With ``tol`` set, stops when the L1 change is below ``N * tol`` and returns
@@ -85,7 +85,8 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = (e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
              .distinct())
-    out_w = e.groupBy("src").agg(F.sum("w").alias("_s"))
+    # out-weights summed exactly when weights are money (see AMOUNT_SCALE)
+    out_w = e.groupBy("src").agg(from_units(F.sum(units("w", scale)), scale).alias("_s"))
     # normalised transition weights, partitioned by src once and kept
     trans = (e.join(out_w, "src").filter(F.col("_s") != 0)
              .select("src", "dst", (F.col("w") / F.col("_s")).alias("p"))
@@ -98,7 +99,7 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     if n == 0:
         trans.unpersist()
         return node_tbl.select("node", F.lit(0.0).alias("pagerank")), True, 0
-    x = node_tbl.select("node", "dangling", F.lit(1.0 / n).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    x = node_tbl.select("node", "dangling", F.lit(1.0 / n).alias("x"))
     dang = x.filter("dangling").agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
     converged = tol is None
     it = 0
@@ -110,12 +111,11 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
                .select("node", "dangling",
                        (F.lit(damping) * F.coalesce(F.col("_c"), F.lit(0.0)) + F.lit(base)).alias("x"),
                        F.col("x").alias("_old")))
-        if it % checkpoint_every == 0:
-            new = new.checkpoint(eager=False)
-        new = new.persist(StorageLevel.MEMORY_AND_DISK)
+        # reliable checkpoint: keeps the plan one iteration deep and survives
+        # executor loss without replaying earlier iterations
+        new = new.checkpoint(eager=True)
         row = new.agg(F.sum(F.abs(F.col("x") - F.col("_old"))).alias("err"),
                       F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0)).alias("d")).first()
-        x.unpersist()
         x = new.select("node", "dangling", "x")
         dang = row["d"]
         if tol is not None and row["err"] < n * tol:
@@ -135,7 +135,7 @@ def fit_graph_features(ref: DataFrame, scale=S.AMOUNT_SCALE, **pr_kw) -> tuple[D
     o_stats = _side_stats(ref, S.ORIGIN, S.DEST, "o", "out", scale)
     d_stats = _side_stats(ref, S.DEST, S.ORIGIN, "d", "in", scale)
     o_cyc, d_cyc = reciprocal_pairs(ref)
-    ranks, _, _ = pagerank(edge_weights(ref, scale), **pr_kw)
+    ranks, _, _ = pagerank(edge_weights(ref, scale), scale=scale, **pr_kw)
     ranks = ranks.withColumnRenamed("node", "account")
     o = (o_stats.join(o_cyc, "account", "left").join(ranks, "account", "left")
          .select(*[F.col(c) for c in o_stats.columns],

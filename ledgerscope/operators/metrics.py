@@ -22,7 +22,7 @@ def average_precision(df: DataFrame, score: str, label: str = S.LABEL,
     parts = list(group_cols or [])
     per_score = (df.filter(F.col(score).isNotNull()).groupBy(*parts, score)
                  .agg(F.sum(label).cast("long").alias("_tp"), F.count(F.lit(1)).alias("_n")))
-    pref = ordered_prefix(per_score, score, {"_TP": F.col("_tp"), "_N": F.col("_n")},
+    pref = ordered_prefix(per_score, score, {"_ctp": F.col("_tp"), "_cn": F.col("_n")},
                           parts, descending=True, inclusive=True)
     if parts:
         totals = per_score.groupBy(*parts).agg(F.sum("_tp").alias("_P"))
@@ -30,7 +30,7 @@ def average_precision(df: DataFrame, score: str, label: str = S.LABEL,
     else:
         p_total = per_score.agg(F.sum("_tp")).first()[0] or 0
         x = pref.withColumn("_P", F.lit(int(p_total)))
-    term = F.when(F.col("_P") > 0, (F.col("_tp") / F.col("_P")) * (F.col("_TP") / F.col("_N")))
+    term = F.when(F.col("_P") > 0, (F.col("_tp") / F.col("_P")) * (F.col("_ctp") / F.col("_cn")))
     res = x.groupBy(*parts).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("ap"))
     return res
 

@@ -336,12 +336,12 @@ def q_edge_list(spark, sf_dir):
     return A.edge_list(_tx(spark, sf_dir))
 
 
-@register("eda_summary", O.with_tx("""
+@register("eda_summary", O.with_tx(f"""
 SELECT
   (SELECT count(*) FROM train) AS train_rows,
   (SELECT min(period) FROM train) AS train_period_min,
   (SELECT max(period) FROM train) AS train_period_max,
-  (SELECT round(avg(fraud_flag), 6) + 0.0 FROM train) AS fraud_rate,
+  (SELECT {O.r6('avg(fraud_flag)')} FROM train) AS fraud_rate,
   (SELECT CAST(sum((id IS NULL)::INT + (period IS NULL)::INT + (operation IS NULL)::INT + (amount IS NULL)::INT
      + (origin_account IS NULL)::INT + (origin_balance_before IS NULL)::INT + (origin_balance_after IS NULL)::INT
      + (destination_account IS NULL)::INT + (destination_balance_before IS NULL)::INT
@@ -382,9 +382,9 @@ def q_account_overlap(spark, sf_dir):
     return A.account_overlap(train, test)
 
 
-@register("class_weight", O.with_tx("""
+@register("class_weight", O.with_tx(f"""
 SELECT CAST(sum(fraud_flag) AS BIGINT) AS pos, CAST(count(*) - sum(fraud_flag) AS BIGINT) AS neg,
-  round((count(*) - sum(fraud_flag)) / greatest(sum(fraud_flag), 1)::DOUBLE, 6) + 0.0 AS scale_pos_weight
+  {O.r6('(count(*) - sum(fraud_flag)) / greatest(sum(fraud_flag), 1)::DOUBLE', 'scale_pos_weight')}
 FROM train"""))
 def q_class_weight(spark, sf_dir):
     """Negative / positive ratio of the training labels."""
@@ -538,3 +538,429 @@ def q_preview(spark, sf_dir):
     """S3: first rows of train in id order (limit is the feature)."""
     return (_train(spark, sf_dir).orderBy(S.ID).limit(5)
             .select(S.ID, S.PERIOD, S.OPERATION, S.AMOUNT, S.ORIGIN, S.DEST, S.LABEL))
+
+
+# ------------------------------------------------------ target encoding (H1-H4)
+from ..functions.columns import logit, stable_hash  # noqa: E402,F401
+from ..operators import encoding as EN  # noqa: E402
+from ..operators import fusion as FU  # noqa: E402
+from ..operators import graph as G  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..operators import submission as SU  # noqa: E402
+from ..operators.ordered import rank_pct as _rank_pct  # noqa: E402
+from . import oracle_graph as OG  # noqa: E402
+
+_TE_KEYS = [("operation", "operation"), ("origin_account", "origin_account"),
+            ("destination_account", "destination_account")]
+
+
+def _te_fit_ctes(src: str = "train") -> list:
+    ctes = [f"tprior AS (SELECT avg(fraud_flag) AS prior FROM {src})"]
+    for c, _ in _TE_KEYS:
+        ctes.append(f"""te_{c} AS (SELECT {c} AS k, (s / n * n + (SELECT prior FROM tprior) * 50.0) / (n + 50.0) AS rate
+  FROM (SELECT {c}, CAST(sum(fraud_flag) AS DOUBLE) AS s, CAST(count(fraud_flag) AS DOUBLE) AS n
+        FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}))""")
+    return ctes
+
+
+@register("target_encoding_fit", O.with_tx(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(k AS VARCHAR) AS key, {O.r6('rate', 'rate')} FROM te_{c}"
+                       for c, _ in _TE_KEYS)
+    + " UNION ALL SELECT '__global__' AS column_name, CAST(NULL AS VARCHAR) AS key, "
+    + O.r6("prior", "rate") + " FROM tprior", *_te_fit_ctes()))
+def q_target_encoding_fit(spark, sf_dir):
+    """H1/H2: smoothed (m = 50) label rate per operation / origin / destination, plus the prior."""
+    maps, prior = EN.fit_target_encoding(_train(spark, sf_dir))
+    parts = [mp.select(F.lit(c).alias("column_name"), F.col("key").cast("string").alias("key"), "rate")
+             for c, mp in maps.items()]
+    glob = _train(spark, sf_dir).agg(F.avg(S.LABEL).alias("rate")).select(
+        F.lit("__global__").alias("column_name"), F.lit(None).cast("string").alias("key"), "rate")
+    out = parts[0]
+    for p in parts[1:] + [glob]:
+        out = out.unionByName(p)
+    return out
+
+
+def _sgkf_cte(src: str = "train") -> str:
+    return f"""tf AS (SELECT origin_account, CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS INTEGER) AS fold
+FROM (SELECT origin_account, row_number() OVER (ORDER BY pos DESC, n DESC, h, origin_account) - 1 AS i
+      FROM (SELECT origin_account, count(*) AS n, sum(fraud_flag) AS pos,
+                   {O.md5_hash('origin_account', S.RANDOM_STATE)} AS h
+            FROM {src} WHERE origin_account IS NOT NULL GROUP BY origin_account)))"""
+
+
+def _oof_ctes(src: str = "train") -> list:
+    ctes = [_sgkf_cte(src),
+            f"tx_f AS (SELECT t.*, tf.fold FROM {src} t JOIN tf ON t.origin_account = tf.origin_account)",
+            """tfp AS (SELECT fold, (tot.s - CAST(sum(fraud_flag) AS DOUBLE)) / (tot.n - CAST(count(fraud_flag) AS DOUBLE)) AS fprior
+  FROM tx_f, (SELECT CAST(sum(fraud_flag) AS DOUBLE) AS s, CAST(count(fraud_flag) AS DOUBLE) AS n FROM tx_f) tot
+  GROUP BY fold, tot.s, tot.n)"""]
+    for c, _ in _TE_KEYS:
+        ctes.append(f"""kf_{c} AS (SELECT {c} AS k, fold, CAST(sum(fraud_flag) AS DOUBLE) AS s, CAST(count(fraud_flag) AS DOUBLE) AS n
+  FROM tx_f WHERE {c} IS NOT NULL GROUP BY 1, 2)""")
+        ctes.append(f"""oe_{c} AS (SELECT kf.k, kf.fold, kt.s - kf.s AS s, kt.n - kf.n AS n FROM kf_{c} kf
+  JOIN (SELECT k, sum(s) AS s, sum(n) AS n FROM kf_{c} GROUP BY k) kt ON kf.k = kt.k)""")
+    return ctes
+
+
+def _oof_select() -> str:
+    cols = []
+    joins = ""
+    for c, _ in _TE_KEYS:
+        e = (f"CASE WHEN coalesce(oe_{c}.n, 0.0) > 0 THEN (oe_{c}.s / oe_{c}.n * oe_{c}.n + tfp.fprior * 50.0) "
+             f"/ (oe_{c}.n + 50.0) ELSE tfp.fprior END")
+        cols.append(O.r6(e, f"{c}_fraud_rate"))
+        joins += f"\nLEFT JOIN oe_{c} ON x.{c} = oe_{c}.k AND x.fold = oe_{c}.fold"
+    return ("SELECT x.id, x.fold, " + ", ".join(cols) + "\nFROM tx_f x JOIN tfp ON x.fold = tfp.fold" + joins)
+
+
+@register("target_encoding_oof", O.with_tx(_oof_select(), *_oof_ctes()))
+def q_target_encoding_oof(spark, sf_dir):
+    """H3: out-of-fold encodings over stratified group folds (leave-fold-out by subtraction)."""
+    train = _train(spark, sf_dir)
+    folds = SP.stratified_group_folds(train)
+    out = EN.oof_target_encoding(train, folds, S.ORIGIN)
+    return out.select(S.ID, "fold", *EN.encoded_names())
+
+
+@register("target_encoding_apply", O.with_tx(
+    "SELECT t.id, " + ", ".join(O.r6(f"coalesce(te_{c}.rate, (SELECT prior FROM tprior))", f"{c}_fraud_rate")
+                                for c, _ in _TE_KEYS)
+    + "\nFROM test t" + "".join(f"\nLEFT JOIN te_{c} ON t.{c} = te_{c}.k" for c, _ in _TE_KEYS),
+    *_te_fit_ctes()))
+def q_target_encoding_apply(spark, sf_dir):
+    """Full-fit maps applied to test rows; unseen keys get the prior."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    maps, prior = EN.fit_target_encoding(train)
+    return EN.apply_target_encoding(test, maps, prior).select(S.ID, *EN.encoded_names())
+
+
+# ---------------------------------------------------- frequency / starter
+
+_FREQ_CTES = [
+    """fo AS (SELECT origin_account AS account, count(*) / (SELECT count(*) FROM train WHERE origin_account IS NOT NULL)::DOUBLE AS freq
+  FROM train WHERE origin_account IS NOT NULL GROUP BY 1)""",
+    """fd AS (SELECT destination_account AS account, count(*) / (SELECT count(*) FROM train WHERE destination_account IS NOT NULL)::DOUBLE AS freq
+  FROM train WHERE destination_account IS NOT NULL GROUP BY 1)""",
+]
+
+
+@register("frequency_encoding", O.with_tx(
+    "SELECT t.id, " + O.r6("coalesce(fo.freq, 0.0)", "origin_account_freq") + ", "
+    + O.r6("coalesce(fd.freq, 0.0)", "destination_account_freq")
+    + "\nFROM test t LEFT JOIN fo ON t.origin_account = fo.account LEFT JOIN fd ON t.destination_account = fd.account",
+    *_FREQ_CTES))
+def q_frequency_encoding(spark, sf_dir):
+    """Share of train rows per account, applied to test (unseen = 0)."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    fo, fd = A.frequency_table(train, S.ORIGIN), A.frequency_table(train, S.DEST)
+    out = B.starter_features(test, fo, fd)
+    return out.select(S.ID, "origin_account_freq", "destination_account_freq")
+
+
+_STARTER_SELECT = [
+    ("period", "t.period", False), ("operation", "t.operation", False), ("amount", "t.amount", True),
+    ("origin_balance_before", "t.origin_balance_before", True), ("origin_balance_after", "t.origin_balance_after", True),
+    ("destination_balance_before", "t.destination_balance_before", True),
+    ("destination_balance_after", "t.destination_balance_after", True),
+    ("amount_log1p", "ln(1 + CASE WHEN t.amount IS NULL THEN NULL ELSE greatest(t.amount, 0.0) END)", True),
+    ("origin_balance_change", "t.origin_balance_after - t.origin_balance_before", True),
+    ("destination_balance_change", "t.destination_balance_after - t.destination_balance_before", True),
+    ("amount_to_origin_before", "t.amount / (abs(t.origin_balance_before) + 1e-6)", True),
+    ("amount_to_destination_before", "t.amount / (abs(t.destination_balance_before) + 1e-6)", True),
+    ("origin_account_freq", "coalesce(fo.freq, 0.0)", True),
+    ("destination_account_freq", "coalesce(fd.freq, 0.0)", True),
+]
+
+
+@register("starter_features", O.with_tx(
+    "SELECT t.id, " + OC.select_list(_STARTER_SELECT)
+    + "\nFROM test t LEFT JOIN fo ON t.origin_account = fo.account LEFT JOIN fd ON t.destination_account = fd.account",
+    *_FREQ_CTES))
+def q_starter_features(spark, sf_dir):
+    """The starter projection on test with train-fitted frequencies; accounts dropped."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    fo, fd = A.frequency_table(train, S.ORIGIN), A.frequency_table(train, S.DEST)
+    return B.starter_features(test, fo, fd).select(S.ID, *[n for n, _, _ in _STARTER_SELECT])
+
+
+# ------------------------------------------------------------- graph
+
+def _graph_side_select(alias: str, p: str, kind: str) -> str:
+    rate = "fan_out_rate" if kind == "out" else "fan_in_rate"
+    return (f"{alias}.account, {alias}.deg AS {p}_{kind}_degree, {alias}.cnt AS {p}_{kind}_count, "
+            f"{O.r6(f'{alias}.s', f'{p}_{kind}_amount_sum')}, {O.r6(f'{alias}.m', f'{p}_{kind}_amount_mean')}, "
+            f"{alias}.span AS {p}_period_span, {O.r6(f'{alias}.rate', f'{p}_{rate}')}")
+
+
+@register("graph_out_stats", O.with_tx("SELECT " + _graph_side_select("go", "o", "out") + " FROM go",
+                                       OG.side_stats_cte("go", "origin_account", "destination_account")))
+def q_graph_out_stats(spark, sf_dir):
+    """G1: out-degree, count, sum, mean, period span, fan-out rate per origin."""
+    return G._side_stats(_tx(spark, sf_dir), S.ORIGIN, S.DEST, "o", "out", S.AMOUNT_SCALE)
+
+
+@register("graph_in_stats", O.with_tx("SELECT " + _graph_side_select("gi", "d", "in") + " FROM gi",
+                                      OG.side_stats_cte("gi", "destination_account", "origin_account")))
+def q_graph_in_stats(spark, sf_dir):
+    """In-degree, count, sum, mean, period span, fan-in rate per destination."""
+    return G._side_stats(_tx(spark, sf_dir), S.DEST, S.ORIGIN, "d", "in", S.AMOUNT_SCALE)
+
+
+@register("reciprocal_pairs", O.with_tx(
+    "SELECT 'o' AS side, account, c2 AS cycle2_count FROM gco UNION ALL SELECT 'd' AS side, account, c2 FROM gcd",
+    *OG.CYCLE_CTES))
+def q_reciprocal_pairs(spark, sf_dir):
+    """2-cycle score per origin and per destination (pairs with origin < destination)."""
+    o, d = G.reciprocal_pairs(_tx(spark, sf_dir))
+    return (o.select(F.lit("o").alias("side"), "account", F.col("o_cycle2_count").alias("cycle2_count"))
+            .unionByName(d.select(F.lit("d").alias("side"), "account",
+                                  F.col("d_cycle2_count").alias("cycle2_count"))))
+
+
+PAGERANK_FIXED_ITERS = 20
+
+
+@register("pagerank_fixed", O.with_tx(f"SELECT node, {O.r6('pagerank', 'pagerank')} FROM gpr",
+                                      *OG.pagerank_ctes(PAGERANK_FIXED_ITERS, convergent=False)))
+def q_pagerank_fixed(spark, sf_dir):
+    """Weighted PageRank, exactly 20 power iterations."""
+    ranks, _, _ = G.pagerank(G.edge_weights(_tx(spark, sf_dir)), max_iter=PAGERANK_FIXED_ITERS, tol=None)
+    return ranks
+
+
+@register("pagerank", O.with_tx(f"SELECT node, {O.r6('pagerank', 'pagerank')} FROM gpr",
+                                *OG.pagerank_ctes(S.PAGERANK_MAX_ITER, convergent=True)))
+def q_pagerank(spark, sf_dir):
+    """Weighted PageRank to L1 tolerance N * 1e-6 within 50 iterations (else all 0)."""
+    ranks, _, _ = G.pagerank(G.edge_weights(_tx(spark, sf_dir)))
+    return ranks
+
+
+def _graph_apply_ctes() -> list:
+    return (OG.pagerank_ctes(S.PAGERANK_MAX_ITER, convergent=True) + OG.CYCLE_CTES + [
+        OG.side_stats_cte("go", "origin_account", "destination_account"),
+        OG.side_stats_cte("gi", "destination_account", "origin_account"),
+        """gfa AS (SELECT t.id,
+  coalesce(go.deg, 0) AS o_out_degree, coalesce(go.cnt, 0) AS o_out_count, coalesce(go.s, 0.0) AS o_out_amount_sum,
+  coalesce(go.m, 0.0) AS o_out_amount_mean, coalesce(go.span, 0) AS o_period_span, coalesce(go.rate, 0.0) AS o_fan_out_rate,
+  coalesce(gco.c2, 0) AS o_cycle2_count, coalesce(po.pagerank, 0.0) AS o_pagerank,
+  coalesce(gi.deg, 0) AS d_in_degree, coalesce(gi.cnt, 0) AS d_in_count, coalesce(gi.s, 0.0) AS d_in_amount_sum,
+  coalesce(gi.m, 0.0) AS d_in_amount_mean, coalesce(gi.span, 0) AS d_period_span, coalesce(gi.rate, 0.0) AS d_fan_in_rate,
+  coalesce(gcd.c2, 0) AS d_cycle2_count, coalesce(pd.pagerank, 0.0) AS d_pagerank
+  FROM tx t
+  LEFT JOIN go ON t.origin_account = go.account LEFT JOIN gco ON t.origin_account = gco.account
+  LEFT JOIN gpr po ON t.origin_account = po.node
+  LEFT JOIN gi ON t.destination_account = gi.account LEFT JOIN gcd ON t.destination_account = gcd.account
+  LEFT JOIN gpr pd ON t.destination_account = pd.node)""",
+        """gfr AS (SELECT *,
+  abs((rank() OVER (ORDER BY o_pagerank) - 1 + (count(*) OVER (PARTITION BY o_pagerank) + 1) / 2.0) / count(*) OVER ()
+    - (rank() OVER (ORDER BY d_pagerank) - 1 + (count(*) OVER (PARTITION BY d_pagerank) + 1) / 2.0) / count(*) OVER ()) AS graph_pagerank_gap
+  FROM gfa)"""])
+
+
+_GRAPH_DOUBLE = {"o_out_amount_sum", "o_out_amount_mean", "o_fan_out_rate", "o_pagerank", "d_in_amount_sum",
+                 "d_in_amount_mean", "d_fan_in_rate", "d_pagerank", "graph_pagerank_gap"}
+
+
+@register("graph_features_apply", O.with_tx(
+    "SELECT id, " + ", ".join(O.r6(c, c) if c in _GRAPH_DOUBLE else c for c in G.GRAPH_COLUMNS) + " FROM gfr",
+    *_graph_apply_ctes()))
+def q_graph_features_apply(spark, sf_dir):
+    """Graph statistics joined per transaction and the PageRank rank gap."""
+    tx = _tx(spark, sf_dir)
+    o, d = G.fit_graph_features(tx)
+    return G.apply_graph_features(tx, o, d).select(S.ID, *G.GRAPH_COLUMNS)
+
+
+# ------------------------------------------------- metrics and fusion
+
+@register("rank_pct", O.with_tx(
+    "SELECT id, " + O.r6("(rank() OVER (ORDER BY p_a) - 1 + (count(*) OVER (PARTITION BY p_a) + 1) / 2.0) "
+                         "/ count(*) OVER ()", "rank_pct") + " FROM scored WHERE p_a IS NOT NULL", SCORED_CTE))
+def q_rank_pct(spark, sf_dir):
+    """rank(pct=True) with averaged ties, distributed."""
+    return _rank_pct(_scored(spark, sf_dir), "p_a", "rank_pct").select(S.ID, "rank_pct")
+
+
+_MODELS = ["p_a", "p_b", "p_c"]
+_AP_CTES = [
+    SCORED_CTE,
+    "apu AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, {m} AS s, fraud_flag AS y FROM scored" for m in _MODELS) + ")",
+    "apg AS (SELECT model, s, sum(y) AS tp, count(*) AS n FROM apu WHERE s IS NOT NULL GROUP BY 1, 2)",
+    """apc AS (SELECT model, tp, sum(tp) OVER (PARTITION BY model ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+  sum(n) OVER (PARTITION BY model ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn,
+  sum(tp) OVER (PARTITION BY model) AS P FROM apg)""",
+    "apr AS (SELECT model, coalesce(sum(CASE WHEN P > 0 THEN (tp / P) * (ctp / cn) END), 0.0) AS ap FROM apc GROUP BY model)",
+]
+
+
+def _model_scores(spark, sf_dir):
+    sc = _scored(spark, sf_dir)
+    parts = [sc.select(F.lit(m).alias("model"), F.col(m).alias("score"), S.LABEL) for m in _MODELS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("average_precision", O.with_tx(f"SELECT model, {O.r6('ap', 'ap')} FROM apr", *_AP_CTES))
+def q_average_precision(spark, sf_dir):
+    """K1: exact step-wise Average Precision per model, ties grouped."""
+    return M.average_precision(_model_scores(spark, sf_dir), "score", S.LABEL, ["model"])
+
+
+_FOCAL_P = "(1.0 / (1.0 + exp(-(CASE WHEN x IS NULL THEN NULL ELSE greatest(least(x, 50.0), -50.0) END))))"
+_FOCAL_CTE = f"""fl AS (SELECT id, fraud_flag AS y,
+  CASE WHEN fraud_flag = 1 THEN 0.25 ELSE 0.75 END AS a_t,
+  CASE WHEN fraud_flag = 1 THEN {_FOCAL_P} ELSE 1.0 - {_FOCAL_P} END AS p_t,
+  CASE WHEN fraud_flag = 1 THEN 1.0 ELSE -1.0 END AS sgn FROM scored)"""
+_FOCAL_LOG = "ln(greatest(least(p_t, 1.0), 1e-9))"
+
+
+@register("focal_loss", O.with_tx(
+    "SELECT " + O.r6(f"avg(-a_t * pow(1.0 - p_t, 2.0) * {_FOCAL_LOG})", "focal_loss") + " FROM fl",
+    SCORED_CTE, _FOCAL_CTE))
+def q_focal_loss(spark, sf_dir):
+    """K2: mean focal loss (gamma 2, alpha 0.25) of raw scores."""
+    return M.focal_loss(_scored(spark, sf_dir), "x")
+
+
+@register("focal_gradient", O.with_tx(
+    "SELECT id, " + O.r6(f"a_t * sgn * pow(1.0 - p_t, 2.0) * (2.0 * p_t * {_FOCAL_LOG} + p_t - 1.0)", "grad")
+    + ", " + O.r6(f"greatest(a_t * p_t * pow(1.0 - p_t, 2.0) * ((1.0 - p_t) * (2.0 * {_FOCAL_LOG} + 5.0) "
+                  f"- 4.0 * p_t * {_FOCAL_LOG}), 1e-6)", "hess") + " FROM fl", SCORED_CTE, _FOCAL_CTE))
+def q_focal_gradient(spark, sf_dir):
+    """K3: exact focal-loss gradient and floored hessian per row."""
+    g, h = M.focal_gradient("x", S.LABEL)
+    return _scored(spark, sf_dir).select(S.ID, g.alias("grad"), h.alias("hess"))
+
+
+def _logit_sql(c: str) -> str:
+    q = f"(CASE WHEN {c} IS NULL THEN NULL ELSE greatest(least({c}, 1.0 - 1e-6), 1e-6) END)"
+    return f"ln({q} / (1.0 - {q}))"
+
+
+@register("logit_scores", O.with_tx(
+    "SELECT id, " + ", ".join(O.r6(_logit_sql(m), f"logit_{m}") for m in _MODELS) + " FROM scored", SCORED_CTE))
+def q_logit_scores(spark, sf_dir):
+    """Logit of clipped probabilities (the stacking inputs)."""
+    return _scored(spark, sf_dir).select(S.ID, *[logit(m).alias(f"logit_{m}") for m in _MODELS])
+
+
+def _ap_table(spark, sf_dir):
+    return M.average_precision(_model_scores(spark, sf_dir), "score", S.LABEL, ["model"])
+
+
+@register("ensemble_weights", O.with_tx(
+    "SELECT model, " + O.r6("CASE WHEN sum(ap) OVER () <= 0 THEN 1.0 / count(*) OVER () ELSE ap / sum(ap) OVER () END",
+                            "weight") + " FROM apr", *_AP_CTES))
+def q_ensemble_weights(spark, sf_dir):
+    """K4: blend weights proportional to each model's AP."""
+    return FU.ensemble_weights(_ap_table(spark, sf_dir))
+
+
+def _score_weights(spark, sf_dir) -> dict:
+    w = FU.ensemble_weights(_ap_table(spark, sf_dir)).collect()   # one row per model
+    return {r["model"]: float(r["weight"]) for r in w}
+
+
+_W_CTE = "ew AS (SELECT model, CASE WHEN sum(ap) OVER () <= 0 THEN 1.0 / count(*) OVER () ELSE ap / sum(ap) OVER () END AS w FROM apr)"
+_BLEND_EXPR = ("(SELECT w FROM ew WHERE model = 'p_a') * p_a + (SELECT w FROM ew WHERE model = 'p_b') * p_b "
+               "+ (SELECT w FROM ew WHERE model = 'p_c') * p_c")
+
+
+@register("blend", O.with_tx(
+    "SELECT id, " + O.r6(OC.clip_sql(_BLEND_EXPR, 0.0, 1.0), "blend") + " FROM scored", *_AP_CTES, _W_CTE))
+def q_blend(spark, sf_dir):
+    """K5: score-weighted linear blend clipped to [0, 1]."""
+    return FU.blend(_scored(spark, sf_dir), _score_weights(spark, sf_dir)).select(S.ID, "blend")
+
+
+_GRID_CTES = [
+    SCORED_CTE,
+    """cg AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS cand, CAST(a AS DOUBLE) / 10.0 AS w_p_a,
+  CAST(b AS DOUBLE) / 10.0 AS w_p_b, CAST(10 - a - b AS DOUBLE) / 10.0 AS w_p_c
+  FROM range(0, 11) ra(a), range(0, 11) rb(b) WHERE a + b <= 10)""",
+    f"""cs AS (SELECT cand, fraud_flag AS y, {OC.clip_sql('w_p_a * p_a + w_p_b * p_b + w_p_c * p_c', 0.0, 1.0)} AS s
+  FROM scored, cg)""",
+    "csg AS (SELECT cand, s, sum(y) AS tp, count(*) AS n FROM cs WHERE s IS NOT NULL GROUP BY 1, 2)",
+    """csc AS (SELECT cand, tp, sum(tp) OVER (PARTITION BY cand ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+  sum(n) OVER (PARTITION BY cand ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn,
+  sum(tp) OVER (PARTITION BY cand) AS P FROM csg)""",
+    "cap AS (SELECT cand, coalesce(sum(CASE WHEN P > 0 THEN (tp / P) * (ctp / cn) END), 0.0) AS ap FROM csc GROUP BY cand)",
+]
+
+
+@register("blend_weight_search", O.with_tx(
+    "SELECT cg.cand, " + ", ".join(O.r6(f"cg.w_{m}", f"w_{m}") for m in _MODELS) + ", "
+    + O.r6("coalesce(cap.ap, 0.0)", "ap") + " FROM cg LEFT JOIN cap ON cg.cand = cap.cand", *_GRID_CTES))
+def q_blend_weight_search(spark, sf_dir):
+    """K6: AP of every simplex-grid weight vector (step 0.1) in one pass."""
+    return FU.blend_weight_search(_scored(spark, sf_dir), _MODELS)
+
+
+@register("ensemble_choice", O.with_tx(
+    """SELECT """ + O.r6("o.ap", "ap_optimized") + ", " + O.r6("v.ap", "ap_score_weighted") + """,
+  CASE WHEN o.ap >= v.ap THEN 'optimized' ELSE 'score-weighted' END AS chosen
+FROM (SELECT max(ap) AS ap FROM cap) o,
+     (SELECT coalesce(sum(CASE WHEN P > 0 THEN (tp / P) * (ctp / cn) END), 0.0) AS ap FROM (
+        SELECT tp, sum(tp) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+               sum(n) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn, sum(tp) OVER () AS P
+        FROM (SELECT s, sum(y) AS tp, count(*) AS n FROM (
+          SELECT fraud_flag AS y, """ + OC.clip_sql(_BLEND_EXPR, 0.0, 1.0) + """ AS s FROM scored) WHERE s IS NOT NULL GROUP BY s))) v""",
+    *_GRID_CTES, *_AP_CTES[1:], _W_CTE))
+def q_ensemble_choice(spark, sf_dir):
+    """K7: grid-optimised weights unless the score-weighted blend has a higher AP."""
+    sc = _scored(spark, sf_dir)
+    search = FU.blend_weight_search(sc, _MODELS)
+    ap_opt = search.agg(F.max("ap").alias("ap_optimized"))
+    blended = FU.blend(sc, _score_weights(spark, sf_dir))
+    ap_avg = M.average_precision(blended, "blend").withColumnRenamed("ap", "ap_score_weighted")
+    k = F.lit(1).alias("_k")
+    return (ap_opt.select("*", k).join(ap_avg.select("*", k), "_k").drop("_k")
+            .select("*", F.when(F.col("ap_optimized") >= F.col("ap_score_weighted"), "optimized")
+                    .otherwise("score-weighted").alias("chosen")))
+
+
+def _rank_sql(c: str, part: str = "") -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    pp = f"PARTITION BY {part}, {c}" if part else f"PARTITION BY {c}"
+    return (f"((rank() OVER ({p}ORDER BY {c}) - 1 + (count(*) OVER ({pp}) + 1) / 2.0) "
+            f"/ count(*) OVER ({p.strip()}))")
+
+
+@register("rank_blend", O.with_tx(
+    "SELECT id, " + O.r6(f"0.45::DOUBLE * {_rank_sql('p_a')} + (1.0::DOUBLE - 0.45::DOUBLE) * {_rank_sql('p_b')}",
+                         "rank_blend") + " FROM scored", SCORED_CTE))
+def q_rank_blend(spark, sf_dir):
+    """K8: weighted blend of rank percentiles (w = 0.45)."""
+    return FU.rank_blend(_scored(spark, sf_dir), "p_a", "p_b").select(S.ID, "rank_blend")
+
+
+def _test_scored(spark, sf_dir):
+    return _scored(spark, sf_dir).filter(F.col(S.PERIOD) >= S.TEST_PERIOD_START)
+
+
+@register("operation_prior", O.with_tx(
+    "SELECT id, " + O.r6(OC.clip_sql(
+        "CASE WHEN (SELECT count_if(operation = 'op_03') > 0 AND count_if(operation IS DISTINCT FROM 'op_03') > 0 "
+        "FROM scored WHERE period >= 106) AND operation IS DISTINCT FROM 'op_03' THEN p_a * 0.01 ELSE p_a END",
+        0.0, 1.0), "adjusted") + " FROM scored WHERE period >= 106", SCORED_CTE))
+def q_operation_prior(spark, sf_dir):
+    """K9: shrink non-op_03 test scores by 0.01 when both kinds exist."""
+    return FU.operation_prior(_test_scored(spark, sf_dir), "p_a").select(S.ID, "adjusted")
+
+
+@register("two_stage_scores", O.with_tx(
+    """SELECT id, """ + O.r6("fused", "fused") + """ FROM (
+  SELECT id, """ + OC.clip_sql(f"0.38::DOUBLE * {_rank_sql('p_a')} + (1.0::DOUBLE - 0.38::DOUBLE) * {_rank_sql('p_b')}", 0.0, 1.0) + """ AS fused
+  FROM scored WHERE period >= 106 AND operation = 'op_03'
+  UNION ALL
+  SELECT id, least(greatest(coalesce(greatest((SELECT min(f) FROM (
+      SELECT 0.38::DOUBLE * """ + _rank_sql('p_a') + " + (1.0::DOUBLE - 0.38::DOUBLE) * " + _rank_sql('p_b') + """ AS f
+      FROM scored WHERE period >= 106 AND operation = 'op_03')) * 0.05, 1e-8), 1e-8), 0.0), 1.0) AS fused
+  FROM scored WHERE period >= 106 AND operation IS DISTINCT FROM 'op_03')""", SCORED_CTE))
+def q_two_stage_scores(spark, sf_dir):
+    """Rank blend inside op_03 (w = 0.38), floor for the other operations."""
+    return FU.two_stage_scores(_test_scored(spark, sf_dir), "p_a", "p_b").select(S.ID, "fused")

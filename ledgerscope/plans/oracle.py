@@ -44,8 +44,11 @@ def with_tx(body: str, *ctes: str) -> str:
 
 
 def r6(expr: str, alias: str | None = None) -> str:
-    """Rounded double output column."""
-    out = f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    """Rounded double output column: the same IEEE steps as
+    :func:`ledgerscope.functions.columns.round_half_up`."""
+    x = f"CAST({expr} AS DOUBLE)"
+    out = (f"((CASE WHEN abs({x}) < 1e12 THEN sign({x}) * (floor(abs({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) "
+           f"/ 1000000.0::DOUBLE) ELSE {x} END) + 0.0::DOUBLE)")
     return f"{out} AS {alias}" if alias else out
 
 
