@@ -70,7 +70,11 @@ def apply_account_profiles(df: DataFrame, origin_profile: DataFrame, dest_profil
     out = (df.join(origin_profile.withColumnRenamed("account", S.ORIGIN), S.ORIGIN, "left")
              .join(dest_profile.withColumnRenamed("account", S.DEST), S.DEST, "left"))
     filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in o_cols + d_cols]
-    out = out.select(*keep, *filled)
+    return apply_account_profiles_derived(out.select(*keep, *filled))
+
+
+def apply_account_profiles_derived(out: DataFrame) -> DataFrame:
+    """The six deviation / log-count columns from filled profile columns."""
     a = F.col(S.AMOUNT)
     return out.select(
         "*",

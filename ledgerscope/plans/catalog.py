@@ -964,3 +964,155 @@ def q_operation_prior(spark, sf_dir):
 def q_two_stage_scores(spark, sf_dir):
     """Rank blend inside op_03 (w = 0.38), floor for the other operations."""
     return FU.two_stage_scores(_test_scored(spark, sf_dir), "p_a", "p_b").select(S.ID, "fused")
+
+
+# ------------------------------------------------------- submission
+
+_SAMPLE_CTE = "smp AS (SELECT id FROM test WHERE id % 97 <> 0 UNION ALL SELECT * FROM (VALUES (-1), (-2), (-3)) v(id))"
+_PRIOR_PRED = ("CASE WHEN (SELECT count_if(operation = 'op_03') > 0 AND count_if(operation IS DISTINCT FROM 'op_03') > 0 "
+               "FROM scored WHERE period >= 106) AND operation IS DISTINCT FROM 'op_03' THEN p_a * 0.01 ELSE p_a END")
+_SUB_CTE = (f"sub AS (SELECT smp.id, {OC.clip_sql('coalesce(pp.p, (SELECT avg(fraud_flag) FROM train))', 0.0, 1.0)} AS target "
+            f"FROM (SELECT id, {OC.clip_sql(_PRIOR_PRED, 0.0, 1.0)} AS p FROM scored WHERE period >= 106) pp "
+            "RIGHT JOIN smp ON pp.id = smp.id)")
+
+
+def _submission(spark, sf_dir):
+    train, test = TX.load_train_test(spark, sf_dir)
+    preds = FU.operation_prior(_test_scored(spark, sf_dir), "p_a", out=S.TARGET)
+    fill = train.agg(F.avg(S.LABEL)).first()[0]
+    return SU.build_submission(preds, TX.sample_ids(test), fill), TX.sample_ids(test)
+
+
+@register("submission", O.with_tx("SELECT id, " + O.r6("target", "target") + " FROM sub",
+                                  SCORED_CTE, _SAMPLE_CTE, _SUB_CTE))
+def q_submission(spark, sf_dir):
+    """Right join to the sample ids, missing ids get the train label mean, clip."""
+    return _submission(spark, sf_dir)[0]
+
+
+@register("submission_checks", O.with_tx("""
+SELECT CAST((SELECT count(*) FROM sub) - (SELECT count(*) FROM smp) AS BIGINT) AS row_count_diff,
+  0 AS column_mismatch,
+  CAST((SELECT coalesce(sum(c - 1), 0) FROM (SELECT id, count(*) AS c FROM sub GROUP BY id HAVING count(*) > 1)) AS BIGINT) AS duplicate_ids,
+  CAST((SELECT count_if(target IS NULL OR target < 0 OR target > 1) FROM sub) AS BIGINT) AS out_of_range,
+  (SELECT count(*) FROM (SELECT DISTINCT id FROM smp) s WHERE s.id NOT IN (SELECT id FROM sub)) AS missing_ids,
+  (SELECT count(*) FROM sub WHERE id NOT IN (SELECT id FROM smp)) AS extra_ids""",
+                                         SCORED_CTE, _SAMPLE_CTE, _SUB_CTE))
+def q_submission_checks(spark, sf_dir):
+    """Violation counts of the output contract (all 0 when valid)."""
+    sub, sample = _submission(spark, sf_dir)
+    return SU.submission_violations(sub, sample)
+
+
+# ------------------------------------------------------------ fingerprint
+from ..sources import sinks as SK  # noqa: E402
+
+_FP_COLS = ["id", "period", "operation", "origin_account", "destination_account",
+            "CAST(round(amount * 100.0) AS BIGINT)", "CAST(round(origin_balance_before * 100.0) AS BIGINT)",
+            "CAST(round(origin_balance_after * 100.0) AS BIGINT)",
+            "CAST(round(destination_balance_before * 100.0) AS BIGINT)",
+            "CAST(round(destination_balance_after * 100.0) AS BIGINT)", "fraud_flag"]
+
+
+@register("dataset_fingerprint", O.with_tx(
+    "SELECT count(*) AS rows, CAST(sum(" + O.md5_hash("concat_ws('|', " + ", ".join(
+        f"CAST({c} AS VARCHAR)" for c in _FP_COLS) + ")") + ") AS BIGINT) AS fingerprint FROM tx"))
+def q_dataset_fingerprint(spark, sf_dir):
+    """Order-insensitive content fingerprint of the transaction table."""
+    return SK.table_fingerprint(_tx(spark, sf_dir), SK.money_canonical_columns())
+
+
+# ----------------------------------------------------------- feature table (L1)
+from . import features as FT  # noqa: E402
+
+
+def _feature_sql() -> str:
+    def raw_block(exprs):
+        return ",\n  ".join(f"{e} AS {n}" for n, e, _ in exprs)
+
+    dbl = set()
+    for n, _, d in _BAL_SQL + _ENC_SQL + AGG_SELECT + _profile_apply_select():
+        if d:
+            dbl.add(n)
+    causal = []
+    for side in ("origin", "dest"):
+        causal += OC.rolling_exprs(side) + OC.expanding_exprs(side)
+    dbl |= {n for n, _, d in causal if d}
+    dbl |= _GRAPH_DOUBLE | {f"{c}_fraud_rate" for c in S.TE_COLUMNS}
+    dbl |= {"amount", "origin_balance_before", "origin_balance_after", "destination_balance_before",
+            "destination_balance_after"}
+    te_oof = []
+    te_app = []
+    for c, _ in _TE_KEYS:
+        te_oof.append(f"CASE WHEN coalesce(oe_{c}.n, 0.0) > 0 THEN (oe_{c}.s / oe_{c}.n * oe_{c}.n + tfp.fprior * 50.0) "
+                      f"/ (oe_{c}.n + 50.0) ELSE tfp.fprior END AS {c}_fraud_rate")
+        te_app.append(f"coalesce(te_{c}.rate, (SELECT prior FROM tprior)) AS {c}_fraud_rate")
+    ctes = list(AGG_STATS_CTES) + list(PROFILE_CTES) + OG.pagerank_ctes(S.PAGERANK_MAX_ITER, True) \
+        + list(OG.CYCLE_CTES) + [OG.side_stats_cte("go", "origin_account", "destination_account"),
+                                 OG.side_stats_cte("gi", "destination_account", "origin_account")] \
+        + _te_fit_ctes() + _oof_ctes() + [
+        "cmb AS (SELECT *, CASE WHEN period < 106 THEN 'train' ELSE 'test' END AS split FROM tx)",
+        "fb_bal AS (SELECT id,\n  " + raw_block(_BAL_SQL + _ENC_SQL) + "\nFROM tx)",
+        "fb_cau AS (SELECT id,\n  " + raw_block(causal) + "\nFROM tx)",
+        "fb_agg AS (SELECT t.id,\n  " + raw_block(AGG_SELECT) + "\nFROM tx t" + AGG_JOINS + ")",
+        "fb_pro AS (SELECT t.id,\n  " + raw_block(_profile_apply_select()) + "\nFROM tx t" + PROFILE_JOINS + ")",
+        """fb_gra0 AS (SELECT t.id, t.split,
+  coalesce(go.deg, 0) AS o_out_degree, coalesce(go.cnt, 0) AS o_out_count, coalesce(go.s, 0.0) AS o_out_amount_sum,
+  coalesce(go.m, 0.0) AS o_out_amount_mean, coalesce(go.span, 0) AS o_period_span, coalesce(go.rate, 0.0) AS o_fan_out_rate,
+  coalesce(gco.c2, 0) AS o_cycle2_count, coalesce(po2.pagerank, 0.0) AS o_pagerank,
+  coalesce(gi.deg, 0) AS d_in_degree, coalesce(gi.cnt, 0) AS d_in_count, coalesce(gi.s, 0.0) AS d_in_amount_sum,
+  coalesce(gi.m, 0.0) AS d_in_amount_mean, coalesce(gi.span, 0) AS d_period_span, coalesce(gi.rate, 0.0) AS d_fan_in_rate,
+  coalesce(gcd.c2, 0) AS d_cycle2_count, coalesce(pd2.pagerank, 0.0) AS d_pagerank
+  FROM cmb t
+  LEFT JOIN go ON t.origin_account = go.account LEFT JOIN gco ON t.origin_account = gco.account
+  LEFT JOIN gpr po2 ON t.origin_account = po2.node
+  LEFT JOIN gi ON t.destination_account = gi.account LEFT JOIN gcd ON t.destination_account = gcd.account
+  LEFT JOIN gpr pd2 ON t.destination_account = pd2.node)""",
+        f"""fb_gra AS (SELECT * EXCLUDE (split),
+  coalesce(abs({_rank_sql('o_pagerank', 'split')} - {_rank_sql('d_pagerank', 'split')}), 0.0) AS graph_pagerank_gap
+  FROM fb_gra0)""",
+        "fb_te AS (SELECT x.id, " + ", ".join(te_oof) + "\nFROM tx_f x JOIN tfp ON x.fold = tfp.fold"
+        + "".join(f"\nLEFT JOIN oe_{c} ON x.{c} = oe_{c}.k AND x.fold = oe_{c}.fold" for c, _ in _TE_KEYS)
+        + "\nUNION ALL SELECT t.id, " + ", ".join(te_app) + "\nFROM test t"
+        + "".join(f"\nLEFT JOIN te_{c} ON t.{c} = te_{c}.k" for c, _ in _TE_KEYS) + ")",
+    ]
+    names = FT.feature_names(include_iso=False)
+    sel = ["t.id", "t.split", "CASE WHEN t.split = 'train' THEN t.fraud_flag END AS fraud_flag",
+           "t.origin_account", "t.destination_account"]
+    for n in names:
+        src = "t." + n if n in S.RAW_FEATURES else n
+        sel.append(O.r6(src, n) if n in dbl else f"{src} AS {n}")
+    body = ("SELECT " + ",\n  ".join(sel) + "\nFROM cmb t JOIN fb_bal USING (id) JOIN fb_cau USING (id) "
+            "JOIN fb_agg USING (id) JOIN fb_pro USING (id) JOIN fb_gra USING (id) JOIN fb_te USING (id)")
+    return O.with_tx(body, *ctes)
+
+
+@register("feature_table", _feature_sql())
+def q_feature_table(spark, sf_dir):
+    """L1/L2: the feature table of train (OOF encodings) and test (full-fit), 156
+    columns (the anomaly score is checked separately by isolation_score)."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return FT.build_feature_table(train, test)
+
+
+# ---------------------------------------------------------------- anomaly (I*)
+from ..operators import anomaly as AN  # noqa: E402
+
+
+def _iso_frame(spark, sf_dir):
+    return B.add_balance_features(_tx(spark, sf_dir))
+
+
+@register("isolation_forest_fit")
+def q_isolation_forest_fit(spark, sf_dir):
+    """200 trees of 256 hash-sampled rows each, built per tree with applyInPandas."""
+    model = AN.fit_isolation_forest(_iso_frame(spark, sf_dir))
+    return spark.createDataFrame(model.nodes)
+
+
+@register("isolation_score")
+def q_isolation_score(spark, sf_dir):
+    """Anomaly score of every transaction (vectorised pandas UDF over the forest)."""
+    frame = _iso_frame(spark, sf_dir)
+    model = AN.fit_isolation_forest(frame)
+    return AN.add_isolation_score(frame, model).select(S.ID, "iso_anomaly_score")
