@@ -1116,3 +1116,217 @@ def q_isolation_score(spark, sf_dir):
     frame = _iso_frame(spark, sf_dir)
     model = AN.fit_isolation_forest(frame)
     return AN.add_isolation_score(frame, model).select(S.ID, "iso_anomaly_score")
+
+
+# ------------------------------------------------- models and validation (J*, L*)
+from . import models as MD  # noqa: E402
+from . import validation as VA  # noqa: E402
+
+
+def _holdout_frames(spark, sf_dir):
+    train = _train(spark, sf_dir)
+    tr, va = SP.temporal_split(train)
+    return VA.fold_frames(tr, va, unsupervised_ref="train")
+
+
+@register("assemble_features")
+def q_assemble_features(spark, sf_dir):
+    """Operation index fitted on train (unseen -> extra index) + feature vector."""
+    trA, vaA, cols = _holdout_frames(spark, sf_dir)
+    return vaA.select(S.ID, F.size(vector_to_array_col("features")).alias("n_features"))
+
+
+def vector_to_array_col(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col(c))
+
+
+def _learner_query(name: str):
+    def q(spark, sf_dir):
+        trA, vaA, _ = _holdout_frames(spark, sf_dir)
+        model = MD.fit_learner(MD.BASE_LEARNERS[name], trA, vaA)
+        return MD.predict(model, vaA, "score").select(S.ID, S.LABEL, "score")
+    q.__doc__ = f"J3-J5/J7: fit '{name}' on the temporal holdout and score the valid rows."
+    return q
+
+
+register("fit_gbt")(_learner_query("gbt"))
+register("fit_forest")(_learner_query("forest"))
+register("fit_gbt_deep")(_learner_query("gbt_deep"))
+
+
+@register("predict")
+def q_predict(spark, sf_dir):
+    """Positive-class probability of the three learners on the holdout."""
+    trA, vaA, _ = _holdout_frames(spark, sf_dir)
+    _, preds, _ = VA.score_fold(trA, vaA)
+    return preds
+
+
+@register("refit_full")
+def q_refit_full(spark, sf_dir):
+    """Refit on all train rows with the holdout's kept tree count (floored)."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    ft = FT.build_feature_table(train, test).checkpoint(eager=True)
+    asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
+    a = asm.transform(ft)
+    tr_all = a.filter(F.col(S.SPLIT) == "train")
+    hold = MD.fit_learner(MD.BASE_LEARNERS["gbt"], tr_all.filter(F.col(S.PERIOD) < S.VAL_PERIOD_CUTOFF),
+                          tr_all.filter(F.col(S.PERIOD) >= S.VAL_PERIOD_CUTOFF))
+    full = MD.refit_full(MD.BASE_LEARNERS["gbt"], "gbt", hold, tr_all)
+    return MD.predict(full, a.filter(F.col(S.SPLIT) == "test"), "score").select(S.ID, "score")
+
+
+@register("fit_specialist")
+def q_fit_specialist(spark, sf_dir):
+    """Boosted trees on op_03 rows only (C9 guard), scored on op_03 holdout rows."""
+    trA, vaA, _ = _holdout_frames(spark, sf_dir)
+    tr3 = SP.operation_filter(trA)
+    va3 = vaA.filter(F.col(S.OPERATION) == S.POSITIVE_OPERATION)
+    model = MD.fit_learner(MD.SPECIALIST, tr3, va3)
+    return MD.predict(model, va3, "score").select(S.ID, S.LABEL, "score")
+
+
+_STARTER_NUM = [n for n, _, _ in _STARTER_SELECT if n != "operation"]
+
+
+def _starter_frames(spark, sf_dir):
+    train, test = TX.load_train_test(spark, sf_dir)
+    fo, fd = A.frequency_table(train, S.ORIGIN), A.frequency_table(train, S.DEST)
+    return B.starter_features(train, fo, fd), B.starter_features(test, fo, fd)
+
+
+@register("starter_preprocess")
+def q_starter_preprocess(spark, sf_dir):
+    """Exact-median fill and one-hot operation (unknown -> zero vector)."""
+    tr, te = _starter_frames(spark, sf_dir)
+    pre, med = MD.starter_preprocess(tr, _STARTER_NUM, ["operation"])
+    model = pre.fit(tr.fillna(med))
+    return model.transform(te.fillna(med)).select(S.ID, F.size(vector_to_array_col("features")).alias("width"))
+
+
+@register("starter_model")
+def q_starter_model(spark, sf_dir):
+    """Starter pipeline (preprocess + 150 boosting rounds), test probabilities clipped."""
+    tr, te = _starter_frames(spark, sf_dir)
+    model, med = MD.fit_starter(tr, _STARTER_NUM, ["operation"])
+    out = MD.predict(model, te.fillna(med), "p")
+    return out.select(S.ID, F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)).alias(S.TARGET))
+
+
+@register("stack_logistic")
+def q_stack_logistic(spark, sf_dir):
+    """L2 logistic regression on base-score logits (fit on train rows, score test rows)."""
+    sc = _scored(spark, sf_dir)
+    tr = sc.filter(F.col(S.PERIOD) < S.TEST_PERIOD_START)
+    te = sc.filter(F.col(S.PERIOD) >= S.TEST_PERIOD_START)
+    model = MD.fit_stack_logistic(tr, _MODELS)
+    return MD.predict_stack_logistic(model, te, _MODELS).select(S.ID, "stack")
+
+
+@register("stack_gbt")
+def q_stack_gbt(spark, sf_dir):
+    """Shallow boosted trees on base scores (fit on train rows, score test rows)."""
+    sc = _scored(spark, sf_dir)
+    tr = sc.filter(F.col(S.PERIOD) < S.TEST_PERIOD_START)
+    te = sc.filter(F.col(S.PERIOD) >= S.TEST_PERIOD_START)
+    model = MD.fit_stack_gbt(tr, _MODELS)
+    return MD.predict_stack_gbt(model, te, _MODELS).select(S.ID, "stack")
+
+
+@register("validate_models")
+def q_validate_models(spark, sf_dir):
+    """Temporal holdout of three learners + ensemble choice + group check."""
+    return VA.validate_models(spark, _train(spark, sf_dir))
+
+
+@register("cv_rolling")
+def q_cv_rolling(spark, sf_dir):
+    """Rolling temporal CV (cutoffs 75..99, open valid, skip rule)."""
+    return VA.cv_rolling(spark, _train(spark, sf_dir))
+
+
+@register("cv_group")
+def q_cv_group(spark, sf_dir):
+    """Group-aware 5-fold CV over origin accounts."""
+    return VA.cv_group(spark, _train(spark, sf_dir))
+
+
+@register("cv_ensemble")
+def q_cv_ensemble(spark, sf_dir):
+    """Bounded rolling folds, three learners + ensemble on the reduced feature set."""
+    return VA.cv_ensemble(spark, _train(spark, sf_dir))
+
+
+@register("fold_summary")
+def q_fold_summary(spark, sf_dir):
+    """Mean and population std of the rolling-CV AP."""
+    return VA.fold_summary_table(VA.cv_rolling(spark, _train(spark, sf_dir)))
+
+
+@register("oof_scores")
+def q_oof_scores(spark, sf_dir):
+    """Out-of-fold base predictions over group folds (each id once)."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return VA.oof_scores(spark, train, test)
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    """Seeded random search of boosted-tree settings on the temporal holdout."""
+    return VA.random_search(spark, _train(spark, sf_dir))
+
+
+@register("quick_validation")
+def q_quick_validation(spark, sf_dir):
+    """25% account sample, holdout at 96, three learners + ensemble, gain vs 0.360."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return VA.quick_validation(spark, train, test)
+
+
+@register("baseline_manifest")
+def q_baseline_manifest(spark, sf_dir):
+    """Rolling and group CV summaries with data fingerprints and seed."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return VA.baseline_manifest(spark, train, test)
+
+
+@register("prepare_datasets")
+def q_prepare_datasets(spark, sf_dir):
+    """L2: full feature table with the anomaly score (157 features)."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    comb = SP.combine_splits(train, ("test", test))
+    iso = AN.fit_isolation_forest(B.add_balance_features(comb))
+    return FT.build_feature_table(train, test, iso_forest=iso)
+
+
+@register("score_table")
+def q_score_table(spark, sf_dir):
+    """A4: per-learner test predictions written as parquet (checkpoint folder) and read back."""
+    import uuid
+    train, test = TX.load_train_test(spark, sf_dir)
+    ft = FT.build_feature_table(train, test).checkpoint(eager=True)
+    asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
+    a = asm.transform(ft)
+    tr_all, te = a.filter(F.col(S.SPLIT) == "train"), a.filter(F.col(S.SPLIT) == "test")
+    preds = te.select(S.ID)
+    for name in VA.LEARNERS:
+        preds = preds.join(MD.predict(MD.fit_learner(MD.BASE_LEARNERS[name], tr_all), te, name)
+                           .select(S.ID, name), S.ID)
+    path = f"{spark.sparkContext.getCheckpointDir()}/score_table-{uuid.uuid4().hex}"
+    SK.write_table(preds, path)
+    return spark.read.parquet(path)
+
+
+@register("pipeline_submit")
+def q_pipeline_submit(spark, sf_dir):
+    """L3: final training, blend, operation prior, submission with contract checks."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return VA.train_final_and_submit(spark, train, test, TX.sample_ids(test))
+
+
+@register("pipeline_two_stage")
+def q_pipeline_two_stage(spark, sf_dir):
+    """L4: global blend + op_03 specialist fused by rank, submission with checks."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    return VA.pipeline_two_stage(spark, train, test, TX.sample_ids(test))

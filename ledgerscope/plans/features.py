@@ -117,16 +117,23 @@ def build_feature_table(
     causal_mode: str = "auto",
     causal_kw: dict | None = None,
     scale=S.AMOUNT_SCALE,
+    unsupervised_ref: str = "combined",
+    blocks: tuple = ("graph", "profile", "rolling"),
 ) -> DataFrame:
     """All features for train (OOF encodings) and test (full-fit encodings).
 
+    ``unsupervised_ref='train'`` fits aggregates, graph and profiles on the
+    train rows only (the reference's temporal validation); causal windows
+    always run over train and test together.  ``blocks`` selects the optional
+    blocks (the reduced CV feature set drops graph, profile and rolling).
+
     Returns ``id, split, fraud_flag, origin_account, destination_account`` and
     the feature columns of :func:`feature_names` (the anomaly score only when
     ``iso_forest`` is given).
     """
     causal_kw = dict(causal_kw or {})
     combined = SP.combine_splits(train, ("test", test))
-    ref = combined  # unsupervised blocks see train and test rows
+    ref = combined if unsupervised_ref == "combined" else SP.combine_splits(train)
 
     # ---- fitted scalars (a handful of numbers)
     folds = SP.stratified_group_folds(train, k, S.ORIGIN, S.LABEL, seed)
@@ -211,6 +218,13 @@ def build_feature_table(
     if iso_forest is not None:
         from ..operators.anomaly import score_column
         out = out.withColumn("iso_anomaly_score", score_column(iso_forest, out))
-    return out.select(S.ID, S.SPLIT, S.LABEL, S.ORIGIN, S.DEST,
-                      *feature_names(include_iso=iso_forest is not None))
+    names = feature_names(include_iso=iso_forest is not None)
+    drop = set()
+    if "graph" not in blocks:
+        drop |= set(G.GRAPH_COLUMNS)
+    if "profile" not in blocks:
+        drop |= set(PR.profile_columns("op_orig") + PR.profile_columns("op_dest") + PR.PROFILE_DERIVED)
+    if "rolling" not in blocks:
+        drop |= set(C.rolling_names())
+    return out.select(S.ID, S.SPLIT, S.LABEL, S.ORIGIN, S.DEST, *[n for n in names if n not in drop])
 
