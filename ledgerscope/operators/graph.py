@@ -103,6 +103,7 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     dang = x.filter("dangling").agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
     converged = tol is None
     it = 0
+    prev_cached = None
     for it in range(1, max_iter + 1):
         contrib = (trans.join(x.select(F.col("node").alias("src"), "x"), "src")
                    .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("_c")))
@@ -111,11 +112,16 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
                .select("node", "dangling",
                        (F.lit(damping) * F.coalesce(F.col("_c"), F.lit(0.0)) + F.lit(base)).alias("x"),
                        F.col("x").alias("_old")))
-        # reliable checkpoint: keeps the plan one iteration deep and survives
+        # computed once (persisted by the aggregate), then a reliable checkpoint
+        # written from the cache keeps the plan one iteration deep and survives
         # executor loss without replaying earlier iterations
-        new = new.checkpoint(eager=True)
+        cached = new.persist(StorageLevel.MEMORY_AND_DISK)
+        new = cached.checkpoint(eager=False)
         row = new.agg(F.sum(F.abs(F.col("x") - F.col("_old"))).alias("err"),
                       F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0)).alias("d")).first()
+        if prev_cached is not None:
+            prev_cached.unpersist()
+        prev_cached = cached
         x = new.select("node", "dangling", "x")
         dang = row["d"]
         if tol is not None and row["err"] < n * tol:

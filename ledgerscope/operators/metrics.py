@@ -23,7 +23,7 @@ def average_precision(df: DataFrame, score: str, label: str = S.LABEL,
     per_score = (df.filter(F.col(score).isNotNull()).groupBy(*parts, score)
                  .agg(F.sum(label).cast("long").alias("_tp"), F.count(F.lit(1)).alias("_n")))
     pref = ordered_prefix(per_score, score, {"_ctp": F.col("_tp"), "_cn": F.col("_n")},
-                          parts, descending=True, inclusive=True)
+                          parts, descending=True, inclusive=True, bounds_from=df.select(score))
     if parts:
         totals = per_score.groupBy(*parts).agg(F.sum("_tp").alias("_P"))
         x = pref.join(totals, parts, "inner")

@@ -46,6 +46,7 @@ def ordered_prefix(
     descending: bool = False,
     inclusive: bool = True,
     n_buckets: int = DEFAULT_BUCKETS,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums over ``key`` order, per ``partition_cols``.
 
@@ -55,7 +56,9 @@ def ordered_prefix(
     row's key in the chosen order.  Keys must be unique per partition.
     """
     parts = list(partition_cols or [])
-    bounds = _boundaries(df, key, n_buckets)
+    # boundaries only balance the buckets; a sketch over the raw rows (map-side
+    # partial aggregation, no shuffle of ``df``) is as good as one over ``df``
+    bounds = _boundaries(bounds_from if bounds_from is not None else df, key, n_buckets)
     names = list(sums)
     base = df.select("*", bucket_column(key, bounds, descending).alias("_bkt"),
                      *[F.coalesce(sums[n], F.lit(0)).alias(f"_v_{n}") for n in names])
@@ -91,7 +94,7 @@ def rank_pct(df: DataFrame, value: str, out: str, partition_cols: list | None =
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*parts, value).agg(F.count(F.lit(1)).alias("_cnt")))
     pref = ordered_prefix(counts, value, {"_before": F.col("_cnt")}, parts,
-                          inclusive=False, n_buckets=n_buckets)
+                          inclusive=False, n_buckets=n_buckets, bounds_from=df.select(value))
     if parts:
         totals = counts.groupBy(*parts).agg(F.sum("_cnt").alias("_n"))
         ranked = pref.join(totals, parts, "inner")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import materialize
 from ..operators import aggregates as A
 from ..operators import balance as B
 from ..operators import causal as C
@@ -132,8 +133,10 @@ def build_feature_table(
     ``iso_forest`` is given).
     """
     causal_kw = dict(causal_kw or {})
-    combined = SP.combine_splits(train, ("test", test))
-    ref = combined if unsupervised_ref == "combined" else SP.combine_splits(train)
+    # the input rows are read by a dozen branches: compute them once
+    combined = materialize(SP.combine_splits(train, ("test", test)), "combined")
+    train = combined.filter(F.col(S.SPLIT) == "train").drop(S.SPLIT)
+    ref = combined if unsupervised_ref == "combined" else combined.filter(F.col(S.SPLIT) == "train")
 
     # ---- fitted scalars (a handful of numbers)
     folds = SP.stratified_group_folds(train, k, S.ORIGIN, S.LABEL, seed)
@@ -181,6 +184,10 @@ def build_feature_table(
     op_side = (A.operation_stats(ref, scale)
                .join(prefixed(te_op, "p_").withColumnRenamed("account", S.OPERATION), S.OPERATION, "left"))
     pairs = A.pair_counts(ref)
+    # small account-level tables: written once, so the row plan below stays short
+    origin_side = materialize(origin_side, "origin_side")
+    dest_side = materialize(dest_side, "dest_side")
+    op_side = materialize(op_side, "op_side")
 
     # ---- rows: one join and one window per side
     mode = C._choose_mode(combined, [S.ORIGIN, S.DEST], causal_mode,

@@ -60,3 +60,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=base)
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the checkpoint directory and read it back.
+
+    Used to share one computed table between several branches of a plan (each
+    later read gets column pruning and filter push-down), to cut long plans,
+    and to survive executor loss without recomputing the lineage.  The folder
+    is the cluster's shared ``spark.checkpoint.dir``, never a local temp path.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
