@@ -81,6 +81,8 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     ``max_iter`` iterations.  ``ranks`` is ``(node, pagerank)``.
     """
     spark = edges.sparkSession
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = (e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))

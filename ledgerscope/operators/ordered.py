@@ -116,6 +116,8 @@ def global_positions(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
     executor does not re-sample the range bounds).  Per-partition counts (one
     row per partition) become offsets.  ``order`` must be a total order.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     mask = (1 << 33) - 1
     sorted_df = df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_mid"))
     sorted_df = sorted_df.checkpoint(eager=True)

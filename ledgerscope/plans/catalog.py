@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import round_doubles
+from ..session import ensure_checkpoint_dir
 from ..operators import balance as B
 from ..operators import causal as C
 from ..sources import transactions as TX
@@ -27,6 +28,7 @@ SQL: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)
             return round_doubles(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -25,6 +25,8 @@ LEARNERS = ("gbt", "forest", "gbt_deep")
 
 def fold_frames(tr: DataFrame, va: DataFrame, **feature_kw):
     """Feature table of one fold, materialised, assembled for the learners."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(tr.sparkSession)
     ft = FT.build_feature_table(tr, va, **feature_kw).checkpoint(eager=True)
     cols = FT.feature_columns(ft)
     asm = MD.Assembler(cols).fit(ft.filter(F.col(S.SPLIT) == "train"))

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference reads complete files only and has no watermark, event-time
+window, state or late-data logic (SURVEY §2.13), so there is no streaming
+operator to rebuild.  The row-wise feature functions in
+:mod:`ledgerscope.operators.balance` are plain projections and apply to a
+streaming DataFrame unchanged.
+"""
