@@ -83,6 +83,8 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     spark = edges.sparkSession
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
+    # transitions and ranks share one explicit partitioning, so each
+    # iteration shuffles only the contributions
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = (e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
@@ -92,17 +94,20 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     # normalised transition weights, partitioned by src once and kept
     trans = (e.join(out_w, "src").filter(F.col("_s") != 0)
              .select("src", "dst", (F.col("w") / F.col("_s")).alias("p"))
-             .repartition(nparts, "src").persist(StorageLevel.MEMORY_AND_DISK))
+             .repartition(nparts, "src")
+             .persist(StorageLevel.MEMORY_AND_DISK))
     live = out_w.filter(F.col("_s") != 0).select(F.col("src").alias("node"), F.lit(False).alias("_l"))
     node_tbl = (nodes.join(live, "node", "left")
                 .select("node", F.col("_l").isNull().alias("dangling"))
-                .repartition(nparts, "node").persist(StorageLevel.MEMORY_AND_DISK))
-    n = node_tbl.count()
+                .repartition(nparts, "node")
+                .persist(StorageLevel.MEMORY_AND_DISK))
+    cnt = node_tbl.agg(F.count(F.lit(1)).alias("n"), F.count_if("dangling").alias("d")).first()
+    n = int(cnt["n"])
     if n == 0:
         trans.unpersist()
         return node_tbl.select("node", F.lit(0.0).alias("pagerank")), True, 0
     x = node_tbl.select("node", "dangling", F.lit(1.0 / n).alias("x"))
-    dang = x.filter("dangling").agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
+    dang = x.filter("dangling").agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0] if cnt["d"] else 0.0
     converged = tol is None
     it = 0
     prev_cached = None

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def _boundaries(df: DataFrame, key: str, n_buckets: int) -> list:
+def boundaries(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> list:
+    """Up to ``n_buckets - 1`` sorted cut points of ``key`` (approximate quantiles)."""
     if n_buckets <= 1:
         return []
     fracs = [i / n_buckets for i in range(1, n_buckets)]
@@ -47,6 +48,7 @@ def ordered_prefix(
     inclusive: bool = True,
     n_buckets: int = DEFAULT_BUCKETS,
     bounds_from: DataFrame | None = None,
+    bounds: list | None = None,
 ) -> DataFrame:
     """Running sums over ``key`` order, per ``partition_cols``.
 
@@ -58,7 +60,8 @@ def ordered_prefix(
     parts = list(partition_cols or [])
     # boundaries only balance the buckets; a sketch over the raw rows (map-side
     # partial aggregation, no shuffle of ``df``) is as good as one over ``df``
-    bounds = _boundaries(bounds_from if bounds_from is not None else df, key, n_buckets)
+    if bounds is None:
+        bounds = boundaries(bounds_from if bounds_from is not None else df, key, n_buckets)
     names = list(sums)
     base = df.select("*", bucket_column(key, bounds, descending).alias("_bkt"),
                      *[F.coalesce(sums[n], F.lit(0)).alias(f"_v_{n}") for n in names])

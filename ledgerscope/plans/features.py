@@ -27,7 +27,7 @@ from ..operators import causal as C
 from ..operators import graph as G
 from ..operators import profiles as PR
 from ..operators import splits as SP
-from ..operators.ordered import ordered_prefix
+from ..operators.ordered import DEFAULT_BUCKETS, boundaries, ordered_prefix
 
 SPLITS = ("train", "test")
 K_FOLDS = 5
@@ -89,7 +89,7 @@ def _te_pick(prefix: str, fold_col: str, prior: float, fold_priors: dict, k: int
 
 # ------------------------------------------------------ PageRank rank gap
 
-def _pagerank_pct(combined: DataFrame, side_pr: DataFrame, acct: str) -> DataFrame:
+def _pagerank_pct(combined: DataFrame, side_pr: DataFrame, acct: str, bounds: list | None = None) -> DataFrame:
     """Rank percentile (ties averaged) of an account's PageRank among the rows
     of each split, as one column per split on the account table."""
     counts = (combined.groupBy(S.SPLIT, F.col(acct).alias("account"))
@@ -97,7 +97,8 @@ def _pagerank_pct(combined: DataFrame, side_pr: DataFrame, acct: str) -> DataFra
     with_pr = counts.join(side_pr, "account", "left").select(
         S.SPLIT, "account", "_c", F.coalesce(F.col("pagerank"), F.lit(0.0)).alias("_v"))
     per_value = with_pr.groupBy(S.SPLIT, "_v").agg(F.sum("_c").alias("_cnt"))
-    pref = ordered_prefix(per_value, "_v", {"_before": F.col("_cnt")}, [S.SPLIT], inclusive=False)
+    pref = ordered_prefix(per_value, "_v", {"_before": F.col("_cnt")}, [S.SPLIT], inclusive=False,
+                          bounds=bounds)
     totals = per_value.groupBy(S.SPLIT).agg(F.sum("_cnt").alias("_n"))
     pct = (pref.join(F.broadcast(totals), S.SPLIT)   # one row per split
            .select(S.SPLIT, "_v", ((F.col("_before") + (F.col("_cnt") + 1) / 2.0) / F.col("_n")).alias("_pct")))
@@ -140,15 +141,18 @@ def build_feature_table(
 
     # ---- fitted scalars (a handful of numbers)
     folds = SP.stratified_group_folds(train, k, S.ORIGIN, S.LABEL, seed)
-    fx = train.join(folds, S.ORIGIN, "inner")
-    per_fold = fx.groupBy("fold").agg(F.sum(S.LABEL).alias("s"), F.count(S.LABEL).alias("n")).collect()
-    tot_s = float(sum(r["s"] or 0 for r in per_fold))
-    tot_n = float(sum(r["n"] for r in per_fold))
+    # one small aggregate gives the fold priors and the global prior
+    per_fold = (train.join(folds, S.ORIGIN, "left").groupBy("fold")
+                .agg(F.sum(S.LABEL).alias("s"), F.count(S.LABEL).alias("n")).collect())
+    in_folds = [r for r in per_fold if r["fold"] is not None]
+    tot_s = float(sum(r["s"] or 0 for r in in_folds))
+    tot_n = float(sum(r["n"] for r in in_folds))
     fold_priors = {f: float("nan") for f in range(k)}
-    for r in per_fold:
+    for r in in_folds:
         fold_priors[int(r["fold"])] = (tot_s - float(r["s"] or 0)) / (tot_n - float(r["n"]))
-    prior_row = train.agg(F.avg(S.LABEL)).first()[0]
-    prior = float(prior_row) if prior_row is not None else 0.0
+    all_s = float(sum(r["s"] or 0 for r in per_fold))
+    all_n = float(sum(r["n"] for r in per_fold))
+    prior = all_s / all_n if all_n else 0.0
 
     # ---- origin side table
     o_stats = A.origin_stats(ref, scale).withColumnRenamed(S.ORIGIN, "account")
@@ -160,8 +164,9 @@ def build_feature_table(
     ranks = g_o.select("account", F.col("o_pagerank").alias("pagerank")).unionByName(
         g_d.select("account", F.col("d_pagerank").alias("pagerank"))).groupBy("account").agg(
         F.max("pagerank").alias("pagerank"))
-    pct_o = _pagerank_pct(combined, ranks, S.ORIGIN)
-    pct_d = _pagerank_pct(combined, ranks, S.DEST)
+    bounds = boundaries(ranks, "pagerank", DEFAULT_BUCKETS)   # one sketch for both sides
+    pct_o = _pagerank_pct(combined, ranks, S.ORIGIN, bounds)
+    pct_d = _pagerank_pct(combined, ranks, S.DEST, bounds)
 
     def prefixed(df, p):
         return df.select("account", *[F.col(c).alias(p + c) for c in df.columns if c != "account"])
@@ -187,11 +192,15 @@ def build_feature_table(
     # small account-level tables: written once, so the row plan below stays short
     origin_side = materialize(origin_side, "origin_side")
     dest_side = materialize(dest_side, "dest_side")
-    op_side = materialize(op_side, "op_side")
 
     # ---- rows: one join and one window per side
-    mode = C._choose_mode(combined, [S.ORIGIN, S.DEST], causal_mode,
-                          causal_kw.get("max_rows_per_task", C.DEFAULT_MAX_ROWS_PER_TASK))
+    max_rows = causal_kw.get("max_rows_per_task", C.DEFAULT_MAX_ROWS_PER_TASK)
+    mode = causal_mode
+    if mode == "auto":
+        # rows per account are already in the written side tables (profile frequency)
+        hot = max(origin_side.agg(F.max("op_orig_amt_freq")).first()[0] or 0,
+                  dest_side.agg(F.max("op_dest_amt_freq")).first()[0] or 0)
+        mode = "chunked" if hot > max_rows else "plain"
     rows = B.add_balance_features(combined)
     rows = B.encode_operation(rows)
     rows = rows.join(origin_side, S.ORIGIN, "left")
