@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import money_mean, money_sum
+from .ordered import exact_quantiles
 
 
 def _std0(c: str) -> Column:
@@ -43,12 +44,18 @@ def destination_stats(ref: DataFrame, scale=S.AMOUNT_SCALE) -> DataFrame:
 
 
 def operation_stats(ref: DataFrame, scale=S.AMOUNT_SCALE) -> DataFrame:
-    return ref.groupBy(S.OPERATION).agg(
+    """Per operation: count, mean, std, exact median.  An operation holds a
+    large share of all rows, so the median is computed by distributed exact
+    quantiles instead of one value-count buffer per operation."""
+    base = ref.filter(F.col(S.OPERATION).isNotNull())
+    stats = base.groupBy(S.OPERATION).agg(
         F.count(S.AMOUNT).alias("op_count"),
         money_mean(S.AMOUNT, scale).alias("op_amount_mean"),
         F.stddev_samp(S.AMOUNT).alias("op_amount_std"),
-        F.median(S.AMOUNT).alias("op_amount_median"),
-    ).filter(F.col(S.OPERATION).isNotNull())
+    )
+    med = exact_quantiles(base, S.AMOUNT, [0.5], [S.OPERATION], prefix="op_amount_median")
+    return (stats.join(med, S.OPERATION, "left")
+            .withColumnRenamed("op_amount_median0", "op_amount_median"))
 
 
 def pair_counts(ref: DataFrame) -> DataFrame:
@@ -136,12 +143,13 @@ def class_balance(df: DataFrame, label: str = S.LABEL) -> DataFrame:
 
 def describe_column(df: DataFrame, c: str) -> DataFrame:
     """count, mean, std (ddof 1), min, exact quartiles, max of one column."""
-    return df.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"),
-        F.percentile(c, 0.75).alias("q75"), F.max(c).alias("max"),
-    )
+    base = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                  F.min(c).alias("min"), F.max(c).alias("max"))
+    q = exact_quantiles(df, c, [0.25, 0.5, 0.75], prefix="q")
+    k = F.lit(1).alias("_k")   # two one-row tables
+    return (base.select("*", k).join(q.select("*", k), "_k")
+            .select("count", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"),
+                    F.col("q2").alias("q75"), "max"))
 
 
 # -- EDA summary (E10, E11, D13, S2) -------------------------------------------

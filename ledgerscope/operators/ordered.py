@@ -133,3 +133,42 @@ def global_positions(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
                             F.shiftright(sorted_df["_mid"], 33) == offsets["_pid"], "inner")
     return joined.select(*df.columns,
                          (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(mask))).cast("long").alias(out))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list, group_cols: list | None = None,
+                    n_buckets: int = DEFAULT_BUCKETS, prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolation quantiles per group, without a per-group buffer.
+
+    ``percentile`` keeps a value -> count map per group and merges it in one
+    task, which a group holding a third of the rows (or very many distinct
+    values) cannot afford.  Here: counts per (group, value) (partial
+    aggregation), cumulative counts by bucketed prefix sums, then the values
+    covering positions floor(q (n-1)) and ceil(q (n-1)), interpolated exactly
+    like ``percentile`` does.  Output: group columns + one column per quantile
+    named ``{prefix}{i}`` (null for an empty group).
+    """
+    parts = list(group_cols or [])
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(*parts, value)
+              .agg(F.count(F.lit(1)).alias("_c")))
+    pref = ordered_prefix(counts, value, {"_cum": F.col("_c")}, parts, inclusive=True,
+                          n_buckets=n_buckets, bounds_from=df.select(value))
+    totals = counts.groupBy(*parts).agg(F.sum("_c").alias("_n"))
+    x = pref.join(totals, parts, "inner") if parts else pref.withColumn(
+        "_n", F.lit(int(counts.agg(F.sum("_c")).first()[0] or 0)))
+    start = F.col("_cum") - F.col("_c")        # first 0-based index covered by this value
+    end = F.col("_cum") - 1                    # last index covered
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs += [F.max(F.when((start <= lo) & (lo <= end), F.col(value))).alias(f"_lo{i}"),
+                 F.max(F.when((start <= hi) & (hi <= end), F.col(value))).alias(f"_hi{i}"),
+                 F.max(pos).alias(f"_p{i}")]
+    g = x.groupBy(*parts).agg(*aggs)
+    outs = []
+    for i, _ in enumerate(qs):
+        p, vlo, vhi = F.col(f"_p{i}"), F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        lo, hi = F.floor(p).cast("double"), F.ceil(p).cast("double")
+        interp = (hi - p) * vlo + (p - lo) * vhi
+        outs.append(F.when((lo == hi) | (vlo == vhi), vlo).otherwise(interp).alias(f"{prefix}{i}"))
+    return g.select(*parts, *outs)

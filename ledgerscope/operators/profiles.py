@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import clip
+from .ordered import exact_quantiles
 
 PROFILE_SIDES = {"origin": (S.ORIGIN, "op_orig"), "dest": (S.DEST, "op_dest")}
 
@@ -18,21 +19,32 @@ def profile_columns(prefix: str, operations=tuple(S.OPERATIONS)) -> list:
 
 
 def fit_account_profile(ref: DataFrame, side: str, operations=tuple(S.OPERATIONS),
-                        exact: bool = True) -> DataFrame:
-    """One row per account.  Quartiles use linear interpolation (``percentile``);
-    ``exact=False`` switches to ``percentile_approx`` (opt-in for very hot
-    accounts with many distinct amounts).  The share pivot uses the explicit
-    operation list, so no extra job discovers the values; absent operations
-    give 0; the denominator counts rows with a non-null operation."""
+                        quantiles: str = "distributed") -> DataFrame:
+    """One row per account.  Quartiles use linear interpolation.
+
+    ``quantiles='distributed'`` (default) computes them exactly with
+    :func:`exact_quantiles` (no per-account buffer, safe for an account holding
+    a third of the rows); ``'buffer'`` uses ``percentile`` (one value-count map
+    per account); ``'approx'`` uses ``percentile_approx``.  The share pivot uses
+    the explicit operation list, so no extra job discovers the values; absent
+    operations give 0; the denominator counts rows with a non-null operation."""
     acct, prefix = PROFILE_SIDES[side]
     a = F.col(S.AMOUNT)
-    q = (F.percentile(a, [0.25, 0.5, 0.75]) if exact
-         else F.percentile_approx(a, [0.25, 0.5, 0.75], 100_000).cast("array<double>"))
+    qs = [0.25, 0.5, 0.75]
     op_counts = [F.count_if(F.col(S.OPERATION) == op).alias(f"_c_{op}") for op in operations]
-    g = (ref.filter(F.col(acct).isNotNull()).groupBy(acct)
-         .agg(q.alias("_q"), F.count(F.lit(1)).alias("_freq"),
+    base = ref.filter(F.col(acct).isNotNull())
+    extra = []
+    if quantiles == "buffer":
+        extra = [F.percentile(a, qs).alias("_q")]
+    elif quantiles == "approx":
+        extra = [F.percentile_approx(a, qs, 100_000).cast("array<double>").alias("_q")]
+    g = (base.groupBy(acct)
+         .agg(*extra, F.count(F.lit(1)).alias("_freq"),
               F.count_distinct(S.OPERATION).alias("_nops"),
               F.count(S.OPERATION).alias("_ops_total"), *op_counts))
+    if quantiles == "distributed":
+        qt = exact_quantiles(base, S.AMOUNT, qs, [acct], prefix="_q")
+        g = g.join(qt, acct, "left").withColumn("_q", F.array("_q0", "_q1", "_q2"))
     q25, q50, q75 = (F.col("_q")[i] for i in range(3))
     denom = F.greatest(F.col("_ops_total"), F.lit(1)).cast("double")
     zero = F.lit(0.0)
