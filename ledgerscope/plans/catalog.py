@@ -1125,10 +1125,31 @@ from . import models as MD  # noqa: E402
 from . import validation as VA  # noqa: E402
 
 
+_FRAMES: dict = {}
+
+
 def _holdout_frames(spark, sf_dir):
-    train = _train(spark, sf_dir)
-    tr, va = SP.temporal_split(train)
-    return VA.fold_frames(tr, va, unsupervised_ref="train")
+    """Temporal-holdout feature frames, built once per application and input
+    folder (the inputs are immutable files; the table is written under the
+    checkpoint folder), shared by the model queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, "holdout")
+    if key not in _FRAMES:
+        train = _train(spark, sf_dir)
+        tr, va = SP.temporal_split(train)
+        _FRAMES[key] = VA.fold_frames(tr, va, unsupervised_ref="train")
+    return _FRAMES[key]
+
+
+def _full_frames(spark, sf_dir):
+    """Assembled train/test feature frames of the whole fixture (memoised like above)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "full")
+    if key not in _FRAMES:
+        train, test = TX.load_train_test(spark, sf_dir)
+        ft = FT.build_feature_table(train, test).checkpoint(eager=True)
+        asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
+        a = asm.transform(ft)
+        _FRAMES[key] = (a.filter(F.col(S.SPLIT) == "train"), a.filter(F.col(S.SPLIT) == "test"))
+    return _FRAMES[key]
 
 
 @register("assemble_features")
@@ -1168,15 +1189,11 @@ def q_predict(spark, sf_dir):
 @register("refit_full")
 def q_refit_full(spark, sf_dir):
     """Refit on all train rows with the holdout's kept tree count (floored)."""
-    train, test = TX.load_train_test(spark, sf_dir)
-    ft = FT.build_feature_table(train, test).checkpoint(eager=True)
-    asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
-    a = asm.transform(ft)
-    tr_all = a.filter(F.col(S.SPLIT) == "train")
+    tr_all, te = _full_frames(spark, sf_dir)
     hold = MD.fit_learner(MD.BASE_LEARNERS["gbt"], tr_all.filter(F.col(S.PERIOD) < S.VAL_PERIOD_CUTOFF),
                           tr_all.filter(F.col(S.PERIOD) >= S.VAL_PERIOD_CUTOFF))
     full = MD.refit_full(MD.BASE_LEARNERS["gbt"], "gbt", hold, tr_all)
-    return MD.predict(full, a.filter(F.col(S.SPLIT) == "test"), "score").select(S.ID, "score")
+    return MD.predict(full, te, "score").select(S.ID, "score")
 
 
 @register("fit_specialist")
@@ -1306,11 +1323,7 @@ def q_prepare_datasets(spark, sf_dir):
 def q_score_table(spark, sf_dir):
     """A4: per-learner test predictions written as parquet (checkpoint folder) and read back."""
     import uuid
-    train, test = TX.load_train_test(spark, sf_dir)
-    ft = FT.build_feature_table(train, test).checkpoint(eager=True)
-    asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
-    a = asm.transform(ft)
-    tr_all, te = a.filter(F.col(S.SPLIT) == "train"), a.filter(F.col(S.SPLIT) == "test")
+    tr_all, te = _full_frames(spark, sf_dir)
     preds = te.select(S.ID)
     for name in VA.LEARNERS:
         preds = preds.join(MD.predict(MD.fit_learner(MD.BASE_LEARNERS[name], tr_all), te, name)
