@@ -76,3 +76,16 @@ def test_rank_pct_matches_pandas(spark):
     pdf = tx.select(S.ID, S.AMOUNT).toPandas().set_index(S.ID)[S.AMOUNT]
     exp = pdf.rank(method="average", pct=True)
     assert ((got.sort_index() - exp.sort_index()).abs() < 1e-12).all()
+
+
+def test_exact_quantiles_match_percentile_with_a_hot_group(spark):
+    from ledgerscope.operators.ordered import exact_quantiles
+    tx = TX.load_transactions(spark, SF001)
+    # one group holds every row, the others are the origin accounts
+    x = tx.select(F.lit(-1).cast("long").alias("g"), S.AMOUNT).unionByName(
+        tx.select(F.col(S.ORIGIN).alias("g"), S.AMOUNT))
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(qs))]
+           for r in exact_quantiles(x, S.AMOUNT, qs, ["g"], n_buckets=8).collect()}
+    exp = {r["g"]: list(r["p"]) for r in x.groupBy("g").agg(F.percentile(S.AMOUNT, qs).alias("p")).collect()}
+    assert got == exp
