@@ -198,11 +198,14 @@ def quick_validation(spark: SparkSession, train: DataFrame, test: DataFrame, fra
     return spark.createDataFrame(rows, "model string, value double")
 
 
-def baseline_manifest(spark: SparkSession, train: DataFrame, test: DataFrame) -> DataFrame:
+def baseline_manifest(spark: SparkSession, train: DataFrame, test: DataFrame,
+                      rolling_report: DataFrame | None = None,
+                      group_report: DataFrame | None = None) -> DataFrame:
     """Both CVs, data fingerprints and the seed in one row."""
     from ..sources.sinks import money_canonical_columns, table_fingerprint
-    roll = fold_summary_table(cv_rolling(spark, train)).first()
-    grp = fold_summary_table(cv_group(spark, train)).first()
+    roll = fold_summary_table(rolling_report if rolling_report is not None
+                              else cv_rolling(spark, train)).first()
+    grp = fold_summary_table(group_report if group_report is not None else cv_group(spark, train)).first()
     fp_tr = table_fingerprint(train, money_canonical_columns()).first()
     fp_te = table_fingerprint(test.withColumn(S.LABEL, F.lit(None).cast("int")), money_canonical_columns()).first()
     row = (S.RANDOM_STATE, int(fp_tr["fingerprint"] or 0), int(fp_te["fingerprint"] or 0),
