@@ -84,8 +84,11 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # transitions and ranks share one explicit partitioning, so each
-    # iteration shuffles only the contributions
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # iteration shuffles only the contributions; the count follows the cores
+    # (all executors on a cluster), capped by the session's shuffle setting,
+    # because every iteration pays per-task overhead on every partition
+    nparts = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                          spark.sparkContext.defaultParallelism))
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = (e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
              .distinct())
