@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerscope.llm import tokens
-from ledgerscope.llm.common import as_texts, map_batches, read
+from ledgerscope.llm.common import map_batches, read
 from ledgerscope.session import ensure_checkpoint_dir, materialize
 
 MAGIC, BLOCK, LANE = b"PFR1", 128, 32
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     def run(batches):
         task = TaskContext.get()
         fs, base = _filesystem(folder)
-        end, encode = np.array([end_id], "<u4").tobytes(), tokens.encoder(tokenizer, False).encode
+        end, encode_all = np.array([end_id], "<u4").tobytes(), tokens.encoder(tokenizer, False).encode_all
         names, counts, parts, size, k = [], [], [], 0, 0
 
         def flush():
@@ -149,8 +149,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             return pa.RecordBatch.from_pydict({"file": [name], "n_ids": [size], "n_docs": [len(names)], "bytes": [len(data)]})
 
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), as_texts(b.column(1))):
-                ids = encode(text) + end
+            for name, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1))):
+                ids += end
                 names.append(name)
                 counts.append(len(ids) // 4)
                 parts.append(ids)

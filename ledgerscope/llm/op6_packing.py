@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerscope.llm import tokens
-from ledgerscope.llm.common import as_texts, map_batches, read
+from ledgerscope.llm.common import map_batches, read
 from ledgerscope.session import materialize
 
 CAPACITY, END_ID = 4096, 1
@@ -172,11 +172,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), Counter()
-        encode, end = tokens.encoder(tokenizer, True).encode, np.array([end_id], "<u4").tobytes()
+        encode_all, end = tokens.encoder(tokenizer, True).encode_all, np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for name, text in zip(b.column(0).to_pylist(), as_texts(b.column(1))):
-                ids = encode(text) + end
+            for name, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at:at + 4 * capacity]
                     length = len(cut) // 4

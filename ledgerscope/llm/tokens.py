@@ -1,72 +1,120 @@
-"""Token ids through a per-process cache of word pieces.
+"""Token ids of whole text columns through a per-process cache of words.
 
-The ids of a text are the ids of its space-separated pieces put together, wherever the tokenizer's own
-word split must cut there anyway; each different piece is then encoded once per process.  Texts
-with two white-space characters in a row are encoded whole, so the ids are always the tokenizer's.
+Texts are cut at white space, where the tokenizer's own word split must cut anyway; the different
+words of a group of texts are looked up once, those missing from the cache go to the tokenizer, and
+the ids are put together by array operations.  Texts with two white-space characters in a row are
+encoded whole, so the ids are always the tokenizer's.
 """
 from __future__ import annotations
 
-import re
+import os
+import unicodedata
+from collections.abc import Iterator
 
-_DOUBLE = re.compile(r"\s\s")
-_GENERATION = 300_000  # pieces in each of the cache's two generations; bounds a worker's memory
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_DOUBLE = r"[\s\x0b\x1c-\x1f\x85\pZ]{2}"
+_CACHED = 400_000  # words in each of the cache's two generations; bounds a worker's memory
+_GROUP_BYTES = 8_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
+# byte-level vocabularies write a byte as a character: printable Latin-1 stands for itself, the
+# others follow from 256 on
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b if b in set(_SELF) else 256 + n - sum(s < b for s in _SELF)
+               for n, b in enumerate(range(256))}
+
 
-class _Pieces(dict):
-    """piece -> little-endian ids; keeps the pieces used lately, at most two generations."""
+class Encoder:
+    """Ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode, lower):
-        super().__init__()
-        self.encode, self.old, self.lower, self.lf = encode, {}, lower, encode("\n")
+    ``words=True`` is for a tokenizer that drops white space and lower-cases, so its words stand bare.
+    Otherwise a word carries the space or line feed before it; a line feed is a token of its own, and a
+    text is taken as if it followed one.
+    """
+
+    def __init__(self, path: str, words: bool):
+        from tokenizers import Tokenizer
+        self.tok, self.words = Tokenizer.from_file(path), words
+        self.model = self.tok.model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.lf = self.whole("\n")
+        self.marks = {m: self.whole(m) for m in ".,"}
 
-    def __missing__(self, piece: str) -> bytes:
-        if "\n" in piece:  # a line feed between other characters is always a token of its own
-            a, b = piece.split("\n", 1)
-            return (self[a] if a else b"") + self.lf + (self[b] if b else b"")
-        ids = self.old.get(piece)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, w: str) -> bytes:
+        """The ids of a word with its leading space or line feed."""
+        ids = self.new.get(w)
         if ids is None:
-            # a letter and a full stop or comma never share a token, so the mark is encoded by itself
-            if len(piece) > 2 and piece[-1] in ".," and piece[-2].isalpha():
-                ids = self[piece[:-1]] + self[piece[-1]]
-            elif self.lower and piece.isascii() and not piece.islower() and piece.isalpha():
-                ids = self[piece.lower()]
-            else:
-                ids = self.encode(piece)
-        if len(self) >= _GENERATION:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+            ids = self.old.get(w)
+            if ids is None:
+                ids = self._encode(w)
+            self.new[w] = ids
         return ids
 
+    def _encode(self, w: str) -> bytes:
+        if not self.words and w[:1] == "\n":
+            return self.lf + self._piece(w[1:]) if len(w) > 1 else self.lf
+        return self._piece(w if self.words else " " + w)
 
-class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
+    def _piece(self, p: str) -> bytes:
+        # a letter and a full stop or comma never share a token, so the mark is encoded by itself
+        if len(p) > 1 and p[-1] in ".," and p[-2].isalpha():
+            return self._piece(p[:-1]) + self.marks[p[-1]]
+        letters = p[1:] if p[:1] == " " else p
+        if not letters.isalpha():
+            return self.whole(p) if p else b""
+        if self.words:
+            if max(letters) >= "ɐ" or "İ" in letters:
+                return self.whole(p)
+            p = unicodedata.normalize("NFC", p).lower()
+        # letters alone are one word to the tokenizer: straight to its merges
+        return np.array([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
 
-    ``words=True`` is for a tokenizer that drops white space and lower-cases (its pieces are the bare
-    words); otherwise a piece carries the space before it.
-    """
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a string column (null: none), a bounded group of texts at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // _GROUP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield from self._group(texts.slice(a, b - a))
 
-    def __init__(self, path: str, words: bool):
-        import numpy as np
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        self.whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        self.words, self.pieces = words, _Pieces(self.whole, words)
-
-    def encode(self, text: str) -> bytes:
-        if _DOUBLE.search(text):
-            return self.whole(text)
-        get = self.pieces.__getitem__
-        first, *rest = text.split(" ")
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _DOUBLE)
+        odd_texts = iter(texts.filter(odd).to_pylist())
+        plain = pc.if_else(odd, "", texts)
         if self.words:
-            return b"".join([get(p) for p in (first, *rest) if p])
-        return (get(first) if first else b"") + b"".join([get(" " + p) for p in rest])
+            plain = pc.replace_substring(plain, "\n", " ")
+        else:
+            plain = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(plain, "\n", " \n"),
+                                                pa.scalar("", pa.large_string()))
+        cut = pc.split_pattern(plain, " ")
+        coded = cut.flatten().dictionary_encode()
+        if len(self.new) > _CACHED:
+            self.new, self.old = {}, self.new
+        found = [self._word(w) for w in coded.dictionary.to_pylist()]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        first = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = memoryview(ids[np.repeat(first, lengths) + np.arange(total)].tobytes())
+        bounds = np.r_[0, ends][np.asarray(cut.offsets)].tolist()
+        skip = 0 if self.words else len(self.lf)
+        for a, b, whole in zip(bounds, bounds[1:], odd.to_pylist()):
+            yield self.whole(next(odd_texts)) if whole else bytes(raw[4 * a + skip:4 * b])
 
 
 def encoder(path: str, words: bool) -> Encoder:
     """The process's encoder for a tokenizer file; Python workers that are reused keep it warm."""
-    import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, words) not in _ENCODERS:
         _ENCODERS[path, words] = Encoder(path, words)
