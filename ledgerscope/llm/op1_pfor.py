@@ -57,34 +57,41 @@ def _unpack(words: np.ndarray, w: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(-1, BLOCK)
 
 
-def encode_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray, percentile: float = 0.9) -> bytes:
-    """One file from the documents' ids, put end to end."""
-    n_blocks = -(-len(ids) // BLOCK)
-    padded = np.empty(n_blocks * BLOCK, np.uint32)
-    padded[:len(ids)] = ids
-    if len(ids):
-        padded[len(ids):] = ids[-1]
-    v = padded.reshape(n_blocks, BLOCK)
-    low = v.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
+def _encode_blocks(ids: np.ndarray, percentile: float):
+    """Minimum, width, words and exceptions (block, position, high bits) of full blocks."""
+    v = ids.reshape(-1, BLOCK)
+    low = v.min(axis=1)
     v = v - low[:, None]
     at = min(BLOCK - 1, int(percentile * BLOCK))
-    widths = _bits(np.partition(v, at, axis=1)[:, at]) if n_blocks else np.zeros(0, np.uint8)
-    high = (v.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype(np.uint32)
+    widths = _bits(np.partition(v, at, axis=1)[:, at])
+    high = np.where(widths[:, None] < 32, v >> np.minimum(widths, 31)[:, None], 0).astype(np.uint32)
     rows, cols = np.nonzero(high)
-    first_exc = np.r_[0, np.cumsum(np.bincount(rows, minlength=n_blocks))].astype("<u4")
-    first_word = np.r_[0, np.cumsum(widths.astype(np.int64) * (BLOCK // 32))].astype("<u4")
+    first_word = np.r_[0, np.cumsum(widths.astype(np.int64) * (BLOCK // 32))]
     words = np.zeros(int(first_word[-1]), "<u4")
     for w in np.unique(widths[widths > 0]):
         mine = np.flatnonzero(widths == w)
         mask = np.uint32((1 << int(w)) - 1 if w < 32 else 0xFFFFFFFF)
         span = int(w) * (BLOCK // 32)
-        words[first_word[mine].astype(np.int64)[:, None] + np.arange(span)] = _pack(v[mine] & mask, int(w)).reshape(-1, span)
-    head = np.array([len(counts), n_blocks, len(rows), len(words), BLOCK, 0], "<u4")
+        words[first_word[mine][:, None] + np.arange(span)] = _pack(v[mine] & mask, int(w)).reshape(-1, span)
+    return low, widths, words, np.bincount(rows, minlength=len(v)), cols.astype("u1"), high[rows, cols]
+
+
+def encode_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray, percentile: float = 0.9, slice_blocks: int = 1 << 13) -> bytes:
+    """One file from the documents' ids, put end to end; worked on in slices, so the scratch space stays small."""
+    tail = np.full(-len(ids) % BLOCK, ids[-1] if len(ids) else 0, np.uint32)  # the last block is filled up with its last id
+    ids, n_ids = np.r_[ids, tail].astype(np.uint32) if len(tail) else ids, len(ids)
+    step = slice_blocks * BLOCK
+    parts = [_encode_blocks(ids[a:a + step], percentile) for a in range(0, len(ids), step)]
+    empty = (np.zeros(0, "u1"),) * 6
+    low, widths, words, n_exc, cols, high = (np.concatenate(c) for c in (zip(*parts) if parts else [(e,) for e in empty]))
+    first_exc = np.r_[0, np.cumsum(n_exc, dtype=np.int64)].astype("<u4")
+    first_word = np.r_[0, np.cumsum(widths.astype(np.int64) * (BLOCK // 32))].astype("<u4")
+    head = np.array([len(counts), len(low), len(cols), len(words), BLOCK, 0], "<u4")
     known = np.array([d is not None for d in doc_ids], "u1")
     named = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([MAGIC, head.tobytes(), np.array([len(ids)], "<u8").tobytes(), named.tobytes(), known.tobytes(),
+    return b"".join([MAGIC, head.tobytes(), np.array([n_ids], "<u8").tobytes(), named.tobytes(), known.tobytes(),
                      counts.astype("<u4").tobytes(), low.astype("<u4").tobytes(), first_word.tobytes(), first_exc.tobytes(),
-                     widths.tobytes(), cols.astype("u1").tobytes(), high[rows, cols].astype("<u4").tobytes(), words.tobytes()])
+                     widths.astype("u1").tobytes(), cols.tobytes(), high.astype("<u4").tobytes(), words.astype("<u4").tobytes()])
 
 
 def decode_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:

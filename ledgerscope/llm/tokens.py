@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _DOUBLE = r"[\s\x0b\x1c-\x1f\x85\pZ]{2}"
-_CACHED = 400_000  # words in each of the cache's two generations; bounds a worker's memory
-_GROUP_BYTES = 8_000_000
+_CACHED = 250_000  # words in each of the cache's two generations; bounds a worker's memory
+_GROUP_BYTES = 4_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 # byte-level vocabularies write a byte as a character: printable Latin-1 stands for itself, the
