@@ -131,24 +131,55 @@ def detect(docs: DataFrame, text_col: str, keep: list[str], window: int, only: b
     return map_batches(picked, run, schema)
 
 
-def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(term, n_t)``: in how many documents each term stands; counted per batch before the shuffle."""
+_FILTER_BITS = 24
+
+
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``2**24`` bits over the column ``term``: 2 MB on the driver and in a task, however many terms there are."""
+    mask, page = (1 << _FILTER_BITS) - 1, 1 << 15
+    at = terms.select(F.explode(F.array(F.col("term").bitwiseAND(mask), F.shiftrightunsigned("term", _FILTER_BITS).bitwiseAND(mask))).alias("at"))
+    bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    for row in at.groupBy(F.floor(F.col("at") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("at") % page).alias("bits")).collect():
+        part = np.frombuffer(row["bits"], np.uint8)
+        bits[row["page"] * (page // 8):][:len(part)] = part
+    return bits
+
+
+def may_hold(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """False only for terms that are not in the filter."""
+    h, mask = terms.view(np.uint64), np.uint64((1 << _FILTER_BITS) - 1)
+    found = np.ones(len(h), bool)
+    for at in (h & mask, (h >> np.uint64(_FILTER_BITS)) & mask):
+        found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
+def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``(term, n_t)``: in how many documents each wanted term stands.
+
+    All texts are read; a Bloom filter keeps other terms out of the shuffle, and the join those few that pass it.
+    """
+    bits = term_filter(wanted)
+
     def run(batches):
         for b in batches:
             for words, at, bounds in word_groups(b.column(0)):
-                keys: dict[int, int] = {}
-                terms = [[keys.setdefault(_hash(t.lower()), len(keys)) for t in _TERM.findall(w)] for w in words]
-                sizes = np.array([len(t) for t in terms], np.int64)
-                flat = np.array([k for t in terms for k in t], np.int64)
+                said = [[_hash(t.lower()) for t in _TERM.findall(w)] for w in words]
+                sizes = np.array([len(t) for t in said], np.int64)
+                terms = np.array([h for t in said for h in t], np.int64)
+                keep = may_hold(bits, terms)
+                keys, flat = np.unique(terms[keep], return_inverse=True)
+                sizes = np.bincount(np.repeat(np.arange(len(words)), sizes)[keep], minlength=len(words))
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                doc, word = np.divmod(np.unique(doc * max(1, len(words)) + at), max(1, len(words)))
+                some = sizes[at] > 0
+                doc, word = np.divmod(np.unique(doc[some] * max(1, len(words)) + at[some]), max(1, len(words)))
                 n = sizes[word]
                 at_term = flat[np.repeat((np.cumsum(sizes) - sizes)[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 pairs = np.unique(np.repeat(doc, n) * max(1, len(keys)) + at_term) % max(1, len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int64()), pa.array(np.bincount(pairs, minlength=len(keys)).astype(np.int64))],
-                                                 ["term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(pairs, minlength=len(keys)).astype(np.int64))], ["term", "n"])
+
     counted = map_batches(docs.select(F.col(text_col).cast("string")), run, "term long, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(wanted, "term", "left_semi")
 
 
 def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
@@ -159,13 +190,18 @@ def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, support:
              .groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
              .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support))
     entities = seen.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = materialize(pairs.join(entities, "entity"), "pairs")
-    total = docs.agg(F.count("*")).first()[0]
-    counts = term_counts(docs, text_col).join(wanted.select("term").distinct(), "term", "left_semi")
-    information = F.log2(F.lit(float(max(1, total))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    judged = (wanted.join(counts, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
-              .where(F.col("share") >= generalise)
+    near = seen.select("uid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = float(docs.agg(F.count("*")).first()[0] or 1)
+    information = F.log2(F.lit(total) / F.col("n_e"))
+
+    def share(n_t):
+        return F.when(information > 0, F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * n_t)) / information).otherwise(0.0)
+
+    # a term stands in at least as many documents as have it near an entity, and its share only falls with
+    # that number: what fails with the smaller number needs no count over the corpus
+    wanted = materialize(pairs.join(entities, "entity").join(near, "term").where(share(F.col("n_near")) >= generalise), "pairs")
+    judged = (wanted.join(term_counts(docs, text_col, wanted.select("term").distinct()), "term")
+              .withColumn("share", share(F.col("n_t"))).where(F.col("share") >= generalise)
               .select("entity", "term", (F.col("share") >= remove).cast("int").alias("action")))
     return (seen.join(judged, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("action").alias("action"))
             .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
