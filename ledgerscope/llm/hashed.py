@@ -37,6 +37,7 @@ def word_groups(texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.nda
 def collect_features(docs: DataFrame, wanted: DataFrame, extract: Callable, id_col: str, text_col: str) -> list[tuple]:
     """``(id, extra columns of wanted, feature buckets, values)`` of a bounded list of ids, in id order.
 
+    ``extract`` gives buckets and values for each text, or None for values that are all one.
     ``wanted`` has a column ``id`` and at most as many rows as its documented bound, so it can be broadcast; a
     repeated id counts once.
     """
@@ -48,14 +49,14 @@ def collect_features(docs: DataFrame, wanted: DataFrame, extract: Callable, id_c
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[b.column(i + 2) for i in range(len(extra))],
                  pa.array([i.astype("<u4").tobytes() for i, _ in sparse], pa.binary()),
-                 pa.array([v.astype("<f4").tobytes() for _, v in sparse], pa.binary())], ["id", *extra, "idx", "val"])
+                 pa.array([b"" if v is None else v.astype("<f4").tobytes() for _, v in sparse], pa.binary())], ["id", *extra, "idx", "val"])
 
     kinds = "".join(f", {n} {t}" for n, t in wanted.dtypes if n != "id")
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
             .join(F.broadcast(wanted), "id").select("id", "text", *extra)
             .mapInArrow(run, f"id long{kinds}, idx binary, val binary")
             .dropDuplicates(["id"]).collect())
-    return [(*[r[c] for c in ("id", *extra)], np.frombuffer(r["idx"], "<u4").astype(np.int64), np.frombuffer(r["val"], "<f4").astype(float))
+    return [(*[r[c] for c in ("id", *extra)], np.frombuffer(r["idx"], "<u4"), np.frombuffer(r["val"], "<f4"))
             for r in sorted(rows, key=lambda r: r["id"])]
 
 

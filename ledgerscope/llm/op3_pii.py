@@ -157,29 +157,40 @@ def may_hold(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
 def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """``(term, n_t)``: in how many documents each wanted term stands.
 
-    All texts are read; a Bloom filter keeps other terms out of the shuffle, and the join those few that pass it.
+    All texts are read; a Bloom filter keeps most other terms out of the shuffle, and those that pass it meet no partner later.
     """
     bits = term_filter(wanted)
 
     def run(batches):
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the task so far
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["term", "n"])
+
         for b in batches:
             for words, at, bounds in word_groups(b.column(0)):
                 said = [[_hash(t.lower()) for t in _TERM.findall(w)] for w in words]
                 sizes = np.array([len(t) for t in said], np.int64)
                 terms = np.array([h for t in said for h in t], np.int64)
                 keep = may_hold(bits, terms)
-                keys, flat = np.unique(terms[keep], return_inverse=True)
+                found, flat = np.unique(terms[keep], return_inverse=True)
                 sizes = np.bincount(np.repeat(np.arange(len(words)), sizes)[keep], minlength=len(words))
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 some = sizes[at] > 0
                 doc, word = np.divmod(np.unique(doc[some] * max(1, len(words)) + at[some]), max(1, len(words)))
                 n = sizes[word]
                 at_term = flat[np.repeat((np.cumsum(sizes) - sizes)[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                pairs = np.unique(np.repeat(doc, n) * max(1, len(keys)) + at_term) % max(1, len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(pairs, minlength=len(keys)).astype(np.int64))], ["term", "n"])
+                pairs = np.unique(np.repeat(doc, n) * max(1, len(found)) + at_term) % max(1, len(found))
+                both, place = np.unique(np.r_[keys, found], return_inverse=True)
+                counts = np.bincount(place, np.r_[counts, np.bincount(pairs, minlength=len(found))], len(both)).astype(np.int64)
+                keys = both
+                if len(keys) > 500_000:  # bounds a task's memory
+                    yield flush()
+                    keys, counts = keys[:0], counts[:0]
+        yield flush()
 
     counted = map_batches(docs.select(F.col(text_col).cast("string")), run, "term long, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(wanted, "term", "left_semi")
+    return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:

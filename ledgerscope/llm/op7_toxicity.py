@@ -41,13 +41,12 @@ def extract(words, at, bounds):
     text, word = _once(at, bounds, len(words))
     cuts = np.searchsorted(text, np.arange(len(bounds)))
     for a, b in zip(cuts, cuts[1:]):
-        idx = np.unique(np.array([f for k in word[a:b] for f in features[k]], np.int64))
-        yield idx, np.ones(len(idx))
+        yield np.unique(np.array([f for k in word[a:b] for f in features[k]], np.int64)), None
 
 
 def fit(rows: list[tuple], prior: float, epochs: int = 15, rate: float = 0.1, l1: float = 2e-3, batch: int = 500,
         least_texts: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias from ``(id, positive?, buckets, values)``: proximal AdaGrad on the non-negative PU risk.
+    """Weights and bias from ``(id, positive?, buckets, ...)``: proximal AdaGrad on the non-negative PU risk.
 
     Buckets seen in fewer than ``least_texts`` sampled texts get no weight.
     """
@@ -56,8 +55,11 @@ def fit(rows: list[tuple], prior: float, epochs: int = 15, rate: float = 0.1, l1
     unl = [r[2] for r in rows if not r[1]]
     if not pos or not unl:
         return weights, float(bias)
-    used = np.flatnonzero(np.bincount(np.concatenate(pos + unl), minlength=hashed.DIMS) >= least_texts)
-    place = np.full(hashed.DIMS, -1)
+    texts = np.zeros(hashed.DIMS, np.int64)
+    for x in (*pos, *unl):
+        texts[x] += 1  # the buckets of a text are different
+    used = np.flatnonzero(texts >= least_texts)
+    place = np.full(hashed.DIMS, -1, np.int32)
     place[used] = np.arange(len(used))
     pos, unl = ([k[k >= 0] for k in (place[x] for x in part)] for part in (pos, unl))
     w, n = np.r_[np.zeros(len(used)), bias], np.full(len(used) + 1, 1e-6)

@@ -71,7 +71,7 @@ def fit(rows: list[tuple], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             _, label, idx, val = rows[k]
-            i, x = np.r_[idx, hashed.DIMS], np.r_[val, 1.0]
+            i, x = np.r_[idx.astype(np.int64), hashed.DIMS], np.r_[val.astype(float), 1.0]
             w = weights(i)
             g = (hashed.sigmoid(x @ w) - label) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
