@@ -2,7 +2,7 @@
 
 The rows are dealt into blocks of candidates and blocks of queries, each pair of blocks being one unit of work.
 In a unit every component has its list of candidates sorted by value.  For a query the lists are read in step
-from their better end, some entries at a time; what a candidate has shown so far plus the
+from their better end, to an eighth, a quarter, a half and at last their whole length; what a candidate has shown so far plus the
 least (most) that its unread components can still give bounds its score from below (above).  Reading stops when at
 most a few candidates can still reach the k-th best lower bound; their scores are then resolved, and the best k of all
 units are merged.  Bounds are inclusive, so ties go to the smaller id as asked.
@@ -17,42 +17,57 @@ from ledgerscope.llm.common import read
 from ledgerscope.session import materialize
 
 K, SCALE, QUERY_STEP = 20, 64, 20
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
+CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 256
 
 
 class Lists:
-    """The sorted lists of a block of candidates: one list for each component and direction."""
+    """The sorted lists of a block of candidates: for each component one from the largest value down and one from the least up.
+
+    A list's first ``depth`` entries are held as a row of a matrix with a place for each candidate (zero: not read
+    yet), so that one product reads a prefix of all lists for all queries of a block.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.lexsort((ids,))
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.int64)
-        up = np.argsort(self.vectors.T, axis=1, kind="stable")
-        self.order = np.concatenate([up, up[:, ::-1]])
-        self.values = np.take_along_axis(np.concatenate([self.vectors.T] * 2), self.order, axis=1)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k, by score and then id; ``own`` takes no part."""
-        n, dims = self.vectors.shape
-        lists = np.where(query > 0, dims, 0) + np.arange(dims)
-        lists, q = lists[query != 0], query[query != 0].astype(np.float64)
-        least = self.values[lists, -1] * q
-        shown, unread = np.zeros(n), np.ones((len(lists), n))
-        taken = self.ids == own
-        alive = np.flatnonzero(~taken)
-        rows, step = np.arange(len(lists))[:, None], max(64, n // 8)
-        for at in range(0, n if len(lists) else 0, step):
-            ids, values = self.order[lists, at:at + step], self.values[lists, at:at + step] * q[:, None]
-            shown += np.bincount(ids.ravel(), values.ravel(), n)
-            unread[rows, ids] = 0
-            low, high = shown + least @ unread, shown + values[:, -1] @ unread
-            low[taken] = high[taken] = -np.inf
-            bar = np.partition(low, n - k)[n - k] if n > k else -np.inf
-            alive = np.flatnonzero((high >= bar) & ~taken)
-            if len(alive) <= 2 * k:
+        self.ids, self.vectors = ids[order], vectors[order]
+        up = np.argsort(self.vectors, axis=0, kind="stable")
+        values = np.take_along_axis(self.vectors, up, axis=0)
+        place = np.empty_like(up)
+        np.put_along_axis(place, up, np.arange(len(ids))[:, None], axis=0)
+        self.values = np.concatenate([values[::-1], values], axis=1)  # entry, list
+        self.place = np.concatenate([len(ids) - 1 - place, place], axis=1)  # candidate, list: where the candidate stands
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the best k, by score and then id; ``own`` takes no part."""
+        n, out = len(self.ids), [None] * len(queries)
+        # a positive component reads its list from the top, a negative one from the bottom
+        asked = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+        most = np.abs(asked).sum(1).max(initial=0) * np.abs(self.vectors).max(initial=0)
+        real = np.float32 if most < 1 << 23 else np.float64  # whole numbers, exact in both
+        asked, open_ = asked.astype(real), np.arange(len(queries))
+        both = np.concatenate([self.vectors, self.vectors], axis=1).astype(real)
+        worst = self.values[-1].astype(real)
+        for depth in sorted({max(1, n // 8), max(1, n // 4), max(1, n // 2), n}):
+            read = self.place < depth
+            part = asked[open_]
+            shown = part @ np.where(read, both, 0).T
+            read = read.astype(real)
+            rest = lambda value: (w := part * value).sum(1, keepdims=True) - w @ read.T
+            low, high = (shown, shown) if depth == n else (shown + rest(worst), shown + rest(self.values[depth - 1].astype(real)))
+            mine = self.ids[None, :] == own[open_, None]
+            low = np.where(mine, -np.inf, low)
+            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+            alive = (high >= bar[:, None]) & ~mine
+            done = (alive.sum(1) <= 4 * k) | (depth == n)
+            for j in np.flatnonzero(done):  # outsiders cannot qualify any more: resolve the others
+                left = np.flatnonzero(alive[j])
+                scores = self.vectors[left] @ queries[open_[j]]
+                best = np.lexsort((left, -scores))[:k]
+                out[open_[j]] = self.ids[left[best]], scores[best]
+            open_ = open_[~done]
+            if not len(open_):
                 break
-        scores = self.vectors[alive] @ query
-        best = np.lexsort((alive, -scores))[:k]
-        return self.ids[alive[best]], scores[best]
+        return out
 
 
 def whole_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -98,8 +113,8 @@ def top_k(table: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col: st
         if asked.num_rows and offered.num_rows:
             dims = max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for t in (asked, offered) for c in t.column("v").chunks)
             lists = Lists(offered.column("id").to_numpy(), _matrix(offered.column("v"), dims))
-            for q, vector in zip(asked.column("id").to_pylist(), _matrix(asked.column("v"), dims)):
-                ids, scores = lists.top(vector, q, k)
+            names = asked.column("id").to_numpy()
+            for q, (ids, scores) in zip(names, lists.top(_matrix(asked.column("v"), dims), names, k)):
                 found.append((np.full(len(ids), q), ids, scores))
         cols = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c.astype(np.int64)) for c in cols], ["query_id", "vec_id", "score"])
