@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.llm.common import as_texts, map_batches, read
@@ -103,13 +103,13 @@ _DETECTED = ("uid long, text_hash long, base array<struct<start:int,kind:int,end
              "contexts array<struct<entity:long,term:long,start:int,end:int>>")
 
 
-def detect(docs: DataFrame, text_col: str, keep: list[str], window: int, only: bool | None = None) -> DataFrame:
-    """The kept columns with a row number, the base spans and their contexts.
+def detect(docs: DataFrame, text_col: str, keep: Column, window: int, only: bool | None = None) -> DataFrame:
+    """``kept`` (the expression ``keep``) with a row number, the base spans and their contexts.
 
     ``only=True`` gives the rows that hold an entity, ``only=False`` the others.
     """
-    picked = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = T.StructType([*picked.schema.fields[1:], *T._parse_datatype_string(_DETECTED).fields])
+    picked = docs.select(F.col(text_col).cast("string").alias("text"), keep.alias("kept"))
+    schema = T.StructType([picked.schema["kept"], *T.StructType.fromDDL(_DETECTED).fields])
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])),
              pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
 
@@ -125,7 +125,7 @@ def detect(docs: DataFrame, text_col: str, keep: list[str], window: int, only: b
                                  [dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(text, spans, window)]))
                 uid += 1
             kept = b.filter(pa.array(chosen, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[1:], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]],
+            yield pa.RecordBatch.from_arrays([kept.column(1), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]],
                                              schema.names)
 
     return map_batches(picked, run, schema)
@@ -225,9 +225,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts hold nothing; rows without an id and repeated rows are searched like any other, a
     repeated text being one piece of evidence; an empty table gives an empty result; other columns are not read.
     """
-    found = materialize(detect(docs.withColumn("__id", F.col(id_col).cast("long")), text_col, ["__id"], window), "entities")
+    found = materialize(detect(docs, text_col, F.col(id_col).cast("long"), window), "entities")
     terms = disclosing_spans(found.where(F.size("base") > 0), docs, text_col, support, generalise, remove)
-    return found.join(terms, "uid", "left").select(F.col("__id").alias("doc_id"), "base", "terms")
+    return found.join(terms, "uid", "left").select(F.col("kept").alias("doc_id"), "base", "terms")
 
 
 def _rewrite(text: str, base, terms) -> str:
@@ -249,22 +249,23 @@ def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, supp
 
     Rows without an entity pass unchanged and are never shuffled.
     """
-    hit = materialize(detect(docs, text_col, docs.columns, window, only=True), "entities")
+    row = F.struct(*[docs[c] for c in docs.columns])  # in one column, so that no name can clash
+    hit = materialize(detect(docs, text_col, row, window, only=True), "entities")
     terms = disclosing_spans(hit, docs, text_col, support, generalise, remove)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def rewrite(batches):
         for b in batches:
-            done = [_rewrite(t, s, x) for t, s, x in zip(*(b.column(k).to_pylist() for k in (at, len(schema), len(schema) + 1)))]
-            cols = list(b.columns[:len(schema)])
+            cols = b.column(0).flatten()
+            done = [_rewrite(t, s, x) for t, s, x in zip(cols[at].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols[at] = pa.array(done, pa.string())
             if "n_chars" in schema.names:
                 cols[schema.names.index("n_chars")] = pa.array([len(t) for t in done], pa.int64())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    changed = map_batches(hit.join(terms, "uid", "left").select(*docs.columns, "base", "terms"), rewrite, schema)
-    clean = detect(docs, text_col, docs.columns, window, only=False).select(*docs.columns)
-    return changed.unionByName(clean)
+    changed = map_batches(hit.join(terms, "uid", "left").select("kept", "base", "terms"), rewrite, schema)
+    clean = detect(docs, text_col, row, window, only=False).select("kept.*")
+    return changed.unionAll(clean)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

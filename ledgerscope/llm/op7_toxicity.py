@@ -23,7 +23,7 @@ _FEATURES: dict[str, tuple[int, ...]] = {}
 def word_features(w: str) -> tuple[int, ...]:
     found = _FEATURES.get(w)
     if found is None:
-        if len(_FEATURES) > 200_000:
+        if len(_FEATURES) > 100_000:
             _FEATURES.clear()
         found = _FEATURES[w] = tuple(x for p in _WORD.findall(w.lower()) for x in
                                      (hashed.bucket("w" + p), hashed.bucket("4" + p[:4]), hashed.bucket("5" + p[:5])))

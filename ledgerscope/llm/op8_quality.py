@@ -28,7 +28,7 @@ _WORDS: dict[str, tuple[int, int]] = {}
 def _word(w: str) -> tuple[int, int]:
     found = _WORDS.get(w)
     if found is None:
-        if len(_WORDS) > 200_000:
+        if len(_WORDS) > 100_000:
             _WORDS.clear()
         found = _WORDS[w] = hashed.bucket("w" + w), hashed.bucket("s" + shape(w[:64]))
     return found
