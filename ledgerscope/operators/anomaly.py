@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .splits import row_subsample
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -87,10 +86,10 @@ class IsolationForestModel:
 
 
 def fit_isolation_forest(df: DataFrame, features=tuple(S.ISO_FEATURES), n_trees: int = S.ISO_TREES,
-                         max_samples: int = S.ISO_SAMPLES_PER_TREE, subsample: int = S.ISO_SUBSAMPLE,
+                         max_samples: int = S.ISO_SAMPLES_PER_TREE,
                          seed: int = S.RANDOM_STATE, key: str = S.ID) -> IsolationForestModel:
     features = list(features)
-    sample = row_subsample(df.select(key, *features), subsample, key, seed)
+    sample = df.select(key, *features)  # every tree draws from all rows
     n = sample.count()
     psi = int(min(max_samples, n))
     if psi == 0:

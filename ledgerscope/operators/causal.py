@@ -18,6 +18,9 @@ Two physical plans give identical results:
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,9 +98,9 @@ def _plain_primitives(df: DataFrame, acct: str, windows, scale) -> DataFrame:
 def _hot_group_bounds(df: DataFrame, acct: str, max_rows: int) -> DataFrame | None:
     """Id boundaries for (account, period) groups above ``max_rows`` rows.
 
-    The number of hot groups is at most N / max_rows, each gets at most
-    N_group / max_rows boundaries, so the table is small by construction; its
-    size is still checked before it is broadcast.
+    There are at most N / max_rows hot groups with N_group / max_rows boundaries
+    each.  That grows with the data, so no join here is forced to broadcast:
+    Spark does it where the measured size allows.
     """
     counts = df.groupBy(acct, S.PERIOD).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > max_rows)
@@ -107,7 +110,6 @@ def _hot_group_bounds(df: DataFrame, acct: str, max_rows: int) -> DataFrame | No
     # deterministic sample of about 64 ids per wanted boundary
     hot = hot.select(acct, S.PERIOD, "_n",
                      F.ceil(F.col("_n") / F.lit(max_rows)).alias("_parts"))
-    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
     rate = F.least(F.lit(1.0), F.col("_parts") * 64.0 / F.col("_n"))
     u = (F.abs(F.xxhash64(F.col(S.ID))) % 1_000_003) / F.lit(1_000_003.0)
     sampled = df.select(acct, S.PERIOD, S.ID).join(hot, [acct, S.PERIOD], "inner").filter(u < rate)
@@ -129,7 +131,7 @@ def _chunked_primitives(df: DataFrame, acct: str, windows, max_rows: int,
         raise ValueError("block_rows must exceed the largest window")
     bounds = _hot_group_bounds(df, acct, max_rows)
     if bounds is not None:
-        x = df.join(F.broadcast(bounds), [acct, S.PERIOD], "left")
+        x = df.join(bounds, [acct, S.PERIOD], "left")
         sub = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
             F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col(S.ID))))
         x = x.select(*df.columns, sub.alias("_sub"))
@@ -159,7 +161,11 @@ def _chunked_primitives(df: DataFrame, acct: str, windows, max_rows: int,
     s_in = F.sum("_u").over(p1)
     c_in = F.count(a).over(p1)
     zero = F.lit(0) if scale is not None else F.lit(0.0)
-    y = x.join(chunks, ck, "inner").select(
+    # null-safe: rows without an account or period have their chunk too
+    chunks = chunks.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ck)],
+                           "_off_n", "_off_s", "_off_c", "_off_m", "_first")
+    same_chunk = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(ck)])
+    y = x.join(chunks, same_chunk, "inner").select(
         *cols,
         (F.col("_off_n") + F.row_number().over(w1) - 1).alias("_r"),
         F.when(F.col("_off_c") + c_in > 0,

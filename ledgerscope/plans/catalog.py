@@ -129,7 +129,7 @@ def _causal_sql(names: list[str], expanding: bool, rolling: bool) -> str:
     return O.with_tx("SELECT id,\n  " + OC.select_list(chosen) + "\nFROM tx")
 
 
-def _causal_query(name: str, suffixes: list[str] | None, expanding: bool, rolling: bool):
+def _causal_query(name: str, suffixes: list[str] | None, expanding: bool, rolling: bool, **plan):
     if expanding:
         names = C.expanding_names()
     else:
@@ -137,7 +137,7 @@ def _causal_query(name: str, suffixes: list[str] | None, expanding: bool, rollin
 
     @register(name, _causal_sql(names, expanding, rolling))
     def q(spark, sf_dir):
-        out = C.add_causal_features(_tx(spark, sf_dir), expanding=expanding, rolling=rolling)
+        out = C.add_causal_features(_tx(spark, sf_dir), expanding=expanding, rolling=rolling, **plan)
         return out.select(S.ID, *names)
     q.__doc__ = f"{name}: causal per-account window features ({', '.join(names[:3])}...)"
     return q
@@ -153,6 +153,10 @@ _causal_query("rolling_escalation", ["amt_ratio_max20"], False, True)
 _causal_query("burst_flag", ["burst2"], False, True)
 _causal_query("first_seen", ["is_first", "rank"], False, True)
 _causal_query("rolling_all", None, False, True)
+# the same results by the plan for hot accounts, cut small enough to be used on every table
+_HOT_PLAN = {"mode": "chunked", "max_rows_per_task": 40, "block_rows": 64}
+_causal_query("expanding_features_chunked", None, True, False, **_HOT_PLAN)
+_causal_query("rolling_all_chunked", None, False, True, **_HOT_PLAN)
 
 
 # ------------------------------------------------------------ aggregates (E*)
@@ -501,12 +505,15 @@ def q_account_sample(spark, sf_dir):
             .unionByName(te.select(S.ID, F.lit("test").alias("split"))))
 
 
+SUBSAMPLE_ROWS = 500
+
+
 @register("row_subsample", O.with_tx(f"""
 SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {O.md5_hash('id', S.RANDOM_STATE)}, id) AS r FROM tx)
-WHERE r <= {S.ISO_SUBSAMPLE}"""))
+WHERE r <= {SUBSAMPLE_ROWS}"""))
 def q_row_subsample(spark, sf_dir):
-    """At most 200,000 rows, first in hash order (the anomaly-fit sample)."""
-    return SP.row_subsample(_tx(spark, sf_dir)).select(S.ID)
+    """The first rows in hash order, fewer than the table has."""
+    return SP.row_subsample(_tx(spark, sf_dir), SUBSAMPLE_ROWS).select(S.ID)
 
 
 @register("operation_filter", O.with_tx(
@@ -1125,31 +1132,19 @@ from . import models as MD  # noqa: E402
 from . import validation as VA  # noqa: E402
 
 
-_FRAMES: dict = {}
-
-
 def _holdout_frames(spark, sf_dir):
-    """Temporal-holdout feature frames, built once per application and input
-    folder (the inputs are immutable files; the table is written under the
-    checkpoint folder), shared by the model queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, "holdout")
-    if key not in _FRAMES:
-        train = _train(spark, sf_dir)
-        tr, va = SP.temporal_split(train)
-        _FRAMES[key] = VA.fold_frames(tr, va, unsupervised_ref="train")
-    return _FRAMES[key]
+    """Temporal-holdout feature frames, from the given tables at every call."""
+    tr, va = SP.temporal_split(_train(spark, sf_dir))
+    return VA.fold_frames(tr, va, unsupervised_ref="train")
 
 
 def _full_frames(spark, sf_dir):
-    """Assembled train/test feature frames of the whole fixture (memoised like above)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "full")
-    if key not in _FRAMES:
-        train, test = TX.load_train_test(spark, sf_dir)
-        ft = FT.build_feature_table(train, test).checkpoint(eager=True)
-        asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
-        a = asm.transform(ft)
-        _FRAMES[key] = (a.filter(F.col(S.SPLIT) == "train"), a.filter(F.col(S.SPLIT) == "test"))
-    return _FRAMES[key]
+    """Assembled train/test feature frames of the whole fixture."""
+    train, test = TX.load_train_test(spark, sf_dir)
+    ft = FT.materialize(FT.build_feature_table(train, test), "features")
+    asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
+    a = asm.transform(ft)
+    return a.filter(F.col(S.SPLIT) == "train"), a.filter(F.col(S.SPLIT) == "test")
 
 
 @register("assemble_features")
@@ -1260,12 +1255,9 @@ def q_validate_models(spark, sf_dir):
 
 
 def _cv(spark, sf_dir, kind: str):
-    """CV reports (a few rows each) computed once per application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _FRAMES:
-        fn = VA.cv_rolling if kind == "cv_rolling" else VA.cv_group
-        _FRAMES[key] = fn(spark, _train(spark, sf_dir))
-    return _FRAMES[key]
+    """A CV report (a few rows)."""
+    fn = VA.cv_rolling if kind == "cv_rolling" else VA.cv_group
+    return fn(spark, _train(spark, sf_dir))
 
 
 @register("cv_rolling")

@@ -171,20 +171,18 @@ def build_feature_table(
     def prefixed(df, p):
         return df.select("account", *[F.col(c).alias(p + c) for c in df.columns if c != "account"])
 
-    # every table below is keyed by accounts of ``ref``, so left joins from the
-    # stats table keep all of them
-    origin_side = (o_stats.join(g_o, "account", "left")
+    # the percentiles hold the accounts of all rows, also those that ``ref`` has not
+    # seen: their rank is 0 among the rows, not missing
+    origin_side = (prefixed(pct_o, "o_").join(o_stats, "account", "left").join(g_o, "account", "left")
                    .join(p_o, "account", "left")
                    .join(prefixed(te_o, "o_"), "account", "left")
-                   .join(prefixed(pct_o, "o_"), "account", "left")
                    .join(folds.withColumnRenamed(S.ORIGIN, "account").withColumnRenamed("fold", "_fold"),
                          "account", "left")
                    .withColumnRenamed("account", S.ORIGIN))
     d_stats = A.destination_stats(ref, scale).withColumnRenamed(S.DEST, "account")
-    dest_side = (d_stats.join(g_d, "account", "left")
+    dest_side = (prefixed(pct_d, "d_").join(d_stats, "account", "left").join(g_d, "account", "left")
                  .join(p_d, "account", "left")
                  .join(prefixed(te_d, "d_"), "account", "left")
-                 .join(prefixed(pct_d, "d_"), "account", "left")
                  .withColumnRenamed("account", S.DEST))
     op_side = (A.operation_stats(ref, scale)
                .join(prefixed(te_op, "p_").withColumnRenamed("account", S.OPERATION), S.OPERATION, "left"))
@@ -207,7 +205,7 @@ def build_feature_table(
     rows = C.add_causal_features(rows, sides=("origin",), mode=mode, amount_scale=scale, **causal_kw)
     rows = rows.join(dest_side, S.DEST, "left")
     rows = C.add_causal_features(rows, sides=("dest",), mode=mode, amount_scale=scale, **causal_kw)
-    rows = rows.join(F.broadcast(op_side), S.OPERATION, "left")   # one row per operation
+    rows = rows.join(op_side, S.OPERATION, "left")   # Spark broadcasts it where its size allows
     rows = rows.join(pairs, [S.ORIGIN, S.DEST], "left")
 
     # ---- final projection with the reference's fills

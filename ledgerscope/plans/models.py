@@ -66,10 +66,10 @@ class Assembler:
 
 
 def with_class_weight(df: DataFrame, scheme: str = "pos_ratio", label: str = S.LABEL,
-                      out: str = "weight") -> DataFrame:
+                      out: str = "weight", counted: DataFrame | None = None) -> DataFrame:
     """E12 as a weight column: positives get neg/pos ('pos_ratio') or both
-    classes n / (2 n_c) ('balanced')."""
-    row = df.agg(F.sum(label).alias("p"), F.count(label).alias("n")).first()
+    classes n / (2 n_c) ('balanced'), by the labels of ``counted`` (default: ``df``)."""
+    row = (df if counted is None else counted).agg(F.sum(label).alias("p"), F.count(label).alias("n")).first()
     pos, n = float(row["p"] or 0), float(row["n"] or 0)
     neg = n - pos
     if scheme == "balanced":
@@ -103,7 +103,7 @@ def fit_learner(spec: dict, train: DataFrame, valid: DataFrame | None = None,
     if valid is not None and spec["kind"] == "gbt":
         both = (train.select("*", F.lit(False).alias("_is_valid"))
                 .unionByName(valid.select("*", F.lit(True).alias("_is_valid"))))
-        both = with_class_weight(both, weight_scheme)
+        both = with_class_weight(both, weight_scheme, counted=train)  # holdout labels do not count
         return _estimator(spec, "weight", "_is_valid").fit(both)
     return _estimator(spec, "weight").fit(with_class_weight(train, weight_scheme))
 

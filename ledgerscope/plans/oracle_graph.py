@@ -31,17 +31,17 @@ def _step(i: int, damping: float) -> str:
 
 def pagerank_ctes(iterations: int, convergent: bool, damping: float = S.PAGERANK_DAMPING,
                   tol: float = S.PAGERANK_TOL) -> list:
-    """CTEs ending in ``gpr(node, pagerank)`` (rounded to 12 digits)."""
+    """CTEs ending in ``gpr(node, pagerank)`` (rounded to 9 digits of the mean rank)."""
     ctes = list(GRAPH_BASE_CTES) + [_step(i, damping) for i in range(1, iterations + 1)]
     if not convergent:
-        ctes.append(f"gpr AS (SELECT node, round(x, 12) AS pagerank FROM pr{iterations})")
+        ctes.append(f"gpr AS (SELECT node, round(x * (SELECT n FROM gcount), 9) / (SELECT n FROM gcount)::DOUBLE AS pagerank FROM pr{iterations})")
         return ctes
     errs = " UNION ALL ".join(
         f"SELECT {i} AS it, sum(abs(a.x - b.x)) AS err FROM pr{i} a JOIN pr{i - 1} b ON a.node = b.node"
         for i in range(1, iterations + 1))
     ctes.append(f"gerr AS (SELECT min(it) AS it FROM ({errs}) WHERE err < (SELECT n FROM gcount) * {tol!r})")
     alls = " UNION ALL ".join(f"SELECT {i} AS it, node, x FROM pr{i}" for i in range(1, iterations + 1))
-    ctes.append(f"""gpr AS (SELECT gnd.node, coalesce(round(v.x, 12), 0.0) AS pagerank FROM gnd
+    ctes.append(f"""gpr AS (SELECT gnd.node, coalesce(round(v.x * (SELECT n FROM gcount), 9) / (SELECT n FROM gcount)::DOUBLE, 0.0) AS pagerank FROM gnd
   LEFT JOIN (SELECT node, x FROM ({alls}) u WHERE u.it = (SELECT it FROM gerr)) v ON gnd.node = v.node)""")
     return ctes
 

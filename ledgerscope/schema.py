@@ -44,7 +44,6 @@ PAGERANK_MAX_ITER = 50
 ISO_TREES = 200
 ISO_SAMPLES_PER_TREE = 256
 ISO_SUBSAMPLE = 200_000
-MIN_FULL_ITERS = {"gbt": 800, "forest": 600, "gbt_deep": 600, "specialist": 800}
 ISO_FEATURES = [
     "amount",
     "amount_log1p",

@@ -46,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a fresh folder is created.
+    is.  Only a local master without it (tests) gets a fresh folder; any other
+    master is refused, as its executors could not see the driver's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = os.environ.get("LEDGERSCOPE_SCRATCH", tempfile.gettempdir())
     path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=base)
     sc.setCheckpointDir(path)
@@ -68,7 +71,8 @@ def materialize(df, name: str = "table"):
     Used to share one computed table between several branches of a plan (each
     later read gets column pruning and filter push-down), to cut long plans,
     and to survive executor loss without recomputing the lineage.  The folder
-    is the cluster's shared ``spark.checkpoint.dir``, never a local temp path.
+    is the cluster's shared ``spark.checkpoint.dir``; only a local master may go
+    without one and gets a temporary folder.
     """
     import uuid
     spark = df.sparkSession

@@ -1,6 +1,7 @@
 """The skew-safe plans must give exactly the plain plans' results."""
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -89,3 +90,44 @@ def test_exact_quantiles_match_percentile_with_a_hot_group(spark):
            for r in exact_quantiles(x, S.AMOUNT, qs, ["g"], n_buckets=8).collect()}
     exp = {r["g"]: list(r["p"]) for r in x.groupBy("g").agg(F.percentile(S.AMOUNT, qs).alias("p")).collect()}
     assert got == exp
+
+
+def test_chunked_plan_keeps_rows_without_account_or_period(spark):
+    tx = TX.load_transactions(spark, SF001)
+    tx = (tx.withColumn(S.DEST, F.when(F.col(S.ID) % 10 != 0, F.col(S.DEST)))
+            .withColumn(S.ORIGIN, F.when(F.col(S.ID) % 7 != 0, F.col(S.ORIGIN)))
+            .withColumn(S.PERIOD, F.when(F.col(S.ID) % 31 != 0, F.col(S.PERIOD))))
+    # a null period sorts first in its account in both plans
+    _assert_same(C.add_causal_features(tx, mode="plain"),
+                 C.add_causal_features(tx, mode="chunked", max_rows_per_task=15, block_rows=32))
+
+
+def test_pagerank_keeps_small_ranks_apart(spark):
+    """Ranks are rounded relative to 1/N: a chain ending in a star keeps its different ranks."""
+    from ledgerscope.operators import graph as G
+    edges = spark.range(20000).selectExpr("id as src", "id + 100000 as dst", "cast(1 as double) as weight").unionAll(
+        spark.range(3).selectExpr("id as src", "cast(7 as bigint) as dst", "cast(1 as double) as weight"))
+    ranks, _, _ = G.pagerank(edges, max_iter=3, tol=None)
+    n = ranks.count()
+    got = ranks.selectExpr(f"round(pagerank * {n}, 6) as r").distinct().count()
+    assert got >= 4 and abs(ranks.agg(F.sum("pagerank")).first()[0] - 1) < 1e-6
+
+
+def test_only_a_local_master_gets_a_temporary_folder():
+    from ledgerscope import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://driver:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())
