@@ -129,7 +129,7 @@ def _filesystem(folder: str):
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
-                 percentile: float = 0.9, file_ids: int = 1 << 24) -> DataFrame:
+                 percentile: float = 0.9, file_ids: int = 1 << 22) -> DataFrame:
     """Encode ``docs`` in ascending id order into files under ``folder`` (a URI all executors reach); gives the written list of files.
 
     The rows are dealt by range of ``(id, hash of the text)``, so an id that repeats without end is cut as
@@ -153,6 +153,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             with fs.open_output_stream(f"{base}/.{name}.{task.taskAttemptId()}") as out:
                 out.write(data)
             fs.move(f"{base}/.{name}.{task.taskAttemptId()}", f"{base}/{name}")
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_pydict({"file": [name], "n_ids": [size], "n_docs": [len(names)], "bytes": [len(data)]})
 
         for b in batches:

@@ -8,7 +8,9 @@ encoded whole, so the ids are always the tokenizer's.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 
 _DOUBLE = r"[\s\x0b\x1c-\x1f\x85\pZ]{2}"
 _CACHED = 250_000  # words in each of the cache's two generations; bounds a worker's memory
-_GROUP_BYTES = 4_000_000
+_GROUP_BYTES = 5_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 # byte-level vocabularies write a byte as a character: printable Latin-1 stands for itself, the
@@ -25,6 +27,9 @@ _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b if b in set(_SELF) else 256 + n - sum(s < b for s in _SELF)
                for n, b in enumerate(range(256))}
+_SPACE = chr(_BYTE_CHARS[32])
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("token ids are written as little-endian 32-bit integers")
 
 
 class Encoder:
@@ -49,12 +54,10 @@ class Encoder:
 
     def _word(self, w: str) -> bytes:
         """The ids of a word with its leading space or line feed."""
-        ids = self.new.get(w)
+        ids = self.old.get(w)
         if ids is None:
-            ids = self.old.get(w)
-            if ids is None:
-                ids = self._encode(w)
-            self.new[w] = ids
+            ids = self._encode(w)
+        self.new[w] = ids
         return ids
 
     def _encode(self, w: str) -> bytes:
@@ -69,12 +72,17 @@ class Encoder:
         letters = p[1:] if p[:1] == " " else p
         if not letters.isalpha():
             return self.whole(p) if p else b""
+        plain = letters.isascii()
         if self.words:
-            if max(letters) >= "ɐ" or "İ" in letters:
+            if not plain and (max(letters) >= "ɐ" or "İ" in letters):
                 return self.whole(p)
-            p = unicodedata.normalize("NFC", p).lower()
+            p = p.lower() if plain else unicodedata.normalize("NFC", p).lower()
         # letters alone are one word to the tokenizer: straight to its merges
-        return np.array([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
+        if not plain:
+            p = p.encode().decode("latin-1").translate(_BYTE_CHARS)
+        elif p[0] == " ":
+            p = _SPACE + letters
+        return array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a string column (null: none), a bounded group of texts at a time."""
@@ -98,15 +106,17 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         if len(self.new) > _CACHED:
             self.new, self.old = {}, self.new
-        found = [self._word(w) for w in coded.dictionary.to_pylist()]
+        known, word = self.new.get, self._word
+        found = [known(w) or word(w) for w in coded.dictionary.to_pylist()]
         ids = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         at = coded.indices.to_numpy()
         lengths = sizes[at]
         ends = np.cumsum(lengths)
-        first = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        raw = memoryview(ids[np.repeat(first, lengths) + np.arange(total)].tobytes())
+        # a group has far fewer than 2**31 ids
+        place = np.repeat(((np.cumsum(sizes) - sizes)[at] - (ends - lengths)).astype(np.int32), lengths)
+        place += np.arange(len(place), dtype=np.int32)
+        raw = memoryview(ids[place].tobytes())
         bounds = np.r_[0, ends][np.asarray(cut.offsets)].tolist()
         skip = 0 if self.words else len(self.lf)
         for a, b, whole in zip(bounds, bounds[1:], odd.to_pylist()):
