@@ -103,10 +103,16 @@ TWO_PI = 2.0 * math.pi
 
 
 def units(c: str | Column, scale: int | None) -> Column:
-    """Amount as exact integer units of 10**-scale (or the double itself)."""
+    """Amount as exact integer units of 10**-scale (or the double itself).  Amounts
+    finer than that fail the job; they are never rounded."""
     if scale is None:
         return col(c)
-    return F.round(col(c) * F.lit(float(10 ** scale))).cast("long")
+    x = col(c) * F.lit(float(10 ** scale))
+    whole = F.round(x)
+    # a product of an exact decimal is off by a few units in the last place only
+    exact = F.abs(x - whole) <= F.lit(1e-6) + F.abs(x) * F.lit(1e-15)
+    finer = F.raise_error(F.lit(f"amounts finer than 10**-{scale}: pass a larger scale, or None for double sums"))
+    return F.when(x.isNull() | exact, whole.cast("long")).otherwise(finer.cast("long"))
 
 
 def from_units(total: Column, scale: int | None) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import clip, from_units, units
+from ..session import materialize
 from .ordered import rank_pct
 
 GRAPH_COLUMNS = ["o_out_degree", "o_out_count", "o_out_amount_sum", "o_out_amount_mean",
@@ -70,6 +71,26 @@ def reciprocal_pairs(ref: DataFrame) -> tuple[DataFrame, DataFrame]:
     return o, d
 
 
+def account_graph(pairs: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """One row per account of the pair table ``(src, dst, rows)``: degrees, 2-cycle
+    counts of both sides and, given ``ranks(node, pagerank)``, the rank, from one aggregate."""
+    rev = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("rows").alias("_rev"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    c2 = F.when(F.col("src") < F.col("dst"), F.col("rows") + F.coalesce("_rev", F.lit(0))).otherwise(zero)
+    names = ["out_degree", "in_degree", "o_cycle2_count", "d_cycle2_count"]
+
+    def end(account, *values):
+        return F.struct(F.col(account).alias("account"), *[v.alias(n) for n, v in zip(names, values)])
+
+    both = F.array(end("src", one, zero, c2, zero), end("dst", zero, one, zero, c2))
+    parts = (pairs.join(rev, ["src", "dst"], "left").select(F.explode(both).alias("_e"))
+             .select("_e.*", F.lit(None).cast("double").alias("pagerank")))
+    if ranks is not None:
+        parts = parts.unionByName(ranks.select(F.col("node").alias("account"), *[zero.alias(n) for n in names],
+                                               "pagerank"))
+    return parts.groupBy("account").agg(*[F.sum(n).alias(n) for n in names], F.max("pagerank").alias("pagerank"))
+
+
 def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: int = S.PAGERANK_MAX_ITER,
              tol: float | None = S.PAGERANK_TOL,
              num_partitions: int | None = None, scale=S.AMOUNT_SCALE) -> tuple[DataFrame, bool, int]:
@@ -138,6 +159,9 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
             converged = True
             break
     trans.unpersist()
+    node_tbl.unpersist()
+    if prev_cached is not None:
+        prev_cached.unpersist()   # the last ranks are read from their checkpoint
     if converged:
         ranks = x.select("node", (F.round(F.col("x") * F.lit(float(n)), PAGERANK_DIGITS) / F.lit(float(n))).alias("pagerank"))
     else:
@@ -150,14 +174,14 @@ def fit_graph_features(ref: DataFrame, scale=S.AMOUNT_SCALE, **pr_kw) -> tuple[D
     missing cycle counts and ranks are 0."""
     o_stats = _side_stats(ref, S.ORIGIN, S.DEST, "o", "out", scale)
     d_stats = _side_stats(ref, S.DEST, S.ORIGIN, "d", "in", scale)
-    o_cyc, d_cyc = reciprocal_pairs(ref)
-    ranks, _, _ = pagerank(edge_weights(ref, scale), scale=scale, **pr_kw)
-    ranks = ranks.withColumnRenamed("node", "account")
-    o = (o_stats.join(o_cyc, "account", "left").join(ranks, "account", "left")
+    pairs = materialize(edge_weights(ref, scale), "pairs")   # read by the ranks, cycles and degrees
+    ranks, _, _ = pagerank(pairs, scale=scale, **pr_kw)
+    nodes = materialize(account_graph(pairs, ranks), "nodes")
+    o = (o_stats.join(nodes, "account", "left")
          .select(*[F.col(c) for c in o_stats.columns],
                  F.coalesce(F.col("o_cycle2_count"), F.lit(0)).alias("o_cycle2_count"),
                  F.coalesce(F.col("pagerank"), F.lit(0.0)).alias("o_pagerank")))
-    d = (d_stats.join(d_cyc, "account", "left").join(ranks, "account", "left")
+    d = (d_stats.join(nodes, "account", "left")
          .select(*[F.col(c) for c in d_stats.columns],
                  F.coalesce(F.col("d_cycle2_count"), F.lit(0)).alias("d_cycle2_count"),
                  F.coalesce(F.col("pagerank"), F.lit(0.0)).alias("d_pagerank")))

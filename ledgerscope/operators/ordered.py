@@ -136,7 +136,7 @@ def global_positions(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list, group_cols: list | None = None,
-                    n_buckets: int = DEFAULT_BUCKETS, prefix: str = "q") -> DataFrame:
+                    n_buckets: int = DEFAULT_BUCKETS, prefix: str = "q", bounds: list | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group, without a per-group buffer.
 
     ``percentile`` keeps a value -> count map per group and merges it in one
@@ -145,13 +145,14 @@ def exact_quantiles(df: DataFrame, value: str, qs: list, group_cols: list | None
     aggregation), cumulative counts by bucketed prefix sums, then the values
     covering positions floor(q (n-1)) and ceil(q (n-1)), interpolated exactly
     like ``percentile`` does.  Output: group columns + one column per quantile
-    named ``{prefix}{i}`` (null for an empty group).
+    named ``{prefix}{i}`` (null for an empty group).  ``bounds`` are cut points of
+    ``value`` known from an earlier call.
     """
     parts = list(group_cols or [])
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*parts, value)
               .agg(F.count(F.lit(1)).alias("_c")))
     pref = ordered_prefix(counts, value, {"_cum": F.col("_c")}, parts, inclusive=True,
-                          n_buckets=n_buckets, bounds_from=df.select(value))
+                          n_buckets=n_buckets, bounds_from=df.select(value), bounds=bounds)
     totals = counts.groupBy(*parts).agg(F.sum("_c").alias("_n"))
     x = pref.join(totals, parts, "inner") if parts else pref.withColumn(
         "_n", F.lit(int(counts.agg(F.sum("_c")).first()[0] or 0)))

@@ -31,7 +31,6 @@ def fit_account_profile(ref: DataFrame, side: str, operations=tuple(S.OPERATIONS
     acct, prefix = PROFILE_SIDES[side]
     a = F.col(S.AMOUNT)
     qs = [0.25, 0.5, 0.75]
-    op_counts = [F.count_if(F.col(S.OPERATION) == op).alias(f"_c_{op}") for op in operations]
     base = ref.filter(F.col(acct).isNotNull())
     extra = []
     if quantiles == "buffer":
@@ -39,17 +38,27 @@ def fit_account_profile(ref: DataFrame, side: str, operations=tuple(S.OPERATIONS
     elif quantiles == "approx":
         extra = [F.percentile_approx(a, qs, 100_000).cast("array<double>").alias("_q")]
     g = (base.groupBy(acct)
-         .agg(*extra, F.count(F.lit(1)).alias("_freq"),
-              F.count_distinct(S.OPERATION).alias("_nops"),
-              F.count(S.OPERATION).alias("_ops_total"), *op_counts))
+         .agg(*extra, *profile_counts(operations)))
     if quantiles == "distributed":
         qt = exact_quantiles(base, S.AMOUNT, qs, [acct], prefix="_q")
         g = g.join(qt, acct, "left").withColumn("_q", F.array("_q0", "_q1", "_q2"))
-    q25, q50, q75 = (F.col("_q")[i] for i in range(3))
+    return g.select(F.col(acct).alias("account"),
+                    *profile_output(prefix, [F.col("_q")[i] for i in range(3)], operations))
+
+
+def profile_counts(operations=tuple(S.OPERATIONS)) -> list:
+    """Aggregates of an account's rows that a profile needs beside the quartiles."""
+    return [F.count(F.lit(1)).alias("_freq"), F.count_distinct(S.OPERATION).alias("_nops"),
+            F.count(S.OPERATION).alias("_ops_total"),
+            *[F.count_if(F.col(S.OPERATION) == op).alias(f"_c_{op}") for op in operations]]
+
+
+def profile_output(prefix: str, quartiles: list, operations=tuple(S.OPERATIONS)) -> list:
+    """The profile columns from :func:`profile_counts` and the three quartile columns."""
+    q25, q50, q75 = quartiles
     denom = F.greatest(F.col("_ops_total"), F.lit(1)).cast("double")
     zero = F.lit(0.0)
-    return g.select(
-        F.col(acct).alias("account"),
+    return [
         F.coalesce(q25, zero).alias(f"{prefix}_amt_q25"),
         F.coalesce(q50, zero).alias(f"{prefix}_amt_q50"),
         F.coalesce(q75, zero).alias(f"{prefix}_amt_q75"),
@@ -57,7 +66,7 @@ def fit_account_profile(ref: DataFrame, side: str, operations=tuple(S.OPERATIONS
         F.col("_nops").cast("double").alias(f"{prefix}_op_nunique"),
         F.coalesce(clip(q75 - q25, lo=0.0), zero).alias(f"{prefix}_amt_iqr"),
         *[(F.col(f"_c_{op}") / denom).alias(f"{prefix}_share_{op}") for op in operations],
-    )
+    ]
 
 
 def _np_div(num: Column, den: Column) -> Column:

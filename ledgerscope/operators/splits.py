@@ -99,9 +99,14 @@ def stratified_group_folds(df: DataFrame, k: int = 5, group: str = S.ORIGIN,
     the row counts and the positives balanced; no group spans two folds.
     Returns ``(group, fold)``."""
     stats = (df.filter(F.col(group).isNotNull()).groupBy(group)
-             .agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_pos"))
-             .select(group, "_n", "_pos", stable_hash(group, seed).alias("_h")))
-    ranked = global_positions(stats, [F.col("_pos").desc(), F.col("_n").desc(),
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_pos")))
+    return deal_folds(stats, k, group, seed)
+
+
+def deal_folds(stats: DataFrame, k: int = 5, group: str = S.ORIGIN, seed: int = S.RANDOM_STATE) -> DataFrame:
+    """Folds of groups whose rows (``_n``) and positives (``_pos``) are already counted."""
+    hashed = stats.select(group, "_n", "_pos", stable_hash(group, seed).alias("_h"))
+    ranked = global_positions(hashed, [F.col("_pos").desc(), F.col("_n").desc(),
                                       F.col("_h"), F.col(group)], "_i")
     rnd = F.floor(F.col("_i") / k)
     j = F.col("_i") % k

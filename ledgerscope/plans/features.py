@@ -2,14 +2,14 @@
 
 Plan shape (chosen for large inputs):
 
-* every per-account statistic (aggregates, graph, profile, target encoding
-  pivoted by fold, PageRank rank percentiles) is first collected into ONE
-  small table per side, keyed by account;
+* the rows are aggregated once per account of each side and once per account
+  pair; degrees, cycles, PageRank, folds, fold sums and rank percentiles are
+  derived from these written tables, not from the rows;
 * the transaction rows are joined once with the origin table and once with
   the destination table; the causal window of each side runs right after its
   join and reuses the join's hash partitioning (no extra exchange);
-* the operation table (one row per operation) is broadcast; the pair count is
-  a (origin, destination) join.
+* the operation table has one row per operation; the pair count is a
+  (origin, destination) join with the written pair table.
 
 Train rows get out-of-fold target encodings (stratified group folds over the
 origin account); test rows get the full-fit encodings.
@@ -21,16 +21,24 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import materialize
+from ..functions.columns import clip, money_mean, money_sum
 from ..operators import aggregates as A
+from ..operators import anomaly as AN
 from ..operators import balance as B
 from ..operators import causal as C
 from ..operators import graph as G
 from ..operators import profiles as PR
 from ..operators import splits as SP
-from ..operators.ordered import DEFAULT_BUCKETS, boundaries, ordered_prefix
+from ..operators.ordered import DEFAULT_BUCKETS, boundaries, exact_quantiles, ordered_prefix
 
-SPLITS = ("train", "test")
 K_FOLDS = 5
+# per side: account column, names of its aggregate, graph and profile columns
+SIDES = {
+    "origin": dict(account=S.ORIGIN, distinct="origin_dest_nunique", p="o", kind="out", rate="fan_out_rate",
+                   profile="op_orig"),
+    "dest": dict(account=S.DEST, distinct="dest_origin_nunique", p="d", kind="in", rate="fan_in_rate",
+                 profile="op_dest"),
+}
 
 
 def feature_names(include_iso: bool = True) -> list:
@@ -53,32 +61,33 @@ def feature_columns(df: DataFrame) -> list:
 
 # ----------------------------------------------------------- target encoding
 
-def _te_side(train: DataFrame, col: str, folds_by_origin: DataFrame, prior: float,
-             fold_priors: dict, m: float, k: int) -> DataFrame:
-    """Per key: full-fit rate and the out-of-fold rate for each fold (pivoted)."""
-    x = train.filter(F.col(col).isNotNull()).join(folds_by_origin, S.ORIGIN, "inner")
-    y = F.col(S.LABEL)
-    aggs = [F.sum(y).cast("double").alias("_ts"), F.count(y).cast("double").alias("_tn")]
+def _te_columns(prior: float, fold_priors: dict, m: float, k: int) -> list:
+    """Full-fit rate and the out-of-fold rate of each fold from the sums ``_ts``,
+    ``_tn`` and ``_s{fold}``, ``_n{fold}`` of a key (null rate: no labelled rows)."""
+    def smooth(s, n, p):
+        return F.when(n > 0, (s / n * n + F.lit(float(p)) * F.lit(float(m))) / (n + F.lit(float(m))))
+
+    s, n = F.col("_ts").cast("double"), F.col("_tn").cast("double")
+    cols = [smooth(s, n, prior).alias("te_full")]
     for f in range(k):
-        aggs += [F.coalesce(F.sum(F.when(F.col("fold") == f, y)), F.lit(0)).cast("double").alias(f"_s{f}"),
-                 F.count(F.when(F.col("fold") == f, y)).cast("double").alias(f"_n{f}")]
-    g = x.groupBy(col).agg(*aggs)
+        s_o, n_o = s - F.col(f"_s{f}").cast("double"), n - F.col(f"_n{f}").cast("double")
+        cols.append(F.coalesce(smooth(s_o, n_o, fold_priors[f]), F.lit(fold_priors[f])).alias(f"te_f{f}"))
+    return cols
 
-    def smooth(s, n, p):
-        return (s / n * n + F.lit(float(p)) * F.lit(float(m))) / (n + F.lit(float(m)))
 
-    cols = [F.col(col).alias("account"),
-            smooth(F.col("_ts"), F.col("_tn"), prior).alias("te_full")]
+def _fold_sums(parts: DataFrame, key: str, k: int) -> DataFrame:
+    """Sums of ``_y`` and ``_yn`` per key, in all and per fold."""
+    aggs = [F.coalesce(F.sum("_y"), F.lit(0)).alias("_ts"), F.sum("_yn").alias("_tn")]
     for f in range(k):
-        s_o, n_o = F.col("_ts") - F.col(f"_s{f}"), F.col("_tn") - F.col(f"_n{f}")
-        cols.append(F.when(n_o > 0, smooth(s_o, n_o, fold_priors[f])).otherwise(F.lit(fold_priors[f]))
-                    .alias(f"te_f{f}"))
-    return g.select(*cols)
+        here = F.col("fold") == f
+        aggs += [F.coalesce(F.sum(F.when(here, F.col("_y"))), F.lit(0)).alias(f"_s{f}"),
+                 F.coalesce(F.sum(F.when(here, F.col("_yn"))), F.lit(0)).alias(f"_n{f}")]
+    return parts.groupBy(F.col(key).alias("account")).agg(*aggs)
 
 
 def _te_pick(prefix: str, fold_col: str, prior: float, fold_priors: dict, k: int) -> F.Column:
     """Train rows: the fold's out-of-fold value (fold prior when the key is
-    unseen in the other folds); test rows: full-fit value (global prior when unseen)."""
+    unseen in the other folds); other rows: full-fit value (global prior when unseen)."""
     oof = None
     for f in range(k):
         v = F.coalesce(F.col(f"{prefix}te_f{f}"), F.lit(fold_priors[f]))
@@ -87,31 +96,89 @@ def _te_pick(prefix: str, fold_col: str, prior: float, fold_priors: dict, k: int
     return F.when(F.col(S.SPLIT) == "train", oof).otherwise(full)
 
 
+# ------------------------------------------------------------- account tables
+
+def _account_rows(combined: DataFrame, account: str, is_ref: F.Column, splits: tuple, scale) -> DataFrame:
+    """The one aggregate of the rows per account: statistics of the reference rows,
+    profile counts of all rows, rows per split, label sums of train."""
+    a = F.when(is_ref, F.col(S.AMOUNT))
+    period = F.when(is_ref, F.col(S.PERIOD))
+    y = F.when(F.col(S.SPLIT) == "train", F.col(S.LABEL))
+    return (combined.filter(F.col(account).isNotNull()).groupBy(F.col(account).alias("account"))
+            .agg(F.count_if(is_ref).alias("_ref"), F.count(a).alias("_cnt"),
+                 money_sum(a, scale).alias("_sum"), money_mean(a, scale).alias("_mean"),
+                 F.stddev_samp(a).alias("_std"), F.min(period).alias("_pmin"), F.max(period).alias("_pmax"),
+                 *PR.profile_counts(), *[F.count_if(F.col(S.SPLIT) == s).alias(f"_n_{s}") for s in splits],
+                 F.sum(y).alias("_y"), F.count(y).alias("_yn")))
+
+
+def _side_columns(side: str, quartiles: list) -> list:
+    """Aggregate, graph and profile columns of an account (of the reference rows
+    null where the account has none there)."""
+    v = SIDES[side]
+    seen = F.col("_ref") > 0
+    degree = F.when(seen, F.coalesce(F.col(f"{v['kind']}_degree"), F.lit(0)))
+    span = F.col("_pmax") - F.col("_pmin") + 1
+    g = f"{v['p']}_{v['kind']}"
+    return [
+        F.col("_cnt").alias(f"{side}_txn_count"), F.col("_sum").alias(f"{side}_amount_sum"),
+        F.col("_mean").alias(f"{side}_amount_mean"), F.col("_std").alias(f"{side}_amount_std"),
+        F.col("_pmin").alias(f"{side}_period_min"), F.col("_pmax").alias(f"{side}_period_max"),
+        degree.alias(v["distinct"]),
+        degree.alias(f"{g}_degree"), F.col("_cnt").alias(f"{g}_count"), F.col("_sum").alias(f"{g}_amount_sum"),
+        F.col("_mean").alias(f"{g}_amount_mean"), span.alias(f"{v['p']}_period_span"),
+        (degree / clip(span.cast("double"), lo=1.0)).alias(f"{v['p']}_{v['rate']}"),
+        F.when(seen, F.col(f"{v['p']}_cycle2_count")).alias(f"{v['p']}_cycle2_count"),
+        F.when(seen, F.col("pagerank")).alias(f"{v['p']}_pagerank"),
+        *PR.profile_output(v["profile"], quartiles),
+    ]
+
+
 # ------------------------------------------------------ PageRank rank gap
 
-def _pagerank_pct(combined: DataFrame, side_pr: DataFrame, acct: str, bounds: list | None = None) -> DataFrame:
-    """Rank percentile (ties averaged) of an account's PageRank among the rows
-    of each split, as one column per split on the account table."""
-    counts = (combined.groupBy(S.SPLIT, F.col(acct).alias("account"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    with_pr = counts.join(side_pr, "account", "left").select(
-        S.SPLIT, "account", "_c", F.coalesce(F.col("pagerank"), F.lit(0.0)).alias("_v"))
-    per_value = with_pr.groupBy(S.SPLIT, "_v").agg(F.sum("_c").alias("_cnt"))
-    pref = ordered_prefix(per_value, "_v", {"_before": F.col("_cnt")}, [S.SPLIT], inclusive=False,
-                          bounds=bounds)
+def _with_rank_pct(side: DataFrame, p: str, splits: tuple, bounds: list, nulls: dict) -> tuple[DataFrame, dict]:
+    """Adds the rank percentile (ties averaged) of an account's PageRank among the
+    rows of each split, and gives the percentile of rows without account.
+
+    Works on the account table alone: it knows the rows per split.  Rows
+    without account (``nulls``: their number per split) rank as 0.
+    """
+    spark = side.sparkSession
+    value = F.coalesce(F.col(f"{p}_pagerank"), F.lit(0.0))
+    per_split = F.explode(F.array(*[F.struct(F.lit(s).alias(S.SPLIT), F.col(f"{p}_n_{s}").alias("_c")) for s in splits]))
+    counts = side.select(value.alias("_v"), per_split.alias("_e")).select(F.col(f"_e.{S.SPLIT}"), "_v", "_e._c")
+    if any(nulls.values()):
+        counts = counts.unionByName(spark.createDataFrame([(s, 0.0, n) for s, n in nulls.items()],
+                                                          f"{S.SPLIT} string, _v double, _c long"))
+    per_value = (counts.filter(F.col("_c") > 0).groupBy(S.SPLIT, "_v").agg(F.sum("_c").alias("_cnt")))
+    per_value = materialize(per_value, "rank_values")
     totals = per_value.groupBy(S.SPLIT).agg(F.sum("_cnt").alias("_n"))
+    pref = ordered_prefix(per_value, "_v", {"_before": F.col("_cnt")}, [S.SPLIT], inclusive=False, bounds=bounds)
     pct = (pref.join(F.broadcast(totals), S.SPLIT)   # one row per split
            .select(S.SPLIT, "_v", ((F.col("_before") + (F.col("_cnt") + 1) / 2.0) / F.col("_n")).alias("_pct")))
-    per_acct = with_pr.join(pct, [S.SPLIT, "_v"], "inner")
-    return per_acct.groupBy("account").agg(
-        *[F.max(F.when(F.col(S.SPLIT) == s, F.col("_pct"))).alias(f"pct_{s}") for s in SPLITS])
+    zero = {}
+    if any(nulls.values()):
+        zero = {r[S.SPLIT]: r["_pct"] for r in pct.filter(F.col("_v") == 0.0).collect()}   # one row per split
+    by_value = pct.groupBy("_v").agg(*[F.max(F.when(F.col(S.SPLIT) == s, F.col("_pct"))).alias(f"{p}_pct_{s}")
+                                       for s in splits])
+    return side.withColumn("_v", value).join(by_value, "_v", "left").drop("_v"), zero
+
+
+def _pick_pct(p: str, account: str, splits: tuple, zero: dict) -> F.Column:
+    out = F.lit(None).cast("double")
+    for s in splits:
+        v = F.col(f"{p}_pct_{s}")
+        if s in zero:
+            v = F.when(F.col(account).isNull(), F.lit(zero[s])).otherwise(v)
+        out = F.when(F.col(S.SPLIT) == s, v).otherwise(out)
+    return out
 
 
 # ---------------------------------------------------------------- builder
 
 def build_feature_table(
     train: DataFrame,
-    test: DataFrame,
+    test: DataFrame | None = None,
     k: int = K_FOLDS,
     m: float = S.TE_SMOOTHING,
     seed: int = S.RANDOM_STATE,
@@ -121,97 +188,135 @@ def build_feature_table(
     scale=S.AMOUNT_SCALE,
     unsupervised_ref: str = "combined",
     blocks: tuple = ("graph", "profile", "rolling"),
+    valid: DataFrame | None = None,
+    iso: bool = False,
 ) -> DataFrame:
-    """All features for train (OOF encodings) and test (full-fit encodings).
+    """All features for train (OOF encodings) and for valid and test (full-fit encodings).
 
-    ``unsupervised_ref='train'`` fits aggregates, graph and profiles on the
-    train rows only (the reference's temporal validation); causal windows
-    always run over train and test together.  ``blocks`` selects the optional
-    blocks (the reduced CV feature set drops graph, profile and rolling).
+    ``unsupervised_ref='train'`` fits aggregates and graph on the train rows only
+    (the reference's temporal validation); profiles, anomaly scores and causal
+    windows always use all rows.  ``valid`` rows carry their own split tag, so
+    they are ranked among themselves.  ``blocks`` selects the optional blocks
+    (the reduced CV feature set drops graph, profile and rolling).
 
     Returns ``id, split, fraud_flag, origin_account, destination_account`` and
     the feature columns of :func:`feature_names` (the anomaly score only when
-    ``iso_forest`` is given).
+    ``iso_forest`` is given or ``iso`` asks to fit one on all rows).
     """
     causal_kw = dict(causal_kw or {})
-    # the input rows are read by a dozen branches: compute them once
-    combined = materialize(SP.combine_splits(train, ("test", test)), "combined")
-    train = combined.filter(F.col(S.SPLIT) == "train").drop(S.SPLIT)
-    ref = combined if unsupervised_ref == "combined" else combined.filter(F.col(S.SPLIT) == "train")
+    others = [(name, d) for name, d in (("valid", valid), ("test", test)) if d is not None]
+    splits = ("train", *[name for name, _ in others])
+    # the input rows are read by several branches: compute them once
+    combined = materialize(SP.combine_splits(train, *others), "combined")
+    is_train = F.col(S.SPLIT) == "train"
+    is_ref = F.lit(True) if unsupervised_ref == "combined" else is_train
+    ref = combined if unsupervised_ref == "combined" else combined.filter(is_train)
+    if iso and iso_forest is None:
+        iso_forest = AN.fit_isolation_forest(B.add_balance_features(combined))
+
+    # ---- the rows once per account pair and once per account of each side
+    y = F.when(is_train, F.col(S.LABEL))
+    pairs = (combined.filter(F.col(S.ORIGIN).isNotNull() & F.col(S.DEST).isNotNull())
+             .groupBy(F.col(S.ORIGIN).alias("src"), F.col(S.DEST).alias("dst"))
+             .agg(F.coalesce(money_sum(F.when(is_ref, F.col(S.AMOUNT)), scale), F.lit(0.0)).alias("weight"),
+                  F.count_if(is_ref).alias("rows"), F.sum(y).alias("_y"), F.count(y).alias("_yn")))
+    pairs = materialize(pairs, "pairs")
+    ref_pairs = pairs.filter(F.col("rows") > 0)
+    o_rows = materialize(_account_rows(combined, S.ORIGIN, is_ref, splits, scale), "origin_rows")
+    d_rows = _account_rows(combined, S.DEST, is_ref, splits, scale)
 
     # ---- fitted scalars (a handful of numbers)
-    folds = SP.stratified_group_folds(train, k, S.ORIGIN, S.LABEL, seed)
-    # one small aggregate gives the fold priors and the global prior
-    per_fold = (train.join(folds, S.ORIGIN, "left").groupBy("fold")
-                .agg(F.sum(S.LABEL).alias("s"), F.count(S.LABEL).alias("n")).collect())
-    in_folds = [r for r in per_fold if r["fold"] is not None]
-    tot_s = float(sum(r["s"] or 0 for r in in_folds))
-    tot_n = float(sum(r["n"] for r in in_folds))
+    folds = SP.deal_folds(o_rows.filter(F.col("_n_train") > 0)
+                          .select(F.col("account").alias(S.ORIGIN), F.col("_n_train").alias("_n"),
+                                  F.col("_y").alias("_pos")), k, S.ORIGIN, seed)
+    folds = materialize(folds, "folds").withColumnRenamed(S.ORIGIN, "account")
+    per_fold = {r["fold"]: r for r in o_rows.join(folds, "account").groupBy("fold").agg(
+        F.coalesce(F.sum("_y"), F.lit(0)).alias("s"), F.sum("_yn").alias("n")).collect()}   # one row per fold
+    tot_s, tot_n = sum(r["s"] for r in per_fold.values()), sum(r["n"] for r in per_fold.values())
     fold_priors = {f: float("nan") for f in range(k)}
-    for r in in_folds:
-        fold_priors[int(r["fold"])] = (tot_s - float(r["s"] or 0)) / (tot_n - float(r["n"]))
-    all_s = float(sum(r["s"] or 0 for r in per_fold))
-    all_n = float(sum(r["n"] for r in per_fold))
-    prior = all_s / all_n if all_n else 0.0
-
-    # ---- origin side table
-    o_stats = A.origin_stats(ref, scale).withColumnRenamed(S.ORIGIN, "account")
-    g_o, g_d = G.fit_graph_features(ref, scale)
-    p_o, p_d = PR.fit_account_profile(ref, "origin"), PR.fit_account_profile(ref, "dest")
-    te_o = _te_side(train, S.ORIGIN, folds, prior, fold_priors, m, k)
-    te_d = _te_side(train, S.DEST, folds, prior, fold_priors, m, k)
-    te_op = _te_side(train, S.OPERATION, folds, prior, fold_priors, m, k)
-    ranks = g_o.select("account", F.col("o_pagerank").alias("pagerank")).unionByName(
-        g_d.select("account", F.col("d_pagerank").alias("pagerank"))).groupBy("account").agg(
-        F.max("pagerank").alias("pagerank"))
-    bounds = boundaries(ranks, "pagerank", DEFAULT_BUCKETS)   # one sketch for both sides
-    pct_o = _pagerank_pct(combined, ranks, S.ORIGIN, bounds)
-    pct_d = _pagerank_pct(combined, ranks, S.DEST, bounds)
-
-    def prefixed(df, p):
-        return df.select("account", *[F.col(c).alias(p + c) for c in df.columns if c != "account"])
-
-    # the percentiles hold the accounts of all rows, also those that ``ref`` has not
-    # seen: their rank is 0 among the rows, not missing
-    origin_side = (prefixed(pct_o, "o_").join(o_stats, "account", "left").join(g_o, "account", "left")
-                   .join(p_o, "account", "left")
-                   .join(prefixed(te_o, "o_"), "account", "left")
-                   .join(folds.withColumnRenamed(S.ORIGIN, "account").withColumnRenamed("fold", "_fold"),
-                         "account", "left")
-                   .withColumnRenamed("account", S.ORIGIN))
-    d_stats = A.destination_stats(ref, scale).withColumnRenamed(S.DEST, "account")
-    dest_side = (prefixed(pct_d, "d_").join(d_stats, "account", "left").join(g_d, "account", "left")
-                 .join(p_d, "account", "left")
-                 .join(prefixed(te_d, "d_"), "account", "left")
-                 .withColumnRenamed("account", S.DEST))
-    op_side = (A.operation_stats(ref, scale)
-               .join(prefixed(te_op, "p_").withColumnRenamed("account", S.OPERATION), S.OPERATION, "left"))
-    pairs = A.pair_counts(ref)
-    # small account-level tables: written once, so the row plan below stays short
-    origin_side = materialize(origin_side, "origin_side")
-    dest_side = materialize(dest_side, "dest_side")
+    for f, r in per_fold.items():
+        if tot_n > r["n"]:
+            fold_priors[int(f)] = (tot_s - r["s"]) / (tot_n - r["n"])
+    per_split = {r[S.SPLIT]: r for r in combined.groupBy(S.SPLIT).agg(
+        F.sum(y).alias("s"), F.count(y).alias("n"), F.count_if(F.col(S.ORIGIN).isNull()).alias("no_o"),
+        F.count_if(F.col(S.DEST).isNull()).alias("no_d")).collect()}   # one row per split
+    tr = per_split.get("train")
+    prior = float(tr["s"] or 0) / tr["n"] if tr and tr["n"] else 0.0
+
+    # ---- graph: one table of all accounts
+    ranks = G.pagerank(ref_pairs, scale=scale)[0] if "graph" in blocks else None
+    nodes = materialize(G.account_graph(ref_pairs, ranks), "nodes")
+    bounds = boundaries(nodes, "pagerank", DEFAULT_BUCKETS) if "graph" in blocks else []   # one sketch for both sides
+
+    # ---- side tables
+    amounts = boundaries(combined, S.AMOUNT, DEFAULT_BUCKETS) if "profile" in blocks else []   # likewise
+    te_sums = {
+        "origin": o_rows.join(folds, "account").select(
+            "account", F.col("fold").alias("_fold"), F.coalesce(F.col("_y"), F.lit(0)).alias("_ts"),
+            F.col("_yn").alias("_tn"),
+            *[F.when(F.col("fold") == f, F.coalesce(F.col("_y"), F.lit(0))).otherwise(F.lit(0)).alias(f"_s{f}")
+              for f in range(k)],
+            *[F.when(F.col("fold") == f, F.col("_yn")).otherwise(F.lit(0)).alias(f"_n{f}") for f in range(k)]),
+        "dest": _fold_sums(pairs.filter(F.col("_yn") > 0).withColumnRenamed("src", "account")
+                           .join(folds, "account"), "dst", k),
+    }
+    tables, ranked, zero_pct = {}, {}, {}
+    for side, rows in (("origin", o_rows), ("dest", d_rows)):
+        v = SIDES[side]
+        te = te_sums[side].select("account", *[c for c in ("_fold",) if side == "origin"],
+                                  *[c.alias(f"{v['p']}_{n}") for c, n in zip(
+                                      _te_columns(prior, fold_priors, m, k), ["te_full", *[f"te_f{f}" for f in range(k)]])])
+        table = rows.join(nodes, "account", "left").join(te, "account", "left")
+        if "profile" in blocks:
+            q = exact_quantiles(combined.filter(F.col(v["account"]).isNotNull()), S.AMOUNT, [0.25, 0.5, 0.75],
+                                [v["account"]], prefix="_q", bounds=amounts)
+            table = table.join(q.withColumnRenamed(v["account"], "account"), "account", "left")
+            quartiles = [F.col(f"_q{i}") for i in range(3)]
+        else:
+            quartiles = [F.lit(None).cast("double")] * 3
+        table = table.select(F.col("account").alias(v["account"]), *_side_columns(side, quartiles),
+                             *[F.col(f"_n_{s}").alias(f"{v['p']}_n_{s}") for s in splits],
+                             *[c for c in te.columns if c != "account"])
+        tables[side] = materialize(table, f"{side}_side")   # one row per account
+        ranked[side] = tables[side]
+        if "graph" in blocks:
+            nulls = {s: per_split[s]["no_o" if side == "origin" else "no_d"] for s in splits if s in per_split}
+            ranked[side], zero_pct[side] = _with_rank_pct(tables[side], v["p"], splits, bounds, nulls)
+    op_parts = (combined.filter(is_train & F.col(S.OPERATION).isNotNull() & F.col(S.ORIGIN).isNotNull())
+                .groupBy(F.col(S.ORIGIN).alias("account"), S.OPERATION)
+                .agg(F.sum(S.LABEL).alias("_y"), F.count(S.LABEL).alias("_yn")).join(folds, "account"))
+    te_op = _fold_sums(op_parts, S.OPERATION, k)
+    te_op = te_op.select(F.col("account").alias(S.OPERATION), *[c.alias(f"p_{n}") for c, n in zip(
+        _te_columns(prior, fold_priors, m, k), ["te_full", *[f"te_f{f}" for f in range(k)]])])
+    op_side = materialize(A.operation_stats(ref, scale).join(te_op, S.OPERATION, "left"), "operations")
+    pair_side = ref_pairs.select(F.col("src").alias(S.ORIGIN), F.col("dst").alias(S.DEST),
+                                 F.col("rows").alias("pair_count"))
 
     # ---- rows: one join and one window per side
     max_rows = causal_kw.get("max_rows_per_task", C.DEFAULT_MAX_ROWS_PER_TASK)
     mode = causal_mode
+    rolling = "rolling" in blocks
     if mode == "auto":
         # rows per account are already in the written side tables (profile frequency)
-        hot = max(origin_side.agg(F.max("op_orig_amt_freq")).first()[0] or 0,
-                  dest_side.agg(F.max("op_dest_amt_freq")).first()[0] or 0)
+        hot = max(tables["origin"].agg(F.max("op_orig_amt_freq")).first()[0] or 0,
+                  tables["dest"].agg(F.max("op_dest_amt_freq")).first()[0] or 0)
         mode = "chunked" if hot > max_rows else "plain"
     rows = B.add_balance_features(combined)
     rows = B.encode_operation(rows)
-    rows = rows.join(origin_side, S.ORIGIN, "left")
-    rows = C.add_causal_features(rows, sides=("origin",), mode=mode, amount_scale=scale, **causal_kw)
-    rows = rows.join(dest_side, S.DEST, "left")
-    rows = C.add_causal_features(rows, sides=("dest",), mode=mode, amount_scale=scale, **causal_kw)
+    rows = rows.join(ranked["origin"], S.ORIGIN, "left")
+    rows = C.add_causal_features(rows, sides=("origin",), rolling=rolling, mode=mode, amount_scale=scale, **causal_kw)
+    rows = rows.join(ranked["dest"], S.DEST, "left")
+    rows = C.add_causal_features(rows, sides=("dest",), rolling=rolling, mode=mode, amount_scale=scale, **causal_kw)
     rows = rows.join(op_side, S.OPERATION, "left")   # Spark broadcasts it where its size allows
-    rows = rows.join(pairs, [S.ORIGIN, S.DEST], "left")
+    rows = rows.join(pair_side, [S.ORIGIN, S.DEST], "left")
 
     # ---- final projection with the reference's fills
     graph_cols = [c for c in G.GRAPH_COLUMNS if c != "graph_pagerank_gap"]
-    o_pct = F.when(F.col(S.SPLIT) == "train", F.col("o_pct_train")).otherwise(F.col("o_pct_test"))
-    d_pct = F.when(F.col(S.SPLIT) == "train", F.col("d_pct_train")).otherwise(F.col("d_pct_test"))
+    graph = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in graph_cols]
+    if "graph" in blocks:
+        o_pct = _pick_pct("o", S.ORIGIN, splits, zero_pct["origin"])
+        d_pct = _pick_pct("d", S.DEST, splits, zero_pct["dest"])
+        graph.append(F.coalesce(F.abs(o_pct - d_pct), F.lit(0.0)).alias("graph_pagerank_gap"))
     te_cols = [
         _te_pick("p_", "_fold", prior, fold_priors, k).alias("operation_fraud_rate"),
         _te_pick("o_", "_fold", prior, fold_priors, k).alias("origin_account_fraud_rate"),
@@ -222,16 +327,14 @@ def build_feature_table(
         S.ID, S.SPLIT, S.LABEL, S.ORIGIN, S.DEST, *S.RAW_FEATURES,
         *B.BALANCE_COLUMNS, *B.ENCODING_COLUMNS,
         *A.aggregate_projection(),
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in graph_cols],
-        F.coalesce(F.abs(o_pct - d_pct), F.lit(0.0)).alias("graph_pagerank_gap"),
+        *graph,
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in prof_cols],
         *te_cols,
-        *C.rolling_names(), *C.expanding_names(),
+        *(C.rolling_names() if rolling else []), *C.expanding_names(),
     )
     out = PR.apply_account_profiles_derived(out)
     if iso_forest is not None:
-        from ..operators.anomaly import score_column
-        out = out.withColumn("iso_anomaly_score", score_column(iso_forest, out))
+        out = out.withColumn("iso_anomaly_score", AN.score_column(iso_forest, out))
     names = feature_names(include_iso=iso_forest is not None)
     drop = set()
     if "graph" not in blocks:
