@@ -11,10 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.columns import round_doubles
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..operators import balance as B
 from ..operators import causal as C
 from ..sources import transactions as TX
@@ -999,18 +1000,33 @@ def q_submission(spark, sf_dir):
     return _submission(spark, sf_dir)[0]
 
 
-@register("submission_checks", O.with_tx("""
-SELECT CAST((SELECT count(*) FROM sub) - (SELECT count(*) FROM smp) AS BIGINT) AS row_count_diff,
+_BROKEN_CTE = """brk AS (SELECT id, CASE WHEN id % 30 = 0 THEN target + 1.5 ELSE target END AS target FROM sub WHERE id % 50 <> 1
+  UNION ALL SELECT id, target FROM sub WHERE id % 70 = 0
+  UNION ALL SELECT id - 1000000 AS id, CAST(NULL AS DOUBLE) AS target FROM sub WHERE id % 90 = 0)"""
+
+
+def _violations_sql(case: str, sub: str) -> str:
+    return f"""SELECT '{case}' AS submission, CAST((SELECT count(*) FROM {sub}) - (SELECT count(*) FROM smp) AS BIGINT) AS row_count_diff,
   0 AS column_mismatch,
-  CAST((SELECT coalesce(sum(c - 1), 0) FROM (SELECT id, count(*) AS c FROM sub GROUP BY id HAVING count(*) > 1)) AS BIGINT) AS duplicate_ids,
-  CAST((SELECT count_if(target IS NULL OR target < 0 OR target > 1) FROM sub) AS BIGINT) AS out_of_range,
-  (SELECT count(*) FROM (SELECT DISTINCT id FROM smp) s WHERE s.id NOT IN (SELECT id FROM sub)) AS missing_ids,
-  (SELECT count(*) FROM sub WHERE id NOT IN (SELECT id FROM smp)) AS extra_ids""",
-                                         SCORED_CTE, _SAMPLE_CTE, _SUB_CTE))
+  CAST((SELECT coalesce(sum(c - 1), 0) FROM (SELECT id, count(*) AS c FROM {sub} GROUP BY id HAVING count(*) > 1)) AS BIGINT) AS duplicate_ids,
+  CAST((SELECT count_if(target IS NULL OR target < 0 OR target > 1) FROM {sub}) AS BIGINT) AS out_of_range,
+  (SELECT count(*) FROM (SELECT DISTINCT id FROM smp) s WHERE s.id NOT IN (SELECT id FROM {sub})) AS missing_ids,
+  (SELECT count(*) FROM {sub} WHERE id NOT IN (SELECT id FROM smp)) AS extra_ids"""
+
+
+@register("submission_checks", O.with_tx(_violations_sql("valid", "sub") + "\nUNION ALL\n" + _violations_sql("broken", "brk"),
+                                         SCORED_CTE, _SAMPLE_CTE, _SUB_CTE, _BROKEN_CTE))
 def q_submission_checks(spark, sf_dir):
-    """Violation counts of the output contract (all 0 when valid)."""
+    """Violation counts of the output contract, for the submission (all 0)
+    and for one with rows dropped, repeated, added and out of range."""
     sub, sample = _submission(spark, sf_dir)
-    return SU.submission_violations(sub, sample)
+    sub = materialize(sub, "submission")
+    i, t = F.col(S.ID), F.col(S.TARGET)
+    broken = (sub.filter(i % 50 != 1).select(S.ID, F.when(i % 30 == 0, t + 1.5).otherwise(t).alias(S.TARGET))
+              .unionByName(sub.filter(i % 70 == 0))
+              .unionByName(sub.filter(i % 90 == 0).select((i - 1000000).alias(S.ID), F.lit(None).cast("double").alias(S.TARGET))))
+    return (SU.submission_violations(sub, sample).select(F.lit("valid").alias("submission"), "*")
+            .unionByName(SU.submission_violations(broken, sample).select(F.lit("broken").alias("submission"), "*")))
 
 
 # ------------------------------------------------------------ fingerprint
@@ -1141,17 +1157,26 @@ def _holdout_frames(spark, sf_dir):
 def _full_frames(spark, sf_dir):
     """Assembled train/test feature frames of the whole fixture."""
     train, test = TX.load_train_test(spark, sf_dir)
-    ft = FT.materialize(FT.build_feature_table(train, test), "features")
-    asm = MD.Assembler(FT.feature_columns(ft)).fit(ft.filter(F.col(S.SPLIT) == "train"))
-    a = asm.transform(ft)
-    return a.filter(F.col(S.SPLIT) == "train"), a.filter(F.col(S.SPLIT) == "test")
+    frames, _ = VA.feature_frames(train, test=test)
+    return frames["train"], frames["test"]
+
 
+_MISSING = f"{MD.MISSING!r}::DOUBLE"
 
-@register("assemble_features")
+
+@register("assemble_features", O.with_tx(
+    "SELECT t.id, 157 AS n_features, "
+    "CAST((SELECT count(DISTINCT f.operation) FROM train f WHERE f.period < 96 AND f.operation < t.operation) AS DOUBLE) AS operation_index, "
+    + ", ".join(O.r6(f"coalesce(CAST(t.{c} AS DOUBLE), {_MISSING})", c) for c in S.RAW_FEATURES if c != S.OPERATION)
+    + " FROM train t WHERE t.period >= 96"))
 def q_assemble_features(spark, sf_dir):
-    """Operation index fitted on train (unseen -> extra index) + feature vector."""
+    """Operation index fitted on train (unseen -> extra index) + feature vector;
+    the vector's length and its entries for the raw features."""
     trA, vaA, cols = _holdout_frames(spark, sf_dir)
-    return vaA.select(S.ID, F.size(vector_to_array_col("features")).alias("n_features"))
+    v = vaA.select(S.ID, vector_to_array_col("features").alias("v"))
+    at = {c: F.col("v")[i] for i, c in enumerate(cols)}
+    return v.select(S.ID, F.size("v").alias("n_features"), at[S.OPERATION].alias("operation_index"),
+                    *[at[c].alias(c) for c in S.RAW_FEATURES if c != S.OPERATION])
 
 
 def vector_to_array_col(c):
@@ -1210,13 +1235,26 @@ def _starter_frames(spark, sf_dir):
     return B.starter_features(train, fo, fd), B.starter_features(test, fo, fd)
 
 
-@register("starter_preprocess")
+_OPERATION_FLAGS = [f"operation_{op}" for op in S.OPERATIONS]
+_STARTER_SQL = {n: x for n, x, _ in _STARTER_SELECT}
+
+
+def _starter_vector_sql() -> str:
+    """Numeric columns with the train median for nulls, then one flag per train operation."""
+    joins = ("LEFT JOIN fo ON t.origin_account = fo.account LEFT JOIN fd ON t.destination_account = fd.account")
+    cols = [O.r6(f"coalesce({_STARTER_SQL[n]}, (SELECT median({_STARTER_SQL[n]}) FROM train t {joins}))", n)
+            for n in _STARTER_NUM]
+    flags = [f"CAST(t.operation IS NOT DISTINCT FROM '{op}' AS INTEGER)::DOUBLE AS operation_{op}" for op in S.OPERATIONS]
+    return "SELECT t.id, " + ", ".join(cols + flags) + f" FROM test t {joins}"
+
+
+@register("starter_preprocess", O.with_tx(_starter_vector_sql(), *_FREQ_CTES))
 def q_starter_preprocess(spark, sf_dir):
-    """Exact-median fill and one-hot operation (unknown -> zero vector)."""
+    """Exact-median fill and one-hot operation (unknown -> zero vector); the entries of the vector."""
     tr, te = _starter_frames(spark, sf_dir)
     pre, med = MD.starter_preprocess(tr, _STARTER_NUM, ["operation"])
-    model = pre.fit(tr.fillna(med))
-    return model.transform(te.fillna(med)).select(S.ID, F.size(vector_to_array_col("features")).alias("width"))
+    v = pre.fit(tr.fillna(med)).transform(te.fillna(med)).select(S.ID, vector_to_array_col("features").alias("v"))
+    return v.select(S.ID, *[F.col("v")[i].alias(n) for i, n in enumerate([*_STARTER_NUM, *_OPERATION_FLAGS])])
 
 
 @register("starter_model")
@@ -1274,7 +1312,7 @@ def q_cv_group(spark, sf_dir):
 
 @register("cv_ensemble")
 def q_cv_ensemble(spark, sf_dir):
-    """Bounded rolling folds, three learners + ensemble on the reduced feature set."""
+    """Bounded rolling folds and group folds, three learners + ensemble on the reduced feature set."""
     return VA.cv_ensemble(spark, _train(spark, sf_dir))
 
 
@@ -1286,14 +1324,35 @@ def q_fold_summary(spark, sf_dir):
 
 @register("oof_scores")
 def q_oof_scores(spark, sf_dir):
-    """Out-of-fold base predictions over group folds (each id once)."""
+    """Out-of-fold base predictions over group folds (each id once), written and read back."""
     train, test = TX.load_train_test(spark, sf_dir)
-    return VA.oof_scores(spark, train, test)
+    path = VA.report_path(spark, "oof")
+    SK.write_table(VA.oof_scores(spark, train, test), path)
+    return spark.read.parquet(path)
+
+
+_OOF_CTES = [
+    "ol AS (" + " UNION ALL ".join(
+        f"SELECT CAST({fold} AS INTEGER) AS fold, '{m}' AS model, {m} AS s, fraud_flag AS y FROM scored"
+        for m in _MODELS for fold in ("id % 5", "NULL")) + ")",
+    "og AS (SELECT fold, model, s, sum(y) AS tp, count(*) AS n FROM ol GROUP BY fold, model, s)",
+    """oc AS (SELECT fold, model, tp, sum(tp) OVER (PARTITION BY fold, model) AS p,
+  sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM og WINDOW w AS (PARTITION BY fold, model ORDER BY s DESC))""",
+]
+
+
+@register("oof_report", O.with_tx("SELECT fold, model, " + O.r6(
+    "coalesce(sum(CASE WHEN p > 0 THEN (tp / CAST(p AS DOUBLE)) * (ctp / CAST(cn AS DOUBLE)) END), 0.0)", "ap")
+    + " FROM oc GROUP BY fold, model", SCORED_CTE, *_OOF_CTES))
+def q_oof_report(spark, sf_dir):
+    """AP of each score per fold and over all rows (null fold)."""
+    folded = _scored(spark, sf_dir).withColumn("fold", (F.col(S.ID) % 5).cast("int"))
+    return VA.oof_report(folded, _MODELS, label=S.LABEL)
 
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    """Seeded random search of boosted-tree settings on the temporal holdout."""
+    """Seeded random search of each learner's settings on the temporal holdout."""
     return VA.random_search(spark, _train(spark, sf_dir))
 
 
@@ -1323,27 +1382,61 @@ def q_prepare_datasets(spark, sf_dir):
 
 @register("score_table")
 def q_score_table(spark, sf_dir):
-    """A4: per-learner test predictions written as parquet (checkpoint folder) and read back."""
-    import uuid
-    tr_all, te = _full_frames(spark, sf_dir)
-    preds = te.select(S.ID)
-    for name in VA.LEARNERS:
-        preds = preds.join(MD.predict(MD.fit_learner(MD.BASE_LEARNERS[name], tr_all), te, name)
-                           .select(S.ID, name), S.ID)
-    path = f"{spark.sparkContext.getCheckpointDir()}/score_table-{uuid.uuid4().hex}"
-    SK.write_table(preds, path)
+    """Test predictions of the holdout-stopped learners, written and read back."""
+    path = VA.report_path(spark, "score_table")
+    SK.write_table(VA.test_predictions(*TX.load_train_test(spark, sf_dir)), path)
     return spark.read.parquet(path)
 
 
 @register("pipeline_submit")
 def q_pipeline_submit(spark, sf_dir):
-    """L3: final training, blend, operation prior, submission with contract checks."""
+    """L3: validated blend weights, final training, operation prior, submission with contract checks."""
     train, test = TX.load_train_test(spark, sf_dir)
-    return VA.train_final_and_submit(spark, train, test, TX.sample_ids(test))
+    return VA.train_final_and_submit(spark, train, test, TX.sample_ids(test), report=VA.report_path(spark, "validation"))
 
 
 @register("pipeline_two_stage")
 def q_pipeline_two_stage(spark, sf_dir):
-    """L4: global blend + op_03 specialist fused by rank, submission with checks."""
+    """L4: holdout weights and AP, global blend + op_03 specialist fused by rank, submission with checks."""
     train, test = TX.load_train_test(spark, sf_dir)
     return VA.pipeline_two_stage(spark, train, test, TX.sample_ids(test))
+
+
+# ------------------------------------------------ files written and read back
+
+@register("csv_transactions", SQL["load_transactions"])
+def q_csv_transactions(spark, sf_dir):
+    """A1/A2: train written as CSV and read by the fixed-schema reader, from the first path that exists."""
+    path = VA.report_path(spark, "train_csv")
+    _train(spark, sf_dir).select(*TX_COLS).write.option("header", True).csv(path)
+    return TX.read_csv_transactions(spark, [path + "-absent", path], id_type=T.LongType(), account_type=T.LongType())
+
+
+@register("submission_csv", SQL["submission"])
+def q_submission_csv(spark, sf_dir):
+    """A3: the submission written as CSV in id ranges and read back."""
+    path = VA.report_path(spark, "submission_csv")
+    SK.write_submission(_submission(spark, sf_dir)[0], path)
+    return spark.read.schema(f"{S.ID} bigint, {S.TARGET} double").option("header", True).csv(path)
+
+
+@register("report_round_trip", SQL["dataset_fingerprint"])
+def q_report_round_trip(spark, sf_dir):
+    """A JSON report (the fingerprint) written and read back."""
+    path = VA.report_path(spark, "fingerprint")
+    SK.write_report(spark, QUERIES["dataset_fingerprint"](spark, sf_dir).first().asDict(), path)
+    report = SK.read_report(spark, path)
+    return spark.createDataFrame([(report["rows"], report["fingerprint"])], "rows long, fingerprint long")
+
+
+@register("feature_columns", O.with_tx("\nUNION ALL ".join(
+    f"SELECT '{n}' AS feature, {i} AS position, count({x}) AS present FROM tx"
+    for i, (n, x) in enumerate([(c, c) for c in S.RAW_FEATURES] + [(n, x) for n, x, _ in _BAL_SQL]))))
+def q_feature_columns(spark, sf_dir):
+    """The feature columns of the balance frame in order, with their non-null rows."""
+    frame = B.add_balance_features(_tx(spark, sf_dir))
+    cols = FT.feature_columns(frame)
+    counts = frame.agg(*[F.count(c).alias(c) for c in cols])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col(c).alias("present"))
+        for i, c in enumerate(cols)])).alias("_e")).select("_e.*")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import logit
+from ..operators.ordered import exact_quantiles
 
 CATEGORICAL = [S.OPERATION]
 MISSING = -1e9
@@ -129,16 +130,22 @@ def predict(model, df: DataFrame, out: str = "score") -> DataFrame:
 # ---------------------------------------------------------------- starter
 
 def starter_preprocess(train: DataFrame, numeric: list, categorical: list) -> tuple[Pipeline, dict]:
-    """Exact medians of the train columns fill numeric nulls (a one-row
-    aggregate); categorical columns are one-hot encoded with unknown -> zero vector."""
-    med = train.agg(*[F.median(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
-    medians = {k: (float(v) if v is not None else 0.0) for k, v in med.items()}
+    """Exact medians of the train columns fill numeric nulls (from counts per
+    value, no task holds a column); categorical columns are one-hot encoded with
+    unknown -> zero vector."""
+    medians = dict.fromkeys(numeric, 0.0)
+    if numeric:
+        long = train.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in numeric])).alias("_e"))
+        med = exact_quantiles(long.select("_e.*"), "value", [0.5], ["name"])
+        medians |= {r["name"]: float(r["q0"]) for r in med.collect() if r["q0"] is not None}   # one row per column
     stages = []
     for c in categorical:
+        # the indexer puts unknown values last, and the last category is the zero vector
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
                    OneHotEncoder(inputCols=[f"{c}__idx"], outputCols=[f"{c}__oh"], dropLast=True,
-                                 handleInvalid="keep")]
+                                 handleInvalid="error")]
     stages.append(VectorAssembler(inputCols=numeric + [f"{c}__oh" for c in categorical],
                                   outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=stages), medians

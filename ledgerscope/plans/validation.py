@@ -7,7 +7,9 @@ replay the feature plan.
 """
 from __future__ import annotations
 
+import json
 import random
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,51 +19,75 @@ from ..operators import fusion as FU
 from ..operators import metrics as M
 from ..operators import splits as SP
 from ..operators import submission as SU
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import sinks as SK
 from . import features as FT
 from . import models as MD
 
 LEARNERS = ("gbt", "forest", "gbt_deep")
 
 
-def fold_frames(tr: DataFrame, va: DataFrame, **feature_kw):
-    """Feature table of one fold, materialised, assembled for the learners."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(tr.sparkSession)
-    ft = FT.build_feature_table(tr, va, **feature_kw).checkpoint(eager=True)
+def feature_frames(train: DataFrame, valid: DataFrame | None = None, test: DataFrame | None = None,
+                   iso: bool = True, **feature_kw) -> tuple[dict, list]:
+    """Assembled feature rows by split tag, written once, and the feature columns
+    (157 with the anomaly score).  Valid and test rows are ranked apart."""
+    ft = materialize(FT.build_feature_table(train, test, valid=valid, iso=iso, **feature_kw), "features")
     cols = FT.feature_columns(ft)
-    asm = MD.Assembler(cols).fit(ft.filter(F.col(S.SPLIT) == "train"))
-    x = asm.transform(ft)
-    return x.filter(F.col(S.SPLIT) == "train"), x.filter(F.col(S.SPLIT) == "test"), cols
+    x = MD.Assembler(cols).fit(ft.filter(F.col(S.SPLIT) == "train")).transform(ft)
+    return {s: x.filter(F.col(S.SPLIT) == s) for s in ("train", "valid", "test")}, cols
+
+
+def fold_frames(tr: DataFrame, va: DataFrame, **feature_kw):
+    """Assembled train and valid rows of one fold and the feature columns."""
+    frames, cols = feature_frames(tr, va, **feature_kw)
+    return frames["train"], frames["valid"], cols
 
 
 def ap_of(df: DataFrame, score: str) -> float:
     return M.average_precision_value(df, score, S.LABEL)
 
 
-def score_fold(trA: DataFrame, vaA: DataFrame, learners=LEARNERS, early_stop: bool = True) -> tuple[dict, DataFrame]:
-    """Fit each learner on the fold (holdout early stopping on valid) and
-    return AP per learner and the valid predictions (id, label, one column per learner)."""
-    preds = vaA.select(S.ID, S.LABEL, S.OPERATION)
-    scores = {}
-    models = {}
-    for name in learners:
-        spec = MD.BASE_LEARNERS[name]
-        model = MD.fit_learner(spec, trA, vaA if early_stop else None)
-        models[name] = model
-        p = MD.predict(model, vaA, name).select(S.ID, name)
-        preds = preds.join(p, S.ID)
-        scores[name] = None
-    preds = preds.checkpoint(eager=True)
-    for name in learners:
-        scores[name] = ap_of(preds, name)
-    return scores, preds, models
+def ap_by_model(df: DataFrame, names, by: tuple = ()) -> DataFrame:
+    """AP of several score columns in one pass: ``by..., model, ap``."""
+    long = df.select(S.LABEL, *by, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(n).alias("_s")) for n in names])).alias("_e")).select(
+        S.LABEL, *by, "_e.*")
+    return M.average_precision(long, "_s", S.LABEL, [*by, "model"])
+
+
+def score_fold(trA: DataFrame, vaA: DataFrame, learners=LEARNERS, early_stop: bool = True) -> tuple[dict, DataFrame, dict]:
+    """Fit each learner on the fold (holdout early stopping on valid); AP per
+    learner, the valid predictions (id, label, operation, one column per
+    learner) and the models.  The learners score one frame after the other, so
+    nothing is joined."""
+    models = {n: MD.fit_learner(MD.BASE_LEARNERS[n], trA, vaA if early_stop else None) for n in learners}
+    preds = materialize(scored(models, vaA).select(S.ID, S.LABEL, S.OPERATION, *learners), "predictions")
+    found = {r["model"]: r["ap"] for r in ap_by_model(preds, learners).collect()}   # one row per learner
+    return {n: float(found.get(n, 0.0)) for n in learners}, preds, models
+
+
+def scored(models: dict, df: DataFrame) -> DataFrame:
+    """``df`` with one probability column per model."""
+    for name, model in models.items():
+        df = MD.predict(model, df, name)
+    return df
+
+
+def refitted(models: dict, full: DataFrame) -> dict:
+    """Each learner refitted on all labelled rows, boosted ones with the tree count kept on the holdout."""
+    return {n: MD.refit_full(MD.BASE_LEARNERS[n], n, model, full) for n, model in models.items()}
+
+
+def score_weights(scores: dict) -> dict:
+    """K4: weights proportional to the scores, equal if their sum is not positive."""
+    total = sum(scores.values())
+    return {k: (v / total if total > 0 else 1.0 / len(scores)) for k, v in scores.items()}
 
 
 def blend_choice(preds: DataFrame, scores: dict) -> tuple[dict, str, float]:
     """K4-K7: score-weighted weights against the AP-optimal simplex grid."""
     names = list(scores)
-    total = sum(scores.values())
-    w_avg = {k: (v / total if total > 0 else 1.0 / len(names)) for k, v in scores.items()}
+    w_avg = score_weights(scores)
     search = FU.blend_weight_search(preds, names)
     w_opt = FU.best_weights(search, names)
     ap_opt = ap_of(FU.blend(preds, w_opt, "_b"), "_b")
@@ -71,8 +97,9 @@ def blend_choice(preds: DataFrame, scores: dict) -> tuple[dict, str, float]:
     return w_avg, "score-weighted", ap_avg
 
 
-def validate_models(spark: SparkSession, train: DataFrame, cutoff: int = S.VAL_PERIOD_CUTOFF) -> DataFrame:
-    """Temporal holdout for the three learners + ensemble, and a group holdout."""
+def validation_report(train: DataFrame, cutoff: int = S.VAL_PERIOD_CUTOFF, path: str | None = None) -> dict:
+    """Temporal holdout for the three learners and their ensemble, group
+    holdout for the first; written as JSON to ``path`` when given."""
     tr, va = SP.temporal_split(train, cutoff)
     trA, vaA, _ = fold_frames(tr, va, unsupervised_ref="train")
     scores, preds, _ = score_fold(trA, vaA)
@@ -80,9 +107,20 @@ def validate_models(spark: SparkSession, train: DataFrame, cutoff: int = S.VAL_P
     tr_g, va_g = SP.group_split(train)
     trG, vaG, _ = fold_frames(tr_g, va_g, unsupervised_ref="train")
     g_scores, _, _ = score_fold(trG, vaG, learners=("gbt",))
-    rows = [("temporal", k, float(v), float(weights[k])) for k, v in scores.items()]
-    rows.append(("temporal", f"ensemble:{kind}", float(ens), None))
-    rows.append(("group", "gbt", float(g_scores["gbt"]), None))
+    report = {"temporal_cutoff": cutoff, "temporal_scores": scores, "ensemble_kind": kind,
+              "ensemble_score": float(ens), "ensemble_weights": weights, "group_score": g_scores["gbt"]}
+    if path:
+        SK.write_report(train.sparkSession, report, path)
+    return report
+
+
+def validate_models(spark: SparkSession, train: DataFrame, cutoff: int = S.VAL_PERIOD_CUTOFF,
+                    path: str | None = None) -> DataFrame:
+    """The :func:`validation_report` as rows."""
+    r = validation_report(train, cutoff, path)
+    rows = [("temporal", k, v, float(r["ensemble_weights"][k])) for k, v in r["temporal_scores"].items()]
+    rows.append(("temporal", f"ensemble:{r['ensemble_kind']}", r["ensemble_score"], None))
+    rows.append(("group", "gbt", r["group_score"], None))
     return spark.createDataFrame(rows, "check string, model string, ap double, weight double")
 
 
@@ -103,84 +141,108 @@ def cv_rolling(spark: SparkSession, train: DataFrame, cutoffs=tuple(S.ROLLING_CU
 
 def cv_group(spark: SparkSession, train: DataFrame, k: int = 5) -> DataFrame:
     """Stratified group k-fold over origin accounts."""
-    folds = SP.stratified_group_folds(train, k).checkpoint(eager=True)
-    x = train.join(folds, S.ORIGIN, "inner")
     rows = []
-    for f in range(k):
-        tr = x.filter(F.col("fold") != f).drop("fold")
-        va = x.filter(F.col("fold") == f).drop("fold")
+    for f, tr, va in group_parts(train, k):
         trA, vaA, _ = fold_frames(tr, va)
         sc, _, _ = score_fold(trA, vaA, learners=("gbt",))
         rows.append((f, trA.count(), vaA.count(), float(sc["gbt"])))
     return spark.createDataFrame(rows, "fold int, train_rows long, valid_rows long, ap double")
 
 
+def group_parts(train: DataFrame, k: int = 5):
+    """``(fold, train rows, valid rows)`` of the stratified group folds over origin accounts."""
+    x = train.join(materialize(SP.stratified_group_folds(train, k), "folds"), S.ORIGIN, "inner")
+    for f in range(k):
+        yield f, x.filter(F.col("fold") != f).drop("fold"), x.filter(F.col("fold") == f).drop("fold")
+
+
 def cv_ensemble(spark: SparkSession, train: DataFrame, cutoffs=tuple(S.ROLLING_CUTOFFS),
-                width: int = S.BOUNDED_FOLD_WIDTH) -> DataFrame:
-    """Bounded rolling folds, three learners + score-weighted ensemble on
-    the reduced feature set (no graph, rolling, profile, anomaly)."""
+                width: int = S.BOUNDED_FOLD_WIDTH, k: int = 5, schemes: tuple = ("rolling", "group")) -> DataFrame:
+    """Three learners and their score-weighted ensemble over bounded rolling
+    folds and over group folds, on the reduced feature set (no graph, rolling,
+    profile, anomaly).  One row per (scheme, fold, model); a rolling fold is named by its cutoff."""
+    parts = []
+    if "rolling" in schemes:
+        p = F.col(S.PERIOD)
+        parts += [("rolling", int(c), train.filter(p < c), train.filter((p >= c) & (p < c + width))) for c in cutoffs]
+    if "group" in schemes:
+        parts += [("group", *x) for x in group_parts(train, k)]
     rows = []
-    for c in cutoffs:
-        tr = train.filter(F.col(S.PERIOD) < c)
-        va = train.filter((F.col(S.PERIOD) >= c) & (F.col(S.PERIOD) < c + width))
-        if va.limit(1).count() == 0 or tr.limit(1).count() == 0:
+    for scheme, fold, tr, va in parts:
+        if tr.isEmpty() or va.isEmpty():
             continue
-        trA, vaA, _ = fold_frames(tr, va, unsupervised_ref="train", blocks=())
+        trA, vaA, _ = fold_frames(tr, va, iso=False, unsupervised_ref="train", blocks=())
         sc, preds, _ = score_fold(trA, vaA)
-        total = sum(sc.values())
-        w = {k: (v / total if total > 0 else 1 / len(sc)) for k, v in sc.items()}
-        ens = ap_of(FU.blend(preds, w, "_b"), "_b")
-        for k, v in sc.items():
-            rows.append((int(c), k, float(v)))
-        rows.append((int(c), "ensemble", float(ens)))
-    return spark.createDataFrame(rows, "cutoff int, model string, ap double")
+        rows += [(scheme, fold, n, v) for n, v in sc.items()]
+        rows.append((scheme, fold, "ensemble", ap_of(FU.blend(preds, score_weights(sc), "_b"), "_b")))
+    return spark.createDataFrame(rows, "scheme string, fold int, model string, ap double")
 
 
-def fold_summary_table(report: DataFrame, group: str | None = None) -> DataFrame:
+def fold_summary_table(report: DataFrame, *group: str) -> DataFrame:
     """Mean and population std of AP over folds (per model when given)."""
-    g = report.groupBy(group) if group else report.groupBy()
-    out = g.agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"),
-                F.count(F.lit(1)).alias("n_folds"))
-    return out
+    return report.groupBy(*group).agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"),
+                                      F.count(F.lit(1)).alias("n_folds"))
 
 
 def oof_scores(spark: SparkSession, train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Out-of-fold predictions of the three learners over group folds;
-    each train id appears exactly once."""
-    folds = SP.stratified_group_folds(train, k).checkpoint(eager=True)
-    x = train.join(folds, S.ORIGIN, "inner")
+    each train id appears exactly once.  Test rows share the unsupervised
+    statistics of a fold but are ranked apart from its valid rows."""
     parts = None
-    for f in range(k):
-        tr = x.filter(F.col("fold") != f).drop("fold")
-        va = x.filter(F.col("fold") == f).drop("fold")
-        test_plus = va.unionByName(test, allowMissingColumns=True)
-        ft = FT.build_feature_table(tr, test_plus).checkpoint(eager=True)
-        cols = FT.feature_columns(ft)
-        asm = MD.Assembler(cols).fit(ft.filter(F.col(S.SPLIT) == "train"))
-        a = asm.transform(ft)
-        trA = a.filter(F.col(S.SPLIT) == "train")
-        vaA = a.join(va.select(S.ID), S.ID, "left_semi")
-        _, preds, _ = score_fold(trA, vaA)
+    for f, tr, va in group_parts(train, k):
+        frames, _ = feature_frames(tr, va, test)
+        _, preds, _ = score_fold(frames["train"], frames["valid"])
+        preds = preds.select(S.ID, F.lit(f).alias("fold"), *LEARNERS, F.col(S.LABEL).alias(S.TARGET))
         parts = preds if parts is None else parts.unionByName(preds)
-    return parts.select(S.ID, *LEARNERS, F.col(S.LABEL).alias(S.TARGET))
+    return parts
+
 
+def oof_report(oof: DataFrame, models=LEARNERS, label: str = S.TARGET, fold: str = "fold") -> DataFrame:
+    """AP of each model per fold and over all rows (null fold)."""
+    x = oof.withColumnRenamed(label, S.LABEL) if label != S.LABEL else oof
+    whole = ap_by_model(x, models).select(F.lit(None).cast("int").alias(fold), "model", "ap")
+    return ap_by_model(x, models, (fold,)).select(F.col(fold).cast("int").alias(fold), "model", "ap").unionByName(whole)
 
-def random_search(spark: SparkSession, train: DataFrame, trials: int = 6, seed: int = S.RANDOM_STATE) -> DataFrame:
-    """Seeded random search of boosted-tree settings on the fixed temporal holdout."""
-    rng = random.Random(seed)
+
+def holdout_fit(train_rows: DataFrame, cutoff: int = S.VAL_PERIOD_CUTOFF) -> tuple[dict, DataFrame, dict]:
+    """The learners fitted on the periods before ``cutoff`` and stopped on the rest:
+    AP, predictions of the rest, models."""
+    return score_fold(*SP.temporal_split(train_rows, cutoff))
+
+
+def test_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Base predictions of the test rows by the holdout-stopped learners."""
+    frames, _ = feature_frames(train, test=test)
+    _, _, models = holdout_fit(frames["train"])
+    return scored(models, frames["test"]).select(S.ID, *LEARNERS)
+
+
+SEARCH_SPACE = {
+    "gbt": dict(maxDepth=[3, 4, 5, 6, 8], stepSize=[0.03, 0.05, 0.1, 0.2], maxIter=[20, 40, 60],
+                subsamplingRate=[0.6, 0.8, 1.0], minInstancesPerNode=[5, 20, 80]),
+    "forest": dict(numTrees=[30, 60, 100], maxDepth=[4, 6, 8, 10], subsamplingRate=[0.6, 0.8, 1.0],
+                   featureSubsetStrategy=["sqrt", "0.3", "0.7"], minInstancesPerNode=[1, 5, 20]),
+    "gbt_deep": dict(maxDepth=[6, 7, 8, 10], stepSize=[0.03, 0.05, 0.1], maxIter=[20, 40],
+                     subsamplingRate=[0.6, 0.8, 1.0], minInstancesPerNode=[1, 10, 30]),
+}
+
+
+def random_search(spark: SparkSession, train: DataFrame, trials: int = 4, seed: int = S.RANDOM_STATE,
+                  learners=LEARNERS) -> DataFrame:
+    """Seeded random search of each learner's settings on the fixed temporal
+    holdout; one row per trial with its settings as JSON, ``best`` marks the highest AP of a learner."""
     tr, va = SP.temporal_split(train)
-    trA, vaA, _ = fold_frames(tr, va)
-    rows = []
-    for t in range(trials):
-        spec = dict(MD.BASE_LEARNERS["gbt"], maxDepth=rng.choice([3, 4, 5, 6, 8]),
-                    stepSize=rng.choice([0.03, 0.05, 0.1, 0.2]), maxIter=rng.choice([20, 40, 60]),
-                    subsamplingRate=rng.choice([0.6, 0.8, 1.0]), minInstancesPerNode=rng.choice([5, 20, 80]))
-        model = MD.fit_learner(spec, trA, vaA)
-        ap = ap_of(MD.predict(model, vaA, "_s"), "_s")
-        rows.append((t, spec["maxDepth"], spec["stepSize"], spec["maxIter"], spec["subsamplingRate"],
-                     spec["minInstancesPerNode"], float(ap)))
-    return spark.createDataFrame(rows, "trial int, max_depth int, step_size double, max_iter int, "
-                                       "subsampling_rate double, min_instances int, ap double")
+    trA, vaA, _ = fold_frames(tr, va, unsupervised_ref="train")
+    found = []
+    for name in learners:
+        rng = random.Random(f"{seed}-{name}")
+        for t in range(trials):
+            drawn = {k: rng.choice(v) for k, v in SEARCH_SPACE[name].items()}
+            model = MD.fit_learner(dict(MD.BASE_LEARNERS[name], **drawn), trA, vaA)
+            found.append((name, t, drawn, ap_of(MD.predict(model, vaA, "_s"), "_s")))
+    best = {n: max((x for x in found if x[0] == n), key=lambda x: (x[3], -x[1]))[1] for n in learners if trials}
+    rows = [(n, t, json.dumps(drawn, sort_keys=True), ap, best[n] == t) for n, t, drawn, ap in found]
+    return spark.createDataFrame(rows, "learner string, trial int, settings string, ap double, best boolean")
 
 
 def quick_validation(spark: SparkSession, train: DataFrame, test: DataFrame, frac: float = 0.25,
@@ -188,12 +250,9 @@ def quick_validation(spark: SparkSession, train: DataFrame, test: DataFrame, fra
     """Account sample, temporal holdout, three learners + score-weighted ensemble."""
     tr_s, te_s = SP.account_sample(train, test, frac)
     tr, va = SP.temporal_split(tr_s, cutoff)
-    trA, vaA, _ = fold_frames(tr, va.unionByName(te_s, allowMissingColumns=True))
-    vaA = vaA.filter(F.col(S.LABEL).isNotNull())
-    sc, preds, _ = score_fold(trA, vaA)
-    total = sum(sc.values())
-    w = {k: (v / total if total > 0 else 1 / len(sc)) for k, v in sc.items()}
-    ens = ap_of(FU.blend(preds, w, "_b"), "_b")
+    frames, _ = feature_frames(tr, va, te_s)
+    sc, preds, _ = score_fold(frames["train"], frames["valid"])
+    ens = ap_of(FU.blend(preds, score_weights(sc), "_b"), "_b")
     rows = [(k, float(v)) for k, v in sc.items()] + [("ensemble", float(ens)), ("gain", float(ens - baseline))]
     return spark.createDataFrame(rows, "model string, value double")
 
@@ -217,60 +276,87 @@ def baseline_manifest(spark: SparkSession, train: DataFrame, test: DataFrame,
 
 # ----------------------------------------------------------------- pipelines
 
-def train_final_and_submit(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame,
-                           weights: dict | None = None, iso: bool = True) -> DataFrame:
-    """L3: features on train + test, holdout fits (cutoff 96) to size the refits,
-    full refits, blend, operation prior, right join to the sample, checks."""
-    from ..operators import anomaly as AN
-    from ..operators import balance as B
-    iso_model = None
-    if iso:
-        comb = SP.combine_splits(train, ("test", test))
-        iso_model = AN.fit_isolation_forest(B.add_balance_features(comb))
-    ft = FT.build_feature_table(train, test, iso_forest=iso_model).checkpoint(eager=True)
-    cols = FT.feature_columns(ft)
-    asm = MD.Assembler(cols).fit(ft.filter(F.col(S.SPLIT) == "train"))
-    a = asm.transform(ft)
-    tr_all = a.filter(F.col(S.SPLIT) == "train")
-    te = a.filter(F.col(S.SPLIT) == "test")
-    tr_fit = tr_all.filter(F.col(S.PERIOD) < S.VAL_PERIOD_CUTOFF)
-    va_fit = tr_all.filter(F.col(S.PERIOD) >= S.VAL_PERIOD_CUTOFF)
-    preds = te.select(S.ID, S.OPERATION)
-    for name in LEARNERS:
-        spec = MD.BASE_LEARNERS[name]
-        hold = MD.fit_learner(spec, tr_fit, va_fit)
-        full = MD.refit_full(spec, name, hold, tr_all) if spec["kind"] == "gbt" else MD.fit_learner(spec, tr_all)
-        preds = preds.join(MD.predict(full, te, name).select(S.ID, name), S.ID)
-    w = weights or {n: 1.0 / len(LEARNERS) for n in LEARNERS}
-    blended = FU.blend(preds, w, "_blend")
-    adjusted = FU.operation_prior(blended, "_blend", out=S.TARGET)
-    fill = train.agg(F.avg(S.LABEL)).first()[0]
-    sub = SU.build_submission(adjusted, sample, fill)
-    SU.check_submission(sub, sample)
-    return sub
+def report_path(spark: SparkSession, name: str) -> str:
+    """A fresh place for a report under the session's shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports/{name}-{uuid.uuid4().hex}"
 
 
-def pipeline_two_stage(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame) -> DataFrame:
-    """L4: global blend plus an op_03 specialist, fused by rank inside op_03.
-    Out-of-fold encodings are used for the holdout (no leaked validation)."""
-    ft = FT.build_feature_table(train, test).checkpoint(eager=True)
-    cols = FT.feature_columns(ft)
-    asm = MD.Assembler(cols).fit(ft.filter(F.col(S.SPLIT) == "train"))
-    a = asm.transform(ft)
-    tr_all = a.filter(F.col(S.SPLIT) == "train")
-    te = a.filter(F.col(S.SPLIT) == "test")
-    preds = te.select(S.ID, S.OPERATION)
-    for name in LEARNERS:
-        preds = preds.join(MD.predict(MD.fit_learner(MD.BASE_LEARNERS[name], tr_all), te, name)
-                           .select(S.ID, name), S.ID)
-    g = FU.blend(preds, {n: 1.0 / len(LEARNERS) for n in LEARNERS}, "global")
-    spec_rows = SP.operation_filter(tr_all, check=True)
-    spec_model = MD.fit_learner(MD.SPECIALIST, spec_rows)
-    sp = MD.predict(spec_model, te.filter(F.col(S.OPERATION) == S.POSITIVE_OPERATION), "specialist")
-    g = g.join(sp.select(S.ID, "specialist"), S.ID, "left").fillna(0.0, ["specialist"])
-    fused = FU.two_stage_scores(g, "global", "specialist", out=S.TARGET)
+def train_final_and_submit(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame,
+                           weights: dict | None = None, iso: bool = True, report: str | None = None,
+                           predictions_path: str | None = None, submission_path: str | None = None) -> DataFrame:
+    """L3: the blend weights come from ``weights``, else from the stored validation
+    report at ``report``, else from a validation run now (and stored there).
+    Features on train + test, holdout fits (cutoff 96) to size the refits, full
+    refits, blend, operation prior, right join to the sample, checks.  The base
+    predictions and the submission are written where paths are given."""
+    if weights is None:
+        if report and SK.path_exists(spark, report):
+            weights = SK.read_report(spark, report)["ensemble_weights"]
+        else:
+            weights = validation_report(train, path=report)["ensemble_weights"]
+    frames, _ = feature_frames(train, test=test, iso=iso)
+    _, _, models = holdout_fit(frames["train"])
+    preds = scored(refitted(models, frames["train"]), frames["test"]).select(S.ID, S.OPERATION, *LEARNERS)
+    preds = materialize(preds, "test_predictions")
+    if predictions_path:
+        SK.write_table(preds.select(S.ID, *LEARNERS), predictions_path)
+    adjusted = FU.operation_prior(FU.blend(preds, weights, "_blend"), "_blend", out=S.TARGET)
+    return _submit(adjusted, sample, train, submission_path)
+
+
+def _submit(preds: DataFrame, sample: DataFrame, train: DataFrame, path: str | None) -> DataFrame:
     fill = train.agg(F.avg(S.LABEL)).first()[0]      # missing ids are always filled
-    sub = SU.build_submission(fused, sample, fill)
+    sub = materialize(SU.build_submission(preds, sample, fill), "submission")
     SU.check_submission(sub, sample)
+    if path:
+        SK.write_submission(sub, path)
     return sub
 
+
+def two_stage(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame,
+              submission_path: str | None = None, report: str | None = None) -> tuple[DataFrame, dict]:
+    """L4: global blend plus a specialist of the positive operation, fused by rank.
+
+    Holdout: the learners' AP-optimal blend, the specialist on its operation's
+    rows, AP of the blend and of the fused scores.  Then every model is refitted
+    on all rows with its kept tree count and the test rows are scored.
+    Out-of-fold encodings are used throughout (no leaked validation).
+    Gives the submission and the report, both written where paths are given."""
+    frames, cols = feature_frames(train, test=test)
+    rows, te = frames["train"], frames["test"]
+    tr, va = SP.temporal_split(rows)
+    scores, preds, models = score_fold(tr, va)
+    weights = FU.best_weights(FU.blend_weight_search(preds, list(LEARNERS)), list(LEARNERS))
+
+    def only(df):
+        return df.filter(F.col(S.OPERATION) == S.POSITIVE_OPERATION)
+
+    specialist = MD.fit_learner(MD.SPECIALIST, SP.operation_filter(tr), only(va))
+
+    def fused(global_models, special, df):
+        keep = [S.ID, S.OPERATION, *[c for c in (S.LABEL,) if c in df.columns]]
+        x = FU.blend(scored(global_models, df), weights, "global")
+        x = MD.predict(special, x, "specialist").select(   # other operations have no specialist score
+            *keep, "global", F.when(F.col(S.OPERATION) == S.POSITIVE_OPERATION, F.col("specialist"))
+            .otherwise(F.lit(0.0)).alias("specialist"))
+        return FU.two_stage_scores(materialize(x, "two_stage"), "global", "specialist", out=S.TARGET)
+
+    held = fused(models, specialist, va)
+    ap = {r["model"]: float(r["ap"]) for r in ap_by_model(held, ("global", S.TARGET)).collect()}   # two rows
+    full = refitted(models, rows)
+    full_special = MD.refit_full(MD.SPECIALIST, "specialist", specialist, SP.operation_filter(rows))
+    sub = _submit(fused(full, full_special, te), sample, train, submission_path)
+    trees = {n: MD.kept_iterations(m) for n, m in [*full.items(), ("specialist", full_special)]}
+    out = {"val_ap_global": ap.get("global", 0.0), "val_ap_two_stage": ap.get(S.TARGET, 0.0), "val_scores": scores,
+           "ensemble_weights": weights, "trees": trees, "n_features": len(cols)}
+    if report:
+        SK.write_report(spark, out, report)
+    return sub, out
+
+
+def pipeline_two_stage(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame) -> DataFrame:
+    """The :func:`two_stage` submission with the validated AP and weights beside every row."""
+    sub, r = two_stage(spark, train, test, sample)
+    return sub.select("*", F.lit(r["val_ap_global"]).alias("val_ap_global"),
+                      F.lit(r["val_ap_two_stage"]).alias("val_ap_two_stage"),
+                      *[F.lit(float(w)).alias(f"weight_{n}") for n, w in r["ensemble_weights"].items()])

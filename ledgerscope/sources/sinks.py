@@ -11,10 +11,11 @@ from .. import schema as S
 from ..functions.columns import stable_hash
 
 
-def write_submission(sub: DataFrame, path: str) -> None:
-    """A3: ``id,target`` CSV with a header, written as one ordered file."""
-    (sub.select(S.ID, S.TARGET).orderBy(S.ID).coalesce(1)
-        .write.mode("overwrite").option("header", True).csv(path))
+def write_submission(sub: DataFrame, path: str, single_file: bool = False) -> None:
+    """A3: ``id,target`` CSV with a header, in files of ascending id ranges.
+    ``single_file`` sends all rows through one task, for small submissions only."""
+    out = sub.select(S.ID, S.TARGET).orderBy(S.ID)
+    (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -22,6 +23,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """A small JSON report (one row)."""
     spark.createDataFrame([(json.dumps(report, sort_keys=True),)], "report string") \

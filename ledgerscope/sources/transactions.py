@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .sinks import path_exists
 
 # Period length of the adapter: 5 hours in microseconds, counted from
 # 2024-01-01 00:00:00 (fixed values of the fixture definition).
@@ -20,9 +21,19 @@ EVENT_TO_OPERATION = {
 }
 
 
-def read_csv_transactions(spark: SparkSession, path: str, with_label: bool = True) -> DataFrame:
-    """Read a train/test CSV with an explicit schema; malformed rows fail the job."""
-    return (spark.read.schema(S.transaction_schema(with_label))
+def first_existing(spark: SparkSession, candidates) -> str:
+    """A2: the first of the candidate paths that exists; fails when none does."""
+    for path in candidates:
+        if path_exists(spark, path):
+            return path
+    raise FileNotFoundError(f"none of these exists: {', '.join(candidates)}")
+
+
+def read_csv_transactions(spark: SparkSession, path, with_label: bool = True, **key_types) -> DataFrame:
+    """Read a train/test CSV (or the first that exists of several) with an explicit
+    schema; malformed rows fail the job.  ``key_types`` go to :func:`schema.transaction_schema`."""
+    path = path if isinstance(path, str) else first_existing(spark, path)
+    return (spark.read.schema(S.transaction_schema(with_label, **key_types))
             .option("header", True).option("mode", "FAILFAST").csv(path))
 
 
