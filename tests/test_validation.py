@@ -77,7 +77,7 @@ def test_amounts_finer_than_the_scale_fail(spark):
 def test_feature_plan_reads_the_rows_few_times(spark):
     train, test = TX.load_train_test(spark, SF001)
     plan = FT.build_feature_table(train, test)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation [") + plan.count("LogicalRelation") <= 12   # 51 scans of the rows before
+    assert 3 <= plan.count("Relation [") <= 12   # the rows and the written tables
 
 
 @pytest.fixture
