@@ -2,10 +2,11 @@
 
 Patterns find the protected entities (addresses, card and phone numbers).  For each word within ``window`` words of
 an entity the corpus tells how strongly it reveals that entity: with document counts n over N documents,
-``PMI(e; t) = log2(n(e,t) N / (n(e) n(t)))`` against the entity's own information ``IC(e) = -log2(n(e) / N)``.  A term whose
-PMI reaches ``remove`` of the IC gives the entity away and is removed; from ``generalise`` on it is
-generalised to its first letter.  What is seen in fewer than ``support`` different texts is no
-evidence (copies of one text say nothing about a term), so such terms stay, as do texts without an entity.
+``PMI(e; t) = log2(P(e|t) / P(e))`` against the entity's own information ``IC(e) = -log2 P(e)``, where ``P(e) = n(e) / N`` and
+``P(e|t) = (n(e,t) + prior P(e)) / (n(t) + prior)``: ``prior`` documents that know nothing of the term are added, so a
+term of few documents is drawn towards no information instead of being left out.  A term whose PMI reaches ``remove`` of
+the IC gives the entity away and is removed; from ``generalise`` on it is generalised to its first letter.  Texts without
+an entity stay as they are.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from ledgerscope.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 20, 2, 0.6, 0.8
+WINDOW, PRIOR, GENERALISE, REMOVE = 20, 1.0, 0.6, 0.8
 
 # fixed patterns: written so that no text makes them scan a run of characters twice
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -99,7 +100,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[
     return out
 
 
-_DETECTED = ("uid long, text_hash long, base array<struct<start:int,kind:int,end:int>>, "
+_DETECTED = ("uid long, base array<struct<start:int,kind:int,end:int>>, "
              "contexts array<struct<entity:long,term:long,start:int,end:int>>")
 
 
@@ -110,7 +111,7 @@ def detect(docs: DataFrame, text_col: str, keep: Column, window: int, only: bool
     """
     picked = docs.select(F.col(text_col).cast("string").alias("text"), keep.alias("kept"))
     schema = T.StructType([picked.schema["kept"], *T.StructType.fromDDL(_DETECTED).fields])
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])),
+    kinds = [pa.int64(), pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])),
              pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches):
@@ -121,7 +122,7 @@ def detect(docs: DataFrame, text_col: str, keep: Column, window: int, only: bool
                 spans = base_spans(text)
                 chosen.append(only is None or only == bool(spans))
                 if chosen[-1]:
-                    rows.append((uid, _hash(text) if spans else 0, [dict(zip(("start", "kind", "end"), s)) for s in spans],
+                    rows.append((uid, [dict(zip(("start", "kind", "end"), s)) for s in spans],
                                  [dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(text, spans, window)]))
                 uid += 1
             kept = b.filter(pa.array(chosen, pa.bool_()))
@@ -193,20 +194,20 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
+def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, prior: float, generalise: float, remove: float) -> DataFrame:
     """``(uid, terms)`` of the rows with disclosing terms, from the detected rows and the counts of the whole corpus."""
-    seen = found.select("uid", "text_hash", F.explode("contexts").alias("c")).select("uid", "text_hash", "c.*")
+    seen = found.select("uid", F.explode("contexts").alias("c")).select("uid", "c.*")
     # a document counts once however often the two meet in it
-    pairs = (seen.select("uid", "text_hash", "entity", "term").distinct()
-             .groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support))
+    pairs = seen.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     entities = seen.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     near = seen.select("uid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     total = float(docs.agg(F.count("*")).first()[0] or 1)
-    information = F.log2(F.lit(total) / F.col("n_e"))
+    alone = F.col("n_e") / F.lit(total)
+    information = -F.log2(alone)
 
     def share(n_t):
-        return F.when(information > 0, F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * n_t)) / information).otherwise(0.0)
+        known = (F.col("n_et") + prior * alone) / (n_t + F.lit(prior))
+        return F.when(information > 0, F.log2(known / alone) / information).otherwise(0.0)
 
     # a term stands in at least as many documents as have it near an entity, and its share only falls with
     # that number: what fails with the smaller number needs no count over the corpus
@@ -218,15 +219,14 @@ def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, support:
             .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT,
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prior: float = PRIOR,
                        generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``doc_id, base, terms`` per row: base spans ``(start, kind, end)`` and disclosing terms ``(start, end, action)``.
 
-    Null and empty texts hold nothing; rows without an id and repeated rows are searched like any other, a
-    repeated text being one piece of evidence; an empty table gives an empty result; other columns are not read.
+    Null and empty texts hold nothing; rows without an id and repeated rows are searched and counted like any other; an empty table gives an empty result; other columns are not read.
     """
     found = materialize(detect(docs, text_col, F.col(id_col).cast("long"), window), "entities")
-    terms = disclosing_spans(found.where(F.size("base") > 0), docs, text_col, support, generalise, remove)
+    terms = disclosing_spans(found.where(F.size("base") > 0), docs, text_col, prior, generalise, remove)
     return found.join(terms, "uid", "left").select(F.col("kept").alias("doc_id"), "base", "terms")
 
 
@@ -243,7 +243,7 @@ def _rewrite(text: str, base, terms) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE,
+def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, prior: float = PRIOR, generalise: float = GENERALISE,
              remove: float = REMOVE) -> DataFrame:
     """``docs`` with entities and disclosing terms replaced in the text; a column ``n_chars`` follows its text.
 
@@ -251,7 +251,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, supp
     """
     row = F.struct(*[docs[c] for c in docs.columns])  # in one column, so that no name can clash
     hit = materialize(detect(docs, text_col, row, window, only=True), "entities")
-    terms = disclosing_spans(hit, docs, text_col, support, generalise, remove)
+    terms = disclosing_spans(hit, docs, text_col, prior, generalise, remove)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def rewrite(batches):

@@ -142,6 +142,23 @@ def test_disclosing_terms_by_brute_force(spark):
     assert "falcon" not in clean[0] and "<EMAIL>" in clean[0] and clean[2] == texts[2] and len(clean) == n
 
 
+def test_terms_are_found_on_the_given_tables(spark, docs):
+    from ledgerscope.llm import op3_pii as o
+    found = o.op3_pii(spark, SF).collect()
+    assert sum(r["spans"].count("term:") for r in found) > 0
+    assert all("term:" not in r["spans"] for r in found if not any(f"{k}:" in r["spans"] for k in o.KINDS))
+
+
+def test_one_text_is_weak_evidence(spark):
+    from ledgerscope.llm import op3_pii as o
+    texts = ["zebra me@mail.example.com", "heron you@mail.example.com"] + ["heron"] * 3 + ["filler"] * 35
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(texts[r["doc_id"]][t["start"]:t["end"]], t["action"]) for t in r["terms"] or ()] for r in o.find_personal_data(df).collect()}
+    share = lambda n_t: np.log2((1 + 1 / 40) / (n_t + 1) * 40) / np.log2(40)
+    assert share(1) >= o.REMOVE > o.GENERALISE > share(4)
+    assert got[0] == [("zebra", 1)] and got[1] == []
+
+
 def test_personal_data_on_awkward_rows(awkward, empty):
     from ledgerscope.llm import op3_pii as o
     found = o.find_personal_data(awkward).collect()
