@@ -1,12 +1,12 @@
-"""Personal data by fixed patterns, and terms around it by their information content.
+"""Personal data by fixed patterns, and terms beside it by their information content.
 
-Patterns find the protected entities (addresses, card and phone numbers).  For each word within ``window`` words of
+Patterns find the protected entities (addresses, card and phone numbers).  For each word of a document that holds
 an entity the corpus tells how strongly it reveals that entity: with document counts n over N documents,
 ``PMI(e; t) = log2(P(e|t) / P(e))`` against the entity's own information ``IC(e) = -log2 P(e)``, where ``P(e) = n(e) / N`` and
 ``P(e|t) = (n(e,t) + prior P(e)) / (n(t) + prior)``: ``prior`` documents that know nothing of the term are added, so a
 term of few documents is drawn towards no information instead of being left out.  A term whose PMI reaches ``remove`` of
-the IC gives the entity away and is removed; from ``generalise`` on it is generalised to its first letter.  Texts without
-an entity stay as they are.
+the IC gives the entity away and is removed wherever it stands in such a document; from ``generalise`` on it is generalised
+to its first letter.  Texts without an entity stay as they are.
 """
 from __future__ import annotations
 
@@ -27,7 +27,8 @@ from ledgerscope.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-WINDOW, PRIOR, GENERALISE, REMOVE = 20, 1.0, 0.6, 0.8
+PRIOR, GENERALISE, REMOVE = 1.0, 0.6, 0.8
+_SLICE = 256  # rows that stand as Python objects at once
 
 # fixed patterns: written so that no text makes them scan a run of characters twice
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -81,53 +82,49 @@ def _entity(kind: int, value: str) -> int:
     return _hash(f"{kind}:{value.lower() if kind < 2 else ''.join(_DIGIT.findall(value))}")
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """``(entity, term, start, end)``: the words nearest to each entity, entities themselves left out."""
-    reach, out = 12 * window, []
+def words_outside(text: str, spans: list[tuple[int, int, int]]):
+    """``(word in lower case, start, end)`` of the words of a text that no span touches."""
     starts, ends = [s for s, _, _ in spans], sorted(e for _, _, e in spans)
+    for m in _TERM.finditer(text):
+        # spans begun before the word's end but not ended before its start lie over it
+        if bisect_right(starts, m.end() - 1) == bisect_right(ends, m.start()):
+            yield m[0].lower(), m.start(), m.end()
 
-    def words(a, b):
-        for m in _TERM.finditer(text, a, b):
-            cut = m.start() == a > 0 and text[a - 1].isalpha() or m.end() == b < len(text) and text[b].isalpha()
-            # spans begun before the word's end but not ended before its start lie over it
-            if not cut and bisect_right(starts, m.end() - 1) == bisect_right(ends, m.start()):
-                yield _hash(m[0].lower()), m.start(), m.end()
-
-    for s, kind, e in spans:
-        key = _entity(kind, text[s:e])
-        near = list(words(max(0, s - reach), s))[-window:] + list(words(e, min(len(text), e + reach)))[:window]
-        out += [(key, *w) for w in near]
-    return out
-
-
-_DETECTED = ("uid long, base array<struct<start:int,kind:int,end:int>>, "
-             "contexts array<struct<entity:long,term:long,start:int,end:int>>")
 
-
-def detect(docs: DataFrame, text_col: str, keep: Column, window: int, only: bool | None = None) -> DataFrame:
-    """``kept`` (the expression ``keep``) with a row number, the base spans and their contexts.
+def detect(docs: DataFrame, text_col: str, keep: Column, only: bool | None = None) -> DataFrame:
+    """``kept`` (the expression ``keep``) with a row number, the base spans, the different entities and the different
+    words outside them; ``only=None`` also gives the text of the rows that hold an entity, other rows have no words.
 
     ``only=True`` gives the rows that hold an entity, ``only=False`` the others.
     """
     picked = docs.select(F.col(text_col).cast("string").alias("text"), keep.alias("kept"))
-    schema = T.StructType([picked.schema["kept"], *T.StructType.fromDDL(_DETECTED).fields])
-    kinds = [pa.int64(), pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])),
-             pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
+    detected = "uid long, base array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>, text string"
+    schema = T.StructType([picked.schema["kept"], *T.StructType.fromDDL(detected).fields])
+
+    def lists(parts, kind):
+        flat = [x for part in parts for x in part] if pa.types.is_struct(kind) else np.concatenate([np.zeros(0, np.int64), *parts])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            rows, chosen = [], []
-            for text in as_texts(b.column(0)):
-                spans = base_spans(text)
-                chosen.append(only is None or only == bool(spans))
-                if chosen[-1]:
-                    rows.append((uid, [dict(zip(("start", "kind", "end"), s)) for s in spans],
-                                 [dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(text, spans, window)]))
-                uid += 1
-            kept = b.filter(pa.array(chosen, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(1), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]],
-                                             schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(at, _SLICE)
+                chosen, uids, bases, entities, terms, texts = [], [], [], [], [], []
+                for text in as_texts(b.column(0)):
+                    spans = base_spans(text)
+                    chosen.append(only is None or only == bool(spans))
+                    if chosen[-1]:
+                        uids.append(uid)
+                        bases.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
+                        entities.append(np.array(sorted({_entity(kind, text[s:e]) for s, kind, e in spans}), np.int64))
+                        terms.append(np.array([_hash(w) for w in {w for w, _, _ in words_outside(text, spans)}] if spans else [], np.int64))
+                        texts.append(text if spans and only is None else None)
+                    uid += 1
+                kept = b.filter(pa.array(chosen, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(uids, pa.int64()),
+                                                  lists(bases, pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])),
+                                                  lists(entities, pa.int64()), lists(terms, pa.int64()), pa.array(texts, pa.string())], schema.names)
 
     return map_batches(picked, run, schema)
 
@@ -194,40 +191,73 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, prior: float, generalise: float, remove: float) -> DataFrame:
-    """``(uid, terms)`` of the rows with disclosing terms, from the detected rows and the counts of the whole corpus."""
-    seen = found.select("uid", F.explode("contexts").alias("c")).select("uid", "c.*")
-    # a document counts once however often the two meet in it
-    pairs = seen.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    entities = seen.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = seen.select("uid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, prior: float, generalise: float, remove: float) -> DataFrame:
+    """``(uid, removed, generalised)``: the terms that give an entity of the row away, from the detected rows and the
+    counts of the whole corpus."""
     total = float(docs.agg(F.count("*")).first()[0] or 1)
+    holds = found.select("uid", F.explode("entities").alias("entity"))
+    sets = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("x"),
+                                       F.bit_xor(F.xxhash64(F.lit(2), "uid")).alias("y"))
+    # entities of the same documents share all their counts: one stands for them, so a list of addresses costs no more than one
+    first = sets.groupBy("n_e", "x", "y").agg(F.min("entity").alias("entity")).where(F.col("n_e") < total).select("entity", "n_e")
+    groups = holds.join(first, "entity").groupBy("uid").agg(F.collect_list(F.struct("entity", "n_e")).alias("groups"))
+    seen = (found.select("uid", "terms").join(groups, "uid").select("uid", "terms", F.explode("groups").alias("g"))
+            .select("uid", "g.*", F.explode("terms").alias("term")))
+    pairs = seen.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"))
+    near = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     alone = F.col("n_e") / F.lit(total)
-    information = -F.log2(alone)
 
     def share(n_t):
         known = (F.col("n_et") + prior * alone) / (n_t + F.lit(prior))
-        return F.when(information > 0, F.log2(known / alone) / information).otherwise(0.0)
+        return F.log2(known / alone) / -F.log2(alone)
 
-    # a term stands in at least as many documents as have it near an entity, and its share only falls with
+    # a term stands in at least as many documents as have it beside an entity, and its share only falls with
     # that number: what fails with the smaller number needs no count over the corpus
-    wanted = materialize(pairs.join(entities, "entity").join(near, "term").where(share(F.col("n_near")) >= generalise), "pairs")
+    wanted = materialize(pairs.join(near, "term").where(share(F.col("n_near")) >= generalise), "pairs")
     judged = (wanted.join(term_counts(docs, text_col, wanted.select("term").distinct()), "term")
               .withColumn("share", share(F.col("n_t"))).where(F.col("share") >= generalise)
               .select("entity", "term", (F.col("share") >= remove).cast("int").alias("action")))
-    return (seen.join(judged, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("action").alias("action"))
-            .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
+    said = seen.join(judged, ["entity", "term"]).groupBy("uid", "term").agg(F.max("action").alias("action"))
+    return said.groupBy("uid").agg(F.collect_list(F.when(F.col("action") == 1, F.col("term"))).alias("removed"),
+                                   F.collect_list(F.when(F.col("action") == 0, F.col("term"))).alias("generalised"))
+
+
+def term_spans(text: str, base: list[dict], removed: list[int] | None, generalised: list[int] | None) -> list[dict]:
+    """``start, end, action`` of all places of the terms in a text, by start."""
+    said = dict.fromkeys(generalised or (), 0) | dict.fromkeys(removed or (), 1)
+    if not said:
+        return []
+    spans, known = [(s["start"], s["kind"], s["end"]) for s in base], {}
+    out = []
+    for word, start, end in words_outside(text, spans):
+        if word not in known:
+            known[word] = said.get(_hash(word))
+        if known[word] is not None:
+            out.append({"start": start, "end": end, "action": known[word]})
+    return out
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prior: float = PRIOR,
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR,
                        generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``doc_id, base, terms`` per row: base spans ``(start, kind, end)`` and disclosing terms ``(start, end, action)``.
 
-    Null and empty texts hold nothing; rows without an id and repeated rows are searched and counted like any other; an empty table gives an empty result; other columns are not read.
+    Null and empty texts hold nothing; rows without an id and repeated rows are searched and counted like any other; an empty
+    table gives an empty result; other columns are not read.
     """
-    found = materialize(detect(docs, text_col, F.col(id_col).cast("long"), window), "entities")
-    terms = disclosing_spans(found.where(F.size("base") > 0), docs, text_col, prior, generalise, remove)
-    return found.join(terms, "uid", "left").select(F.col("kept").alias("doc_id"), "base", "terms")
+    found = materialize(detect(docs, text_col, F.col(id_col).cast("long")), "entities")
+    terms = disclosing_terms(found.where(F.size("base") > 0), docs, text_col, prior, generalise, remove)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(at, _SLICE)
+                done = [term_spans(t or "", *x) for t, *x in zip(*(b.column(k).to_pylist() for k in (2, 1, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1),
+                                                  pa.array(done, pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "action")])))],
+                                                 ["doc_id", "base", "terms"])
+
+    return map_batches(found.join(terms, "uid", "left").select("kept", "base", "text", "removed", "generalised"), run,
+                       "doc_id long, base array<struct<start:int,kind:int,end:int>>, terms array<struct<start:int,end:int,action:int>>")
 
 
 def _rewrite(text: str, base, terms) -> str:
@@ -243,28 +273,31 @@ def _rewrite(text: str, base, terms) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, prior: float = PRIOR, generalise: float = GENERALISE,
-             remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with entities and disclosing terms replaced in the text; a column ``n_chars`` follows its text.
 
     Rows without an entity pass unchanged and are never shuffled.
     """
     row = F.struct(*[docs[c] for c in docs.columns])  # in one column, so that no name can clash
-    hit = materialize(detect(docs, text_col, row, window, only=True), "entities")
-    terms = disclosing_spans(hit, docs, text_col, prior, generalise, remove)
+    hit = materialize(detect(docs, text_col, row, only=True).drop("text"), "entities")
+    terms = disclosing_terms(hit, docs, text_col, prior, generalise, remove)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def rewrite(batches):
-        for b in batches:
-            cols = b.column(0).flatten()
-            done = [_rewrite(t, s, x) for t, s, x in zip(cols[at].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
-            cols[at] = pa.array(done, pa.string())
-            if "n_chars" in schema.names:
-                cols[schema.names.index("n_chars")] = pa.array([len(t) for t in done], pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
-
-    changed = map_batches(hit.join(terms, "uid", "left").select("kept", "base", "terms"), rewrite, schema)
-    clean = detect(docs, text_col, row, window, only=False).select("kept.*")
+        for whole in batches:
+            for first in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(first, _SLICE)
+                cols = b.column(0).flatten()
+                texts, base = as_texts(cols[at]), b.column(1).to_pylist()
+                terms = map(term_spans, texts, base, b.column(2).to_pylist(), b.column(3).to_pylist())
+                done = list(map(_rewrite, texts, base, terms))
+                cols[at] = pa.array(done, pa.string())
+                if "n_chars" in schema.names:
+                    cols[schema.names.index("n_chars")] = pa.array([len(t) for t in done], pa.int64())
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    changed = map_batches(hit.join(terms, "uid", "left").select("kept", "base", "removed", "generalised"), rewrite, schema)
+    clean = detect(docs, text_col, row, only=False).select("kept.*")
     return changed.unionAll(clean)
 
 
@@ -272,14 +305,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read(spark, sf_dir, "documents"))
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for base, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                spans = [(s["start"], s["kind"], s["end"]) for s in base or ()]
-                said = lambda spans: ",".join(f"{(*KINDS, 'term')[k]}:{a}:{e}" for a, k, e in sorted(spans))
-                rows.append((*[sum(k == n for _, k, _ in spans) for n in range(4)], hashlib.sha256(said(spans).encode()).hexdigest(),
-                             said(spans + [(s["start"], 4, s["end"]) for s in terms or ()])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)]],
-                                             ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                b, rows = whole.slice(at, _SLICE), []
+                for base, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    spans = [(s["start"], s["kind"], s["end"]) for s in base or ()]
+                    said = lambda spans: ",".join(f"{(*KINDS, 'term')[k]}:{a}:{e}" for a, k, e in sorted(spans))
+                    rows.append((*[sum(k == n for _, k, _ in spans) for n in range(4)], hashlib.sha256(said(spans).encode()).hexdigest(),
+                                 said(spans + [(s["start"], 4, s["end"]) for s in terms or ()])))
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)]],
+                                                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     return map_batches(found, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -159,6 +159,36 @@ def test_one_text_is_weak_evidence(spark):
     assert got[0] == [("zebra", 1)] and got[1] == []
 
 
+def test_terms_count_in_the_whole_document(spark):
+    from ledgerscope.llm import op3_pii as o
+    far = "the " * 60 + "zebra " + " " * 400 + "heron-me@mail.example.com, you@mail.example.com" + "x" * 300 + " the" * 60 + " Zebra heron"
+    texts = [far] + ["the other"] * 49
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(far[t["start"]:t["end"]], t["action"]) for t in r["terms"] or ()] for r in o.find_personal_data(df).collect()}
+    assert got[0] == [("zebra", 1), ("Zebra", 1), ("heron", 1)] and not any(got[k] for k in range(1, 50))
+    clean = {r["doc_id"]: r["text"] for r in o.sanitise(df).collect()}
+    assert "zebra" not in clean[0].lower() and "heron" not in clean[0] and clean[0].count("the") == 120 and clean[1] == texts[1]
+
+
+def test_terms_of_given_documents_by_brute_force(spark, docs):
+    from ledgerscope.llm import op3_pii as o
+    data = sorted(map(tuple, docs.select("doc_id", "text").collect()))
+    spans = {i: o.base_spans(t or "") for i, t in data}
+    words = {i: {w for w, _, _ in o.words_outside(t or "", spans[i])} for i, t in data}
+    keys = {i: {o._entity(k, t[s:e]) for s, k, e in spans[i]} for i, t in data}
+    n_t = collections.Counter(w for _, t in data for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")})
+    n_e = collections.Counter(e for i in keys for e in keys[i])
+    n_et = collections.Counter((e, w) for i in keys for e in keys[i] for w in words[i])
+    p = lambda e: n_e[e] / len(data)
+    share = {(e, w): np.log2((n + p(e)) / (n_t[w] + 1) / p(e)) / -np.log2(p(e)) for (e, w), n in n_et.items()}
+    want = {}
+    for i, t in data:
+        most = {w: max(share[e, w] for e in keys[i]) for w in words[i]} if keys[i] else {}
+        want[i] = [(a, b, int(most[w] >= o.REMOVE)) for w, a, b in o.words_outside(t or "", spans[i]) if most.get(w, 0) >= o.GENERALISE]
+    got = {r["doc_id"]: [(x["start"], x["end"], x["action"]) for x in r["terms"] or ()] for r in o.find_personal_data(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 0
+
+
 def test_personal_data_on_awkward_rows(awkward, empty):
     from ledgerscope.llm import op3_pii as o
     found = o.find_personal_data(awkward).collect()
