@@ -2,7 +2,7 @@
 
 The rows are dealt into blocks of candidates and blocks of queries, each pair of blocks being one unit of work.
 In a unit every component has its list of candidates sorted by value.  For a query the lists are read in step
-from their better end, to an eighth, a quarter, a half and at last their whole length; what a candidate has shown so far plus the
+from their better end, to the depths of ``DEPTHS`` and at last their whole length; what a candidate has shown so far plus the
 least (most) that its unread components can still give bounds its score from below (above).  Reading stops when at
 most a few candidates can still reach the k-th best lower bound; their scores are then resolved, and the best k of all
 units are merged.  Bounds are inclusive, so ties go to the smaller id as asked.
@@ -18,6 +18,7 @@ from ledgerscope.session import materialize
 
 K, SCALE, QUERY_STEP = 20, 64, 20
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 256
+DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16)  # shares of the lists after which the stop rule is asked
 
 
 class Lists:
@@ -40,6 +41,7 @@ class Lists:
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and scores of the best k, by score and then id; ``own`` takes no part."""
         n, out = len(self.ids), [None] * len(queries)
+        self.stops = np.zeros(len(queries), np.int64)  # how deep the lists were read for each query
         # a positive component reads its list from the top, a negative one from the bottom
         asked = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
         most = np.abs(asked).sum(1).max(initial=0) * np.abs(self.vectors).max(initial=0)
@@ -47,7 +49,7 @@ class Lists:
         asked, open_ = asked.astype(real), np.arange(len(queries))
         both = np.concatenate([self.vectors, self.vectors], axis=1).astype(real)
         worst = self.values[-1].astype(real)
-        for depth in sorted({max(1, n // 8), max(1, n // 4), max(1, n // 2), n}):
+        for depth in sorted({*(max(1, int(n * share)) for share in DEPTHS), n}):
             read = self.place < depth
             part = asked[open_]
             shown = part @ np.where(read, both, 0).T
@@ -59,6 +61,7 @@ class Lists:
             bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
             alive = (high >= bar[:, None]) & ~mine
             done = (alive.sum(1) <= 4 * k) | (depth == n)
+            self.stops[open_[done]] = depth
             for j in np.flatnonzero(done):  # outsiders cannot qualify any more: resolve the others
                 left = np.flatnonzero(alive[j])
                 scores = self.vectors[left] @ queries[open_[j]]

@@ -410,6 +410,20 @@ def test_top_k_by_brute_force(spark):
     assert o.top_k(few, lambda i: i % 20 == 0).count() == 2 and o.top_k(df.where("false"), lambda i: i == 0).count() == 0
 
 
+def test_the_stop_rule_decides_on_the_given_vectors():
+    import pyarrow.parquet as pq
+    from ledgerscope.llm import op9_topk as o
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    ids, vectors = table["vec_id"].to_numpy(), np.floor(64 * np.array(table["embedding"].to_pylist())).astype(np.int64)
+    lists = o.Lists(ids, vectors)
+    asked = np.flatnonzero(ids % o.QUERY_STEP == 0)
+    top = lists.top(vectors[asked], ids[asked], o.K)
+    assert len(asked) and (lists.stops < len(ids)).all()
+    for q, (found, scores) in zip(asked, top):
+        best = sorted((-int(s), int(i)) for s, i in zip(vectors @ vectors[q], ids) if i != ids[q])[:o.K]
+        assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == best
+
+
 @pytest.mark.parametrize("name", ["op2_url_filter", "op9_topk"])
 def test_sql_agrees(spark, name):
     import os
