@@ -42,13 +42,19 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text):
+    """With the id, the key of a row: equal for equal texts."""
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed long with the bits of the fingerprint."""
+    """``(doc_id, key, fp)``, fp as a signed long with the bits of the fingerprint, key the text's ``text_key``."""
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(b.column(1))], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(fps)], ["doc_id", "key", "fp"])
+    picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_key(F.col(text_col)))
+    return map_batches(picked, run, "doc_id long, key long, fp long")
 
 
 def block_masks(distance: int) -> list[int]:
@@ -135,6 +141,19 @@ def verified_links(nodes: DataFrame, distance: int = 3, chunk: int = 1024) -> Da
     return map_batches(dealt.repartition(*unit).sortWithinPartitions(*unit), run, "u long, v long")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, chunk: int = 1024) -> DataFrame:
+    """One row per document: ``doc_id, key, fp`` and ``first``, the least ``(doc_id, key)`` of its group (null if no member has an id)."""
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min(named).alias("least")), "nodes")
+    roots = components(verified_links(nodes, distance, chunk))
+    classes = nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = materialize(classes, "classes")
+    names = classes.groupBy("root").agg(F.min("least").alias("first"))
+    return fps.join(classes.join(names, "root").select("fp", "first"), "fp").select("doc_id", "key", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3,
                     chunk: int = 1024) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (signed long) and ``component_id``.
@@ -144,27 +163,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of its fingerprint (null if no member has an id); repeated rows are kept as they
     are; an empty table gives an empty result; columns besides the two named are not read.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(verified_links(nodes, distance, chunk))
-    classes = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    classes = materialize(classes, "classes")
-    names = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return fps.join(classes.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = grouped(docs, id_col, text_col, shingle, distance, chunk)
+    return found.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest id (one row if that id repeats).
+    """The rows of ``docs`` that stay: of each group one row, with the smallest id and, if that id repeats in the group, the
+    smallest text key; of rows that share both, the first by their content.
 
-    Rows without an id cannot be named as a copy and stay.
+    An id that repeats in several groups names a row in each.  Rows without an id cannot be named as a copy and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    # written first: the join then sees its real size, and only ids travel
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    left = docs.join(gone, id_col, "left_anti")
-    known = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(left.where(F.col(id_col).isNull()))
+    found = grouped(docs, id_col, text_col, shingle, distance).where("doc_id is not null")
+    # written first: the joins then see their real size, and only ids and keys travel
+    rows = materialize(found.groupBy("doc_id", "key").agg(F.first("first").alias("first"), F.count("*").alias("n")), "rows")
+    own = F.struct("doc_id", "key")
+    often = rows.where((own == F.col("first")) & (F.col("n") > 1))
+
+    def is_row(named):
+        return (docs[id_col].cast("long") == named["doc_id"]) & (text_key(docs[text_col]) == named["key"])
+
+    away = rows.where((own != F.col("first")) | (F.col("n") > 1)).select("doc_id", "key")
+    single = docs.join(away, is_row(away), "left_anti")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    equal = docs.join(often, is_row(often)).groupBy(often["doc_id"], often["key"]).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionAll(equal.select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,6 +261,16 @@ def test_near_duplicates_on_awkward_rows(awkward, empty):
     assert o.near_duplicates(empty).count() == 0 and o.keep_one(empty).count() == 0
 
 
+def test_rows_go_by_text_when_an_id_repeats(spark):
+    from ledgerscope.llm import op4_simhash as o
+    said = [" ".join(f"{a}{k}" for k in range(30)) for a in "abcd"]
+    data = [(1, said[0], "x"), (5, said[0], "x"), (5, said[1], "x"), (6, said[1], "x"), (7, said[2], "x"), (7, said[3], "x"), (7, said[3], "b"), (7, said[3], "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = [(1, said[0], "x"), (5, said[1], "x"), (7, said[2], "x"), (7, said[3], "b")]
+    for parts in (1, 4):
+        assert rows(o.keep_one(df.repartition(parts))) == sorted(want, key=str)
+
+
 # 5: HTML
 
 def test_html_scanner():
