@@ -11,6 +11,7 @@ so the trees learn densities, positions and names and not just one tag.
 """
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from html import escape, unescape
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerscope.llm.common import as_texts, map_batches, read
 from ledgerscope.llm.hashed import first_by_hash
+from ledgerscope.session import materialize
 
 # fixed values: element names of HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
@@ -371,10 +373,30 @@ def _unmarked(html: str, marked: Page, truth: int) -> tuple[Page, np.ndarray]:
 
 
 def fit_extractor(pages: DataFrame, id_col: str, html_col: str, most_pages: int) -> Trees | None:
-    """Trees fitted on at most ``most_pages`` pages, the first by the hash of their id."""
-    ids = first_by_hash(pages.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), most_pages)
-    rows = (pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
-            .join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")).collect())
+    """Trees fitted on at most ``most_pages`` of the pages that mark their article, the first by the hash of their id."""
+    def run(batches):
+        best: dict[int, tuple[int, str]] = {}  # hash and page of the task's first ids so far
+        last: list[tuple[int, int]] = []  # the same ids, the last one on top
+        for b in batches:
+            for at in range(b.num_rows):
+                i, h = b.column(0)[at].as_py(), b.column(1)[at].as_py()
+                if i not in best and len(best) == most_pages and (h, i) > (-last[0][0], -last[0][1]):
+                    continue
+                html = b.column(2)[at].as_py()
+                if article_labels(Page(html)) is None:
+                    continue
+                if i not in best:
+                    heapq.heappush(last, (-h, -i))
+                best[i] = h, min(html, best[i][1]) if i in best else html
+                if len(best) > most_pages:
+                    del best[-heapq.heappop(last)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([t for _, t in best.values()], pa.string())], ["id", "html"])
+
+    named = (pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
+             .where(F.col("id").isNotNull() & F.lower("html").contains("article")).select("id", F.xxhash64("id").alias("h"), "html"))
+    marked = materialize(map_batches(named, run, "id long, html string"), "marked")
+    ids = first_by_hash(marked.select("id").distinct(), most_pages)
+    rows = marked.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")).collect()
     data = training_set([r["html"] or "" for r in sorted(rows, key=lambda r: r["id"])])
     return Trees().fit(*data) if data else None
 
@@ -392,7 +414,7 @@ def extract(htmls: list[str], trees: Trees | None) -> list[str]:
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_pages: int = 120) -> DataFrame:
     """``page_id, url, text, n_chars`` per row.
 
-    The trees are fitted on at most ``most_pages`` pages of the table; every page is extracted whole.  Null and empty pages give
+    The trees are fitted on at most ``most_pages`` pages of the table that mark their article; every page is extracted whole.  Null and empty pages give
     the empty text; without a page that marks its article all visible text counts as main; repeated rows and
     rows without an id are extracted like any other; other columns are not read.
     """

@@ -306,6 +306,15 @@ def test_html_on_awkward_rows(spark):
     assert o.main_texts(df.where("false")).count() == 0
 
 
+def test_few_marked_pages_are_enough(spark):
+    from ledgerscope.llm import op5_html as o
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").limit(12).collect()
+    bare = [(1000 + i, "u", f"<html><body><nav><ul><li>menu</li></ul></nav><p>no article here {i}</p></body></html>") for i in range(300)]
+    df = spark.createDataFrame([tuple(r) for r in pages] + bare, "page_id long, url string, html string").repartition(3)
+    assert o.fit_extractor(df, "page_id", "html", 10) is not None
+    assert o.fit_extractor(df.where("page_id >= 1000"), "page_id", "html", 10) is None
+
+
 # 6: packing
 
 def check_packing(found):
