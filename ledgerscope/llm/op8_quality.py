@@ -30,7 +30,7 @@ def _word(w: str) -> tuple[int, int]:
     if found is None:
         if len(_WORDS) > 100_000:
             _WORDS.clear()
-        found = _WORDS[w] = hashed.bucket("w" + w), hashed.bucket("s" + shape(w[:64]))
+        found = _WORDS[w] = hashed.bucket("w" + w), hashed.bucket("s" + shape(w))
     return found
 
 

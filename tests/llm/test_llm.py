@@ -387,6 +387,12 @@ def test_classifiers_hold_out(spark):
         assert len(held) > 500 and sum(a != b for a, b in held) <= worst * len(held)
 
 
+def test_the_shape_is_of_the_whole_word():
+    from ledgerscope.llm import hashed, op8_quality as o
+    word = "a1" * 40 + "$"
+    assert o._word(word) == (hashed.bucket("w" + word), hashed.bucket("s" + "x9" * 40 + "$"))
+
+
 def test_held_out_rows_follow_the_crc(spark):
     from ledgerscope.llm import op7_toxicity, op8_quality
     got = spark.range(-50, 50).select("id", op7_toxicity.in_training(F.col("id")).alias("a"), op8_quality.in_training(F.col("id")).alias("b")).collect()
