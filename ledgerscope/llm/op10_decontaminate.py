@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are compared in lower case without punctuation.  Karp-Rabin hashes of every run of ``min_match`` words of the
+Words are cut at Unicode white space, in scripts written without spaces at every character, and compared in lower case
+without punctuation.  Karp-Rabin hashes of every run of ``min_match`` words of the
 benchmark are joined with the running hashes of each text (a hash join whose small side is a bounded
 block of benchmark items); equal hashes are verified word by word and joined along diagonals to maximal
 matches.  Greedy tiling then marks the longest match whose words are all free, cuts what the marks
@@ -22,12 +23,19 @@ from ledgerscope.llm.hashed import word_groups
 MIN_MATCH, COVERAGE = 5, 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = re.compile(r"[\W_]+")
+# Thai, Lao, Myanmar, Khmer, kana, Han with its extensions
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal(word: str) -> str:
     return _NOT_WORD.sub("", word.lower())
 
 
+def cut(text: str) -> list[str]:
+    """The words of an item or of a piece of a text."""
+    return [w for w in map(normal, (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()) if w]
+
+
 def running_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hash of each window of ``size`` ids, modulo 2**64."""
     n = max(0, len(ids) - size + 1)
@@ -42,7 +50,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], min_match: int):
         self.size, self.vocabulary = min_match, {}
-        words = [[w for w in map(normal, (text or "").split()) if w] for _, text in items]
+        words = [cut(text or "") for _, text in items]
         self.names, self.lengths = [name for name, _ in items], np.array([len(w) for w in words], np.int64)
         self.ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for ws in words for w in ws], np.int64)
         self.item = np.repeat(np.arange(len(items)), self.lengths)
@@ -102,10 +110,11 @@ def leaks(texts: pa.Array, index: Index, coverage: float) -> list[tuple[int, int
     """``(text, item, words covered, tiles)`` of the texts and items that reach the coverage."""
     out, base = [], 0
     for words, at, bounds in word_groups(texts):
-        known = [index.vocabulary.get(w, 0) if w else -1 for w in map(normal, words)]
-        ids = np.array(known, np.int64)[at]
-        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        ids, doc = ids[ids >= 0], doc[ids >= 0]
+        known = [[index.vocabulary.get(w, 0) for w in cut(word)] for word in words]
+        sizes = np.array([len(k) for k in known], np.int64)
+        flat, first, n = np.array([i for k in known for i in k], np.int64), np.cumsum(sizes) - sizes, sizes[at]
+        ids = flat[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        doc = np.repeat(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), n)
         text_at, there = index.hits(ids, doc)
         pair = doc[text_at] * len(index.names) + index.item[there]
         order = np.argsort(pair, kind="stable")

@@ -510,6 +510,19 @@ def test_leaks_are_found_reordered_and_clean_texts_stay(spark, awkward, empty):
     assert o.contaminated(empty, bench).count() == 0 and o.without_leaks(df, bench.where("false")).count() == 6 and o.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_one_word_rule_for_items_and_texts(spark):
+    from ledgerscope.llm import op10_decontaminate as o
+    latin, han = [f"word{k}" for k in range(12)], "".join(map(chr, range(0x4e00, 0x4e14)))
+    items = [(1, "\u00a0".join(latin)), (2, han), (3, " ".join(f"other{k}\u3000x{k}" for k in range(9)))]
+    assert o.cut("a\u00a0b, C\u3000\u4e00\u4e01\u3002") == ["a", "b", "c", "\u4e00", "\u4e01"]
+    texts = [items[0][1], " ".join(latin), "see: " + han[:14] + "\u3002", items[2][1], "\u00a0".join(latin[::-1]), han[::-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["covered"], r["item_tokens"]) for r in o.contaminated(df, bench).collect())
+    assert got == [(0, 1, 12, 12), (1, 1, 12, 12), (2, 2, 14, 20), (3, 3, 18, 18)]
+    assert sorted(r["doc_id"] for r in o.without_leaks(df, bench).collect()) == [4, 5]
+
+
 # pipeline
 
 def test_pipeline_stages(spark, docs):
