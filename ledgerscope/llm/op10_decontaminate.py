@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerscope.llm.common import map_batches, read
 from ledgerscope.llm.hashed import word_groups
+from ledgerscope.session import materialize
 
 MIN_MATCH, COVERAGE = 5, 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -132,13 +135,13 @@ def leaks(texts: pa.Array, index: Index, coverage: float) -> list[tuple[int, int
     return out
 
 
-def indexes(benchmark: DataFrame, min_match: int, id_col: str, text_col: str, block_chars: int) -> list[Index]:
-    """The benchmark in blocks of about ``block_chars``, each small enough to go to every task."""
+def indexes(benchmark: DataFrame, min_match: int, id_col: str, text_col: str, block_chars: int) -> tuple[int, Callable[[int], Index]]:
+    """The number of blocks of about ``block_chars``, each small enough to go to every task, and what builds one of them."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(-(-chars // block_chars))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks)))
-    return [Index(sorted(map(tuple, items.where(block == b).distinct().collect()), key=str), min_match) for b in range(blocks)]
+    return blocks, lambda b: Index(sorted(map(tuple, items.where(block == b).distinct().collect()), key=str), min_match)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, id_col: str = "doc_id",
@@ -151,33 +154,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     schema = "doc_id long, item_id long, covered long, item_tokens long, tiles long, coverage double"
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    out = None
-    for index in indexes(benchmark, min_match, item_id_col, item_text_col, block_chars):
-        def run(batches, index=index):
+    blocks, build = indexes(benchmark, min_match, item_id_col, item_text_col, block_chars)
+
+    def found(index: Index) -> DataFrame:
+        def run(batches):
             for b in batches:
                 names, rows = b.column(0).to_pylist(), leaks(b.column(1), index, coverage)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([names[d] for d, *_ in rows], pa.int64()), "item_id": pa.array([index.names[i] for _, i, *_ in rows], pa.int64()),
                     "covered": pa.array([r[2] for r in rows], pa.int64()), "item_tokens": pa.array([int(index.lengths[r[1]]) for r in rows], pa.int64()),
                     "tiles": pa.array([r[3] for r in rows], pa.int64()), "coverage": pa.array([r[2] / float(index.lengths[r[1]]) for r in rows], pa.float64())})
-        part = map_batches(picked, run, schema)
-        out = part if out is None else out.unionAll(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        return map_batches(picked, run, schema)
+
+    if blocks == 1:
+        return found(build(0))
+    # each block is written out and released before the next is built
+    parts = [materialize(found(build(b)), "leaks") for b in range(blocks)]
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
-    """The rows of ``docs`` whose text covers no benchmark item; decided where each row lies, without a join."""
-    for index in indexes(benchmark, min_match, item_id_col, item_text_col, block_chars):
+    """The rows of ``docs`` whose text covers no benchmark item; with one block of the benchmark decided where each row
+    lies, with more by the digests of the leaking texts, so that one block at a time is held."""
+    blocks, build = indexes(benchmark, min_match, item_id_col, item_text_col, block_chars)
+
+    def clean(index: Index) -> DataFrame:
         at = docs.columns.index(text_col)
 
-        def run(batches, index=index):
+        def run(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[d for d, *_ in leaks(b.column(at), index, coverage)]] = False
                 yield b.filter(pa.array(keep))
-        docs = map_batches(docs, run, docs.schema)
-    return docs
+        return map_batches(docs, run, docs.schema)
+
+    def digests(index: Index) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(sorted({d for d, *_ in leaks(b.column(0), index, coverage)}), pa.int64()))], ["leaked"])
+        texts = docs.select(F.col(text_col).cast("string"))
+        return map_batches(texts, run, "leaked string").select(F.sha2("leaked", 256).alias("leaked")).distinct()
+
+    if blocks == 1:
+        return clean(build(0))
+    parts = [materialize(digests(build(b)), "leaked") for b in range(blocks)]
+    if not parts:
+        return docs
+    leaked = materialize(reduce(DataFrame.unionAll, parts).distinct(), "leaked")
+    return docs.join(leaked, F.sha2(docs[text_col].cast("string"), 256) == leaked["leaked"], "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -523,6 +523,28 @@ def test_one_word_rule_for_items_and_texts(spark):
     assert sorted(r["doc_id"] for r in o.without_leaks(df, bench).collect()) == [4, 5]
 
 
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, awkward, monkeypatch):
+    import gc
+    import weakref
+    from ledgerscope.llm import op10_decontaminate as o
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(100 + k, "see " + t) for k, t in items[::3]] + [(0, "clean text here"), (None, None)], "doc_id long, text string")
+    alive, most = weakref.WeakSet(), []
+
+    def counted(*args, real=o.Index):
+        gc.collect()
+        index = real(*args)
+        alive.add(index)
+        most.append(len(alive))
+        return index
+    whole, kept = rows(o.contaminated(df, bench)), rows(o.without_leaks(df, bench))
+    monkeypatch.setattr(o, "Index", counted)
+    assert rows(o.contaminated(df, bench, block_chars=300)) == whole and len(whole) == 10
+    assert rows(o.without_leaks(df, bench, block_chars=300)) == kept and len(kept) == 2
+    assert len(most) > 10 and max(most) == 1
+
+
 # pipeline
 
 def test_pipeline_stages(spark, docs):
