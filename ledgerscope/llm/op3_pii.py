@@ -7,12 +7,19 @@ an entity the corpus tells how strongly it reveals that entity: with document co
 term of few documents is drawn towards no information instead of being left out.  A term whose PMI reaches ``remove`` of
 the IC gives the entity away and is removed wherever it stands in such a document; from ``generalise`` on it is generalised
 to its first letter.  Texts without an entity stay as they are.
+
+Shares of the IC alone loosen with the corpus, as a rare entity has much information to give away.  A ``Rule`` therefore also
+holds absolute floors on ``P(e|t)``, counts evidence for groups of entities (a mail domain, the beginning of a number) beside the
+single ones, and leaves out entities that so many documents share that they name nobody.  ``PLAIN`` is the bare formula;
+``PRODUCTION``, which the query and the pipeline use, has a prior that neither one co-occurrence nor two can overcome to the
+floor of removal.
 """
 from __future__ import annotations
 
 import hashlib
 import re
 from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ledgerscope.llm import bloom
 from ledgerscope.llm.common import as_texts, map_batches, read
 from ledgerscope.llm.hashed import word_groups
 from ledgerscope.session import materialize
@@ -29,6 +37,23 @@ KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
 PRIOR, GENERALISE, REMOVE = 1.0, 0.6, 0.8
 _SLICE = 256  # rows that stand as Python objects at once
+_HELD = 200_000  # terms that a task counts before it sends them on
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When a term discloses an entity; see the top of the module."""
+    prior: float = PRIOR
+    generalise: float = GENERALISE
+    remove: float = REMOVE
+    generalise_from: float = 0.0  # least P(e|t)
+    remove_from: float = 0.0
+    least_bits: float = 0.0  # least IC of an entity worth protecting
+    groups: bool = False  # mail domains and beginnings of numbers are entities too
+
+
+PLAIN = Rule()
+PRODUCTION = Rule(prior=4.0, generalise_from=0.3, remove_from=0.5, least_bits=5.0, groups=True)
 
 # fixed patterns: written so that no text makes them scan a run of characters twice
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -82,6 +107,14 @@ def _entity(kind: int, value: str) -> int:
     return _hash(f"{kind}:{value.lower() if kind < 2 else ''.join(_DIGIT.findall(value))}")
 
 
+def _group(kind: int, value: str) -> int:
+    """The key of what an entity shares with its like: mail domain, address without its last part, issuer of a card, phone number
+    without its last four digits."""
+    digits = "".join(_DIGIT.findall(value))
+    shared = value.lower().rsplit("@", 1)[-1] if kind == 0 else value.rsplit(".", 1)[0] if kind == 1 else digits[:6] if kind == 2 else digits[:-4]
+    return _hash(f"group {kind}:{shared}")
+
+
 def words_outside(text: str, spans: list[tuple[int, int, int]]):
     """``(word in lower case, start, end)`` of the words of a text that no span touches."""
     starts, ends = [s for s, _, _ in spans], sorted(e for _, _, e in spans)
@@ -91,15 +124,18 @@ def words_outside(text: str, spans: list[tuple[int, int, int]]):
             yield m[0].lower(), m.start(), m.end()
 
 
-def detect(docs: DataFrame, text_col: str, keep: Column, only: bool | None = None) -> DataFrame:
-    """``kept`` (the expression ``keep``) with a row number, the base spans, the different entities and the different
-    words outside them; ``only=None`` also gives the text of the rows that hold an entity, other rows have no words.
+_BASE = pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])
+
+
+def detect(docs: DataFrame, text_col: str, kept: list[Column], groups: bool, all_texts: bool) -> DataFrame:
+    """``k0, k1, ...`` (the expressions ``kept``), a row number, the base spans, the different entities (and their ``groups``), the
+    different words outside the spans, and the text.
 
-    ``only=True`` gives the rows that hold an entity, ``only=False`` the others.
+    Rows without an entity have no words, and a text only with ``all_texts``.
     """
-    picked = docs.select(F.col(text_col).cast("string").alias("text"), keep.alias("kept"))
-    detected = "uid long, base array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>, text string"
-    schema = T.StructType([picked.schema["kept"], *T.StructType.fromDDL(detected).fields])
+    picked = docs.select(F.col(text_col).cast("string").alias("text"), *[c.alias(f"k{i}") for i, c in enumerate(kept)])
+    schema = T.StructType([*picked.schema.fields[1:], *T.StructType.fromDDL(
+        "uid long, base array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>, text string").fields])
 
     def lists(parts, kind):
         flat = [x for part in parts for x in part] if pa.types.is_struct(kind) else np.concatenate([np.zeros(0, np.int64), *parts])
@@ -110,54 +146,30 @@ def detect(docs: DataFrame, text_col: str, keep: Column, only: bool | None = Non
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 b = whole.slice(at, _SLICE)
-                chosen, uids, bases, entities, terms, texts = [], [], [], [], [], []
+                bases, entities, terms, texts = [], [], [], []
                 for text in as_texts(b.column(0)):
                     spans = base_spans(text)
-                    chosen.append(only is None or only == bool(spans))
-                    if chosen[-1]:
-                        uids.append(uid)
-                        bases.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
-                        entities.append(np.array(sorted({_entity(kind, text[s:e]) for s, kind, e in spans}), np.int64))
-                        terms.append(np.array([_hash(w) for w in {w for w, _, _ in words_outside(text, spans)}] if spans else [], np.int64))
-                        texts.append(text if spans and only is None else None)
-                    uid += 1
-                kept = b.filter(pa.array(chosen, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(uids, pa.int64()),
-                                                  lists(bases, pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")])),
-                                                  lists(entities, pa.int64()), lists(terms, pa.int64()), pa.array(texts, pa.string())], schema.names)
+                    keys = {key(kind, text[s:e]) for s, kind, e in spans for key in ((_entity, _group) if groups else (_entity,))}
+                    bases.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
+                    entities.append(np.array(sorted(keys), np.int64))
+                    terms.append(np.array([_hash(w) for w in {w for w, _, _ in words_outside(text, spans)}] if spans else [], np.int64))
+                    texts.append(text if spans else None)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.arange(uid, uid + b.num_rows)), lists(bases, _BASE), lists(entities, pa.int64()),
+                                                  lists(terms, pa.int64()), b.column(0) if all_texts else pa.array(texts, pa.string())], schema.names)
+                uid += b.num_rows
+            pa.default_memory_pool().release_unused()
 
     return map_batches(picked, run, schema)
 
 
-_FILTER_BITS = 24
-
-
-def term_filter(terms: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``2**24`` bits over the column ``term``: 2 MB on the driver and in a task, however many terms there are."""
-    mask, page = (1 << _FILTER_BITS) - 1, 1 << 15
-    at = terms.select(F.explode(F.array(F.col("term").bitwiseAND(mask), F.shiftrightunsigned("term", _FILTER_BITS).bitwiseAND(mask))).alias("at"))
-    bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    for row in at.groupBy(F.floor(F.col("at") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("at") % page).alias("bits")).collect():
-        part = np.frombuffer(row["bits"], np.uint8)
-        bits[row["page"] * (page // 8):][:len(part)] = part
-    return bits
-
-
-def may_hold(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """False only for terms that are not in the filter."""
-    h, mask = terms.view(np.uint64), np.uint64((1 << _FILTER_BITS) - 1)
-    found = np.ones(len(h), bool)
-    for at in (h & mask, (h >> np.uint64(_FILTER_BITS)) & mask):
-        found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return found
-
-
 def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """``(term, n_t)``: in how many documents each wanted term stands.
 
-    All texts are read; a Bloom filter keeps most other terms out of the shuffle, and those that pass it meet no partner later.
+    All texts are read; a Bloom filter of a size that follows the number of wanted terms, up to its bound, keeps most other terms
+    out of the shuffle, and those that pass it meet no partner later.
     """
-    bits = term_filter(wanted)
+    wanted = materialize(wanted.select(F.col("term").alias("key")), "terms")
+    bits = bloom.build(wanted, wanted.count())
 
     def run(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the task so far
@@ -170,7 +182,7 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 said = [[_hash(t.lower()) for t in _TERM.findall(w)] for w in words]
                 sizes = np.array([len(t) for t in said], np.int64)
                 terms = np.array([h for t in said for h in t], np.int64)
-                keep = may_hold(bits, terms)
+                keep = bloom.may_hold(bits, terms)
                 found, flat = np.unique(terms[keep], return_inverse=True)
                 sizes = np.bincount(np.repeat(np.arange(len(words)), sizes)[keep], minlength=len(words))
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -182,16 +194,17 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 both, place = np.unique(np.r_[keys, found], return_inverse=True)
                 counts = np.bincount(place, np.r_[counts, np.bincount(pairs, minlength=len(found))], len(both)).astype(np.int64)
                 keys = both
-                if len(keys) > 500_000:  # bounds a task's memory
+                if len(keys) > _HELD:  # bounds a task's memory
                     yield flush()
                     keys, counts = keys[:0], counts[:0]
+            pa.default_memory_pool().release_unused()
         yield flush()
 
     counted = map_batches(docs.select(F.col(text_col).cast("string")), run, "term long, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, prior: float, generalise: float, remove: float) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, rule: Rule) -> DataFrame:
     """``(uid, removed, generalised)``: the terms that give an entity of the row away, from the detected rows and the
     counts of the whole corpus."""
     total = float(docs.agg(F.count("*")).first()[0] or 1)
@@ -199,24 +212,27 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, prior: fl
     sets = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("x"),
                                        F.bit_xor(F.xxhash64(F.lit(2), "uid")).alias("y"))
     # entities of the same documents share all their counts: one stands for them, so a list of addresses costs no more than one
-    first = sets.groupBy("n_e", "x", "y").agg(F.min("entity").alias("entity")).where(F.col("n_e") < total).select("entity", "n_e")
+    alone = F.col("n_e") / F.lit(total)
+    first = (sets.groupBy("n_e", "x", "y").agg(F.min("entity").alias("entity")).where((F.col("n_e") < total) & (-F.log2(alone) >= rule.least_bits))
+             .select("entity", "n_e"))
     groups = holds.join(first, "entity").groupBy("uid").agg(F.collect_list(F.struct("entity", "n_e")).alias("groups"))
     seen = (found.select("uid", "terms").join(groups, "uid").select("uid", "terms", F.explode("groups").alias("g"))
             .select("uid", "g.*", F.explode("terms").alias("term")))
     pairs = seen.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"))
     near = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    alone = F.col("n_e") / F.lit(total)
 
-    def share(n_t):
-        known = (F.col("n_et") + prior * alone) / (n_t + F.lit(prior))
-        return F.log2(known / alone) / -F.log2(alone)
+    def known(n_t):
+        return (F.col("n_et") + rule.prior * alone) / (n_t + F.lit(rule.prior))
+
+    def reaches(n_t, share, least):
+        return (F.log2(known(n_t) / alone) / -F.log2(alone) >= share) & (known(n_t) >= least)
 
-    # a term stands in at least as many documents as have it beside an entity, and its share only falls with
+    # a term stands in at least as many documents as have it beside an entity, and P(e|t) only falls with
     # that number: what fails with the smaller number needs no count over the corpus
-    wanted = materialize(pairs.join(near, "term").where(share(F.col("n_near")) >= generalise), "pairs")
+    wanted = materialize(pairs.join(near, "term").where(reaches(F.col("n_near"), rule.generalise, rule.generalise_from)), "pairs")
     judged = (wanted.join(term_counts(docs, text_col, wanted.select("term").distinct()), "term")
-              .withColumn("share", share(F.col("n_t"))).where(F.col("share") >= generalise)
-              .select("entity", "term", (F.col("share") >= remove).cast("int").alias("action")))
+              .where(reaches(F.col("n_t"), rule.generalise, rule.generalise_from))
+              .select("entity", "term", reaches(F.col("n_t"), rule.remove, rule.remove_from).cast("int").alias("action")))
     said = seen.join(judged, ["entity", "term"]).groupBy("uid", "term").agg(F.max("action").alias("action"))
     return said.groupBy("uid").agg(F.collect_list(F.when(F.col("action") == 1, F.col("term"))).alias("removed"),
                                    F.collect_list(F.when(F.col("action") == 0, F.col("term"))).alias("generalised"))
@@ -237,15 +253,14 @@ def term_spans(text: str, base: list[dict], removed: list[int] | None, generalis
     return out
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR,
-                       generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = PLAIN) -> DataFrame:
     """``doc_id, base, terms`` per row: base spans ``(start, kind, end)`` and disclosing terms ``(start, end, action)``.
 
     Null and empty texts hold nothing; rows without an id and repeated rows are searched and counted like any other; an empty
     table gives an empty result; other columns are not read.
     """
-    found = materialize(detect(docs, text_col, F.col(id_col).cast("long")), "entities")
-    terms = disclosing_terms(found.where(F.size("base") > 0), docs, text_col, prior, generalise, remove)
+    found = materialize(detect(docs, text_col, [F.col(id_col).cast("long")], rule.groups, all_texts=False), "entities")
+    terms = disclosing_terms(found.where(F.size("base") > 0), docs, text_col, rule)
 
     def run(batches):
         for whole in batches:
@@ -255,8 +270,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1),
                                                   pa.array(done, pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "action")])))],
                                                  ["doc_id", "base", "terms"])
+            pa.default_memory_pool().release_unused()
 
-    return map_batches(found.join(terms, "uid", "left").select("kept", "base", "text", "removed", "generalised"), run,
+    return map_batches(found.join(terms, "uid", "left").select("k0", "base", "text", "removed", "generalised"), run,
                        "doc_id long, base array<struct<start:int,kind:int,end:int>>, terms array<struct<start:int,end:int,action:int>>")
 
 
@@ -273,36 +289,41 @@ def _rewrite(text: str, base, terms) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", rule: Rule = PLAIN) -> DataFrame:
     """``docs`` with entities and disclosing terms replaced in the text; a column ``n_chars`` follows its text.
 
-    Rows without an entity pass unchanged and are never shuffled.
+    One pass over the texts writes all rows with what was found in them.  Rows without an entity are read back from there as
+    they are, without Python and without a shuffle; only the others meet their terms and are rewritten.
     """
-    row = F.struct(*[docs[c] for c in docs.columns])  # in one column, so that no name can clash
-    hit = materialize(detect(docs, text_col, row, only=True).drop("text"), "entities")
-    terms = disclosing_terms(hit, docs, text_col, prior, generalise, remove)
     at, schema = docs.columns.index(text_col), docs.schema
+    others = [c for k, c in enumerate(docs.columns) if k != at]
+    found = materialize(detect(docs, text_col, [docs[c] for c in others], rule.groups, all_texts=True), "entities")
+    hit, clean = found.where(F.size("base") > 0), found.where(F.size("base") == 0)
+    names = [f"k{k}" for k in range(len(others))]
+    names.insert(at, "text")
+    terms = disclosing_terms(hit, docs, text_col, rule)
 
     def rewrite(batches):
         for whole in batches:
             for first in range(0, whole.num_rows, _SLICE):
                 b = whole.slice(first, _SLICE)
-                cols = b.column(0).flatten()
-                texts, base = as_texts(cols[at]), b.column(1).to_pylist()
-                terms = map(term_spans, texts, base, b.column(2).to_pylist(), b.column(3).to_pylist())
+                cols = b.columns[3:]
+                texts, base = as_texts(cols[at]), b.column(0).to_pylist()
+                terms = map(term_spans, texts, base, b.column(1).to_pylist(), b.column(2).to_pylist())
                 done = list(map(_rewrite, texts, base, terms))
                 cols[at] = pa.array(done, pa.string())
                 if "n_chars" in schema.names:
                     cols[schema.names.index("n_chars")] = pa.array([len(t) for t in done], pa.int64())
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
+            pa.default_memory_pool().release_unused()
 
-    changed = map_batches(hit.join(terms, "uid", "left").select("kept", "base", "removed", "generalised"), rewrite, schema)
-    clean = detect(docs, text_col, row, only=False).select("kept.*")
-    return changed.unionAll(clean)
+    changed = map_batches(hit.join(terms, "uid", "left").select("base", "removed", "generalised", *names), rewrite, schema)
+    return changed.unionAll(clean.select(*[F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, schema.fields)]))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(read(spark, sf_dir, "documents"))
+    """Spans of every document, and in ``actions`` what becomes of each term: ``remove`` or ``generalise``, start and end."""
+    found = find_personal_data(read(spark, sf_dir, "documents"), rule=PRODUCTION)
 
     def run(batches):
         for whole in batches:
@@ -312,8 +333,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                     spans = [(s["start"], s["kind"], s["end"]) for s in base or ()]
                     said = lambda spans: ",".join(f"{(*KINDS, 'term')[k]}:{a}:{e}" for a, k, e in sorted(spans))
                     rows.append((*[sum(k == n for _, k, _ in spans) for n in range(4)], hashlib.sha256(said(spans).encode()).hexdigest(),
-                                 said(spans + [(s["start"], 4, s["end"]) for s in terms or ()])))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)]],
-                                                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+                                 said(spans + [(s["start"], 4, s["end"]) for s in terms or ()]),
+                                 ",".join(f"{ACTIONS[s['action']]}:{s['start']}:{s['end']}" for s in terms or ())))
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(7)]],
+                                                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "actions"])
 
-    return map_batches(found, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(found, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, actions string")
