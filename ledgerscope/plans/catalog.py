@@ -19,6 +19,7 @@ from ..session import ensure_checkpoint_dir, materialize
 from ..operators import balance as B
 from ..operators import causal as C
 from ..sources import transactions as TX
+from . import boost_queries as BQ
 from . import oracle as O
 from . import oracle_causal as OC
 
@@ -1292,6 +1293,13 @@ def q_validate_models(spark, sf_dir):
     return VA.validate_models(spark, _train(spark, sf_dir))
 
 
+register("boost_histogram", BQ.BOOST_HISTOGRAM_SQL)(BQ.boost_histogram)
+register("boost_splits", BQ.BOOST_SPLITS_SQL)(BQ.boost_splits)
+register("boost_stages", BQ.BOOST_STAGES_SQL)(BQ.boost_stages)
+register("fit_focal")(BQ.fit_focal)
+register("fit_ap_stopped")(BQ.fit_ap_stopped)
+
+
 def _cv(spark, sf_dir, kind: str):
     """A CV report (a few rows)."""
     fn = VA.cv_rolling if kind == "cv_rolling" else VA.cv_group
