@@ -112,7 +112,10 @@ def _hot_group_bounds(df: DataFrame, acct: str, max_rows: int) -> DataFrame | No
                      F.ceil(F.col("_n") / F.lit(max_rows)).alias("_parts"))
     rate = F.least(F.lit(1.0), F.col("_parts") * 64.0 / F.col("_n"))
     u = (F.abs(F.xxhash64(F.col(S.ID))) % 1_000_003) / F.lit(1_000_003.0)
-    sampled = df.select(acct, S.PERIOD, S.ID).join(hot, [acct, S.PERIOD], "inner").filter(u < rate)
+    # null-safe: the rows without an account are a group like any other here
+    hot = hot.select(F.col(acct).alias("_ka"), F.col(S.PERIOD).alias("_kp"), "_n", "_parts")
+    same = F.col(acct).eqNullSafe(F.col("_ka")) & F.col(S.PERIOD).eqNullSafe(F.col("_kp"))
+    sampled = df.select(acct, S.PERIOD, S.ID).join(hot, same, "inner").filter(u < rate)
     bounds = sampled.groupBy(acct, S.PERIOD, "_parts").agg(
         F.sort_array(F.collect_list(S.ID)).alias("_ids"))
     # pick parts-1 evenly spaced sampled ids as boundaries
@@ -131,7 +134,8 @@ def _chunked_primitives(df: DataFrame, acct: str, windows, max_rows: int,
         raise ValueError("block_rows must exceed the largest window")
     bounds = _hot_group_bounds(df, acct, max_rows)
     if bounds is not None:
-        x = df.join(bounds, [acct, S.PERIOD], "left")
+        bounds = bounds.select(F.col(acct).alias("_ka"), F.col(S.PERIOD).alias("_kp"), "_bounds")
+        x = df.join(bounds, F.col(acct).eqNullSafe(F.col("_ka")) & F.col(S.PERIOD).eqNullSafe(F.col("_kp")), "left")
         sub = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
             F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col(S.ID))))
         x = x.select(*df.columns, sub.alias("_sub"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .splits import with_folds
 
 
 def _enc_name(c: str) -> str:
@@ -47,16 +48,17 @@ def apply_target_encoding(df: DataFrame, maps: dict, prior: float) -> DataFrame:
 
 def oof_target_encoding(train: DataFrame, folds: DataFrame, fold_key: str,
                         cols=tuple(S.TE_COLUMNS), label: str = S.LABEL,
-                        m: float = S.TE_SMOOTHING) -> DataFrame:
+                        m: float = S.TE_SMOOTHING, k: int = 5) -> DataFrame:
     """H3: out-of-fold encodings for the training rows.
 
     ``folds`` maps ``fold_key`` (an account for group folds, the id for row
-    folds) to ``fold``.  A row of fold f gets the smoothed rate computed on the
+    folds) to one of ``k`` folds; rows without a ``fold_key`` get theirs by the hash
+    of their id, so every row is encoded and counted.  A row of fold f gets the smoothed rate computed on the
     rows of the other folds, with those folds' label mean as prior and as the
     value for keys absent from them.  Returns ``train`` plus the encoded
     columns and ``fold``.
     """
-    x = train.join(folds, fold_key, "inner")
+    x = with_folds(train, folds, fold_key, k)
     # fold-level label totals: K rows
     per_fold = x.groupBy("fold").agg(F.sum(label).cast("double").alias("_fs"),
                                      F.count(label).cast("double").alias("_fn"))

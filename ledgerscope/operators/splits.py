@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -114,6 +114,20 @@ def deal_folds(stats: DataFrame, k: int = 5, group: str = S.ORIGIN, seed: int =
     return ranked.select(group, fold.alias("fold"))
 
 
+def fold_of_row(k: int, key: str = S.ID, seed: int = S.RANDOM_STATE) -> Column:
+    """Fold of a row that belongs to no group: by the hash of its id."""
+    return (stable_hash(key, seed) % k).cast("int")
+
+
+def with_folds(df: DataFrame, folds: DataFrame, group: str = S.ORIGIN, k: int = 5, key: str = S.ID,
+               seed: int = S.RANDOM_STATE) -> DataFrame:
+    """``df`` with the ``fold`` of its group; every row gets one.  Rows without a group go by
+    their id and are not part of the join, so they never meet in one task."""
+    mine = df.filter(F.col(group).isNotNull()).join(folds, group, "left")
+    mine = mine.select(*df.columns, F.coalesce(F.col("fold"), fold_of_row(k, key, seed)).alias("fold"))
+    return mine.unionByName(df.filter(F.col(group).isNull()).select("*", fold_of_row(k, key, seed).alias("fold")))
+
+
 def stratified_folds(df: DataFrame, k: int = 5, label: str = S.LABEL, key: str = S.ID,
                      seed: int = S.RANDOM_STATE) -> DataFrame:
     """Fold per row = position within its label class (hash order) mod k.

@@ -602,7 +602,8 @@ FROM (SELECT origin_account, row_number() OVER (ORDER BY pos DESC, n DESC, h, or
 
 def _oof_ctes(src: str = "train") -> list:
     ctes = [_sgkf_cte(src),
-            f"tx_f AS (SELECT t.*, tf.fold FROM {src} t JOIN tf ON t.origin_account = tf.origin_account)",
+            f"tx_f AS (SELECT t.*, coalesce(tf.fold, CAST({O.md5_hash('id', S.RANDOM_STATE)} % 5 AS INTEGER)) AS fold "
+            f"FROM {src} t LEFT JOIN tf ON t.origin_account = tf.origin_account)",
             """tfp AS (SELECT fold, (tot.s - CAST(sum(fraud_flag) AS DOUBLE)) / (tot.n - CAST(count(fraud_flag) AS DOUBLE)) AS fprior
   FROM tx_f, (SELECT CAST(sum(fraud_flag) AS DOUBLE) AS s, CAST(count(fraud_flag) AS DOUBLE) AS n FROM tx_f) tot
   GROUP BY fold, tot.s, tot.n)"""]
@@ -1121,6 +1122,38 @@ def q_feature_table(spark, sf_dir):
     return FT.build_feature_table(train, test)
 
 
+# the same statements over transactions that lack some accounts
+_NO_ACCOUNTS = [("user_id AS origin_account", "CASE WHEN event_id % 3 <> 0 THEN user_id END AS origin_account"),
+                ("k AS destination_account", "CASE WHEN event_id % 4 <> 1 THEN k END AS destination_account")]
+
+
+def _without_accounts(sql: str) -> str:
+    for had, has in _NO_ACCOUNTS:
+        assert had in sql
+        sql = sql.replace(had, has)
+    return sql
+
+
+def _lacking_accounts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Train and test with a third of the origins and a quarter of the destinations null."""
+    gone = {S.ORIGIN: F.when(F.col(S.ID) % 3 != 0, F.col(S.ORIGIN)), S.DEST: F.when(F.col(S.ID) % 4 != 1, F.col(S.DEST))}
+    train, test = (df.withColumns(gone) for df in TX.load_train_test(spark, sf_dir))
+    return train, test
+
+
+@register("feature_table_null_accounts", _without_accounts(SQL["feature_table"]))
+def q_feature_table_null_accounts(spark, sf_dir):
+    """L1/H2/H3: the feature table where rows lack accounts."""
+    return FT.build_feature_table(*_lacking_accounts(spark, sf_dir))
+
+
+@register("target_encoding_oof_null_accounts", _without_accounts(SQL["target_encoding_oof"]))
+def q_target_encoding_oof_null_accounts(spark, sf_dir):
+    """H3: out-of-fold encodings where rows lack accounts; each id once."""
+    train, _ = _lacking_accounts(spark, sf_dir)
+    return EN.oof_target_encoding(train, SP.stratified_group_folds(train), S.ORIGIN).select(S.ID, "fold", *EN.encoded_names())
+
+
 # ---------------------------------------------------------------- anomaly (I*)
 from ..operators import anomaly as AN  # noqa: E402
 
@@ -1339,6 +1372,16 @@ def q_oof_scores(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("oof_folds", _without_accounts(O.with_tx("SELECT id, fold FROM tx_f", *_oof_ctes())))
+def q_oof_folds(spark, sf_dir):
+    """The valid rows of every group fold where rows lack accounts; each id once."""
+    parts = None
+    for f, _, va in VA.group_parts(_lacking_accounts(spark, sf_dir)[0]):
+        part = va.select(S.ID, F.lit(f).alias("fold"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 _OOF_CTES = [
     "ol AS (" + " UNION ALL ".join(
         f"SELECT CAST({fold} AS INTEGER) AS fold, '{m}' AS model, {m} AS s, fraud_flag AS y FROM scored"

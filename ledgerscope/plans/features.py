@@ -230,7 +230,13 @@ def build_feature_table(
                           .select(F.col("account").alias(S.ORIGIN), F.col("_n_train").alias("_n"),
                                   F.col("_y").alias("_pos")), k, S.ORIGIN, seed)
     folds = materialize(folds, "folds").withColumnRenamed(S.ORIGIN, "account")
-    per_fold = {r["fold"]: r for r in o_rows.join(folds, "account").groupBy("fold").agg(
+    # labelled rows without an origin account: their fold goes by the id; sums per (destination, operation, fold)
+    row_fold = SP.fold_of_row(k, S.ID, seed)
+    lone = materialize(combined.filter(is_train & F.col(S.ORIGIN).isNull())
+                       .groupBy(F.col(S.DEST).alias("dst"), S.OPERATION, row_fold.alias("fold"))
+                       .agg(F.sum(S.LABEL).alias("_y"), F.count(S.LABEL).alias("_yn")), "lone")
+    per_fold = {r["fold"]: r for r in o_rows.join(folds, "account").select("fold", "_y", "_yn")
+                .unionByName(lone.select("fold", "_y", "_yn")).groupBy("fold").agg(
         F.coalesce(F.sum("_y"), F.lit(0)).alias("s"), F.sum("_yn").alias("n")).collect()}   # one row per fold
     tot_s, tot_n = sum(r["s"] for r in per_fold.values()), sum(r["n"] for r in per_fold.values())
     fold_priors = {f: float("nan") for f in range(k)}
@@ -258,7 +264,8 @@ def build_feature_table(
               for f in range(k)],
             *[F.when(F.col("fold") == f, F.col("_yn")).otherwise(F.lit(0)).alias(f"_n{f}") for f in range(k)]),
         "dest": _fold_sums(pairs.filter(F.col("_yn") > 0).withColumnRenamed("src", "account")
-                           .join(folds, "account"), "dst", k),
+                           .join(folds, "account").select("dst", "fold", "_y", "_yn")
+                           .unionByName(lone.filter(F.col("dst").isNotNull()).select("dst", "fold", "_y", "_yn")), "dst", k),
     }
     tables, ranked, zero_pct = {}, {}, {}
     for side, rows in (("origin", o_rows), ("dest", d_rows)):
@@ -284,7 +291,9 @@ def build_feature_table(
             ranked[side], zero_pct[side] = _with_rank_pct(tables[side], v["p"], splits, bounds, nulls)
     op_parts = (combined.filter(is_train & F.col(S.OPERATION).isNotNull() & F.col(S.ORIGIN).isNotNull())
                 .groupBy(F.col(S.ORIGIN).alias("account"), S.OPERATION)
-                .agg(F.sum(S.LABEL).alias("_y"), F.count(S.LABEL).alias("_yn")).join(folds, "account"))
+                .agg(F.sum(S.LABEL).alias("_y"), F.count(S.LABEL).alias("_yn")).join(folds, "account")
+                .select(S.OPERATION, "fold", "_y", "_yn")
+                .unionByName(lone.filter(F.col(S.OPERATION).isNotNull()).select(S.OPERATION, "fold", "_y", "_yn")))
     te_op = _fold_sums(op_parts, S.OPERATION, k)
     te_op = te_op.select(F.col("account").alias(S.OPERATION), *[c.alias(f"p_{n}") for c, n in zip(
         _te_columns(prior, fold_priors, m, k), ["te_full", *[f"te_f{f}" for f in range(k)]])])
@@ -297,9 +306,11 @@ def build_feature_table(
     mode = causal_mode
     rolling = "rolling" in blocks
     if mode == "auto":
-        # rows per account are already in the written side tables (profile frequency)
+        # rows per account are already in the written side tables (profile frequency); the rows
+        # without an account are one window group as well
         hot = max(tables["origin"].agg(F.max("op_orig_amt_freq")).first()[0] or 0,
-                  tables["dest"].agg(F.max("op_dest_amt_freq")).first()[0] or 0)
+                  tables["dest"].agg(F.max("op_dest_amt_freq")).first()[0] or 0,
+                  *[sum(r[c] for r in per_split.values()) for c in ("no_o", "no_d")])
         mode = "chunked" if hot > max_rows else "plain"
     rows = B.add_balance_features(combined)
     rows = B.encode_operation(rows)
@@ -317,6 +328,7 @@ def build_feature_table(
         o_pct = _pick_pct("o", S.ORIGIN, splits, zero_pct["origin"])
         d_pct = _pick_pct("d", S.DEST, splits, zero_pct["dest"])
         graph.append(F.coalesce(F.abs(o_pct - d_pct), F.lit(0.0)).alias("graph_pagerank_gap"))
+    rows = rows.withColumn("_fold", F.coalesce(F.col("_fold"), row_fold))
     te_cols = [
         _te_pick("p_", "_fold", prior, fold_priors, k).alias("operation_fraud_rate"),
         _te_pick("o_", "_fold", prior, fold_priors, k).alias("origin_account_fraud_rate"),

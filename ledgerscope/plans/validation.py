@@ -150,8 +150,9 @@ def cv_group(spark: SparkSession, train: DataFrame, k: int = 5) -> DataFrame:
 
 
 def group_parts(train: DataFrame, k: int = 5):
-    """``(fold, train rows, valid rows)`` of the stratified group folds over origin accounts."""
-    x = train.join(materialize(SP.stratified_group_folds(train, k), "folds"), S.ORIGIN, "inner")
+    """``(fold, train rows, valid rows)`` of the stratified group folds over origin accounts; rows
+    without one are in the fold of their id."""
+    x = SP.with_folds(train, materialize(SP.stratified_group_folds(train, k), "folds"), S.ORIGIN, k)
     for f in range(k):
         yield f, x.filter(F.col("fold") != f).drop("fold"), x.filter(F.col("fold") == f).drop("fold")
 
