@@ -6,10 +6,11 @@ encoded column costs one aggregation and one join instead of K passes.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import stable_hash
 from .splits import with_folds
 
 
@@ -87,3 +88,47 @@ def oof_target_encoding(train: DataFrame, folds: DataFrame, fold_key: str,
 
 def encoded_names(cols=tuple(S.TE_COLUMNS)) -> list:
     return [_enc_name(c) for c in cols]
+
+
+# ---------------------------------------------------------------- ordered statistics
+
+ORDERED_WEIGHT = 1.0
+ORDERED_ROWS = 1_000_000   # rows of one category that a task may order
+
+
+def ordered_target_statistics(train: DataFrame, cols=tuple(S.TE_COLUMNS), label: str = S.LABEL, weight: float = ORDERED_WEIGHT,
+                              seed: int = S.RANDOM_STATE, key: str = S.ID, max_rows: int = ORDERED_ROWS) -> DataFrame:
+    """Each row's category rate over the rows that a permutation puts before it.
+
+    The permutation is the order of the hash of ``key``.  The rate of a row is ``(s + weight * prior) / (n + weight)`` with
+    the label sum and count of the earlier rows of its category, so no row sees its own label.  The hash is spread
+    evenly, so equal ranges of it cut a category into equal chunks, as many as the largest category needs: a window
+    orders one chunk, and the totals of the chunks before it are added.  Rows with a null category are a category; rows with a
+    null label count nowhere and are encoded like any other; ``key`` must be unique.
+
+    Adds ``{col}_ordered_rate``.
+    """
+    prior = train.agg(F.avg(label)).first()[0]
+    prior = float(prior) if prior is not None else 0.0
+    out = train
+    for c in cols:
+        names = list(out.columns)
+        largest = train.groupBy(c).count().agg(F.max("count")).first()[0] or 0
+        chunks = max(1, -(-int(largest) // max_rows))
+        place = F.floor(F.col("_h") * chunks / F.lit(float(1 << 32))).cast("int")
+        x = out.select("*", stable_hash(key, seed).alias("_h")).withColumn("_part", place)
+        before = Window.partitionBy(c, "_part").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("_s", F.coalesce(F.sum(label).over(before), F.lit(0))).withColumn("_n", F.count(label).over(before))
+        if chunks > 1:
+            earlier = Window.partitionBy(c).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # at most ``chunks`` rows
+            totals = (out.select(c, label, stable_hash(key, seed).alias("_h")).withColumn("_part", place).groupBy(c, "_part")
+                      .agg(F.coalesce(F.sum(label), F.lit(0)).alias("_cs"), F.count(label).alias("_cn")))
+            totals = totals.select(F.col(c).alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("_cs").over(earlier), F.lit(0)).alias("_os"),
+                                   F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_on"))
+            x = x.join(totals, x[c].eqNullSafe(totals["_k"]) & (x["_part"] == totals["_p"]), "inner")
+            s, n = F.col("_os") + F.col("_s"), F.col("_on") + F.col("_n")
+        else:
+            s, n = F.col("_s"), F.col("_n")
+        rate = (s.cast("double") + F.lit(prior * weight)) / (n.cast("double") + F.lit(weight))
+        out = x.select(*names, rate.alias(f"{c}_ordered_rate"))
+    return out

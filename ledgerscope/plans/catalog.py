@@ -1154,6 +1154,18 @@ def q_target_encoding_oof_null_accounts(spark, sf_dir):
     return EN.oof_target_encoding(train, SP.stratified_group_folds(train), S.ORIGIN).select(S.ID, "fold", *EN.encoded_names())
 
 
+_ORDERED_SQL = "SELECT id, " + ", ".join(O.r6(
+    f"(coalesce(sum(fraud_flag) OVER {c}_before, 0)::DOUBLE + (SELECT avg(fraud_flag) FROM train)) / (count(fraud_flag) OVER {c}_before + 1.0::DOUBLE)",
+    f"{c}_ordered_rate") for c in S.TE_COLUMNS) + " FROM train WINDOW " + ", ".join(
+    f"{c}_before AS (PARTITION BY {c} ORDER BY {O.md5_hash('id', S.RANDOM_STATE)}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in S.TE_COLUMNS)
+
+
+@register("ordered_encoding", _without_accounts(O.with_tx(_ORDERED_SQL)))
+def q_ordered_encoding(spark, sf_dir):
+    """Ordered target statistics of operation and accounts over a hash permutation."""
+    return EN.ordered_target_statistics(_lacking_accounts(spark, sf_dir)[0]).select(S.ID, *[f"{c}_ordered_rate" for c in S.TE_COLUMNS])
+
+
 # ---------------------------------------------------------------- anomaly (I*)
 from ..operators import anomaly as AN  # noqa: E402
 
