@@ -1,30 +1,56 @@
 """Order statistics without a single-task global window.
 
 ``Window.orderBy(x)`` with no partition pulls every row into one task.  The
-helpers here pre-aggregate to one row per distinct value, cut the value range
-into buckets whose boundaries come from ``percentile_approx`` (the driver holds
-at most ``n_buckets`` numbers), compute bucket totals (tiny table, broadcast),
-and run the window inside each bucket only.  The result is exact: boundaries
-only balance the load.
+helpers here pre-aggregate to one row per distinct value and cut the value order
+into cells of at most ``cell_rows`` of them, each a task's window; totals of
+the earlier cells make the result exact, wherever the cuts lie.
+
+Two ways give the cells.  While ``n_buckets`` quantiles of the rows suffice for
+cells of that size, their cut points come from one sketch and are literals of the
+plan.  Beyond that Spark's range partitioning deals the (group, value) pairs out,
+and ranges that are still too large are dealt again, more finely; so neither the
+number of cells nor the size of a group or of a narrow range of values is limited.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_BUCKETS = 64
+CELL_ROWS = 1_000_000   # distinct values that a task orders at most, but for the sketch's error and ranges twice as large
 
 
-def boundaries(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> list:
-    """Up to ``n_buckets - 1`` sorted cut points of ``key`` (approximate quantiles)."""
-    if n_buckets <= 1:
-        return []
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), fracs, 10_000).alias("b")).first()
-    bounds = row["b"] if row is not None else None
-    if not bounds:
-        return []
-    return sorted(set(float(b) for b in bounds if b is not None))
+class Cuts(list):
+    """Sorted cut points; ``ranged`` if they are too few for the rows they were taken from."""
+    ranged = False
+
+
+def boundaries(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS, cell_rows: int | None = None) -> Cuts:
+    """Up to ``n_buckets - 1`` sorted cut points of ``key`` (approximate quantiles), from one aggregate."""
+    cuts = Cuts()
+    fracs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), fracs, 10_000).alias("b"), F.count(key).alias("n")).first()
+    # a cell between two cuts holds a share of the rows, and at most as many distinct values
+    cuts.ranged = row["n"] > (CELL_ROWS if cell_rows is None else cell_rows) * n_buckets // 2
+    if n_buckets > 1 and not cuts.ranged:
+        cuts += sorted({float(b) for b in row["b"] or [] if b is not None})
+    return cuts
+
+
+def range_cells(df: DataFrame, order: list, cell_rows: int) -> DataFrame:
+    """``df`` sorted by ``order`` over tasks of about ``cell_rows`` rows, written, with ``_at`` (task in the upper bits, place in
+    the lower 33).  Tasks are counted after the sort; if one holds over twice as many rows, all are dealt again to more tasks."""
+    place = F.monotonically_increasing_id().alias("_at")
+    out = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", place), "cells")
+    wanted = 0
+    while True:
+        sizes = out.groupBy(F.shiftright("_at", 33).alias("t")).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+        if (sizes["most"] or 0) <= 2 * cell_rows or wanted > sizes["n"]:
+            return out
+        wanted = max(2 * wanted, -(-2 * sizes["n"] // cell_rows))
+        out = materialize(out.drop("_at").repartitionByRange(wanted, *order).sortWithinPartitions(*order).select("*", place), "cells")
 
 
 def bucket_column(key: str, bounds: list, descending: bool = False) -> Column:
@@ -49,6 +75,7 @@ def ordered_prefix(
     n_buckets: int = DEFAULT_BUCKETS,
     bounds_from: DataFrame | None = None,
     bounds: list | None = None,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Running sums over ``key`` order, per ``partition_cols``.
 
@@ -61,10 +88,16 @@ def ordered_prefix(
     # boundaries only balance the buckets; a sketch over the raw rows (map-side
     # partial aggregation, no shuffle of ``df``) is as good as one over ``df``
     if bounds is None:
-        bounds = boundaries(bounds_from if bounds_from is not None else df, key, n_buckets)
+        bounds = boundaries(bounds_from if bounds_from is not None else df, key, n_buckets, cell_rows)
     names = list(sums)
-    base = df.select("*", bucket_column(key, bounds, descending).alias("_bkt"),
-                     *[F.coalesce(sums[n], F.lit(0)).alias(f"_v_{n}") for n in names])
+    values = [F.coalesce(sums[n], F.lit(0)).alias(f"_v_{n}") for n in names]
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    ranged = getattr(bounds, "ranged", False)
+    if ranged:
+        cells = range_cells(df.select("*", *values), [*parts, order], CELL_ROWS if cell_rows is None else cell_rows)
+        base = cells.withColumn("_bkt", F.shiftright("_at", 33))
+    else:
+        base = df.select("*", bucket_column(key, bounds, descending).alias("_bkt"), *values)
     # bucket totals per partition: one row per (partition, bucket)
     totals = base.groupBy(*parts, "_bkt").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     w_off = (Window.partitionBy(*parts).orderBy("_bkt")
@@ -72,11 +105,10 @@ def ordered_prefix(
     offsets = totals.select(*parts, "_bkt",
                             *[F.coalesce(F.sum(f"_t_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}")
                               for n in names])
-    order = F.col(key).desc() if descending else F.col(key).asc()
     frame_end = Window.currentRow if inclusive else -1
     w_in = (Window.partitionBy(*parts, "_bkt").orderBy(order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
-    if not parts and len(bounds) < 4096:
+    if not parts and not ranged:
         offsets = F.broadcast(offsets)   # at most n_buckets rows
     joined = base.join(offsets, [*parts, "_bkt"], "left")
     return joined.select(
@@ -87,7 +119,7 @@ def ordered_prefix(
 
 
 def rank_pct(df: DataFrame, value: str, out: str, partition_cols: list | None = None,
-             n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             n_buckets: int = DEFAULT_BUCKETS, cell_rows: int | None = None) -> DataFrame:
     """``Series.rank(method='average', pct=True)`` as a distributed join.
 
     Rank of v = (#values < v) + (#values == v + 1) / 2, divided by the count of
@@ -97,7 +129,7 @@ def rank_pct(df: DataFrame, value: str, out: str, partition_cols: list | None =
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*parts, value).agg(F.count(F.lit(1)).alias("_cnt")))
     pref = ordered_prefix(counts, value, {"_before": F.col("_cnt")}, parts,
-                          inclusive=False, n_buckets=n_buckets, bounds_from=df.select(value))
+                          inclusive=False, n_buckets=n_buckets, bounds_from=df.select(value), cell_rows=cell_rows)
     if parts:
         totals = counts.groupBy(*parts).agg(F.sum("_cnt").alias("_n"))
         ranked = pref.join(totals, parts, "inner")
@@ -136,7 +168,8 @@ def global_positions(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list, group_cols: list | None = None,
-                    n_buckets: int = DEFAULT_BUCKETS, prefix: str = "q", bounds: list | None = None) -> DataFrame:
+                    n_buckets: int = DEFAULT_BUCKETS, prefix: str = "q", bounds: list | None = None,
+                    cell_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group, without a per-group buffer.
 
     ``percentile`` keeps a value -> count map per group and merges it in one
@@ -152,7 +185,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list, group_cols: list | None
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*parts, value)
               .agg(F.count(F.lit(1)).alias("_c")))
     pref = ordered_prefix(counts, value, {"_cum": F.col("_c")}, parts, inclusive=True,
-                          n_buckets=n_buckets, bounds_from=df.select(value), bounds=bounds)
+                          n_buckets=n_buckets, bounds_from=df.select(value), bounds=bounds, cell_rows=cell_rows)
     totals = counts.groupBy(*parts).agg(F.sum("_c").alias("_n"))
     x = pref.join(totals, parts, "inner") if parts else pref.withColumn(
         "_n", F.lit(int(counts.agg(F.sum("_c")).first()[0] or 0)))
