@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import stable_hash
+from ..session import materialize
 from .ordered import global_positions
 
 
@@ -114,6 +115,68 @@ def deal_folds(stats: DataFrame, k: int = 5, group: str = S.ORIGIN, seed: int =
     return ranked.select(group, fold.alias("fold"))
 
 
+def _dealt(loads: list, size: tuple, n: int, totals: tuple) -> list:
+    """How many of ``n`` equal groups of ``size`` (per class) each fold gets when one after the other goes to the fold where it
+    adds least to the variance of the class shares (then: with fewest rows so far, then the first).  ``loads`` are the folds' sums.
+
+    What a group adds is, up to what all folds share, ``sum(load * size / total**2)`` over the classes.  Each group put
+    into a fold raises that fold's cost by the same step, so the folds' costs are arithmetic progressions and the choices are
+    the ``n`` smallest terms of all of them: found by bisection instead of one by one, in integers.
+    """
+    product = 1
+    for t in totals:
+        product *= max(t, 1) ** 2
+    weights = [c * (product // max(t, 1) ** 2) for c, t in zip(size, totals)]
+    costs = [sum(w * x for w, x in zip(weights, load)) for load in loads]
+    step, k = sum(w * c for w, c in zip(weights, size)), len(loads)
+    if step == 0:  # groups without rows add nothing anywhere
+        return [n, *[0] * (k - 1)]
+    below = lambda level: [max(0, -(-(level - c) // step)) for c in costs]  # terms under ``level``
+    low, high = min(costs), max(costs) + step * (n + 1)
+    while high - low > 1:  # the highest level with at most n terms under it
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= n else (low, mid)
+    taken = below(low)
+    # the terms at this level: fewest rows at that moment first, then the first fold
+    rows = lambda f: sum(loads[f]) + taken[f] * sum(size)
+    tied = sorted((f for f in range(k) if costs[f] + taken[f] * step == low), key=lambda f: (rows(f), f))
+    for f in tied[:n - sum(taken)]:
+        taken[f] += 1
+    return taken
+
+
+def greedy_group_folds(df: DataFrame, k: int = 5, group: str = S.ORIGIN, label: str = S.LABEL, seed: int = S.RANDOM_STATE) -> DataFrame:
+    """C5, greedy: each group goes to the fold that keeps the class shares of the folds most even, the groups with the
+    largest difference of their class counts first.  Returns ``(group, fold)``; null groups have none (:func:`with_folds`).
+
+    Groups with the same counts are dealt together (:func:`_dealt`); the driver holds one row per pair of counts, not
+    per group.  A group learns its fold from its rank among its equals, in the order of its hash.
+    """
+    stats = materialize(df.filter(F.col(group).isNotNull()).groupBy(group).agg(
+        F.sum(F.coalesce(F.col(label), F.lit(0))).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_n")), "groups")
+    runs = stats.groupBy("_n", "_pos").count().collect()   # one row per pair of counts
+    runs = sorted(((r["_n"] - r["_pos"], r["_pos"], r["count"]) for r in runs), key=lambda r: (-abs(r[0] - r[1]), -r[0] - r[1], -r[1]))
+    totals = tuple(sum(r[c] * r[2] for r in runs) for c in (0, 1))
+    loads, start, ranges = [[0, 0] for _ in range(k)], 0, []
+    for neg, pos, n in runs:
+        at = start
+        for f, taken in enumerate(_dealt(loads, (neg, pos), n, totals)):
+            loads[f][0] += taken * neg
+            loads[f][1] += taken * pos
+            if taken:
+                ranges.append((neg + pos, pos, start, at, at + taken, f))
+            at += taken
+        start += n
+    spark = df.sparkSession
+    kinds = "_n long, _pos long, _start long, _from long, _to long, fold int"
+    plan = spark.createDataFrame(ranges, kinds)   # at most k rows per pair of counts; Spark broadcasts it if it is small
+    hashed = stats.select(group, "_n", "_pos", stable_hash(group, seed).alias("_h"))
+    differ = F.abs(F.col("_n") - 2 * F.col("_pos")).desc()
+    ranked = global_positions(hashed, [differ, F.col("_n").desc(), F.col("_pos").desc(), F.col("_h"), F.col(group)], "_i")
+    return (ranked.join(plan, ["_n", "_pos"]).where((F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_to")))
+            .select(group, "fold"))
+
+
 def fold_of_row(k: int, key: str = S.ID, seed: int = S.RANDOM_STATE) -> Column:
     """Fold of a row that belongs to no group: by the hash of its id."""
     return (stable_hash(key, seed) % k).cast("int")

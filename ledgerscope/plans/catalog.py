@@ -1122,6 +1122,34 @@ def q_feature_table(spark, sf_dir):
     return FT.build_feature_table(train, test)
 
 
+# one account after the other, in SQL: the state of the recursion is the folds' negatives and positives
+_GREEDY_CTES = [
+    f"""acc AS (SELECT origin_account AS account, count(*) AS n, sum(fraud_flag)::BIGINT AS pos, {O.md5_hash('origin_account', S.RANDOM_STATE)} AS h
+  FROM train WHERE origin_account IS NOT NULL GROUP BY origin_account)""",
+    "line AS (SELECT *, row_number() OVER (ORDER BY abs(n - 2 * pos) DESC, n DESC, pos DESC, h, account) AS i FROM acc)",
+    "tot AS (SELECT greatest(sum(n - pos), 1)::HUGEINT AS t0, greatest(sum(pos), 1)::HUGEINT AS t1 FROM acc)",
+    """dealt AS (
+  SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::HUGEINT[] AS neg, [0, 0, 0, 0, 0]::HUGEINT[] AS pos, 0 AS fold
+  UNION ALL
+  SELECT i, list_transform(neg, lambda x, j: CASE WHEN j = f THEN x + a ELSE x END), list_transform(pos, lambda x, j: CASE WHEN j = f THEN x + b ELSE x END), f FROM (
+    SELECT l.i, d.neg, d.pos, l.n - l.pos AS a, l.pos AS b, (list_sort(list_transform([1, 2, 3, 4, 5], lambda j: {
+      'cost': d.neg[j] * (l.n - l.pos) * t1 * t1 + d.pos[j] * l.pos * t0 * t0, 'rows': d.neg[j] + d.pos[j], 'j': j}))[1]).j AS f
+    FROM dealt d JOIN line l ON l.i = d.i + 1, tot))""",
+    """share AS (SELECT l.n, l.pos, d.fold - 1 AS fold, count(*) AS c, min(l.i) AS i FROM dealt d JOIN line l ON l.i = d.i GROUP BY ALL)""",
+    """spans AS (SELECT n, pos, fold, coalesce(sum(c) OVER (PARTITION BY n, pos ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+  sum(c) OVER (PARTITION BY n, pos ORDER BY fold) AS b FROM share)""",
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY n, pos ORDER BY h, account) - 1 AS r FROM acc)",
+]
+
+
+@register("greedy_group_folds", O.with_tx(
+    "SELECT p.account AS origin_account, CAST(s.fold AS INTEGER) AS fold FROM placed p JOIN spans s ON s.n = p.n AND s.pos = p.pos AND r >= a AND r < b",
+    *_GREEDY_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_greedy_group_folds(spark, sf_dir):
+    """Folds of origin accounts by greedy balancing of rows and positives."""
+    return SP.greedy_group_folds(_train(spark, sf_dir))
+
+
 # the same statements over transactions that lack some accounts
 _NO_ACCOUNTS = [("user_id AS origin_account", "CASE WHEN event_id % 3 <> 0 THEN user_id END AS origin_account"),
                 ("k AS destination_account", "CASE WHEN event_id % 4 <> 1 THEN k END AS destination_account")]
