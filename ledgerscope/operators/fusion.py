@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +65,113 @@ def blend_weight_search(df: DataFrame, models: list, label: str = S.LABEL, step:
     return cands.join(ap, "cand", "left").fillna(0.0, ["ap"])
 
 
+# ---------------------------------------------------------------- bounded search (K6)
+
+CELL_LEVELS = 48   # levels of each score: at most CELL_LEVELS ** models cells reach the driver
+MOST_MODELS = 3    # beyond, the cells would not fit
+
+
+def score_cells(df: DataFrame, models: list, label: str = S.LABEL, levels: int = CELL_LEVELS) -> list:
+    """``(negatives, positives, lowest and highest score of each model)`` of the cells of a grid over the scores.
+
+    One aggregate with map-side sums; rows with a null score have no blend and are left out, like in the AP.
+    """
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"cells of more than {MOST_MODELS} scores do not fit the driver")
+    level = lambda m: F.least(F.greatest(F.floor(F.col(m) * levels), F.lit(0)), F.lit(levels - 1)).alias(f"_l_{m}")
+    known = df.where(" and ".join(f"`{m}` is not null" for m in models))
+    ends = [f(m).alias(f"{f.__name__}_{m}") for m in models for f in (F.min, F.max)]
+    cells = known.select(label, *models, *[level(m) for m in models]).groupBy(*[f"_l_{m}" for m in models]).agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("_p"), *ends)
+    rows = cells.select((F.col("_n") - F.col("_p")).alias("neg"), F.col("_p").alias("pos"), *[e for m in models for e in (f"min_{m}", f"max_{m}")]).collect()
+    return [np.array(x, float) for x in zip(*rows)] if rows else [np.zeros(0)] * (2 + 2 * len(models))
+
+
+def _harmonic(n: np.ndarray) -> np.ndarray:
+    """``1 + 1/2 + ... + 1/n``: summed up to a bound, from its series beyond."""
+    table = np.r_[0.0, np.cumsum(1.0 / np.arange(1, 10_001))]
+    small, x = np.minimum(n, 10_000).astype(np.int64), np.maximum(n, 1.0)
+    return np.where(n <= 10_000, table[small], np.log(x) + np.euler_gamma + 1 / (2 * x) - 1 / (12 * x * x))
+
+
+def ranked_precision(value: np.ndarray, pos: np.ndarray, neg: np.ndarray, positives_first: bool) -> float:
+    """Average precision of groups of rows at their values; in a tie all positives come first, or all negatives."""
+    total = pos.sum()
+    if not total:
+        return 0.0
+    at = np.lexsort(((pos > 0) == (not positives_first), -value))
+    pos, neg = pos[at], neg[at]
+    p0, n0 = np.cumsum(pos) - pos, np.cumsum(neg) - neg
+    above = p0 + n0
+    # of p positives in a row after n0 negatives, the i-th has precision (p0 + i) / (p0 + n0 + i)
+    return float(((pos - n0 * (_harmonic(above + pos) - _harmonic(above)))[pos > 0]).sum() / total)
+
+
+def ap_bounds(cells: list, weights: tuple) -> tuple[float, float]:
+    """Lower and upper bound of the AP of a blend from the cells alone.
+
+    Raising a positive or lowering a negative never lowers the AP.  So it is highest with all positives at the top and all
+    negatives at the bottom of their cells' blends, and lowest the other way round.
+    """
+    neg, pos = cells[0], cells[1]
+    ends = [np.clip(sum(w * cells[2 + 2 * k + e] for k, w in enumerate(weights)), 0.0, 1.0) for e in (0, 1)]
+    widest = 1e-12  # the blend's own rounding
+    out = []
+    for top in (False, True):
+        p, n = (ends[1] + widest, ends[0] - widest) if top else (ends[0] - widest, ends[1] + widest)
+        has_p, has_n = pos > 0, neg > 0
+        value = np.r_[p[has_p], n[has_n]]
+        out.append(ranked_precision(value, np.r_[pos[has_p], np.zeros(has_n.sum())], np.r_[np.zeros(has_p.sum()), neg[has_n]], top))
+    return out[0], out[1]
+
+
+def search_weights(df: DataFrame, models: list, label: str = S.LABEL, step: float = 0.1, refinements: int = 3, starts: int = 4,
+                   levels: int = CELL_LEVELS, batch: int = 4) -> DataFrame:
+    """K6, continuous: the simplex grid, refined around its best points, with exact APs only where they can still win.
+
+    The driver bounds every candidate's AP from the cells.  After the grid each refinement halves the step and tries
+    the neighbours of the ``starts`` best points.  Then the candidates are evaluated exactly, ``batch`` at a time in one
+    pass each, the highest upper bound first, until no bound of the others reaches the best AP found.  Returns a row per candidate: ``cand,
+    w_<model>..., lower, upper, ap``; ``ap`` is null where the bound ruled the candidate out.  Candidates are numbered
+    in the order in which they came up, the grid first.
+    """
+    cells = score_cells(df, models, label, levels)
+    found = {w: ap_bounds(cells, w) for w in simplex_grid(models, step)}
+    for _ in range(refinements if len(models) > 1 else 0):
+        step /= 2
+        best = sorted(found, key=lambda w: (-sum(found[w]), w))[:starts]
+        for w in best:
+            for i in range(len(w)):
+                for j in range(len(w)):
+                    moved = list(w)
+                    moved[i], moved[j] = round(w[i] + step, 12), round(w[j] - step, 12)
+                    near = tuple(moved)
+                    if i != j and moved[j] >= 0 and near not in found:
+                        found[near] = ap_bounds(cells, near)
+    order, exact, top = list(found), {}, -1.0
+    rest = sorted(order, key=lambda w: (-found[w][1], order.index(w)))
+    while rest and found[rest[0]][1] >= top - 1e-9:
+        now, rest = rest[:batch], rest[batch:]
+        for w, ap in zip(now, _exact_aps(df, models, label, now)):
+            exact[w] = ap
+            top = max(top, ap)
+    rows = [(k, *map(float, w), *found[w], exact.get(w)) for k, w in enumerate(order)]
+    kinds = ", ".join(["cand int", *[f"w_{m} double" for m in models], "lower double, upper double, ap double"])
+    return df.sparkSession.createDataFrame(rows, kinds)
+
+
+def _exact_aps(df: DataFrame, models: list, label: str, weights: list) -> list:
+    """AP of a few blends in one pass."""
+    blends = F.array(*[F.struct(F.lit(k).alias("cand"), clip(sum((F.lit(float(x)) * F.col(m) for x, m in zip(w[1:], models[1:])), F.lit(float(w[0])) * F.col(models[0])),
+                                                             0.0, 1.0).alias("_s")) for k, w in enumerate(weights)])
+    long = df.select(label, F.explode(blends).alias("_e")).select(label, "_e.*")
+    found = {r["cand"]: float(r["ap"]) for r in average_precision(long, "_s", label, ["cand"]).collect()}   # one row per blend
+    return [found.get(k, 0.0) for k in range(len(weights))]
+
+
 def best_weights(search: DataFrame, models: list) -> dict:
     """Highest AP; ties go to the lowest candidate number (deterministic)."""
-    row = search.orderBy(F.col("ap").desc(), F.col("cand")).first()
+    row = search.orderBy(F.col("ap").desc_nulls_last(), F.col("cand")).first()
     return {m: float(row[f"w_{m}"]) for m in models}
 
 

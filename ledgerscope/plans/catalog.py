@@ -912,6 +912,21 @@ def q_blend_weight_search(spark, sf_dir):
     return FU.blend_weight_search(_scored(spark, sf_dir), _MODELS)
 
 
+@register("blend_best", O.with_tx(
+    "SELECT CAST(cand AS INTEGER) AS cand, " + ", ".join(O.r6(f"w_{m}", f"w_{m}") for m in _MODELS) + ", " + O.r6("ap", "ap")
+    + " FROM cg JOIN cap USING (cand) QUALIFY row_number() OVER (ORDER BY ap DESC, cand) = 1", *_GRID_CTES))
+def q_blend_best(spark, sf_dir):
+    """K6: the grid's best weights, with exact APs only for candidates whose bounds can win."""
+    search = FU.search_weights(_scored(spark, sf_dir), _MODELS, refinements=0)
+    return search.orderBy(F.col("ap").desc_nulls_last(), "cand").limit(1).select("cand", *[f"w_{m}" for m in _MODELS], "ap")
+
+
+@register("blend_refined")
+def q_blend_refined(spark, sf_dir):
+    """K6: the continuous search; every candidate with its bounds, exact APs of those that could win."""
+    return FU.search_weights(_scored(spark, sf_dir), _MODELS)
+
+
 @register("ensemble_choice", O.with_tx(
     """SELECT """ + O.r6("o.ap", "ap_optimized") + ", " + O.r6("v.ap", "ap_score_weighted") + """,
   CASE WHEN o.ap >= v.ap THEN 'optimized' ELSE 'score-weighted' END AS chosen

@@ -85,10 +85,10 @@ def score_weights(scores: dict) -> dict:
 
 
 def blend_choice(preds: DataFrame, scores: dict) -> tuple[dict, str, float]:
-    """K4-K7: score-weighted weights against the AP-optimal simplex grid."""
+    """K4-K7: score-weighted weights against the weights of highest AP."""
     names = list(scores)
     w_avg = score_weights(scores)
-    search = FU.blend_weight_search(preds, names)
+    search = FU.search_weights(preds, names)
     w_opt = FU.best_weights(search, names)
     ap_opt = ap_of(FU.blend(preds, w_opt, "_b"), "_b")
     ap_avg = ap_of(FU.blend(preds, w_avg, "_b"), "_b")
@@ -327,7 +327,7 @@ def two_stage(spark: SparkSession, train: DataFrame, test: DataFrame, sample: Da
     rows, te = frames["train"], frames["test"]
     tr, va = SP.temporal_split(rows)
     scores, preds, models = score_fold(tr, va)
-    weights = FU.best_weights(FU.blend_weight_search(preds, list(LEARNERS)), list(LEARNERS))
+    weights = FU.best_weights(FU.search_weights(preds, list(LEARNERS)), list(LEARNERS))
 
     def only(df):
         return df.filter(F.col(S.OPERATION) == S.POSITIVE_OPERATION)
