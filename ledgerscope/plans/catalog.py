@@ -1508,6 +1508,47 @@ def q_pipeline_two_stage(spark, sf_dir):
     return VA.pipeline_two_stage(spark, train, test, TX.sample_ids(test))
 
 
+# ------------------------------------------------ what SQL knows of the models (see plans/checks.py)
+from . import checks as CK  # noqa: E402
+
+_TWO_FOLDS = [_sgkf_cte().replace("// 5", "// 2").replace("% 5", "% 2").replace("4 -", "1 -"),
+              f"tx2 AS (SELECT t.*, coalesce(tf.fold, CAST({O.md5_hash('id', S.RANDOM_STATE)} % 2 AS INTEGER)) AS fold FROM train t LEFT JOIN tf ON t.origin_account = tf.origin_account)"]
+_ROLLING_AP = [
+    SCORED_CTE,
+    "ro AS (SELECT c AS cutoff, p_a AS s, fraud_flag AS y FROM scored, (VALUES " + ", ".join(f"({c})" for c in S.ROLLING_CUTOFFS) + ") v(c) WHERE period >= c AND period < 106)",
+    "rg AS (SELECT cutoff, s, sum(y) AS tp, count(*) AS n FROM ro GROUP BY cutoff, s)",
+    """rc AS (SELECT cutoff, tp, sum(tp) OVER (PARTITION BY cutoff) AS p, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM rg
+  WINDOW w AS (PARTITION BY cutoff ORDER BY s DESC))""",
+    "ra AS (SELECT cutoff, coalesce(sum(CASE WHEN p > 0 THEN (tp / CAST(p AS DOUBLE)) * (ctp / CAST(cn AS DOUBLE)) END), 0.0) AS ap FROM rc GROUP BY cutoff)",
+]
+_FP_SQL = ("SELECT CAST(sum(" + O.md5_hash("concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in _FP_COLS) + ")") + ") AS BIGINT) FROM {}")
+_FP_TEST = _FP_SQL.format("(SELECT *, NULL AS fraud_flag FROM test)")
+register("isolation_forest_checks", O.with_tx(CK.FOREST_SQL))(CK.forest)
+register("isolation_score_checks", O.with_tx(CK.SCORES_SQL))(CK.scores)
+register("learner_checks", O.with_tx(CK.LEARNERS_SQL))(CK.learners)
+register("cv_checks", O.with_tx(*CK.folds_sql(), *_TWO_FOLDS))(CK.folds)
+register("oof_checks", O.with_tx(CK.OOF_SQL, *_TWO_FOLDS))(CK.oof)
+register("fold_summary_checks", O.with_tx("SELECT " + O.r6("avg(ap)", "mean_ap") + ", " + O.r6("stddev_pop(ap)", "std_ap") + ", count(*) AS n_folds FROM ra", *_ROLLING_AP))(
+    lambda spark, sf_dir: VA.fold_summary_table(CK.scored_report(spark, sf_dir)))
+register("manifest_checks", O.with_tx(
+    f"SELECT {S.RANDOM_STATE} AS seed, ({_FP_SQL.format('train')}) AS train_fingerprint, ({_FP_TEST}) AS test_fingerprint, "
+    + ", ".join(O.r6(f"(SELECT {f}(ap) FROM ra WHERE {w})", n) for f, w, n in (
+        ("avg", "true", "rolling_mean_ap"), ("stddev_pop", "true", "rolling_std_ap"), ("avg", "cutoff > 80", "group_mean_ap"), ("stddev_pop", "cutoff > 80", "group_std_ap"))),
+    *_ROLLING_AP))(CK.manifest)
+register("submission_pipeline_checks", O.with_tx(CK.SUBMISSIONS_SQL, _SAMPLE_CTE))(CK.submissions)
+register("prepared_checks", O.with_tx(CK.PREPARED_SQL.format(amount=O.r6("amount", "amount"))))(CK.prepared)
+register("validation_checks", CK.VALIDATED_SQL)(CK.validated)
+
+
+@register("score_checks", O.with_tx(" UNION ALL ".join(
+    f"SELECT '{m}' AS model, count(*) AS rows, count(DISTINCT id) AS ids, count(*) AS in_range FROM test"
+    for m in ("stack_logistic", "stack_gbt", "blend", "starter", *VA.LEARNERS))))
+def q_score_checks(spark, sf_dir):
+    """Each model scores every test id once, within [0, 1]."""
+    table = QUERIES["score_table"](spark, sf_dir)
+    return CK.ranges(CK.blends(spark, sf_dir) | {"starter": QUERIES["starter_model"](spark, sf_dir)} | {m: table.select(S.ID, m) for m in VA.LEARNERS})
+
+
 # ------------------------------------------------ files written and read back
 
 @register("csv_transactions", SQL["load_transactions"])
