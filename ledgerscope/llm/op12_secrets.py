@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerscope.llm.common import as_texts, map_batches, read
 from ledgerscope.llm.hashed import word_groups
+from ledgerscope.session import materialize
 
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = 8192  # identifiers in the dictionary: at most 25 bytes each, so some 200 KB on the driver and in a task
@@ -102,7 +103,11 @@ class Novelty:
 
 
 def identifiers(docs: DataFrame, text_col: str, most: int) -> list[str]:
-    """The ``most`` most frequent identifier words of all texts, ties by name; counts are summed per group of texts before the shuffle."""
+    """The ``most`` most frequent identifier words of all texts, ties by name; counts are summed per group of texts before the shuffle.
+
+    The number of words per power of two of their counts tells from which power on the first ``most`` must be, so only words
+    from there are sorted and sent on.
+    """
     def run(batches):
         for b in batches:
             for words, at, _ in word_groups(b.column(0)):
@@ -113,7 +118,15 @@ def identifiers(docs: DataFrame, text_col: str, most: int) -> list[str]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(said), pa.string()), pa.array(list(said.values()), pa.int64())], ["word", "n"])
 
     counted = map_batches(docs.select(F.col(text_col).cast("string")), run, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "identifiers")
+    powers = counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).collect()  # at most 64 rows
+    above, least = 0, 0
+    for row in sorted(powers, key=lambda r: -r["power"]):
+        above += row["words"]
+        if above >= most:
+            least = 2 ** row["power"]
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
     return [r["word"] for r in sorted(top.collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
