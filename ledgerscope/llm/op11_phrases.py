@@ -28,7 +28,7 @@ from ledgerscope.llm.common import map_batches, read
 from ledgerscope.session import materialize
 
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
-RUN_ROWS = 200_000  # frequent phrases in a run of a stream
+RUN_ROWS = 50_000  # frequent phrases in a run of a stream
 _GROUP_BYTES = 4_000_000
 _MIX = 0x9E3779B97F4A7C15
 
