@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 DIMS = 1 << 18
 _GROUP_BYTES = 4_000_000
+_SLICE = 1024  # rows that are judged and sent back at once
 
 
 def bucket(feature: str) -> int:
@@ -101,7 +102,10 @@ def keep_scored(docs: DataFrame, score_group: Callable, text_col: str, threshold
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            scores = [score_group(*group) for group in word_groups(b.column(at))]
-            yield b.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) >= threshold))
+        for whole in batches:
+            for first in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(first, _SLICE)
+                scores = [score_group(*group) for group in word_groups(b.column(at))]
+                yield b.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) >= threshold))
+            pa.default_memory_pool().release_unused()
     return docs.mapInArrow(run, docs.schema)
