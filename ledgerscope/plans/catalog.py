@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.columns import round_doubles
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, scratch
+from ..sources import publish as PB
 from ..operators import balance as B
 from ..operators import causal as C
 from ..sources import transactions as TX
@@ -1576,6 +1577,25 @@ def q_report_round_trip(spark, sf_dir):
     return spark.createDataFrame([(report["rows"], report["fingerprint"])], "rows long, fingerprint long")
 
 
+def _fingerprint_sql(name: str, cols: list) -> str:
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in cols) + ")"
+    return f"SELECT '{name}' AS table_name, count(*) AS rows, CAST(sum({O.md5_hash(text)}) AS BIGINT) AS fingerprint FROM "
+
+
+@register("published_tables", O.with_tx(
+    _fingerprint_sql("submission", ["id", "CAST(floor(target * 1000000 + 0.5) AS BIGINT)"]) + "sub UNION ALL "
+    + _fingerprint_sql("scores", ["id", *[f"CAST(floor({m} * 1000000 + 0.5) AS BIGINT)" for m in _MODELS]]) + "scored WHERE period >= 106",
+    SCORED_CTE, _SAMPLE_CTE, _SUB_CTE))
+def q_published_tables(spark, sf_dir):
+    """Submission and scores published as one release after the contract holds; the visible manifest."""
+    root = VA.report_path(spark, "release")
+    with scratch(spark):
+        sub, sample = _submission(spark, sf_dir)
+        PB.publish(spark, root, {"submission": sub, "scores": _test_scored(spark, sf_dir).select(S.ID, *_MODELS)}, VA.submission_check(sample))
+    tables = PB.current(spark, root)["tables"]   # two
+    return spark.createDataFrame([(n, t["rows"], t["fingerprint"]) for n, t in tables.items()], "table_name string, rows long, fingerprint long")
+
+
 @register("feature_columns", O.with_tx("\nUNION ALL ".join(
     f"SELECT '{n}' AS feature, {i} AS position, count({x}) AS present FROM tx"
     for i, (n, x) in enumerate([(c, c) for c in S.RAW_FEATURES] + [(n, x) for n, x, _ in _BAL_SQL]))))

@@ -19,7 +19,8 @@ from ..operators import fusion as FU
 from ..operators import metrics as M
 from ..operators import splits as SP
 from ..operators import submission as SU
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, files_of, materialize, scratch
+from ..sources import publish as PB
 from ..sources import sinks as SK
 from . import features as FT
 from . import models as MD
@@ -314,6 +315,26 @@ def _submit(preds: DataFrame, sample: DataFrame, train: DataFrame, path: str | N
     return sub
 
 
+def submission_check(sample: DataFrame):
+    """The output contract (K12) of the staged table ``submission``."""
+    return lambda staged: SU.submission_violations(staged["submission"], sample).first().asDict()
+
+
+def publish_submission(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame, root: str,
+                       weights: dict | None = None, **kw) -> dict:
+    """L3 as one release: submission, base predictions and validation report appear together after the contract
+    holds, and no intermediate table stays behind.  Gives the manifest."""
+    with scratch(spark):
+        report = {"ensemble_weights": weights} if weights else validation_report(train)
+        path = report_path(spark, "base_predictions")
+        try:
+            sub = train_final_and_submit(spark, train, test, sample, weights=report["ensemble_weights"], predictions_path=path, **kw)
+            return PB.publish(spark, root, {"submission": sub, "predictions": spark.read.parquet(path)}, submission_check(sample), report)
+        finally:
+            fs, where = files_of(spark, path)
+            fs.delete(where, True)
+
+
 def two_stage(spark: SparkSession, train: DataFrame, test: DataFrame, sample: DataFrame,
               submission_path: str | None = None, report: str | None = None) -> tuple[DataFrame, dict]:
     """L4: global blend plus a specialist of the positive operation, fused by rank.

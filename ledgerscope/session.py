@@ -1,8 +1,11 @@
 """Spark session and checkpoint-directory helpers."""
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,18 +68,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """File system and path object of a path, on any store that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Owns the tables that :func:`materialize` writes inside: they are deleted at the end, also after a failure.
+
+    Results must be written out before; a frame that is returned lazily still needs its tables.  Scopes may be nested.
+    """
+    paths: list = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            fs, where = files_of(spark, path)
+            fs.delete(where, True)
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` as parquet under the checkpoint directory and read it back.
 
     Used to share one computed table between several branches of a plan (each
     later read gets column pruning and filter push-down), to cut long plans,
-    and to survive executor loss without recomputing the lineage.  The folder
+    and to survive executor loss without recomputing the lineage.  Inside
+    :func:`scratch` the table is deleted with its scope, else it stays.  The folder
     is the cluster's shared ``spark.checkpoint.dir``; only a local master may go
     without one and gets a temporary folder.
     """
-    import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    if (owner := _SCOPE.get()) is not None:
+        owner.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
