@@ -374,23 +374,30 @@ def start_margin(train: DataFrame) -> float:
 
 
 def fit_boosted(train: DataFrame, numeric: list, categorical: list, spec: BoostSpec = BoostSpec(), holdout: DataFrame | None = None,
-                objective: Callable | None = None) -> Booster:
-    """Boosted trees on ``train``; with ``holdout`` the rounds stop by its average precision."""
+                objective: Callable | None = None, resume: Booster | None = None) -> Booster:
+    """Boosted trees on ``train``; with ``holdout`` the rounds stop by its average precision.
+
+    ``resume`` is a model of the same rows and settings with fewer rounds: its trees are kept and the rounds go on from there, with
+    the same result as a fit in one go.
+    """
     known = train.where(F.col(S.LABEL).isNotNull())
-    binner = fit_bins(known, numeric, categorical, spec.bins, spec.exact_bins)
+    binner = resume.binner if resume else fit_bins(known, numeric, categorical, spec.bins, spec.exact_bins)
     n, positives = known.agg(F.count(F.lit(1)), F.sum(F.col(S.LABEL).cast("long"))).first()
     positives, start = positives or 0, start_margin(known)
     objective = objective or (focal() if spec.objective == "focal" else logistic((n - positives) / max(positives, 1)))
     if not n or not binner.names:
         return Booster(binner, start, [])
     prepare = lambda df: materialize(binner.transform(df.where(F.col(S.LABEL).isNotNull()), [S.LABEL]).withColumn("margin", F.lit(start)), "binned")
+    trees, history = (list(resume.trees), list(resume.history)) if resume else ([], [])
     rows, held = prepare(known), None if holdout is None else prepare(holdout)
-    trees, history = [], []
-    draw = np.random.default_rng(spec.seed)
+    if trees:
+        rows = materialize(add_trees(rows, trees, [S.LABEL]), "binned")
+        held = held if held is None else materialize(add_trees(held, trees, [S.LABEL]), "binned")
     names = range(len(binner.names))
     while len(trees) < spec.rounds:
         pending = []
         for _ in range(min(spec.block, spec.rounds - len(trees))):
+            draw = np.random.default_rng([spec.seed, len(trees) + len(pending)])
             features = sorted(draw.choice(len(names), max(1, round(spec.columns * len(names))), replace=False).tolist()) if spec.columns < 1 else list(names)
             pending.append(grow(rows, objective, pending, binner, spec, features))
         first = len(trees) + 1

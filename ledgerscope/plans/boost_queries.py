@@ -5,11 +5,17 @@ saw.  The SQL side repeats the definition round by round: bins, integer gradient
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import stable_hash
 from ..operators import boosting as BO
+from ..operators import fusion as FU
+from ..operators import metrics as M
+from ..operators import search as SE
 from ..operators import splits as SP
 from ..session import materialize
 from ..sources import transactions as TX
@@ -174,3 +180,64 @@ def fit_focal(spark, sf_dir):
 def fit_ap_stopped(spark, sf_dir):
     """Boosting on the weighted log loss, stopped by average precision."""
     return fit_on_features(spark, sf_dir, LOGISTIC)
+
+
+# ------------------------------------------------ search of its settings
+
+SPACE = {"depth": [1, 2, 3, 4], "rate": [0.05, 0.1, 0.3, 0.6], "l2": [0.5, 1.0, 5.0], "min_rows": [5, 20, 80], "columns": [0.5, 0.7, 1.0]}
+
+
+def hyperband_search(train: DataFrame, held: DataFrame, numeric: list, categorical: list, space: dict = SPACE, most: int = 4, eta: int = 2,
+                     seed: int = S.RANDOM_STATE) -> tuple[list, list]:
+    """Brackets of boosting rounds on the holdout's average precision; a trial goes on from the trees it has."""
+    known = held.where(F.col(S.LABEL).isNotNull())
+
+    def evaluate(trials, budget, states):
+        out = []
+        for settings, model in zip(trials, states):
+            spec = BO.BoostSpec(**settings, rounds=budget, bins=16, block=max(1, budget))
+            model = BO.fit_boosted(train, numeric, categorical, spec, resume=model)
+            out.append((M.average_precision_value(model.margin(known, [S.LABEL]), "margin"), model))
+        return out
+
+    return SE.hyperband(space, evaluate, most, eta, seed)
+
+
+def hyperband(spark, sf_dir):
+    """Brackets over the boosted learner's settings, new trials drawn by what good and bad ones have in common."""
+    record, settings = hyperband_search(*frame(spark, sf_dir), NUMERIC, CATEGORICAL)
+    rows = [(r.bracket, r.trial, r.rung, r.budget, r.score, r.kept, json.dumps(settings[r.trial], sort_keys=True)) for r in record]
+    return spark.createDataFrame(rows, "bracket int, trial int, rung int, budget int, ap double, kept boolean, settings string")
+
+
+# ------------------------------------------------ the same halving over blends, with rows as the budget
+
+_BLENDS = FU.simplex_grid(["p_a", "p_b", "p_c"], 0.25)
+_SHARES = SE.rungs_of(len(_BLENDS), 1, 9, 3)
+
+
+def halving_blend(spark, sf_dir):
+    """Successive halving of blend weights; the budget is ninths of the rows, by the hash of their id."""
+    rows = TX.scored_rows(TX.load_transactions(spark, sf_dir)).where(F.col(S.PERIOD) < S.TEST_PERIOD_START)
+    part = stable_hash(S.ID, S.RANDOM_STATE) % 9
+
+    def evaluate(weights, budget, states):
+        aps = FU._exact_aps(rows.where(part < budget), ["p_a", "p_b", "p_c"], S.LABEL, weights)
+        # equal to the last digit only up to the order of summation: compared and kept at twelve digits
+        return [(round(ap, 12), None) for ap in aps]
+
+    record = SE.halving(_BLENDS, _SHARES, evaluate)
+    return spark.createDataFrame([(r.trial, r.rung, r.budget, r.score, r.kept) for r in record], "trial int, rung int, budget int, ap double, kept boolean")
+
+
+def _halving_sql() -> tuple:
+    ctes = ["cand(trial, a, b, c) AS (VALUES " + ", ".join(f"({k}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE)" for k, w in enumerate(_BLENDS)) + ")",
+            f"part AS (SELECT *, {O.md5_hash('id', S.RANDOM_STATE)} % 9 AS ninth FROM scored WHERE period < {S.TEST_PERIOD_START})"]
+    for r, (budget, go_on) in enumerate(_SHARES):
+        alive = "cand" if r == 0 else f"(SELECT c.* FROM cand c JOIN r{r - 1} k ON k.trial = c.trial AND k.kept)"
+        ctes += [f"s{r} AS (SELECT trial, least(greatest(a * p_a + b * p_b + c * p_c, 0.0), 1.0) AS s, sum(fraud_flag) AS tp, count(*) AS n FROM part, {alive} WHERE ninth < {budget} GROUP BY 1, 2)",
+                 f"c{r} AS (SELECT trial, tp, sum(tp) OVER (PARTITION BY trial) AS p, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM s{r} WINDOW w AS (PARTITION BY trial ORDER BY s DESC))",
+                 f"a{r} AS (SELECT trial, round(coalesce(sum(CASE WHEN p > 0 THEN (tp / CAST(p AS DOUBLE)) * (ctp / CAST(cn AS DOUBLE)) END), 0.0), 12) AS ap FROM c{r} GROUP BY trial)",
+                 f"r{r} AS (SELECT trial, {r} AS rung, {budget} AS budget, ap, row_number() OVER (ORDER BY ap DESC, trial) <= {go_on} AS kept FROM a{r})"]
+    body = " UNION ALL ".join(f"SELECT CAST(trial AS INTEGER) AS trial, rung, budget, {O.r6('ap', 'ap')}, kept FROM r{r}" for r in range(len(_SHARES)))
+    return body, ctes

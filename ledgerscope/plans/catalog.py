@@ -1387,6 +1387,9 @@ register("boost_splits", BQ.BOOST_SPLITS_SQL)(BQ.boost_splits)
 register("boost_stages", BQ.BOOST_STAGES_SQL)(BQ.boost_stages)
 register("fit_focal")(BQ.fit_focal)
 register("fit_ap_stopped")(BQ.fit_ap_stopped)
+register("hyperband")(BQ.hyperband)
+_halving_body, _halving_ctes = BQ._halving_sql()
+register("halving_blend", O.with_tx(_halving_body, SCORED_CTE, *_halving_ctes))(BQ.halving_blend)
 
 
 def _cv(spark, sf_dir, kind: str):
