@@ -91,32 +91,54 @@ def account_graph(pairs: DataFrame, ranks: DataFrame | None = None) -> DataFrame
     return parts.groupBy("account").agg(*[F.sum(n).alias(n) for n in names], F.max("pagerank").alias("pagerank"))
 
 
+HUB_EDGES = 500_000      # outgoing edges of a node that stay in one task
+PART_EDGES = 2_000_000   # edges of a partition of the transitions, on average
+
+
+def _hub_transitions(known: DataFrame, hub_edges: int, nparts: int) -> tuple[DataFrame, DataFrame]:
+    """The hubs with their number of parts (one row per ``hub_edges`` edges at most), and their transitions by part."""
+    parts = F.ceil(F.col("_d") / hub_edges).cast("int")
+    edges = known.filter(F.col("_d") > hub_edges).select(
+        "src", F.pmod(F.xxhash64("dst"), parts).cast("int").alias("_part"), "dst", (F.col("w") / F.col("_s")).alias("p"), parts.alias("_parts"))
+    hubs = edges.groupBy("src").agg(F.max("_parts").alias("_parts"))
+    # dealt round, as hashing few parts would put several of them into one task
+    return materialize(hubs, "hubs"), edges.drop("_parts").repartition(max(nparts, 1)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: int = S.PAGERANK_MAX_ITER,
              tol: float | None = S.PAGERANK_TOL,
-             num_partitions: int | None = None, scale=S.AMOUNT_SCALE) -> tuple[DataFrame, bool, int]:
+             num_partitions: int | None = None, scale=S.AMOUNT_SCALE, hub_edges: int = HUB_EDGES) -> tuple[DataFrame, bool, int]:
     """Weighted PageRank of ``edges(src, dst, weight)``.
 
     With ``tol`` set, stops when the L1 change is below ``N * tol`` and returns
     ``(ranks, True, iterations)``; when ``max_iter`` passes without that, every
     rank is 0 and ``converged`` is False.  With ``tol=None`` runs exactly
     ``max_iter`` iterations.  ``ranks`` is ``(node, pagerank)``.
+
+    Nodes with more than ``hub_edges`` outgoing edges are cut: their edges are dealt
+    to parts of that size, every part gets the node's rank, and the partial sums of all
+    parts meet in the contributions.
     """
     spark = edges.sparkSession
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    # transitions and ranks share one explicit partitioning, so each
-    # iteration shuffles only the contributions; the count follows the cores
-    # (all executors on a cluster), capped by the session's shuffle setting,
-    # because every iteration pays per-task overhead on every partition
-    nparts = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                          spark.sparkContext.defaultParallelism))
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = (e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
              .distinct())
     # out-weights summed exactly when weights are money (see AMOUNT_SCALE)
-    out_w = e.groupBy("src").agg(from_units(F.sum(units("w", scale)), scale).alias("_s"))
+    out_w = e.groupBy("src").agg(from_units(F.sum(units("w", scale)), scale).alias("_s"), F.count(F.lit(1)).alias("_d"))
+    size = out_w.agg(F.sum("_d").alias("edges"), F.max("_d").alias("most")).first()
+    # transitions and ranks share one explicit partitioning, so each iteration shuffles only
+    # the contributions; as many parts as the cores (capped by the session's shuffle setting, because
+    # every iteration pays per-task overhead on every partition), more where the edges need them
+    nparts = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                          spark.sparkContext.defaultParallelism),
+                                   -(-(size["edges"] or 0) // PART_EDGES))
+    cut = (size["most"] or 0) > hub_edges
+    known = e.join(out_w, "src").filter(F.col("_s") != 0)
+    hubs = _hub_transitions(known, hub_edges, nparts) if cut else None
     # normalised transition weights, partitioned by src once and kept
-    trans = (e.join(out_w, "src").filter(F.col("_s") != 0)
+    trans = (known.filter(F.col("_d") <= hub_edges)
              .select("src", "dst", (F.col("w") / F.col("_s")).alias("p"))
              .repartition(nparts, "src")
              .persist(StorageLevel.MEMORY_AND_DISK))
@@ -136,8 +158,12 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
     it = 0
     prev_cached = None
     for it in range(1, max_iter + 1):
-        contrib = (trans.join(x.select(F.col("node").alias("src"), "x"), "src")
-                   .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("_c")))
+        ranked = x.select(F.col("node").alias("src"), "x")
+        given = trans.join(ranked, "src").select("dst", (F.col("x") * F.col("p")).alias("_c"))
+        if cut:
+            parts = ranked.join(hubs[0], "src").select("src", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "x")
+            given = given.unionByName(hubs[1].join(parts, ["src", "_part"]).select("dst", (F.col("x") * F.col("p")).alias("_c")))
+        contrib = given.groupBy(F.col("dst").alias("node")).agg(F.sum("_c").alias("_c"))
         base = damping * (dang / n) + (1.0 - damping) / n
         new = (x.join(contrib, "node", "left")
                .select("node", "dangling",
@@ -160,6 +186,8 @@ def pagerank(edges: DataFrame, damping: float = S.PAGERANK_DAMPING, max_iter: in
             break
     trans.unpersist()
     node_tbl.unpersist()
+    if cut:
+        hubs[1].unpersist()
     if prev_cached is not None:
         prev_cached.unpersist()   # the last ranks are read from their checkpoint
     if converged:
