@@ -558,6 +558,7 @@ from ..operators import encoding as EN  # noqa: E402
 from ..operators import fusion as FU  # noqa: E402
 from ..operators import graph as G  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
+from ..operators import folds as FO  # noqa: E402
 from ..operators import submission as SU  # noqa: E402
 from ..operators.ordered import rank_pct as _rank_pct  # noqa: E402
 from . import oracle_graph as OG  # noqa: E402
@@ -1198,6 +1199,31 @@ def q_target_encoding_oof_null_accounts(spark, sf_dir):
     return EN.oof_target_encoding(train, SP.stratified_group_folds(train), S.ORIGIN).select(S.ID, "fold", *EN.encoded_names())
 
 
+def _fold_stats_sql() -> str:
+    cents = "CAST(round(amount * 100.0) AS HUGEINT)"
+    total, n = f"CAST(sum({cents}) AS DOUBLE) / 100.0::DOUBLE", "count(amount)"
+    spread = f"CAST({n} * sum({cents} * {cents}) - sum({cents}) * sum({cents}) AS DOUBLE) / (CAST({n} AS DOUBLE) * CAST({n} - 1 AS DOUBLE))"
+    std = f"CASE WHEN {n} > 1 THEN sqrt({spread}) / 100.0::DOUBLE END"
+    parts = []
+    for side, account, other in (("origin", S.ORIGIN, S.DEST), ("dest", S.DEST, S.ORIGIN)):
+        for f in range(5):
+            parts.append(f"SELECT '{side}' AS side, {f} AS fold, {account} AS account, count(*) AS rows, {n} AS txn_count, {O.r6(total, 'amount_sum')}, "
+                         f"{O.r6(f'{total} / {n}', 'amount_mean')}, {O.r6(std, 'amount_std')}, min(period) AS period_min, max(period) AS period_max, "
+                         f"count(DISTINCT {other}) AS n_counterparts FROM tx_f WHERE fold <> {f} AND {account} IS NOT NULL GROUP BY {account}")
+    return " UNION ALL ".join(parts)
+
+
+@register("fold_aggregates", _without_accounts(O.with_tx(_fold_stats_sql(), *_oof_ctes())))
+def q_fold_aggregates(spark, sf_dir):
+    """Account statistics of the training rows of every group fold, from one scan per side, where rows lack accounts."""
+    train, _ = _lacking_accounts(spark, sf_dir)
+    rows = SP.with_folds(train, materialize(SP.stratified_group_folds(train), "folds"))
+    parts = [FO.fold_account_stats(FO.fold_pairs(rows, a, o, 5), 5).select(F.lit(side).alias("side"), "fold", "account", "rows", "txn_count", "amount_sum", "amount_mean",
+                                                                          "amount_std", "period_min", "period_max", "n_counterparts")
+             for side, a, o in (("origin", S.ORIGIN, S.DEST), ("dest", S.DEST, S.ORIGIN))]
+    return parts[0].unionByName(parts[1])
+
+
 _ORDERED_SQL = "SELECT id, " + ", ".join(O.r6(
     f"(coalesce(sum(fraud_flag) OVER {c}_before, 0)::DOUBLE + (SELECT avg(fraud_flag) FROM train)) / (count(fraud_flag) OVER {c}_before + 1.0::DOUBLE)",
     f"{c}_ordered_rate") for c in S.TE_COLUMNS) + " FROM train WINDOW " + ", ".join(
