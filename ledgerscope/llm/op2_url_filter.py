@@ -7,8 +7,9 @@ fetched; the most specific pattern decides, and what no entry covers is allowed.
 
 The as-of join is a sort, not a comparison of all captures with all entries of a pattern: captures and interval starts
 of one pattern and one slice of time are ordered together, and each capture takes the last start before it.
-An interval that reaches over slices starts anew in each, a slice with more than ``slice_rows`` captures is
-salted, and equal captures are judged once.  Everything is DataFrame functions.
+No pattern stands in one task as a whole: a slice with more than ``slice_rows`` captures and entries is cut into shorter
+pieces, an interval that reaches into a piece comes from a prefix over one row per piece, a piece with more than ``slice_rows``
+captures is salted, and equal captures are judged once.  Everything is DataFrame functions.
 """
 from __future__ import annotations
 
@@ -41,17 +42,16 @@ def url_patterns(url):
         domains, one(1, host), F.when(segment == "", none).otherwise(one(2, F.concat(host, F.lit("/"), segment)))))
 
 
-def validity(entries: DataFrame) -> DataFrame:
-    """``level, pattern, blocked, valid_from, valid_to`` (null: still valid) from ``kind, pattern, blocked, at, entry_id``.
+def logged(entries: DataFrame) -> DataFrame:
+    """``level, pattern, valid_from, blocked``: the entries that count.
 
     Of several entries on a pattern at one time the one with the largest ``entry_id`` counts.
     """
     level = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    logged = (entries.where(F.col("pattern").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(*KINDS))
-              .groupBy(level.alias("level"), F.lower("pattern").alias("pattern"), F.col("at").alias("valid_from"))
-              .agg(F.max(F.struct("entry_id", F.coalesce("blocked", F.lit(False)).alias("blocked"))).alias("last")))
-    follow = Window.partitionBy("level", "pattern").orderBy("valid_from")
-    return logged.select("level", "pattern", "last.blocked", "valid_from", F.lead("valid_from").over(follow).alias("valid_to"))
+    return (entries.where(F.col("pattern").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(*KINDS))
+            .groupBy(level.alias("level"), F.lower("pattern").alias("pattern"), F.col("at").alias("valid_from"))
+            .agg(F.max(F.struct("entry_id", F.coalesce("blocked", F.lit(False)).alias("blocked"))).alias("last"))
+            .select("level", "pattern", "valid_from", "last.blocked"))
 
 
 def judge(captures: DataFrame, entries: DataFrame, slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -61,22 +61,34 @@ def judge(captures: DataFrame, entries: DataFrame, slice_seconds: int = SLICE_SE
     Entries without pattern or time, or of another kind, are no entries.  Repeated captures come out as often as they
     went in; empty tables are fine; other columns are not read.
     """
-    slice_of = lambda t: F.floor(F.unix_micros(t) / (slice_seconds * 1_000_000))
+    step = slice_seconds * 1_000_000
     same = captures.groupBy("id", "url", "at").agg(F.count("*").alias("copies"))
-    asked = (same.where("at is not null").select("id", "url", "at", slice_of(F.col("at")).alias("slice"), F.explode(url_patterns(F.col("url"))).alias("p"))
-             .select("id", "url", "at", "slice", "p.*"))
-    key = ["level", "pattern", "slice"]
-    load = asked.groupBy(*key).agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("salts"))
-    # interval starts: one in each slice where the interval is valid and the pattern is asked for
-    spans = load.select("level", "pattern", "slice", "salts").join(validity(entries), ["level", "pattern"]).where(
-        (F.col("slice") >= slice_of(F.col("valid_from")))
-        & (F.col("valid_to").isNull() | (F.col("slice") <= slice_of(F.col("valid_to")))))
-    starts = spans.select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("valid_from").alias("t"),
-                          F.struct("valid_from", "blocked").alias("entry"))
-    looked = asked.join(load, key).select(*key, F.pmod(F.xxhash64("id", "url", "at"), F.col("salts")).cast("int").alias("salt"),
-                                          F.col("at").alias("t"), F.struct("id", "url", "at", "depth").alias("capture"))
-    both = (starts.withColumn("capture", F.lit(None).cast(looked.schema["capture"].dataType))
-            .unionByName(looked.withColumn("entry", F.lit(None).cast(starts.schema["entry"].dataType))))
+    asked = (same.where("at is not null").select("id", "url", "at", F.explode(url_patterns(F.col("url"))).alias("p"))
+             .select("id", "url", "at", "p.*"))
+    # captures and entries of a pattern on one line of time
+    log = logged(entries).select("level", "pattern", F.col("valid_from").alias("t"), F.struct("valid_from", "blocked").alias("entry"))
+    looked = asked.select("level", "pattern", F.col("at").alias("t"), F.struct("id", "url", "at", "depth").alias("capture"))
+    line = (log.withColumn("capture", F.lit(None).cast(looked.schema["capture"].dataType))
+            .unionByName(looked.withColumn("entry", F.lit(None).cast(log.schema["entry"].dataType)))
+            .withColumn("slice", F.floor(F.unix_micros("t") / step)))
+    # a slice with too many rows is cut into pieces of equal length
+    busy = (line.groupBy("level", "pattern", "slice").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("pieces")).where("pieces > 1"))
+    piece = F.floor((F.unix_micros("t") - F.col("slice") * step) / step * F.coalesce("pieces", F.lit(1)))
+    line = line.join(busy, ["level", "pattern", "slice"], "left").withColumn("piece", piece).drop("pieces")
+    # one row per piece: its captures and its last entry; the entry valid at its start is the last one of the pieces before
+    key = ["level", "pattern", "slice", "piece"]
+    heads = line.groupBy(*key).agg(F.count("capture").alias("asking"), F.max("entry").alias("last"))
+    earlier = Window.partitionBy("level", "pattern").orderBy("slice", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*key, F.ceil(F.col("asking") / slice_rows).cast("int").alias("salts"), F.last("last", ignorenulls=True).over(earlier).alias("entry"))
+    reaching = (heads.where("salts > 0 and entry is not null").select(
+        *key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("entry.valid_from").alias("t"), "entry"))
+    # captures of one moment cannot be cut by time: a piece that still holds too many is salted, its entries stand with every salt
+    line = line.join(heads.where("salts > 1").select(*key, "salts"), key, "left")
+    own = F.pmod(F.xxhash64("capture"), F.coalesce("salts", F.lit(1))).cast("int")
+    line = line.withColumn("salt", F.explode(F.when(F.col("capture").isNotNull(), F.array(own))
+                                             .otherwise(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))).drop("salts")
+    both = line.unionByName(reaching, allowMissingColumns=True)
+    # an interval is valid from its entry to the next one on the line
     before = Window.partitionBy(*key, "salt").orderBy("t", F.col("capture").isNotNull())
     valid = both.withColumn("entry", F.last("entry", ignorenulls=True).over(before)).where("capture is not null and entry is not null")
     decided = (valid.groupBy("capture.id", "capture.url", "capture.at")
