@@ -13,12 +13,15 @@ number of cells nor the size of a group or of a narrow range of values is limite
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 DEFAULT_BUCKETS = 64
+HASH_CELL_ROWS = 500_000   # rows of a cell of hashes, about
 CELL_ROWS = 1_000_000   # distinct values that a task orders at most, but for the sketch's error and ranges twice as large
 
 
@@ -167,6 +170,34 @@ def global_positions(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
                          (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(mask))).cast("long").alias(out))
 
 
+def hash_bits(n: int, rows: int) -> int:
+    """Leading bits of a 32-bit hash whose cells hold about ``rows`` of ``n`` rows."""
+    return min(32, max(0, math.ceil(math.log2(max(n, 1) / max(rows, 1)))))
+
+
+def hash_cell(hashed: str | Column, bits: int) -> Column:
+    """The cell of a 32-bit hash by its leading ``bits``; null hashes come first."""
+    return F.coalesce(F.shiftright(F.col(hashed) if isinstance(hashed, str) else hashed, 32 - bits), F.lit(-1))
+
+
+def hash_positions(df: DataFrame, hashed: str, tie: str, out: str = "pos", by: tuple = (), n: int | None = None,
+                   cell_rows: int = HASH_CELL_ROWS) -> DataFrame:
+    """0-based position of every row in the order of a 32-bit hash (then ``tie``), within each ``by`` group.
+
+    A hash is spread evenly, so its leading bits cut the order into cells of about ``cell_rows`` rows without a sample or a
+    sorted copy of the table: rows are numbered inside their cell, and the cells' counts (partial aggregates, one
+    row per cell) say how many rows stand before it.  Null groups are a group.
+    """
+    cell = hash_cell(hashed, hash_bits(df.count() if n is None else n, cell_rows)).alias("cell")
+    x = df.select("*", F.struct(*by, cell).alias("_cell"))
+    counts = x.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*[f"_cell.{b}" for b in by]).orderBy("_cell.cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_cell", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(hashed, tie)) - 1
+    numbered = x.select("*", inside.alias("_inside")).join(before, "_cell")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(out))
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: list, group_cols: list | None = None,
                     n_buckets: int = DEFAULT_BUCKETS, prefix: str = "q", bounds: list | None = None,
                     cell_rows: int | None = None) -> DataFrame:

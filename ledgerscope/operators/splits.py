@@ -3,8 +3,8 @@
 Randomness is replaced by a portable hash of the key and the seed
 (:func:`ledgerscope.functions.columns.stable_hash`), so every split is
 repeatable, independent of partitioning, and reproducible in SQL.  Orderings
-over keys use :func:`ledgerscope.operators.ordered.global_positions` (parallel
-range sort), never a single-task window.
+over keys use :func:`ledgerscope.operators.ordered.hash_positions` (cells of the hash) or
+``global_positions`` (parallel range sort), never a single-task window.
 """
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import stable_hash
 from ..session import materialize
-from .ordered import global_positions
+from .ordered import global_positions, hash_bits, hash_cell, hash_positions
 
 
 class InsufficientData(ValueError):
@@ -52,17 +52,18 @@ def fold_table(df: DataFrame, cutoffs=tuple(S.ROLLING_CUTOFFS), width: int | Non
 
 
 def fold_summary(folds: DataFrame, min_valid_rows: int = 1000, min_train_pos: int = 10,
-                 require_nonempty: bool = False) -> DataFrame:
+                 require_nonempty: bool = False, rows: Column | None = None, positives: str = S.LABEL) -> DataFrame:
     """Per-cutoff sizes and the skip rule (open folds: valid >= 1000 rows and
-    train positives >= 10; bounded folds: train and valid non-empty)."""
+    train positives >= 10; bounded folds: train and valid non-empty).  ``rows`` and
+    ``positives`` are the counts behind a row where rows are already counted."""
+    rows = F.lit(1) if rows is None else rows
+
+    def total(role: str, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("role") == role, value)), F.lit(0)).cast("long")
+
     g = folds.groupBy("cutoff").agg(
-        F.count_if(F.col("role") == "train").alias("train_rows"),
-        F.count_if(F.col("role") == "valid").alias("valid_rows"),
-        F.coalesce(F.sum(F.when(F.col("role") == "train", F.col(S.LABEL))), F.lit(0)).cast("long")
-        .alias("train_pos"),
-        F.coalesce(F.sum(F.when(F.col("role") == "valid", F.col(S.LABEL))), F.lit(0)).cast("long")
-        .alias("valid_pos"),
-    )
+        total("train", rows).alias("train_rows"), total("valid", rows).alias("valid_rows"),
+        total("train", F.col(positives)).alias("train_pos"), total("valid", F.col(positives)).alias("valid_pos"))
     if require_nonempty:
         kept = (F.col("train_rows") > 0) & (F.col("valid_rows") > 0)
     else:
@@ -70,6 +71,13 @@ def fold_summary(folds: DataFrame, min_valid_rows: int = 1000, min_train_pos: in
     return g.select("*", kept.alias("kept"))
 
 
+def rolling_summary(df: DataFrame, cutoffs=tuple(S.ROLLING_CUTOFFS), width: int | None = None, **rule) -> DataFrame:
+    """The :func:`fold_summary` of the rolling folds.  Rows are counted per period first, and
+    only those counts are repeated for each cutoff."""
+    periods = df.groupBy(S.PERIOD).agg(F.count(F.lit(1)).alias("_rows"), F.sum(S.LABEL).alias("_pos"))
+    return fold_summary(fold_table(periods, cutoffs, width), rows=F.col("_rows"), positives="_pos", **rule)
+
+
 def _distinct_keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(key).filter(F.col(key).isNotNull()).distinct()
 
@@ -80,8 +88,7 @@ def group_split(df: DataFrame, frac: float = 0.15, key: str = S.ORIGIN,
     keys = _distinct_keys(df, key)
     n = keys.count()
     n_valid = int(math.ceil(frac * n))
-    ranked = global_positions(keys.select(key, stable_hash(key, seed).alias("_h")),
-                              [F.col("_h"), F.col(key)], "_pos")
+    ranked = hash_positions(keys.select(key, stable_hash(key, seed).alias("_h")), "_h", key, "_pos", n=n)
     valid_keys = ranked.filter(F.col("_pos") < n_valid).select(key)
     return df.join(valid_keys, key, "left_anti"), df.join(valid_keys, key, "left_semi")
 
@@ -196,13 +203,8 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = S.LABEL, key: str =
     """Fold per row = position within its label class (hash order) mod k.
     Returns ``(key, fold)``."""
     base = df.select(key, label, stable_hash(key, seed).alias("_h"))
-    ranked = global_positions(base, [F.col(label), F.col("_h"), F.col(key)], "_i")
-    # rows of smaller labels before each label: one row per label value
-    per_label = base.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_label.select(label, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
-    return (ranked.join(F.broadcast(starts), label, "inner")
-            .select(key, ((F.col("_i") - F.col("_start")) % k).cast("int").alias("fold")))
+    ranked = hash_positions(base, "_h", key, "_i", by=(label,))
+    return ranked.select(key, (F.col("_i") % k).cast("int").alias("fold"))
 
 
 def account_sample(train: DataFrame, test: DataFrame, frac: float = 0.25, key: str = S.ORIGIN,
@@ -212,8 +214,7 @@ def account_sample(train: DataFrame, test: DataFrame, frac: float = 0.25, key: s
     keys = _distinct_keys(train, key).union(_distinct_keys(test, key)).distinct()
     n = keys.count()
     n_keep = max(int(n * frac), 1)
-    ranked = global_positions(keys.select(key, stable_hash(key, seed).alias("_h")),
-                              [F.col("_h"), F.col(key)], "_pos")
+    ranked = hash_positions(keys.select(key, stable_hash(key, seed).alias("_h")), "_h", key, "_pos", n=n)
     kept = ranked.filter(F.col("_pos") < n_keep).select(key)
     return train.join(kept, key, "left_semi"), test.join(kept, key, "left_semi")
 
@@ -222,22 +223,19 @@ def row_subsample(df: DataFrame, n_max: int = S.ISO_SUBSAMPLE, key: str = S.ID,
                   seed: int = S.RANDOM_STATE) -> DataFrame:
     """At most ``n_max`` rows, the first in hash order (repeatable).
 
-    A hash threshold from ``percentile_approx`` first cuts the table to a little
-    over ``n_max`` rows (in parallel); the exact first ``n_max`` of those are
-    then taken by position.
+    Counts per cell of the hash (partial aggregates, a million cells at most) tell the cell in which the
+    ``n_max``-th row stands; only rows up to that cell are numbered.
     """
     n = df.count()
     if n <= n_max:
         return df
-    h = stable_hash(key, seed)
-    x = df.select("*", h.alias("_h"))
-    frac = min(1.0, n_max / n * 1.05 + 1e-4)
-    t = x.agg(F.percentile_approx("_h", frac, 100_000)).first()[0]
-    cand = x.filter(F.col("_h") <= F.lit(t))
-    while cand.count() < n_max:
-        t = int(t * 1.5) + 1
-        cand = x.filter(F.col("_h") <= F.lit(t))
-    ranked = global_positions(cand, [F.col("_h"), F.col(key)], "_pos")
+    x = df.select("*", stable_hash(key, seed).alias("_h"))
+    cell = hash_cell("_h", min(20, hash_bits(n, max(n_max // 8, 1))))
+    upto = Window.orderBy("_cell")
+    counts = x.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
+    last = (counts.select("_cell", F.sum("_c").over(upto).alias("_upto")).where(F.col("_upto") >= n_max)
+            .agg(F.min("_cell")).first()[0])
+    ranked = hash_positions(x.filter(cell <= F.lit(last)), "_h", key, "_pos")
     return ranked.filter(F.col("_pos") < n_max).drop("_h", "_pos")
 
 

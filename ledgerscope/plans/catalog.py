@@ -451,14 +451,13 @@ SELECT cutoff, train_rows, valid_rows, train_pos, valid_pos, ({kept}) AS kept FR
 @register("rolling_folds_open", _fold_sql(False))
 def q_rolling_folds_open(spark, sf_dir):
     """Open-ended rolling folds with the size / positives skip rule."""
-    return SP.fold_summary(SP.fold_table(_train(spark, sf_dir)))
+    return SP.rolling_summary(_train(spark, sf_dir))
 
 
 @register("rolling_folds_bounded", _fold_sql(True))
 def q_rolling_folds_bounded(spark, sf_dir):
     """Rolling folds whose valid part is [cutoff, cutoff + 6)."""
-    f = SP.fold_table(_train(spark, sf_dir), width=S.BOUNDED_FOLD_WIDTH)
-    return SP.fold_summary(f, require_nonempty=True)
+    return SP.rolling_summary(_train(spark, sf_dir), width=S.BOUNDED_FOLD_WIDTH, require_nonempty=True)
 
 
 def _hash_rank_cte(name: str, key_sql: str, src: str, seed: int = S.RANDOM_STATE) -> str:

@@ -128,7 +128,7 @@ def validate_models(spark: SparkSession, train: DataFrame, cutoff: int = S.VAL_P
 def cv_rolling(spark: SparkSession, train: DataFrame, cutoffs=tuple(S.ROLLING_CUTOFFS),
                min_valid: int = 1000, min_pos: int = 10) -> DataFrame:
     """Open-ended rolling folds, skip rule from the fold summary."""
-    summary = SP.fold_summary(SP.fold_table(train, cutoffs), min_valid, min_pos).collect()  # one row per cutoff
+    summary = SP.rolling_summary(train, cutoffs, min_valid_rows=min_valid, min_train_pos=min_pos).collect()  # one row per cutoff
     rows = []
     for r in sorted(summary, key=lambda r: r["cutoff"]):
         if not r["kept"]:
