@@ -1401,6 +1401,12 @@ def q_stack_gbt(spark, sf_dir):
     return MD.predict_stack_gbt(model, te, _MODELS).select(S.ID, "stack")
 
 
+@register("stack_out_of_fold")
+def q_stack_out_of_fold(spark, sf_dir):
+    """Both stackers fitted on the out-of-fold scores of the three learners, applied to their test scores."""
+    return VA.stack_out_of_fold(spark, *TX.load_train_test(spark, sf_dir))
+
+
 @register("validate_models")
 def q_validate_models(spark, sf_dir):
     """Temporal holdout of three learners + ensemble choice + group check."""

@@ -219,6 +219,20 @@ def test_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
     return scored(models, frames["test"]).select(S.ID, *LEARNERS)
 
 
+def stack_scores(oof: DataFrame, scores: DataFrame, cols=LEARNERS, label: str = S.TARGET) -> DataFrame:
+    """Both stackers fitted on out-of-fold base scores (``cols`` and ``label``) and applied to the base scores of other rows."""
+    cols = list(cols)
+    base = materialize(oof.select(*cols, F.col(label).alias(S.LABEL)), "oof")
+    linear, trees = MD.fit_stack_logistic(base, cols), MD.fit_stack_gbt(base, cols)
+    stacked = MD.predict_stack_logistic(linear, scores.select(S.ID, *cols), cols, "stack_logistic")
+    return MD.predict_stack_gbt(trees, stacked, cols, "stack_gbt").select(S.ID, "stack_logistic", "stack_gbt")
+
+
+def stack_out_of_fold(spark: SparkSession, train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+    """Test rows stacked by models that saw only scores of learners fitted without the row's account."""
+    return stack_scores(oof_scores(spark, train, test, k), test_predictions(train, test))
+
+
 SEARCH_SPACE = {
     "gbt": dict(maxDepth=[3, 4, 5, 6, 8], stepSize=[0.03, 0.05, 0.1, 0.2], maxIter=[20, 40, 60],
                 subsamplingRate=[0.6, 0.8, 1.0], minInstancesPerNode=[5, 20, 80]),
