@@ -144,3 +144,27 @@ def test_edges(frame, spark):
     many = spark.range(300).select(F.col("id").cast("string").alias("c"), F.lit(1).alias(S.LABEL))
     with pytest.raises(ValueError):
         BO.fit_bins(many, [], ["c"])
+
+
+def test_quantiles_of_many_columns_are_merged_by_blocks(spark):
+    columns = [f"c{k}" for k in range(2 * BO.SKETCHES + 1)]
+    df = spark.range(200).select(*[((F.col("id") * (k + 1)) % 50).cast("double").alias(c) for k, c in enumerate(columns)])
+    found = BO.fit_bins(df, columns, [], 4)
+    want = [np.unique(df.agg(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)).first()[0]) for c in columns]
+    assert all(np.array_equal(a, b) for a, b in zip(found.edges, want))
+
+
+def test_bins_are_one_value_a_row(spark, frame):
+    train, _ = frame
+    binner = BO.fit_bins(train, ["a", "b"], ["c"], 4)
+    rows = binner.transform(train, ["id"])
+    assert dict(rows.dtypes)["bins"] == "binary"
+    assert {len(r["bins"]) for r in rows.collect()} == {2 * 3}
+
+
+def test_shared_bins_give_the_same_model(spark, frame):
+    train, held = frame
+    spec = BO.BoostSpec(rounds=3, depth=2, bins=8, min_rows=5, block=2)
+    one = BO.fit_boosted(train, ["a", "b"], ["c"], spec, held)
+    two = BO.fit_boosted(train, ["a", "b"], ["c"], spec, held, binned=BO.bin_rows(train, ["a", "b"], ["c"], spec))
+    assert [t.value for t in one.trees] == [t.value for t in two.trees] and one.history == two.history
