@@ -77,3 +77,34 @@ def test_edges(frame):
     assert FU.best_weights(FU.search_weights(frame, ["a"]), ["a"]) == {"a": 1.0}
     with pytest.raises(ValueError):
         FU.score_cells(frame, ["a", "b", "c", "id"])
+
+
+def test_aps_of_blends_from_cells_of_sorted_scores(spark):
+    """Cells of few rows, ties within and across tasks, null labels and scores, NaN: like one sort of all rows."""
+    draw, rows = random.Random(8), []
+    for i in range(2000):
+        y = draw.choice([0, 0, 0, 1, None])
+        rows.append((y, round(draw.random(), draw.choice([1, 5])), draw.random() if i % 50 else float("nan"), 0.5 if i % 3 else round(draw.random(), 2), ))
+    rows += [(1, None, 0.5, 0.5), (0, 0.1, None, 0.2)]
+    df = spark.createDataFrame(rows, f"{S.LABEL} int, a double, b double, c double").repartition(3)
+    names, weights = ["a", "b", "c"], [(1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.2, 0.5, 0.3), (0.9, 0.9, 0.9), (-1.0, -1.0, 0.0)]
+    known = FU.known_scores(df, names)
+    for cell_rows in (97, 1000, 10_000):
+        found = {r["cand"]: r["ap"] for r in FU.blend_aps(known, names, weights, cell_rows=cell_rows).collect()}
+        for k, w in enumerate(weights):
+            want = M.average_precision_value(FU.blend(df, dict(zip(names, w)), "_b"), "_b")
+            assert found[k] == pytest.approx(want, abs=1e-12), (cell_rows, w)
+    assert FU.exact_aps(known.where("false"), names, S.LABEL, weights) == [0.0] * 5
+    assert FU.exact_aps(known.where(f"{S.LABEL} = 0"), names, S.LABEL, weights) == [0.0] * 5
+
+
+def test_the_search_needs_few_passes_and_keeps_its_stopping_rule(frame, monkeypatch):
+    passes, real = [], FU.exact_aps
+    monkeypatch.setattr(FU, "exact_aps", lambda known, models, label, weights: passes.append(len(weights)) or real(known, models, label, weights))
+    rows = FU.search_weights(frame, ["a", "b", "c"]).orderBy(F.col("upper").desc(), "cand").collect()
+    done = [r for r in rows if r["ap"] is not None]
+    assert len(done) > 4 and len(passes) < len(done) / 4
+    top, at = -1.0, 0   # four at a time until no bound reaches the best
+    while at < len(rows) and rows[at]["upper"] >= top - 1e-9:
+        top, at = max(top, *[r["ap"] for r in rows[at:at + 4]]), at + 4
+    assert {r["cand"] for r in done} == {r["cand"] for r in rows[:at]}
