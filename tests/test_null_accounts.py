@@ -62,3 +62,28 @@ def test_rows_without_account_are_cut_within_a_period(spark):
     assert bounds.count() == 2 and all(len(r["_bounds"]) >= 3 for r in bounds.collect())
     one, two = (sorted(map(tuple, C.add_causal_features(df, sides=("origin",), mode=m, max_rows_per_task=50, block_rows=40).collect())) for m in ("plain", "chunked"))
     assert [tuple(map(str, a)) for a in one] == [tuple(map(str, b)) for b in two]
+
+
+def test_rows_without_account_do_not_meet_in_one_task(spark):
+    rows = spark.range(4000).selectExpr("id", f"if(id % 2 = 0, null, id % 50) {S.ORIGIN}", f"if(id % 4 < 2, null, 3L) {S.DEST}")
+    table = spark.range(50).selectExpr(f"id {S.ORIGIN}", f"3L {S.DEST}", "id * 10 pair_count")
+    by_size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = FT._join_dealt(rows, table, [S.ORIGIN, S.DEST]).select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", by_size)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(out) == 4000
+    assert all(r["pair_count"] == (None if r[S.ORIGIN] is None or r[S.DEST] is None else 10 * r[S.ORIGIN]) for r in out)
+    lone = [r["p"] for r in out if r[S.ORIGIN] is None and r[S.DEST] is None]
+    assert max(lone.count(p) for p in set(lone)) < 0.5 * len(lone)
+
+
+def test_the_chunked_plan_reads_wide_rows_once_and_counts_elsewhere(spark, frames):
+    rows = frames[0].withColumn("wide", F.expr("uuid()"))
+    plan = C.add_causal_features(rows, sides=("origin",), mode="chunked", max_rows_per_task=40, block_rows=30, counted=frames[0])
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("uuid(") == 1
+    assert C.DEFAULT_MAX_ROWS_PER_TASK <= 1_000_000 and C.DEFAULT_BLOCK_ROWS <= 500_000
