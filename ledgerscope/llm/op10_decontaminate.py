@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerscope.llm.common import map_batches, read
+from ledgerscope.llm.common import map_batches, read, release
 from ledgerscope.llm.hashed import word_groups
 from ledgerscope.session import materialize
 
@@ -296,6 +296,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 keep = np.ones(b.num_rows, bool)
                 keep[[d for d, *_ in leaks(b.column(at), index, coverage)]] = False
                 yield b.filter(pa.array(keep))
+                release()
         return map_batches(docs, run, docs.schema)
 
     def digests(index: Index) -> DataFrame:

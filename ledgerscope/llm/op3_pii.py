@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.llm import bloom
-from ledgerscope.llm.common import as_texts, map_batches, read
+from ledgerscope.llm.common import as_texts, map_batches, read, release
 from ledgerscope.llm.hashed import word_groups
 from ledgerscope.session import materialize
 
@@ -157,7 +157,7 @@ def detect(docs: DataFrame, text_col: str, kept: list[Column], groups: bool, all
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.arange(uid, uid + b.num_rows)), lists(bases, _BASE), lists(entities, pa.int64()),
                                                   lists(terms, pa.int64()), b.column(0) if all_texts else pa.array(texts, pa.string())], schema.names)
                 uid += b.num_rows
-            pa.default_memory_pool().release_unused()
+            release()
 
     return map_batches(picked, run, schema)
 
@@ -197,7 +197,7 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 if len(keys) > _HELD:  # bounds a task's memory
                     yield flush()
                     keys, counts = keys[:0], counts[:0]
-            pa.default_memory_pool().release_unused()
+            release()
         yield flush()
 
     counted = map_batches(docs.select(F.col(text_col).cast("string")), run, "term long, n long")
@@ -270,7 +270,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1),
                                                   pa.array(done, pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "action")])))],
                                                  ["doc_id", "base", "terms"])
-            pa.default_memory_pool().release_unused()
+            release()
 
     return map_batches(found.join(terms, "uid", "left").select("k0", "base", "text", "removed", "generalised"), run,
                        "doc_id long, base array<struct<start:int,kind:int,end:int>>, terms array<struct<start:int,end:int,action:int>>")
@@ -315,7 +315,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", rule: Rule = PLAIN) -> Dat
                 if "n_chars" in schema.names:
                     cols[schema.names.index("n_chars")] = pa.array([len(t) for t in done], pa.int64())
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
-            pa.default_memory_pool().release_unused()
+            release()
 
     changed = map_batches(hit.join(terms, "uid", "left").select("base", "removed", "generalised", *names), rewrite, schema)
     return changed.unionAll(clean.select(*[F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, schema.fields)]))

@@ -20,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerscope.llm import tokens
-from ledgerscope.llm.common import map_batches, read
+from ledgerscope.llm.common import map_batches, read, release
 from ledgerscope.session import materialize
 
 CAPACITY, END_ID = 4096, 1
 CLASSES, MOST_DOCS, LEAST_CLASS = 64, 4, 3
+_GROUP_BYTES = 2_000_000  # of text that a task encodes at once
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> np.ndarray:
@@ -171,11 +172,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = ("doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
 
     def run(batches):
+        release()  # what earlier stages of the same worker left
         part, seen = TaskContext.get().partitionId(), Counter()
         encode_all, end = tokens.encoder(tokenizer, True).encode_all, np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for name, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1))):
+            for name, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1), _GROUP_BYTES)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at:at + 4 * capacity]
@@ -186,6 +188,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names[:7 + with_ids])
+            del rows
+            release()
 
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, schema)
 
