@@ -25,3 +25,13 @@ def tx_frame(spark, rows, with_label=True):
     from pyspark.sql import types as T
     schema = S.transaction_schema(with_label, id_type=T.LongType(), account_type=T.LongType())
     return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached():
+    """Frames that a module's tests cache go with it: other tests look at what the session keeps."""
+    yield
+    from pyspark.sql import SparkSession
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.catalog.clearCache()
